@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .run_dedup import op10_run_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_run_dedup": op10_run_dedup,
 }
 
 ORACLES: dict[str, str] = {}
