@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .run_dedup import op10_run_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_bpe": op4_bpe,
     "op10_run_dedup": op10_run_dedup,
 }
 
