@@ -57,7 +57,8 @@ def repeated_units(docs: DataFrame, units: Callable, length: int, gram: int, acr
     """
     found = find_units(docs, units, length, gram)
     lows = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = lows.where("low < high" if across else "n > 1").select("anchor")
+    # staged: joined to a plain scan, a crowded anchor's rows can be split over tasks (an aggregate's output cannot)
+    shared = stage(lows.where("low < high" if across else "n > 1").select("anchor"), "anchors")
     met = stage(found.join(shared, "anchor"), "units")
     if across:
         leaders = met.groupBy("anchor", "unit").agg(F.min("doc_id").alias("first"))
@@ -65,6 +66,6 @@ def repeated_units(docs: DataFrame, units: Callable, length: int, gram: int, acr
     else:
         leaders = met.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "start")).alias("first"))
         copy = F.col("first") < F.struct("doc_id", "start")
-    varied = leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("varied"))
-    told = met.join(leaders, ["anchor", "unit"]).withColumn("copy", copy).drop("first", "unit")
-    return stage(told.join(varied, "anchor", "left").where("copy or varied").drop("varied"), "repeats")
+    varied = leaders.groupBy("anchor").agg((F.count("*") > 1).alias("varied"))
+    told = stage(leaders.join(varied, "anchor"), "leaders")
+    return stage(met.join(told, ["anchor", "unit"]).withColumn("copy", copy).where("copy or varied").drop("first", "unit", "varied"), "repeats")
