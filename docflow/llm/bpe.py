@@ -167,7 +167,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The rows of coded with ids (null: no tokens) replaced by decoded (binary)."""
     path, pattern = (path, pattern) if path else default_vocabulary()
-    rest = coded.drop("ids")
+    kept = [c for c in coded.columns if c != "ids"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.select(*kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
@@ -176,9 +177,9 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
                 part = whole.slice(at, 500)
                 lists = part.column("ids")
                 texts = [coder.decode(lists[i].values.tolist() if lists[i].is_valid else []) for i in range(len(lists))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest.columns), pa.array(texts, pa.binary())], names=[*rest.columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
-    return coded.select(*rest.columns, "ids").mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema)}, decoded binary")
+    return coded.select(*kept, "ids").mapInArrow(run, f"{schema}, decoded binary")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
