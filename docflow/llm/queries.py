@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontamination import op5_decontamination
 from .minhash_dedup import op8_minhash_dedup
 from .run_dedup import op10_run_dedup
 from .substring_dedup import op1_substring_dedup
@@ -10,6 +11,7 @@ from .substring_dedup import op1_substring_dedup
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_bpe": op4_bpe,
+    "op5_decontamination": op5_decontamination,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_run_dedup": op10_run_dedup,
 }
