@@ -39,7 +39,8 @@ class Bpe:
         self.vocab = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.vocab[i] = token
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.finditer = compiled.findall, compiled.finditer
         self.memo: dict[str, tuple[int, ...]] = {}
         self.stretches: dict[str, tuple[int, ...]] = {}
 
@@ -106,6 +107,10 @@ class Bpe:
             ids = self.memo[piece] = self.merge(piece.encode())
         return ids
 
+    def scan(self, text: str, start: int):
+        """Matches of the pattern from a place on; what stands before it plays no part."""
+        return self.finditer(text, start)
+
     def encode_all(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.piece_ids, self.split(text))))
 

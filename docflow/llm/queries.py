@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .decontamination import op5_decontamination
+from .lm_scoring import op2_lm_scoring
+from .media import op3_media
 from .minhash_dedup import op8_minhash_dedup
+from .quality import op9_quality
 from .run_dedup import op10_run_dedup
 from .substring_dedup import op1_substring_dedup
+from .token_counts import op7_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_media": op3_media,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_quality": op9_quality,
     "op10_run_dedup": op10_run_dedup,
 }
 

@@ -1,6 +1,6 @@
 """Operator 6, a toxicity classifier with a counterfactual penalty.
 
-A logistic model over the distinct words of a document.  Each labelled document that mentions an identity term gets
+A logistic model over the distinct words and word beginnings of a document.  Each labelled document that mentions an identity term gets
 counterfactuals, the same words with the term swapped for another one of its group; besides the logistic loss,
 the squared change of the logit under the swap is penalised, so that naming a group moves no score by itself.
 
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, table
 from .quality import _sigmoid, fold, labelled_sample
-from .seeds import U64, words_of
+from .seeds import U64, Prefix, byte_symbols, mix, words_of
 
 BITS = 18
+#: Lengths in bytes of the word beginnings that are features too, for inflected forms.
+STEMS = (4, 5)
+_STEM_BASE = 0x9FB21C651E98DF25
 #: Groups of identity terms; a swap stays within a group.
 IDENTITY = (
     ("women", "men", "woman", "man", "girls", "boys"),
@@ -41,10 +44,16 @@ _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 
 
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of each text, sorted; each text's first place (len(texts) + 1)."""
+    """Distinct hashed words and word beginnings of each text, sorted; each text's first place (len(texts) + 1)."""
     w = words_of([t or b"" for t in texts], space=_BREAK, lower=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    both = np.unique((owner << BITS) | (w.hashes >> U64(64 - BITS)).astype(np.int64))
+    found = [(owner << BITS) | (w.hashes >> U64(64 - BITS)).astype(np.int64)]
+    prefix = Prefix(byte_symbols(w.data), _STEM_BASE)
+    for n in STEMS:
+        long = w.end - w.start >= n
+        stems = mix(prefix.ranges(w.start[long], w.start[long] + n) + U64(n))
+        found.append((owner[long] << BITS) | (stems >> U64(64 - BITS)).astype(np.int64))
+    both = np.unique(np.concatenate(found))
     return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
 
 
@@ -52,7 +61,7 @@ def identity_swaps(groups=IDENTITY) -> dict[int, list[int]]:
     """Hashed identity term -> the hashed terms it is swapped for."""
     out = {}
     for group in groups:
-        ids = [int(word_ids([t.encode()])[0][0]) for t in group]
+        ids = [int(words_of([t.encode()], space=_BREAK, lower=True).hashes[0] >> U64(64 - BITS)) for t in group]
         out |= {a: [b for b in ids if b != a] for a in ids}
     return out
 
@@ -69,7 +78,7 @@ class Model:
         return _sigmoid(total[first[1:]] - total[first[:-1]] + self.bias)
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], penalty: float = 1.0, least: int = 5, l2: float = 1e-3, rounds: int = 250, rate: float = 0.05) -> Model:
+def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], penalty: float = 1.0, least: int = 12, l2: float = 0.015, rounds: int = 200, rate: float = 0.05) -> Model:
     """Adam over the whole sample; words in fewer than ``least`` sampled documents keep weight 0 (but identity terms)."""
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
@@ -85,11 +94,13 @@ def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], pena
             left += [a] * len(swaps[a])
             right += swaps[a]
     left, right = np.array(left, np.int64), np.array(right, np.int64)
+    weight = np.where(y > 0, min(5.0, max(1.0, (y == 0).sum() / (y > 0).sum())), 1.0)  # the rarer label counts for more
+    weight /= weight.sum()
     w, bias = np.zeros(1 << BITS), 0.0
     u, v, ub, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         p = _sigmoid(np.bincount(row, weights=w[col], minlength=len(bags)) + bias)
-        e = (p - y) / len(bags)
+        e = (p - y) * weight
         g = np.bincount(col, weights=e[row], minlength=1 << BITS) + l2 * w
         if len(left):
             change = 2 * penalty * (w[right] - w[left]) / len(left)
