@@ -1,16 +1,76 @@
-"""A training-corpus pipeline: each stage keeps, drops or rewrites documents by one operator's decision."""
+"""A training-corpus pipeline: each stage keeps, drops or rewrites documents by one operator's decision.
+
+Stages take and return the columns of the documents table (the last one returns token counts and digests).  Rows
+without a doc_id pass the stages that compare documents by id; a null or empty text is judged like an empty text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docflow.llm.bpe import decode, encode
+from docflow.llm.common import stage, table
+from docflow.llm.decontamination import decontaminate
+from docflow.llm.minhash_dedup import minhash_dedup
+from docflow.llm.quality import fold, score, train
+from docflow.llm.substring_dedup import substring_dedup
+
+#: Documents with a lower quality score are rejected.
+LEAST_QUALITY = 0.3
+_MARK = "__pipeline_mark"
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key is not in gone; few keys go to every task, many are shuffled."""
+    gone = stage(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, key, "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return score(docs, model, _MARK).where(F.col(_MARK) >= LEAST_QUALITY).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash_dedup(docs).where("not kept").select("doc_id").distinct()
+    return _without(docs, gone, "doc_id").select(*docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; a text that loses nothing stays as it is."""
+    rows = substring_dedup(docs.withColumn(_MARK, F.struct(*docs.columns)), carry=_MARK)
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col(f"{_MARK}.text"))
+    new = {"text": text, "n_chars": F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col(f"{_MARK}.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*(new.get(c, F.col(f"{_MARK}.`{c}`")).alias(c) for c in docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
+    found = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias(_MARK)).distinct()
+    return _without(docs.withColumn(_MARK, key), gone, _MARK).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring),
+    ("decontamination", decontamination),
+    ("bpe", tokens),
+]
 #: Learned scores and tokenisation cannot be written in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -171,16 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
     return fit(np.concatenate(bags) if bags else np.zeros((0, N_FEATURE), np.float16), first, rows.column("y").to_numpy().astype(np.float32))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and ``score``, the probability of label 1."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs and the probability of label 1 under ``name``."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, parts: int = 5) -> DataFrame:

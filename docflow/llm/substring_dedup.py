@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import repeated_units, word_units
-from .common import as_signed, blocks, reduced, table
+from .common import as_signed, blocks, reduced, stage, table
 from .seeds import Prefix, words_of
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -69,7 +69,7 @@ def _window_rows(length: int):
     return run
 
 
-def _removal(length: int):
+def _removal(length: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             n_words, n_removed, kept, spans = [], [], [], []
@@ -86,8 +86,8 @@ def _removal(length: int):
                 spans.append(cut)
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "spans", "kept_text"],
+                [*(part.column(c) for c in carry), part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=[*carry, "doc_id", "n_words", "n_removed", "spans", "kept_text"],
             )
 
     return run
@@ -100,18 +100,24 @@ def repeated_windows(docs: DataFrame, length: int = 50, gram: int = 20) -> DataF
     lists = still.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("open"))
     texts = reduced(docs, still.select("doc_id").distinct(), "doc_id").join(lists, "doc_id")
     windows = texts.mapInArrow(_window_rows(length), "doc_id long, start int, anchor long, win long")
-    lows = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    lows = stage(windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "windows")
     late = windows.join(lows, ["anchor", "win"]).where("low < doc_id")
     return told.where("copy").select("doc_id", "start", "count").unionByName(late.select("doc_id", "start", F.lit(1).alias("count")))
 
 
-def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (maximal removed runs, in words), kept_text; one row per input row."""
+def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 20, carry: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (maximal removed runs, in words), kept_text; one row per input row.
+
+    carry: a column of docs that is passed on unchanged.
+    """
     if not 0 < gram <= length:
         raise ValueError("gram must lie between 1 and length")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = repeated_windows(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
-    return docs.join(marks, "doc_id", "left").mapInArrow(_removal(length), f"doc_id long, n_words long, n_removed long, spans {SPAN}, kept_text string")
+    kept = [carry] if carry else []
+    extra = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    ranges = repeated_windows(docs.select("doc_id", "text"), length, gram)
+    marks = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    return docs.join(marks, "doc_id", "left").mapInArrow(_removal(length, kept), f"{extra}doc_id long, n_words long, n_removed long, spans {SPAN}, kept_text string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
