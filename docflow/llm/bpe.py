@@ -26,6 +26,8 @@ from .common import blocks, table
 #: Distinct pre-tokens, and stretches between spaces, whose ids a task remembers; beyond it the memory starts anew (results do not change).
 MEMO = 400_000
 _NONE = 1 << 62
+#: Longest pre-token, in bytes, that is merged together with others of its size; longer ones are merged one by one.
+TOGETHER = 64
 
 
 class Bpe:
@@ -43,6 +45,7 @@ class Bpe:
         self.split, self.finditer = compiled.findall, compiled.finditer
         self.memo: dict[str, tuple[int, ...]] = {}
         self.stretches: dict[str, tuple[int, ...]] = {}
+        self.slot_key = None
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -99,6 +102,143 @@ class Bpe:
             i = after[i]
         return tuple(out)
 
+    def _pair_table(self) -> None:
+        """Open-addressing table: pair of ids -> id of the joined token."""
+        pairs = {}
+        for token, i in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = i
+        keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.slots = size = 1 << max(4, (4 * len(pairs)).bit_length())
+        self.slot_key, self.slot_value = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # all unplaced keys try their slot, the winners stay
+            free = left[self.slot_key[at[left]] < 0]
+            self.slot_key[at[free]] = keys[free]
+            placed = self.slot_key[at[left]] == keys[left]
+            self.slot_value[at[left[placed]]] = values[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & (size - 1)
+        self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ids of the joined pairs, -1 where there is none."""
+        key = a << 32 | b
+        at = self._slot(key)
+        out = np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            found = self.slot_key[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.slot_value[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+        return out
+
+    def merge_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens of at least 2 and at most TOGETHER bytes: one segment tree each, all stepped at once."""
+        if self.slot_key is None:
+            self._pair_table()
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = len(pieces)
+        shift = int(lens.max() - 1).bit_length()
+        size = 1 << shift
+        text = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(n, size)
+        live = np.arange(size) < lens[:, None]
+        token = self.byte_ids[text]
+        after = np.minimum(np.arange(1, size + 1), lens[:, None]).ravel()
+        before = np.tile(np.arange(-1, size - 1), n)
+        joined = self._joined(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(n, size - 1)
+        tree = np.full((n, 2 * size), _NONE, np.int64)
+        tree[:, size : 2 * size - 1] = np.where((joined >= 0) & live[:, 1:], joined << shift | np.arange(size - 1), _NONE)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        tree, token, live = tree.ravel(), token.ravel(), live.ravel()
+        rows = np.arange(n)
+        while True:
+            best = tree[rows * 2 * size + 1]
+            going = best != _NONE
+            rows, best = rows[going], best[going]
+            if not len(rows):
+                break
+            base, root = rows * size, rows * 2 * size
+            i = best & (size - 1)
+            merged = best >> shift
+            j = after[base + i]
+            k = after[base + j]
+            token[base + i] = merged
+            live[base + j] = False
+            after[base + i] = k
+            right = k < lens[rows]
+            before[base[right] + k[right]] = i[right]
+            h = before[base + i]
+            left = h >= 0
+            tree[root + size + j] = _NONE
+            value = np.full(len(rows), _NONE, np.int64)
+            rank = self._joined(merged[right], token[base[right] + k[right]])
+            value[right] = np.where(rank >= 0, rank << shift | i[right], _NONE)
+            tree[root + size + i] = value
+            rank = self._joined(token[base[left] + h[left]], merged[left])
+            tree[root[left] + size + h[left]] = np.where(rank >= 0, rank << shift | h[left], _NONE)
+            h = np.where(left, h, i)
+            paths = [size + h, size + i, size + j]
+            for _ in range(shift):
+                for p in paths:
+                    p >>= 1
+                for p in paths:
+                    at = root + 2 * p
+                    tree[root + p] = np.minimum(tree[at], tree[at + 1])
+        ids = token[live].tolist()
+        stop = np.cumsum(live.reshape(n, size).sum(1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *stop], stop)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pre-tokens, those of about one size together."""
+        memo, ranks = self.memo, self.ranks
+        new = [p for p in pieces if p not in memo]
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(pieces)
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for p in new:
+            b = p.encode()
+            whole = ranks.get(b)
+            if whole is not None:
+                memo[p] = (whole,)
+            elif len(b) <= TOGETHER:
+                by_size.setdefault((len(b) - 1).bit_length(), []).append((p, b))
+            else:
+                memo[p] = self.merge(b)
+        for found in by_size.values():
+            for at in range(0, len(found), 20_000):
+                part = found[at : at + 20_000]
+                memo.update(zip([p for p, _ in part], self.merge_together([b for _, b in part])))
+
+    def learn_texts(self, texts: list[str]) -> None:
+        """Remember the stretches of a batch of texts (see encode)."""
+        wanted: set[str] = set()
+        heads: set[str] = set()
+        for t in texts:
+            head, *rest = t.split(" ")
+            heads.add(head)
+            wanted.update(rest)
+        stretches = self.stretches
+        wanted = {s for s in wanted if s not in stretches and s and not s[0].isspace() and not s[-1].isspace()}
+        if len(stretches) + len(wanted) > MEMO:
+            stretches.clear()
+        split = {s: self.split(" " + s) for s in wanted}
+        self.learn(set(chain.from_iterable(split.values())).union(*map(self.split, heads)))
+        memo = self.memo
+        for s, pieces in split.items():
+            stretches[s] = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
+
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         ids = self.memo.get(piece)
         if ids is None:
@@ -163,7 +303,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
-            ids = [np.array(coder.encode((t or b"").decode()), np.int32) for t in texts]
+            decoded = [(t or b"").decode() for t in texts]
+            coder.learn_texts(decoded)
+            ids = [np.array(coder.encode(t), np.int32) for t in decoded]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
