@@ -26,9 +26,9 @@ EDITS = "array<struct<start:int,stop:int,text:string>>"
 
 
 class CountTree:
-    def __init__(self, coder: Bpe, text: str):
+    def __init__(self, coder: Bpe, text: str, pieces: list[str] | None = None):
         self.coder, self.text = coder, text
-        pieces = coder.split(text)
+        pieces = coder.split(text) if pieces is None else pieces
         self.leaves: list[list[tuple[int, int]]] = [[(len(p), len(coder.piece_ids(p)))] for p in pieces]
         self.size = size = 1 << max(0, (len(pieces) - 1).bit_length()) if pieces else 1
         sums = np.zeros((2 * size, 2), np.int64)
@@ -126,13 +126,16 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
             rows, edited = [], []
-            for t, edits in zip(texts, part.column("edits").to_pylist()):
-                tree = CountTree(coder, (t or b"").decode())
-                before, pieces = tree.tokens, sum(map(len, tree.leaves))
+            decoded = [(t or b"").decode() for t in texts]
+            split = [coder.split(t) for t in decoded]
+            coder.learn(set().union(*split))
+            for t, pieces, edits in zip(decoded, split, part.column("edits").to_pylist()):
+                tree = CountTree(coder, t, pieces)
+                before, n_pieces = tree.tokens, len(pieces)
                 for e in edits or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                rows.append((len(edits or []), pieces, before, tree.tokens, tree.reencoded))
+                rows.append((len(edits or []), n_pieces, before, tree.tokens, tree.reencoded))
                 edited.append(tree.text)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(edited, pa.string())], names=["doc_id", *names, "text"])
 
