@@ -1 +1 @@
-
+"""Dataflow operators on DataFrames."""

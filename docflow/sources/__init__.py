@@ -1 +1 @@
-
+"""Sources and the providers that stand behind them."""
