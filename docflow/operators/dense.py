@@ -44,25 +44,3 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Extension: the k nearest rows of each query by cosine.
-
-    A stated, small set of queries against all rows: the queries are counted and broadcast as one block when they are
-    few, else joined block by block; each task keeps k rows a query before anything is shuffled.
-    """
-    if queries.count() > 10_000:
-        raise ValueError("state the queries in blocks of at most 10,000")
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"), F.lit(0).alias("block"))
-    pairs = rows.select(F.col(key).alias("match_id"), F.col(vector).alias("candidate"), F.lit(0).alias("block")).join(F.broadcast(q), "block")
-    scored = pairs.where(F.col("query_id") != F.col("match_id")).select("query_id", F.struct((-F.round(cosine(F.col("query"), F.col("candidate")), 6)).alias("d"), "match_id").alias("s"))
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best")) if k > 64 else _partial_best(scored, k)
-    return best.select("query_id", F.posexplode("best").alias("p", "s")).select("query_id", (F.col("p") + 1).alias("rank"), "s.match_id", (-F.col("s.d")).alias("score"))
-
-
-def _partial_best(scored: DataFrame, k: int) -> DataFrame:
-    """k smallest structs a query: first within salted parts, then over the parts, so no group is large."""
-    part = F.pmod(F.xxhash64("s.match_id"), F.lit(64))
-    some = scored.withColumn("part", part).groupBy("query_id", "part").agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("b"))
-    return some.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("best"))

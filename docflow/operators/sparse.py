@@ -34,12 +34,13 @@ def term_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str] |
 
 
 def sparse_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
-    """All columns and ``sparse``: struct(indices, values), ordered by index; terms that share one add up.
+    """key (unique), sparse: struct(indices, values), ordered by index; terms that share an index add up.
 
-    Built inside each row; a text without terms has empty arrays.
+    One shuffle by key serves both aggregations; a text without terms has empty arrays.
     """
     found = F.transform(terms(F.col(text), stop_words), lambda t: sparse_dimension(t, dimensions).cast("int"))
-    rows = df.withColumn("__d", found).withColumn("__i", F.array_sort(F.array_distinct("__d")))
-    # sorted runs: the count of an index is the distance between its first places
-    values = F.transform("__i", lambda i: F.size(F.filter("__d", lambda d: d == i)) / F.size("__d"))
-    return rows.withColumn("sparse", F.struct(F.col("__i").alias("indices"), values.alias("values"))).drop("__d", "__i")
+    rows = df.select(key, found.alias("d"), F.size(found).alias("total")).repartition(key)
+    each = rows.select(key, "total", F.explode_outer("d").alias("i")).groupBy(key, "total", "i").agg(F.count("*").alias("n"))
+    entry = F.when(F.col("i").isNotNull(), F.struct("i", (F.col("n") / F.col("total")).alias("v")))
+    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return lists.select(key, F.struct(F.transform("e", lambda x: x["i"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values")).alias("sparse"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import documents, relations, streams
+
+QUERIES = documents.QUERIES | relations.QUERIES | streams.QUERIES
+ORACLES = documents.ORACLES | relations.ORACLES | streams.ORACLES
 FLAGSHIP = "payload_flat"

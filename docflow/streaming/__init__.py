@@ -1 +1 @@
-
+"""Progress lines, metric streams and stateful rules."""
