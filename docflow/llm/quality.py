@@ -156,7 +156,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, use: Column, most: int) -> DataFrame:
     """doc_id, text, y of at most ``most`` labelled documents, the first by hash of doc_id; one row for each doc_id."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int = 4000) -> Model:

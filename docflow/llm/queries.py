@@ -8,6 +8,7 @@ from .lm_scoring import op2_lm_scoring
 from .media import op3_media
 from .minhash_dedup import op8_minhash_dedup
 from .quality import op9_quality
+from .oracles import ORACLES
 from .run_dedup import op10_run_dedup
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op7_token_counts
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_run_dedup": op10_run_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -69,8 +69,11 @@ def _indexed(length: int):
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        text, start = repeated(t.column("piece").to_pylist(), length)
-        doc, base = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+        pieces, doc, base = t.column("piece").to_pylist(), t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+        # a repeated row brings the same place twice; sorted, the two are neighbours
+        once = [i for i in range(len(pieces)) if not i or (doc[i], base[i], pieces[i]) != (doc[i - 1], base[i - 1], pieces[i - 1])]
+        pieces, doc, base = [pieces[i] for i in once], doc[once], base[once]
+        text, start = repeated(pieces, length)
         head = np.ones(len(text), bool)
         head[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
         at = np.flatnonzero(head)
