@@ -43,8 +43,10 @@ class Bpe:
             self.vocab[i] = token
         compiled = regex.compile(pattern)
         self.split, self.finditer = compiled.findall, compiled.finditer
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.stretches: dict[str, tuple[int, ...]] = {}
+        # ids are remembered packed, four bytes each: a text's ids are one join of these
+        self.memo: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.tokens = np.array([*self.vocab, None], object)[:-1]
         self.slot_key = None
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -140,8 +142,8 @@ class Bpe:
             at[left] = (at[left] + 1) & (self.slots - 1)
         return out
 
-    def merge_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of pre-tokens of at least 2 and at most TOGETHER bytes: one segment tree each, all stepped at once."""
+    def merge_together(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pre-tokens of at least 2 and at most TOGETHER bytes: one segment tree each, all stepped at once."""
         if self.slot_key is None:
             self._pair_table()
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -195,9 +197,9 @@ class Bpe:
                 for p in paths:
                     at = root + 2 * p
                     tree[root + p] = np.minimum(tree[at], tree[at + 1])
-        ids = token[live].tolist()
-        stop = np.cumsum(live.reshape(n, size).sum(1)).tolist()
-        return [tuple(ids[a:b]) for a, b in zip([0, *stop], stop)]
+        ids = token[live].astype(np.int32).tobytes()
+        stop = (4 * np.cumsum(live.reshape(n, size).sum(1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *stop], stop)]
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of pre-tokens, those of about one size together."""
@@ -211,73 +213,69 @@ class Bpe:
             b = p.encode()
             whole = ranks.get(b)
             if whole is not None:
-                memo[p] = (whole,)
+                memo[p] = pack((whole,))
             elif len(b) <= TOGETHER:
                 by_size.setdefault((len(b) - 1).bit_length(), []).append((p, b))
             else:
-                memo[p] = self.merge(b)
+                memo[p] = pack(self.merge(b))
         for found in by_size.values():
             for at in range(0, len(found), 20_000):
                 part = found[at : at + 20_000]
                 memo.update(zip([p for p, _ in part], self.merge_together([b for _, b in part])))
 
-    def learn_texts(self, texts: list[str]) -> None:
-        """Remember the stretches of a batch of texts (see encode)."""
-        wanted: set[str] = set()
-        heads: set[str] = set()
-        for t in texts:
-            head, *rest = t.split(" ")
-            heads.add(head)
-            wanted.update(rest)
-        stretches = self.stretches
-        wanted = {s for s in wanted if s not in stretches and s and not s[0].isspace() and not s[-1].isspace()}
-        if len(stretches) + len(wanted) > MEMO:
-            stretches.clear()
-        split = {s: self.split(" " + s) for s in wanted}
-        self.learn(set(chain.from_iterable(split.values())).union(*map(self.split, heads)))
-        memo = self.memo
-        for s, pieces in split.items():
-            stretches[s] = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
-
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
+    def piece_ids(self, piece: str) -> bytes:
         ids = self.memo.get(piece)
         if ids is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            ids = self.memo[piece] = self.merge(piece.encode())
+            ids = self.memo[piece] = pack(self.merge(piece.encode()))
         return ids
 
+    def encode_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece_ids, self.split(text)))
+
     def scan(self, text: str, start: int):
         """Matches of the pattern from a place on; what stands before it plays no part."""
         return self.finditer(text, start)
 
-    def encode_all(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.piece_ids, self.split(text))))
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of a batch of texts.  A stretch between single spaces, with the space before it, splits the same way on
+        its own if there is no white space at its ends; such stretches are remembered whole.  Other texts are split
+        whole."""
+        cut = [t.split(" ") for t in texts]
+        stretches = self.stretches
+        wanted = set().union(*cut)
+        new = wanted.difference(stretches)
+        if len(stretches) + len(new) > MEMO:
+            stretches.clear()
+            new = wanted
+        split = {s: self.split(" " + s) for s in new if s and not s[0].isspace() and not s[-1].isspace()}
+        heads = [c[0] for c in cut]
+        self.learn(set(chain.from_iterable(split.values())).union(*map(self.split, heads)))
+        memo = self.memo
+        for s, pieces in split.items():
+            stretches[s] = b"".join([memo[p] for p in pieces])
+        out = []
+        for text, (head, *rest) in zip(texts, cut):
+            if rest and (not head or head[-1].isspace()):
+                ids = self.encode_pieces(text)
+            else:
+                try:
+                    ids = self.encode_pieces(head) + b"".join([stretches[s] for s in rest])
+                except KeyError:  # a stretch with white space at an end
+                    ids = self.encode_pieces(text)
+            out.append(np.frombuffer(ids, np.int32))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text.  A stretch between single spaces, with the space before it, splits the same way on its own
-        if there is no white space at its ends; such stretches are remembered whole.  Other texts are split whole."""
-        head, *rest = text.split(" ")
-        stretches = self.stretches
-        found = list(map(stretches.get, rest))
-        if None in found:
-            if len(stretches) >= MEMO:
-                stretches.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    s = rest[i]
-                    ids = stretches.get(s)
-                    if ids is None:
-                        if not s or s[0].isspace() or s[-1].isspace():
-                            return list(self.encode_all(text))
-                        ids = stretches[s] = self.encode_all(" " + s)
-                    found[i] = ids
-        if rest and (not head or head[-1].isspace()):
-            return list(self.encode_all(text))
-        return [*self.encode_all(head), *chain.from_iterable(found)]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+        return self.encode_texts([text])[0].tolist()
+
+    def decode(self, ids) -> bytes:
+        return b"".join(self.tokens[np.asarray(ids, np.int64)].tolist())
+
+
+def pack(ids) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
 
 _loaded: dict = {}
@@ -303,10 +301,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
-            decoded = [(t or b"").decode() for t in texts]
-            coder.learn_texts(decoded)
-            ids = [np.array(coder.encode(t), np.int32) for t in decoded]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids = coder.encode_texts([(t or b"").decode() for t in texts])
+            stops = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -323,7 +320,8 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
             for at in range(0, len(whole), 500):
                 part = whole.slice(at, 500)
                 lists = part.column("ids")
-                texts = [coder.decode(lists[i].values.tolist() if lists[i].is_valid else []) for i in range(len(lists))]
+                flat, stops = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).tolist()
+                texts = [coder.decode(flat[a:b]) for a, b in zip(stops, stops[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
     return coded.select(*kept, "ids").mapInArrow(run, f"{schema}, decoded binary")

@@ -29,7 +29,7 @@ class CountTree:
     def __init__(self, coder: Bpe, text: str, pieces: list[str] | None = None):
         self.coder, self.text = coder, text
         pieces = coder.split(text) if pieces is None else pieces
-        self.leaves: list[list[tuple[int, int]]] = [[(len(p), len(coder.piece_ids(p)))] for p in pieces]
+        self.leaves: list[list[tuple[int, int]]] = [[(len(p), len(coder.piece_ids(p)) // 4)] for p in pieces]
         self.size = size = 1 << max(0, (len(pieces) - 1).bit_length()) if pieces else 1
         sums = np.zeros((2 * size, 2), np.int64)
         if pieces:
@@ -103,7 +103,7 @@ class CountTree:
                 old_leaf, old_piece = len(self.leaves), 0
                 break
             piece = match.group()
-            fresh.append((len(piece), len(self.coder.piece_ids(piece))))
+            fresh.append((len(piece), len(self.coder.piece_ids(piece)) // 4))
             position += len(piece)
         self.reencoded += len(fresh)
         rest = self.leaves[old_leaf][old_piece:] if old_leaf < len(self.leaves) else []
