@@ -56,8 +56,9 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
     read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(f"{types}, `{CORRUPT}` string").csv(path)
     names = [c for c in read.columns if c != CORRUPT]
     cells = F.size(F.split(F.regexp_replace(F.coalesce(CORRUPT, F.lit("")), '"(?:[^"]|"")*"', ""), f"[{delimiter}]", -1))
-    too_long = F.col(CORRUPT).isNotNull() & (cells > len(names))
-    return read.where(~too_long).select(*names), read.where(too_long).select(F.col(CORRUPT).alias("line"))
+    # a raw line never equals its cells run together; naming the cells keeps Spark from reading the raw lines alone
+    too_long = F.col(CORRUPT).isNotNull() & (cells > len(names)) & (F.col(CORRUPT) != F.concat_ws("", *(f"`{c}`" for c in names)))
+    return read.where(~F.coalesce(too_long, F.lit(False))).select(*(f"`{c}`" for c in names)), read.where(too_long).select(F.col(CORRUPT).alias("line"))
 
 
 def read_csv_strings(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "auto") -> DataFrame:

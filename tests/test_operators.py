@@ -55,7 +55,7 @@ def test_chunk_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "m"), (2, " ", "n"), (3, None, "o")], "doc_id int, text string, lang string")
     got = chunk.chunk_words(docs, size=3, overlap=1, keep=["lang"]).orderBy("id").collect()
     assert [tuple(r) for r in got] == [("1_1", "1", 1, 2, "a b c", "m"), ("1_2", "1", 2, 2, "c d e", "m")]
-    assert chunk.chunk_recursive(docs, size=3, overlap=0).count() == 3
+    assert chunk.chunk_recursive(docs, size=4, overlap=0).count() == 3
 
 
 def test_cleaning_only_touches_what_needs_it(spark):
