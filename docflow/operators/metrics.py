@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Upper bounds in seconds (fixed values).
@@ -28,3 +28,9 @@ def histogram(events: DataFrame, by: Sequence[str], value: str, bounds: Sequence
 
 def folder_sizes(files: DataFrame, folder: str = "folder", size: str = "length") -> DataFrame:
     return files.groupBy(folder).agg(F.sum(size).alias("bytes"), F.round(F.sum(size) / (1 << 20), 3).alias("mb"))
+
+
+def observed(df: DataFrame, failed: str | None = None) -> tuple[DataFrame, Observation]:
+    """df, and an observation with n_rows and n_failed that is filled when an action has run over df."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("n_rows"), (F.count_if(F.col(failed).isNotNull()) if failed else F.lit(0).cast("bigint")).alias("n_failed")), seen

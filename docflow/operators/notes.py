@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import append_abstract, blank, escape_html, note_language, strip_tags, truncate, uuid5
-from ..sources.providers import NoteWriter
+from ..sources.providers import NoteSink, NoteWriter, put_note
 
 #: Marks a note as ours.
 SENTINEL = r"<!-- docflow-note:([a-f0-9\-]+) -->"
@@ -98,3 +98,23 @@ def missing_notes(items: DataFrame, notes: DataFrame, mode: str = "full") -> Dat
     """Items none of whose notes carries their mark."""
     marks = notes.select(extract_sentinel(F.col("html")).alias("mark")).where("mark is not null").distinct()
     return items.withColumn("mark", sentinel_id(F.col("itemKey"), mode)).join(marks, "mark", "left_anti").drop("mark")
+
+
+def send_notes(notes: DataFrame, sink: Callable[[], NoteSink], at_once: int = 5) -> DataFrame:
+    """itemKey, version, error of each note written; at most ``at_once`` tasks write at a time.
+
+    Marks make a second try harmless: a note that exists is found by ``missing_notes``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = sink()
+        for part in batches:
+            done = []
+            for key, html in zip(part.column("itemKey").to_pylist(), part.column("html").to_pylist()):
+                try:
+                    done.append((put_note(store, key, html), None))
+                except Exception as e:
+                    done.append((None, str(e) or type(e).__name__))
+            yield pa.RecordBatch.from_arrays([part.column("itemKey"), pa.array([v for v, _ in done], pa.int64()), pa.array([e for _, e in done], pa.string())], names=["itemKey", "version", "error"])
+
+    return notes.select("itemKey", "html").coalesce(at_once).mapInArrow(run, "itemKey string, version long, error string")

@@ -138,3 +138,34 @@ def task_status(name: Column) -> Column:
 def next_stage(has: dict[str, Column]) -> Column:
     """The stage after the latest stage whose file exists."""
     return F.when(has["sparse"], "upload").when(has["dense"], "sparse").when(has["chunks"], "dense").when(has["rows"], "chunk").otherwise("extract")
+
+
+def with_expiry(sessions: DataFrame, hours: int = 24) -> DataFrame:
+    """Sessions without an expiry get one, counted from their creation; others keep theirs."""
+    return sessions.withColumn("expires_at", F.coalesce("expires_at", F.col("created_at") + F.make_interval(hours=F.lit(hours))))
+
+
+def delete_session(sessions: DataFrame, projects: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sessions, projects) without the folders in gone (session_folder): a project's active folder is cleared if it went."""
+    gone = gone.select("session_folder").distinct()
+    left = sessions.join(gone, "session_folder", "left_anti").select(*sessions.columns)
+    marked = projects.join(gone.withColumn("__gone", F.lit(True)), "session_folder", "left")
+    folder = F.when(F.col("__gone"), F.lit(None).cast("string")).otherwise(F.col("session_folder"))
+    return left, marked.withColumn("session_folder", folder).select(*projects.columns)
+
+
+def audit_entries(actions: DataFrame, as_of: Column) -> DataFrame:
+    """Rows to append to the audit log: user_id, action, resource_type, resource_id, details (JSON), success 0/1, created_at."""
+    rest = [c for c in actions.columns if c not in ("user_id", "action", "resource_type", "resource_id", "success")]
+    details = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
+    return actions.select("user_id", "action", "resource_type", F.col("resource_id").cast("string").alias("resource_id"), details.alias("details"), F.coalesce(F.col("success").cast("int"), F.lit(1)).alias("success"), as_of.alias("created_at"))
+
+
+def run_summary(results: DataFrame, statuses: Sequence[str], column: str = "status") -> DataFrame:
+    """One row with a count for each status, 0 where there is none."""
+    return results.agg(*(F.count_if(F.col(column) == s).alias(s) for s in statuses))
+
+
+def public_user(users: DataFrame, sensitive: Sequence[str] = ("hashed_password", "verification_token", "reset_token", "api_credentials")) -> DataFrame:
+    """Users as JSON objects without sensitive fields."""
+    return users.select(F.to_json(F.struct(*(c for c in users.columns if c not in sensitive))).alias("json"))

@@ -232,6 +232,29 @@ def task_statuses(spark, d):
     return read(spark, d, "events").select("event_id", R.task_status(name).alias("status"))
 
 
+@query("SELECT count(*) FILTER (o_orderstatus = 'F')::BIGINT AS completed, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS embedding, 0::BIGINT AS created FROM orders")
+def run_summary(spark, d):
+    return R.run_summary(_sessions(spark, d), ["completed", "embedding", "created"])
+
+
+@query("SELECT o_orderkey AS id, o_orderdate + INTERVAL 24 HOUR AS expires_at FROM orders")
+def session_expiry(spark, d):
+    return R.with_expiry(_sessions(spark, d)).select("id", "expires_at")
+
+
+@query("SELECT user_id, event_type AS action, 'event' AS resource_type, event_id::VARCHAR AS resource_id, (event_type <> 'error')::INT AS success FROM events")
+def audit_entries(spark, d):
+    e = read(spark, d, "events").select("user_id", F.col("event_type").alias("action"), F.lit("event").alias("resource_type"), F.col("event_id").alias("resource_id"), (F.col("event_type") != "error").alias("success"), "props")
+    return R.audit_entries(e, _as_of()).select("user_id", "action", "resource_type", "resource_id", "success")
+
+
+@query("WITH g AS (SELECT DISTINCT c_nationkey::VARCHAR AS f FROM customer WHERE c_acctbal > 9900) SELECT n_nationkey AS id, CASE WHEN n_nationkey::VARCHAR NOT IN (SELECT f FROM g) THEN n_nationkey::VARCHAR END AS session_folder FROM nation")
+def delete_sessions(spark, d):
+    gone = read(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("string").alias("session_folder"))
+    projects = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("string").alias("session_folder"))
+    return R.delete_session(projects, projects, gone)[1]
+
+
 @query("""SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS nth, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders""")
 def ext_windows(spark, d):
     """Extension: ranking and running totals."""

@@ -38,6 +38,18 @@ class VectorSink(Protocol):
     def upsert(self, rows: Sequence[dict]) -> int: ...
 
 
+class NoteSink(Protocol):
+    def put(self, item_key: str, html: str, version: int | None) -> int: ...
+
+
+class Conflict(Exception):
+    """The item changed since it was read; the sink's answer names its version."""
+
+    def __init__(self, version: int):
+        super().__init__(f"version {version}")
+        self.version = version
+
+
 class PermanentError(Exception):
     """A failure that another attempt cannot mend."""
 
@@ -55,6 +67,23 @@ def with_retries(call: Callable[[], T], attempts: int = 3, wait: Callable[[int],
     raise AssertionError
 
 
+def put_note(sink: NoteSink, item_key: str, html: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Write a note; after a conflict the newer version is used, other failures wait and try again."""
+    version = None
+    for attempt in range(1, attempts + 1):
+        try:
+            return sink.put(item_key, html, version)
+        except Conflict as e:
+            version = e.version
+        except PermanentError:
+            raise
+        except Exception:
+            if attempt == attempts:
+                raise
+            sleep(2.0**attempt)
+    raise RuntimeError(f"{item_key} kept changing")
+
+
 class PlainText:
     """Decodes UTF-8 files; stands in for native text extraction."""
 

@@ -144,3 +144,39 @@ def test_relational(spark):
     assert R.member_projects(projects, members, 9).first().role == "viewer"
     assert R.accessible(projects, members, 9, False).count() == 2 and R.accessible(projects, members, 8, False).count() == 0
     assert spark.range(1).select(R.page_count(F.lit(0), 10).alias("a"), R.page_count(F.lit(0), 10, 1).alias("b")).first() == (0, 1)
+
+
+def test_sql_functions(spark):
+    from docflow.functions import sql
+
+    sql.register(spark)
+    assert spark.sql("SELECT strip_accents('é1'), ascii_flat('Éß'), alphanum_only('É-1'), strip_tags(' <b>x</b> '), doi('10.1234/ab')").first() == ("e1", "e", "e1", "x", "10.1234/ab")
+    rows = spark.sql("SELECT t.* FROM (SELECT 'aaa bbb ccc' AS x) d, LATERAL chunk_text(d.x, 7, 0) t").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, "aaa bbb"), (2, 2, "ccc")]
+
+
+def test_sessions_audit_and_sinks(spark):
+    sessions = spark.createDataFrame([(1, "f1"), (2, "f2")], "id int, session_folder string")
+    left, projects = R.delete_session(sessions, sessions, spark.createDataFrame([("f1",)], "session_folder string"))
+    assert [r.id for r in left.collect()] == [2] and {r.id: r.session_folder for r in projects.collect()} == {1: None, 2: "f2"}
+    assert spark.createDataFrame([(1, "x")], "id int, reset_token string").transform(R.public_user).first().json == '{"id":1}'
+    audit = R.audit_entries(spark.createDataFrame([(1, "a", "t", 5, None, "d")], "user_id int, action string, resource_type string, resource_id int, success boolean, note string"), F.lit("2024-01-01").cast("timestamp"))
+    assert audit.first().details == '{"note":"d"}' and audit.first().success == 1
+
+    class Sink:
+        def put(self, key, html, version):
+            if version is None:
+                raise providers.Conflict(4)
+            if key == "bad":
+                raise providers.PermanentError("no")
+            return version + 1
+
+    sent = notes.send_notes(spark.createDataFrame([("k", "h"), ("bad", "h")], "itemKey string, html string"), Sink)
+    assert {(r.itemKey, r.version, r.error) for r in sent.collect()} == {("k", 5, None), ("bad", None, "no")}
+
+
+def test_observed_counts(spark):
+    from docflow.operators import metrics
+
+    df, seen = metrics.observed(spark.createDataFrame([(1, None), (2, "e")], "a int, error string"), "error")
+    assert df.count() == 2 and seen.get == {"n_rows": 2, "n_failed": 1}
