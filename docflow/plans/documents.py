@@ -171,12 +171,17 @@ def payload_c(spark, d):
     return payload.payload_c(_vectors(spark, d)).select("id", F.size("vector").alias("size"), "payload.original_id")
 
 
-@query()
+@query(_CHUNKS + rf""", t AS (SELECT *, doc_id || '_' || chunk_index AS original_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 50000)), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ts FROM c),
+ i AS (SELECT original_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 100000 AS i, count(*) / any_value(total) AS v FROM (SELECT original_id, len(ts) AS total, unnest(ts) AS term FROM t) GROUP BY 1, 2),
+ g AS (SELECT original_id, count(*) AS n_terms, string_agg(i::VARCHAR, ',' ORDER BY i) AS sparse_indices, round(sum(v * (1 + i % 7)), 6) AS weighted FROM i GROUP BY 1),
+ j AS (SELECT *, sha1({_NS} || encode(original_id)) AS h FROM t LEFT JOIN g USING (original_id))
+ SELECT {_UUID} AS uuid, original_id, doc_id, source, chunk_index, total_chunks, coalesce(n_terms, 0)::INT AS n_terms, coalesce(sparse_indices, '') AS sparse_indices, coalesce(weighted, 0) AS weighted FROM j""")
 def payload_flat(spark, d):
     """The flagship flow: documents to word chunks to sparse vectors to store payloads."""
     chunks = _chunks(spark, d)
     vectors = sparse.sparse_vectors(chunks, "id", "text")
-    return chunks.join(vectors, "id").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.to_json("sparse").alias("sparse_json"))
+    weighted = F.aggregate(F.zip_with("sparse.indices", "sparse.values", lambda i, x: x * (1 + i % 7)), F.lit(0.0), lambda x, y: x + y)
+    return chunks.join(vectors, "id").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
 
 
 @query("""WITH r AS (SELECT label, CASE WHEN embedding[2] < -0.3 THEN 1 ELSE 0 END AS failed, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS ok FROM embeddings),
