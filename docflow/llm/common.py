@@ -31,7 +31,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
