@@ -231,6 +231,14 @@ class Bpe:
             ids = self.memo[piece] = pack(self.merge(piece.encode()))
         return ids
 
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Numbers of ids of pre-tokens."""
+        memo = self.memo
+        try:
+            return [len(memo[p]) >> 2 for p in pieces]
+        except KeyError:
+            return [len(self.piece_ids(p)) >> 2 for p in pieces]
+
     def encode_pieces(self, text: str) -> bytes:
         return b"".join(map(self.piece_ids, self.split(text)))
 

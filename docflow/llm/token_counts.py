@@ -29,43 +29,49 @@ class CountTree:
     def __init__(self, coder: Bpe, text: str, pieces: list[str] | None = None):
         self.coder, self.text = coder, text
         pieces = coder.split(text) if pieces is None else pieces
-        self.leaves: list[list[tuple[int, int]]] = [[(len(p), len(coder.piece_ids(p)) // 4)] for p in pieces]
-        self.size = size = 1 << max(0, (len(pieces) - 1).bit_length()) if pieces else 1
-        sums = np.zeros((2 * size, 2), np.int64)
-        if pieces:
-            sums[size : size + len(pieces)] = [x[0] for x in self.leaves]
-        else:
-            self.leaves = [[]]
+        n = len(pieces)
+        self.n_leaves = max(1, n)
+        self.size = size = 1 << (self.n_leaves - 1).bit_length()
+        #: Characters and tokens below each node; node 1 is the root, leaf i is node size + i.
+        self.sums = sums = np.zeros((2 * size, 2), np.int64)
+        sums[size : size + n, 0] = list(map(len, pieces))
+        sums[size : size + n, 1] = coder.counts(pieces)
         level = size
         while level > 1:  # each level at once
-            sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2, 2).sum(1)
+            sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
             level //= 2
-        self.sums = sums.tolist()
+        #: Pre-tokens (characters, tokens) of the leaves that edits have changed; any other leaf holds one.
+        self.edited: dict[int, list[tuple[int, int]]] = {} if n else {0: []}
         self.reencoded = 0
 
+    def leaf(self, i: int) -> list[tuple[int, int]]:
+        found = self.edited.get(i)
+        return [tuple(self.sums[self.size + i].tolist())] if found is None else found
+
     @property
     def tokens(self) -> int:
-        return self.sums[1][1]
+        return int(self.sums[1, 1])
 
     def _leaf_at(self, position: int) -> tuple[int, int]:
         """The leaf that holds the character at ``position`` (or the last one), and the leaf's first character."""
         node, before = 1, 0
         while node < self.size:
             node *= 2
-            if position >= before + self.sums[node][0] and self.sums[node + 1][0]:
-                before += self.sums[node][0]
+            if position >= before + self.sums[node, 0] and self.sums[node + 1, 0]:
+                before += int(self.sums[node, 0])
                 node += 1
         return node - self.size, before
 
     def _set(self, leaf: int, pieces: list[tuple[int, int]]) -> None:
-        self.leaves[leaf] = pieces
+        self.edited[leaf] = pieces
         node = leaf + self.size
-        change = [sum(x) for x in zip(*pieces)] if pieces else [0, 0]
-        a, b = change[0] - self.sums[node][0], change[1] - self.sums[node][1]
-        while node and (a or b):
-            self.sums[node][0] += a
-            self.sums[node][1] += b
-            node //= 2
+        change = np.array(pieces, np.int64).reshape(-1, 2).sum(0) - self.sums[node]
+        if change.any():
+            path = []
+            while node:
+                path.append(node)
+                node //= 2
+            self.sums[path] += change
 
     def edit(self, start: int, stop: int, new: str) -> None:
         text = self.text
@@ -78,7 +84,7 @@ class CountTree:
         begin = at
         first = leaf
         kept: list[tuple[int, int]] = []
-        for piece in self.leaves[leaf]:
+        for piece in self.leaf(leaf):
             if begin + piece[0] + 1 >= start:
                 break
             kept.append(piece)
@@ -90,9 +96,10 @@ class CountTree:
         scan = self.coder.scan(self.text, begin)
         while True:
             if position >= start + len(new):
-                while old_leaf < len(self.leaves) and old_at + shift < position:
-                    if old_piece < len(self.leaves[old_leaf]):
-                        old_at += self.leaves[old_leaf][old_piece][0]
+                while old_leaf < self.n_leaves and old_at + shift < position:
+                    held = self.leaf(old_leaf)
+                    if old_piece < len(held):
+                        old_at += held[old_piece][0]
                         old_piece += 1
                     else:
                         old_leaf, old_piece = old_leaf + 1, 0
@@ -100,20 +107,20 @@ class CountTree:
                     break
             match = next(scan, None)
             if match is None:
-                old_leaf, old_piece = len(self.leaves), 0
+                old_leaf, old_piece = self.n_leaves, 0
                 break
             piece = match.group()
             fresh.append((len(piece), len(self.coder.piece_ids(piece)) // 4))
             position += len(piece)
         self.reencoded += len(fresh)
-        rest = self.leaves[old_leaf][old_piece:] if old_leaf < len(self.leaves) else []
+        rest = self.leaf(old_leaf)[old_piece:] if old_leaf < self.n_leaves else []
         if old_leaf == first:
             self._set(first, kept + fresh + rest)
             return
         self._set(first, kept + fresh)
-        for leaf in range(first + 1, min(old_leaf, len(self.leaves))):
+        for leaf in range(first + 1, min(old_leaf, self.n_leaves)):
             self._set(leaf, [])
-        if old_leaf < len(self.leaves):
+        if old_leaf < self.n_leaves:
             self._set(old_leaf, rest)
 
 
