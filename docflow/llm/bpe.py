@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import blocks, table
 
 #: Distinct pre-tokens, and stretches between spaces, whose ids a task remembers; beyond it the memory starts anew (results do not change).
-MEMO = 400_000
+MEMO = 200_000
 _NONE = 1 << 62
 #: Longest pre-token, in bytes, that is merged together with others of its size; longer ones are merged one by one.
 TOGETHER = 64
@@ -231,6 +231,11 @@ class Bpe:
             ids = self.memo[piece] = pack(self.merge(piece.encode()))
         return ids
 
+    def forget(self) -> None:
+        """At a task's end: a worker that goes on to other work does not hold on to what this one met."""
+        self.memo.clear()
+        self.stretches.clear()
+
     def counts(self, pieces: list[str]) -> list[int]:
         """Numbers of ids of pre-tokens."""
         memo = self.memo
@@ -312,6 +317,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             ids = coder.encode_texts([(t or b"").decode() for t in texts])
             stops = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

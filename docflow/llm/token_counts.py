@@ -145,6 +145,7 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
                 rows.append((len(edits or []), n_pieces, before, tree.tokens, tree.reencoded))
                 edited.append(tree.text)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(edited, pa.string())], names=["doc_id", *names, "text"])
+        coder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits")
     return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string")
