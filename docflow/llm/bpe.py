@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import blocks, table
 
 #: Distinct pre-tokens, and stretches between spaces, whose ids a task remembers; beyond it the memory starts anew (results do not change).
-MEMO = 200_000
+MEMO = 100_000
 _NONE = 1 << 62
 #: Longest pre-token, in bytes, that is merged together with others of its size; longer ones are merged one by one.
 TOGETHER = 64
@@ -113,8 +113,8 @@ class Bpe:
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
         keys, values = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-        self.slots = size = 1 << max(4, (4 * len(pairs)).bit_length())
-        self.slot_key, self.slot_value = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        self.slots = size = 1 << max(4, (2 * len(pairs)).bit_length())
+        self.slot_key, self.slot_value = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
         at, left = self._slot(keys), np.arange(len(keys))
         while len(left):  # all unplaced keys try their slot, the winners stay
             free = left[self.slot_key[at[left]] < 0]

@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a task handles at once (a longer single text is its own block).
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, list]]:
     """Slices of the batches whose texts (as UTF-8 bytes, None kept) take about ``limit`` bytes together."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
+        column_bytes = batch.column(column).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(column_bytes).fill_null(0).to_numpy(zero_copy_only=False))
         start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= limit or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, held = i + 1, 0
+        while start < len(batch):
+            stop = min(len(batch), int(np.searchsorted(ends, held + limit)) + 1)
+            yield batch.slice(start, stop - start), column_bytes.slice(start, stop - start).to_pylist()
+            start, held = stop, int(ends[stop - 1])
 
 
 def reduced(df: DataFrame, keys: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
