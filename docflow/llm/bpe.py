@@ -232,9 +232,10 @@ class Bpe:
         return ids
 
     def forget(self) -> None:
-        """At a task's end: a worker that goes on to other work does not hold on to what this one met."""
+        """At a task's end: a worker that goes on to other work holds on to neither the memories nor the vocabulary."""
         self.memo.clear()
         self.stretches.clear()
+        _loaded.clear()
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Numbers of ids of pre-tokens."""
@@ -295,7 +296,7 @@ _loaded: dict = {}
 
 
 def bpe(path: str, pattern: str) -> Bpe:
-    """One encoder per Python worker and vocabulary."""
+    """One encoder per task and vocabulary."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Bpe(path, pattern)
     return _loaded[path, pattern]
