@@ -1,10 +1,13 @@
 """Operator 2, language-model scoring by cross-entropy difference.
 
-A target and a background corpus are counted in full with one vocabulary: the ``most_words`` most frequent words of
-both together (a bounded model size; all other words share one unknown symbol).  Both models have the same form,
-bigrams interpolated with add-one unigrams, bigram counts hashed into ``2**slot_bits`` slots for either corpus, so a
-model takes the same memory at any corpus size while what is counted and shuffled grows with the corpus.  A text's
-score is the mean over its tokens of the target loss less the background loss; lower is closer to the target.
+A target and a background corpus are counted in full: every word, every context and every bigram keeps its exact
+count, so the models grow with the corpora.  Both have the same form, bigrams interpolated with add-one unigrams over
+the words of both corpora together and one unknown word.  A text's score is the mean over its tokens of the target
+loss less the background loss; lower is closer to the target.
+
+No model is gathered anywhere.  Texts are packed into blocks; a block sends its distinct keys with its counts, packed,
+to the bucket of each key.  A bucket adds up what all blocks sent and answers every block to be scored with the counts
+of its keys.  A key crosses once per block, so a frequent one is no hot spot; buckets grow in number with the input.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; null and empty texts have 0 tokens and
 null losses; empty corpora leave uniform models; equal texts get equal scores; other columns are ignored.
@@ -12,133 +15,181 @@ null losses; empty corpora leave uniform models; equal texts get equal scores; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import BLOCK_BYTES, blocks, stage, table
 from .seeds import U64, mix, words_of
 
-MERGE_AT = 1 << 19
+#: Bytes of text whose keys are sent together (a longer single text is its own block).
+PACK_BYTES = 6_000_000
+TARGET, BACKGROUND, NEITHER = 0, 1, 2
+_WORD, _CONTEXT, _BIGRAM, _BEGIN = (U64(c) for c in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
+_BLOCKS = "block long, doc_ids array<long>, sizes array<int>, data binary"
+_COUNTS = "block long, bucket int, near binary, far binary, words long, near_total long, far_total long"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id and text -> one row for each block of texts."""
+    ids, held, size, n = [], [], 0, 0
 
+    def row():
+        data = pa.compress(b"".join(held), "zstd", asbytes=True)
+        block = TaskContext.get().partitionId() << 32 | n
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in held]], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["block", "doc_ids", "sizes", "data"])
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct word hash of a stretch of the input."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part, texts in blocks(batches, "text"):
+        ids += part.column("doc_id").to_pylist()
+        held += [t or b"" for t in texts]
+        size += sum(len(t or b"") for t in texts)
+        if size >= PACK_BYTES or len(ids) >= 1_000_000:
+            yield row()
+            ids, held, size, n = [], [], 0, n + 1
+    if ids:
+        yield row()
 
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["word", "n"])
 
-    for _, texts in blocks(batches, "text"):
-        new, n = np.unique(words_of([t or b"" for t in texts], lower=True).hashes.view(np.int64), return_counts=True)
-        keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        if len(keys) >= MERGE_AT:
-            yield batch()
-            keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(keys):
-        yield batch()
+def _keys(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a block; the place in them of each token's word, context and bigram (3 rows); tokens a text.
 
+    Keys of words are odd, the others even.
+    """
+    ends = np.cumsum(sizes)
+    raw = memoryview(pa.decompress(data, int(ends[-1]), "zstd", asbytes=True) if ends[-1] else b"")
+    words, before, many, at = [], [], [], 0
+    while at < len(sizes):
+        begin = int(ends[at] - sizes[at])
+        stop = max(at + 1, int(np.searchsorted(ends, begin + BLOCK_BYTES, side="right")))
+        w = words_of([bytes(raw[e - s : e]) for s, e in zip(sizes[at:stop].tolist(), ends[at:stop].tolist())], lower=True)
+        n = np.diff(w.first)
+        prev = np.empty_like(w.hashes)
+        prev[1:] = w.hashes[:-1]
+        prev[w.first[:-1][n > 0]] = _BEGIN
+        words.append(w.hashes)
+        before.append(prev)
+        many.append(n)
+        at = stop
+    word, prev = np.concatenate(words), np.concatenate(before)
+    every = np.concatenate([mix(word ^ _WORD) | U64(1), mix(prev ^ _CONTEXT) & ~U64(1), mix(mix(prev ^ _BIGRAM) + word) & ~U64(1)])
+    keys, place = np.unique(every, return_inverse=True)
+    return keys, place.reshape(3, -1), np.concatenate(many)
 
-def vocabulary(*corpora: DataFrame, most_words: int = 1 << 16) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all corpora together."""
-    each = [c.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts, "word long, n long") for c in corpora]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionByName(more)
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most_words)
-    return np.sort(top.toArrow().column("word").to_numpy())
 
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Each bucket's first place in sorted keys (buckets + 1)."""
+    return np.searchsorted((keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
 
-def token_ids(texts: list, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers (len(words): unknown) of a batch's tokens, and each text's first token (len(texts) + 1)."""
-    w = words_of([t or b"" for t in texts], lower=True)
-    hashes = w.hashes.view(np.int64)
-    at = np.searchsorted(words, hashes)
-    at[at == len(words)] = 0
-    known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-    return np.where(known, at, len(words)), w.first
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte, which compresses the common leading zeros."""
+    return np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _slots(ids: np.ndarray, first: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram slot of every token; a text's first token follows the mark n + 1."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    begins = first[:-1][np.diff(first) > 0]
-    before[begins] = n + 1
-    slot = mix(before.astype(U64) * U64(n + 2) + ids.astype(U64)) >> U64(64 - bits)
-    return before, slot.astype(np.int64)
 
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(U64)[:, 0], dtype=U64)
 
-@dataclass
-class Model:
-    unigrams: np.ndarray  # len(words) + 1
-    contexts: np.ndarray  # len(words) + 2
-    bigrams: np.ndarray  # 2**bits
 
-    def losses(self, ids: np.ndarray, before: np.ndarray, slot: np.ndarray, weight: float = 0.6) -> np.ndarray:
-        one = (self.unigrams[ids] + 1) / (self.unigrams.sum() + len(self.unigrams))
-        seen = self.contexts[before]
-        two = np.minimum(self.bigrams[slot], seen) / np.maximum(seen, 1)
-        part = np.where(seen > 0, weight, 0.0)
-        return -np.log(part * two + (1 - part) * one)
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
 
-def count_model(corpus: DataFrame, words: np.ndarray, bits: int) -> Model:
-    """Counts over the whole corpus: each task sums its own rows, Spark adds up the tasks."""
-    n = len(words)
+def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.int64)
+
+
+def _sent(source: int, answered: bool, buckets: int):
+    """Blocks -> their keys and counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bigrams, unigrams, contexts = np.zeros(1 << bits, np.int32), np.zeros(n + 1, np.int64), np.zeros(n + 2, np.int64)
-        for _, texts in blocks(batches, "text"):
-            ids, first = token_ids(texts, words)
-            before, slot = _slots(ids, first, n, bits)
-            slots, many = np.unique(slot, return_counts=True)
-            bigrams[slots] += many.astype(np.int32)
-            unigrams += np.bincount(ids, minlength=n + 1)
-            contexts += np.bincount(before, minlength=n + 2)
-        for kind, counts in enumerate((unigrams, contexts, bigrams)):
-            some = np.flatnonzero(counts)
-            for at in range(0, len(some), 100_000):
-                part = some[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["kind", "slot", "n"])
-
-    rows = corpus.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, slot int, n long")
-    # at most 2**bits + 2 * most_words + 3 rows, whatever the corpus
-    out = rows.groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    kind, slot, many = (out.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    tables = []
-    for k, size in enumerate((n + 1, n + 2, 1 << bits)):
-        t = np.zeros(size, np.float32)
-        t[slot[kind == k]] = many[kind == k]
-        tables.append(t)
-    return Model(*tables)
-
-
-def lm_scores(docs: DataFrame, target: DataFrame, background: DataFrame, most_words: int = 1 << 16, slot_bits: int = 20) -> DataFrame:
+        for batch in batches:
+            for i in range(len(batch)):
+                keys, place, _ = _keys(batch.column("sizes")[i].values.to_numpy(), batch.column("data")[i].as_py())
+                counts = np.bincount(place.ravel(), minlength=len(keys))
+                edges = _edges(keys, buckets)
+                some = np.flatnonzero(np.diff(edges))
+                cut = [(edges[b], edges[b + 1]) for b in some]
+                block = batch.column("block")[i].as_py() if answered else None
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([source] * len(some), pa.int32()), pa.array([_pack_keys(keys[a:b]) for a, b in cut], pa.binary()), pa.array([_pack_counts(counts[a:b]) for a, b in cut], pa.binary())],
+                    names=["bucket", "block", "source", "keys", "counts"],
+                )
+
+    return run
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """What blocks sent to one bucket -> the totals of each block's keys, and one row with the bucket's words."""
+    sent = [_unpack_keys(k) for k in group.column("keys").to_pylist()]
+    known, place = np.unique(np.concatenate(sent), return_inverse=True)
+    places = np.split(place, np.cumsum([len(k) for k in sent])[:-1])
+    seen = np.zeros((2, len(known)), np.int64)
+    for p, counts, source in zip(places, group.column("counts").to_pylist(), group.column("source").to_pylist()):
+        if source != NEITHER:
+            seen[source, p] += _unpack_counts(counts, len(p))
+    bucket = group.column("bucket")[0].as_py()
+    asked = [(b, p) for b, p in zip(group.column("block").to_pylist(), places) if b is not None]
+    words = seen[:, (known & U64(1)) == 1]
+    near, far = ([_pack_counts(seen[s, p]) for _, p in asked] + [None] for s in (TARGET, BACKGROUND))
+    rest = [[0] * len(asked) + [int(x)] for x in ((words.sum(0) > 0).sum(), words[TARGET].sum(), words[BACKGROUND].sum())]
+    columns = [pa.array([b for b, _ in asked] + [None], pa.int64()), pa.array([bucket] * (len(asked) + 1), pa.int32()), pa.array(near, pa.binary()), pa.array(far, pa.binary()), *(pa.array(x, pa.int64()) for x in rest)]
+    return pa.table(columns, names=["block", "bucket", "near", "far", "words", "near_total", "far_total"])
+
+
+def losses(counts: np.ndarray, place: np.ndarray, total: int, words: int, weight: float = 0.6) -> np.ndarray:
+    """Loss of each token from the counts of its word, context and bigram."""
+    word, seen, both = counts[place]
+    one = (word + 1) / (total + words + 1)
+    part = np.where(seen > 0, weight, 0.0)
+    return -np.log(part * both / np.maximum(seen, 1) + (1 - part) * one)
+
+
+def _scored(buckets: int, words: int, totals: tuple[int, int]):
+    """A block and the counts of its keys -> scores."""
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        keys, place, n = _keys(block.column("sizes")[0].values.to_numpy(), block.column("data")[0].as_py())
+        told, size = told.sort_by("bucket"), np.diff(_edges(keys, buckets))
+        columns = []
+        for name, total in zip(("near", "far"), totals):
+            counts = [_unpack_counts(c, size[b]) for b, c in zip(told.column("bucket").to_pylist(), told.column(name).to_pylist())]
+            mean = np.zeros(len(n))
+            if len(keys):
+                each = losses(np.concatenate(counts), place, total, words)
+                some = np.flatnonzero(n)
+                mean[some] = np.add.reduceat(each, (np.cumsum(n) - n)[some]) / n[some]
+            columns.append(pa.array(mean, pa.float64(), mask=n == 0))
+        return pa.table([block.column("doc_ids").combine_chunks().flatten(), pa.array(n, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    return run
+
+
+def lm_scores(docs: DataFrame, target: DataFrame, background: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference (target less background, per token)."""
-    spark = docs.sparkSession
-    words = vocabulary(target, background, most_words=most_words)
-    models = spark.sparkContext.broadcast((words, count_model(target, words, slot_bits), count_model(background, words, slot_bits)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, near, far = models.value
-        for part, texts in blocks(batches, "text"):
-            ids, first = token_ids(texts, words)
-            before, slot = _slots(ids, first, len(words), slot_bits)
-            n = np.diff(first)
-            columns = []
-            for model in (near, far):
-                total = np.append(0, np.cumsum(model.losses(ids, before, slot)))
-                columns.append(pa.array((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), pa.float64(), mask=n == 0))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    def rows(df: DataFrame, doc_id) -> DataFrame:
+        return df.select(doc_id.cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    none = F.lit(None)
+    counted = [(TARGET, rows(target, none))] + ([] if background is docs else [(BACKGROUND, rows(background, none))])
+    size = sum(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for df in (rows(docs, none), *(c for _, c in counted)))
+    buckets = max(1, math.ceil(size / PACK_BYTES))
+    packed = stage(rows(docs, F.col("doc_id")).mapInArrow(_packed, _BLOCKS), "blocks")
+    form = "bucket int, block long, source int, keys binary, counts binary"
+    sent = packed.mapInArrow(_sent(BACKGROUND if background is docs else NEITHER, True, buckets), form)
+    for source, corpus in counted:
+        sent = sent.unionByName(corpus.mapInArrow(lambda batches, send=_sent(source, False, buckets): send(_packed(batches)), form))
+    told = stage(sent.groupBy("bucket").applyInArrow(_counted, _COUNTS), "counts")
+    words, *totals = (x or 0 for x in told.agg(F.sum("words"), F.sum("near_total"), F.sum("far_total")).first())
+    answers = told.where("block is not null").select("block", "bucket", "near", "far")
+    score = _scored(buckets, words, tuple(totals))
+    out = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -124,3 +125,33 @@ def contamination(rows, items, length=13, share=20):
                     found |= wins[k]
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), len(hit) > 0 and share * len(hit) >= len(w)))
     return out
+
+
+def lm_losses(rows, target, background, weight=0.6):
+    """[(doc_id, n_tokens, target loss, background loss)] of exact bigram models."""
+
+    def words(t):
+        return WORD.findall((t or "").encode().translate(LOWER))
+
+    models = []
+    for corpus in (target, background):
+        one, before, two = collections.Counter(), collections.Counter(), collections.Counter()
+        for w in map(words, corpus):
+            pairs = list(zip([None, *w], w))
+            one.update(w)
+            before.update(p for p, _ in pairs)
+            two.update(pairs)
+        models.append((one, before, two))
+    size = len(models[0][0] | models[1][0]) + 1
+    out = []
+    for i, t in rows:
+        w = words(t)
+        means = []
+        for one, before, two in models:
+            total = 0.0
+            for p, x in zip([None, *w], w):
+                part = weight if before[p] else 0.0
+                total -= math.log(part * two[p, x] / max(before[p], 1) + (1 - part) * (one[x] + 1) / (one.total() + size))
+            means.append(round(total / len(w), 9) if w else None)
+        out.append((i, len(w), *means))
+    return out

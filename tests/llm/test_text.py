@@ -136,6 +136,21 @@ def test_lm_scores(spark):
     assert lm_scoring.lm_scores(brute.empty(spark), target, background).count() == 0
 
 
+@pytest.mark.parametrize("pack,same", [(6_000_000, False), (300, False), (300, True)])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, pack, same):
+    """More words than any fixed vocabulary and bigrams than any table of slots, in one block and in many."""
+    monkeypatch.setattr(lm_scoring, "PACK_BYTES", pack)
+    rare = 70_000 if pack > 300 else 300
+    rows = brute.awkward_rows()[:16] + [(50, "rare0 rare1 common"), (51, "never seen words")]
+    near = [brute.numbered(40), "rare0 rare1 Common", None, ""]
+    far = [t for _, t in rows] if same else [" ".join(f"z{i} z{i}" for i in range(rare)), brute.numbered(30, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(t,) for t in near], "text string")
+    background = docs if same else spark.createDataFrame([(t,) for t in far], "text string")
+    got = Counter((r.doc_id, r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in lm_scoring.lm_scores(docs, target, background).collect())
+    assert got == Counter(brute.lm_losses(rows, near, far))
+
+
 def labelled(spark, sf="sf0.01"):
     return (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
 
