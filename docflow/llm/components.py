@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component: the smallest node reachable.  Nodes without links are not listed.
 
-    Each round takes the least label among neighbours, then jumps to that label's own label; labels are a table in
-    the shared folder, so a round never depends on more than the one before it.
+    Each round a node takes the least of its label's label and those of its neighbours, and hands what it found to
+    its own old label (hooking), so whole regions move at once and the rounds grow with the logarithm of a chain's
+    length.  Rounds go on until no label changes.  Labels are a table in the shared folder, so a round never depends
+    on more than the one before it.
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        low = stage(low, "labels")
-        up = low.select(F.col("node").alias("at"), F.col("component").alias("jump"))
-        new = stage(low.join(up, low.component == up.at, "left").select("node", "was", F.least("component", "jump").alias("component")), "labels")
+    while True:
+        up = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
+        grand = labels.join(up, labels.component == up.at).select("node", "component", "jump")
+        near = both.join(grand.select(F.col("node").alias("b"), "jump"), "b").groupBy("a").agg(F.min("jump").alias("near"))
+        low = stage(grand.join(near, grand.node == near.a).select("node", F.col("component").alias("was"), F.least("jump", "near").alias("component")), "labels")
+        hook = low.groupBy(F.col("was").alias("at")).agg(F.min("component").alias("hook"))
+        new = stage(low.join(hook, low.node == hook.at, "left").select("node", "was", F.least("component", "hook").alias("component")), "labels")
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {most_rounds} rounds")

@@ -116,3 +116,12 @@ def test_overlaps_in_strips():
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(5, 5), (None, 3)], "a long, b long")
     assert rows_of(components(links)) == Counter((i, i // 10 * 10) for i in range(41) if i != 40)
+
+
+def test_components_of_a_long_shuffled_chain(spark):
+    """Rounds grow with the logarithm of a chain's length, whatever the order of its ids."""
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    chains = [ids, list(range(1999, 999, -1))]
+    links = spark.createDataFrame([p for c in chains for p in zip(c, c[1:])], "a long, b long")
+    assert rows_of(components(links)) == Counter((i, i // 1000 * 1000) for i in range(2000))
