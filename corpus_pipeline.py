@@ -18,6 +18,8 @@ from docflow.llm.substring_dedup import substring_dedup
 
 #: Documents with a lower quality score are rejected.
 LEAST_QUALITY = 0.3
+#: Documents whose shingle sets are as similar as this, in percent, are near copies.
+NEAR_PERCENT = 80
 _MARK = "__pipeline_mark"
 
 
@@ -33,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash_dedup(docs).where("not kept").select("doc_id").distinct()
+    gone = minhash_dedup(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return _without(docs, gone, "doc_id").select(*docs.columns)
 
 

@@ -3,7 +3,9 @@
 A document's signature has 40 minhash components of 16 bits.  It is cut into 8 chunks of 5; two signatures that differ
 in at most 15 components have, by the pigeonhole principle, a chunk with at most one difference, so indexing every
 chunk under its 5 choices of a component to leave out (40 keys a document) brings every such pair into a bucket.  At a
-similarity of 0.85 a pair differs in 6 components on average and in more than 15 about once in 10,000.
+similarity of 0.85 a pair differs in 6 components on average and in more than 15 about once in 10,000.  For
+similarities from 0.80 there are 10 chunks of 4, again 40 keys, which bring every pair with at most 19 differences
+together; at 0.80 a pair differs in 8 on average and in more than 19 less than once in 10,000.
 
 Buckets are never expanded into pairs.  In a bucket, the documents within the distance of its smallest member join it;
 only the others are compared, in blocks, with all members, and each block returns at most one link per member.
@@ -30,7 +32,8 @@ from .components import components
 from .seeds import U64, mix
 from .shingles import COMPONENTS, fingerprints, shingle_sets, signatures
 
-CHUNK, DISTANCE = 5, 15
+#: Least percentage -> components a chunk, and the differences within which all pairs meet.
+CUTS = {85: (5, 15), 80: (4, 19)}
 #: Documents that one task compares with as many others.
 BLOCK = 512
 
@@ -50,35 +53,38 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COMPONENTS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, len(whole), 20_000):
-            part = whole.slice(at, 20_000)
-            sigs, ids = matrix(part.column("sig")).astype(U64), part.column("doc_id").to_numpy()
-            for chunk in range(0, COMPONENTS, CHUNK):
-                for left_out in range(chunk, chunk + CHUNK):
-                    key = np.zeros(len(sigs), U64)
-                    for j in range(chunk, chunk + CHUNK):
-                        if j != left_out:
-                            key = key << U64(16) | sigs[:, j]
-                    key = mix(key ^ mix(np.array([left_out + 1], U64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(ids)], names=["key", "doc_id"])
+def _keys(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 20_000):
+                part = whole.slice(at, 20_000)
+                sigs, ids = matrix(part.column("sig")).astype(U64), part.column("doc_id").to_numpy()
+                for chunk in range(0, COMPONENTS, size):
+                    for left_out in range(chunk, chunk + size):
+                        key = np.zeros(len(sigs), U64)
+                        for j in range(chunk, chunk + size):
+                            if j != left_out:
+                                key = key << U64(16) | sigs[:, j]
+                        key = mix(key ^ mix(np.array([left_out + 1], U64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(ids)], names=["key", "doc_id"])
+
+    return run
 
 
-def _near(similarity: float):
+def _near(percent: int, distance: int):
     """Rows with two signatures -> doc_id, low, key, near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if len(part):
                 n, m = part.column("n").to_numpy(), part.column("low_n").to_numpy()
-                near = ((matrix(part.column("sig")) != matrix(part.column("low_sig"))).sum(1) <= DISTANCE) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+                near = ((matrix(part.column("sig")) != matrix(part.column("low_sig"))).sum(1) <= distance) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "doc_id", "low", "n", "sig")), pa.array(near)], names=["key", "doc_id", "low", "n", "sig", "near"])
 
     return run
 
 
-def _bucket_links(similarity: float):
+def _bucket_links(percent: int, distance: int):
     """A block of far members against a block of members: a forest of the links between them."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -87,7 +93,7 @@ def _bucket_links(similarity: float):
         left, right = np.flatnonzero(far), np.flatnonzero(~far)
         a, b = [], []
         for i in left:
-            close = ((sigs[right] != sigs[i]).sum(1) <= DISTANCE) & (np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i]))
+            close = ((sigs[right] != sigs[i]).sum(1) <= distance) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
             hit = right[close]
             a += [i] * len(hit)
             b += hit.tolist()
@@ -174,13 +180,13 @@ def _sets(words: int):
 
 def near_links(docs: DataFrame, signed: DataFrame, percent: int, words: int) -> DataFrame:
     """Confirmed links (a, b) between representatives of equal sets; signed: doc_id, n, sig of these."""
-    similarity = percent / 100
-    keys = signed.mapInArrow(_keys, "key long, doc_id long")
+    chunk, distance = CUTS[max(p for p in CUTS if p <= percent)]
+    keys = signed.mapInArrow(_keys(chunk), "key long, doc_id long")
     lows = stage(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "buckets")
     members = stage(keys.join(lows, "key"), "members")
     low_side = signed.select(F.col("doc_id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
     met = members.join(signed, "doc_id").join(low_side, "low")
-    told = stage(met.mapInArrow(_near(similarity), "key long, doc_id long, low long, n long, sig binary, near boolean"), "near")
+    told = stage(met.mapInArrow(_near(percent, distance), "key long, doc_id long, low long, n long, sig binary, near boolean"), "near")
     stars = told.where("near and doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     # far members against all members of their bucket, block by block
     sizes = told.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("f")).where("f > 0")
@@ -189,7 +195,7 @@ def near_links(docs: DataFrame, signed: DataFrame, percent: int, words: int) ->
     own = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")
     far = rows.where(~F.col("near")).select("key", "doc_id", "n", "sig", (own % F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("far"))
     rest = rows.select("key", "doc_id", "n", "sig", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), (own % F.col("mb")).alias("ms"), F.lit(False).alias("far"))
-    cross = far.unionByName(rest).groupBy("key", "fs", "ms").applyInArrow(_bucket_links(similarity), "a long, b long")
+    cross = far.unionByName(rest).groupBy("key", "fs", "ms").applyInArrow(_bucket_links(percent, distance), "a long, b long")
     family = components(stars.unionByName(cross))
     # full sets of the families, block by block
     heads = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -202,8 +208,8 @@ def near_links(docs: DataFrame, signed: DataFrame, percent: int, words: int) ->
 
 def minhash_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row.  Links have 100 * intersection >= percent * union."""
-    if not 85 <= percent <= 100:
-        raise ValueError("the signature distance is set for similarities of 85 to 100 percent")
+    if not min(CUTS) <= percent <= 100:
+        raise ValueError("the signature distances are set for similarities of 80 to 100 percent")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(docs.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, sig binary"), "signed")
     some = signed.where("n > 0 and doc_id is not null")

@@ -48,3 +48,15 @@ def test_contaminated_rows_without_id_go(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     docs = spark.createDataFrame([(None, item), (None, "clean"), (7, item), (7, "clean")], "doc_id long, text string")
     assert [r.text for r in P.decontamination(spark, docs, SF).collect()] == ["clean", "clean"]
+
+
+def test_near_dedup_equals_brute_force_from_80_percent(spark):
+    """Near copies of 0.82 (one word of 54 changed) go, those of 0.79 (one of 46) stay; then a table as it is."""
+    pairs = [(0, 54), (1000, 46)] + [(2000 + 100 * i, 54) for i in range(40)]
+    texts = [t for start, n in pairs for base in [brute.numbered(n, start)] for t in (base, base.replace(f"w{start + 20} ", "other "))]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for docs in (made, spark.read.parquet(f"{SF}/documents.parquet")):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        got = sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect())
+        assert got == sorted(i for i, _, head in brute.near_components(rows, 80) if i == head)
+    assert len(P.near_dedup(spark, made, SF).collect()) == 43
