@@ -1,8 +1,9 @@
 """Operator 6, a toxicity classifier with a counterfactual penalty.
 
 A logistic model over the distinct words and word beginnings of a document.  Each labelled document that mentions an identity term gets
-counterfactuals, the same words with the term swapped for another one of its group; besides the logistic loss,
-the squared change of the logit under the swap is penalised, so that naming a group moves no score by itself.
+counterfactuals, the same text with the term swapped for another one of its group and all its features taken anew;
+besides the logistic loss, the squared change of the logit under the swap is penalised, so that naming a group moves
+no score by itself.
 
 The model is fitted by the driver on at most ``most_labelled`` labelled documents (a bounded sample by hash of
 doc_id); every text is scored whole in tasks.  Defined results: words are runs of ASCII letters and digits and of
@@ -12,6 +13,7 @@ labels are not learned from; a fit without both labels gives the constant share
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,12 +59,37 @@ def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
 
 
-def identity_swaps(groups=IDENTITY) -> dict[int, list[int]]:
-    """Hashed identity term -> the hashed terms it is swapped for."""
+def identity_swaps(groups=IDENTITY) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Hashed identity term -> for each term it is swapped for, the features that go and those that come."""
     out = {}
     for group in groups:
         ids = [int(words_of([t.encode()], space=_BREAK, lower=True).hashes[0] >> U64(64 - BITS)) for t in group]
-        out |= {a: [b for b in ids if b != a] for a in ids}
+        features, first = word_ids([t.encode() for t in group])
+        sets = [features[a:b] for a, b in zip(first, first[1:])]
+        out |= {a: [(np.setdiff1d(x, y), np.setdiff1d(y, x)) for y in sets if y is not x] for a, x in zip(ids, sets)}
+    return out
+
+
+def swapped_texts(texts: list, groups=IDENTITY) -> list[list[bytes]]:
+    """Each text's counterfactuals: every identity term it mentions, everywhere in it, as each other term of its group."""
+    others = {a.encode(): [b.encode() for b in group if b != a] for group in groups for a in group}
+    inside = rb"[0-9A-Za-z\x80-\xff]"
+    word = {a: re.compile(rb"(?<!%s)%s(?!%s)" % (inside, re.escape(a), inside), re.IGNORECASE) for a in others}
+    any_term = re.compile(rb"(?<!%s)(?:%s)(?!%s)" % (inside, b"|".join(map(re.escape, others)), inside), re.IGNORECASE) if others else None
+    out = []
+    for t in texts:
+        found = {m.lower() for m in any_term.findall(t)} if t and any_term else ()
+        out.append([word[a].sub(lambda _, b=b: b, t) for a in sorted(found) for b in others[a]])
+    return out
+
+
+def changes_of(texts: list, groups=IDENTITY) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each text and counterfactual, the features that go and those that come."""
+    out = []
+    for t, swapped in zip(texts, swapped_texts(texts, groups)):
+        ids, first = word_ids([t, *swapped]) if swapped else (None, [])
+        bags = [ids[a:b] for a, b in zip(first, first[1:])]
+        out.append([(np.setdiff1d(bags[0], b), np.setdiff1d(b, bags[0])) for b in bags[1:]])
     return out
 
 
@@ -78,8 +105,12 @@ class Model:
         return _sigmoid(total[first[1:]] - total[first[:-1]] + self.bias)
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], penalty: float = 1.0, least: int = 12, l2: float = 0.015, rounds: int = 200, rate: float = 0.05) -> Model:
-    """Adam over the whole sample; words in fewer than ``least`` sampled documents keep weight 0 (but identity terms)."""
+def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list], penalty: float = 1.0, least: int = 12, l2: float = 0.015, rounds: int = 200, rate: float = 0.05, changes: list[list] | None = None) -> Model:
+    """Adam over the whole sample; words in fewer than ``least`` sampled documents keep weight 0 (but identity terms).
+
+    ``changes`` has the features that go and come in the counterfactuals of each bag; without it, a swapped term
+    takes all its features along and brings those that the bag lacks.
+    """
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
@@ -88,12 +119,18 @@ def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], pena
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     col = np.concatenate(bags)
     row, col = row[known[col]], col[known[col]]
-    left, right = [], []  # a swap changes the logit by w[right] - w[left]
-    for b in bags:
-        for a in b[np.isin(b, list(swaps))].tolist():
-            left += [a] * len(swaps[a])
-            right += swaps[a]
-    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    if changes is None:
+        changes = [[(gone, np.setdiff1d(come, b)) for a in b[np.isin(b, list(swaps))].tolist() for gone, come in swaps[a]] for b in bags]
+    each = [x for found in changes for x in found]
+    # swap i changes the logit by the sum of sign * w[moved] where of == i
+    of = np.repeat(np.arange(len(each)), [len(gone) + len(come) for gone, come in each])
+    moved = np.concatenate([np.empty(0, np.int64), *(f for x in each for f in x)]).astype(np.int64)
+    sign = np.concatenate([np.empty(0), *(np.full(len(f), s) for x in each for f, s in zip(x, (-1.0, 1.0)))])
+    of, moved, sign = of[known[moved]], moved[known[moved]], sign[known[moved]]
+
+    def changed(w):
+        return np.bincount(of, weights=sign * w[moved], minlength=len(each))
+
     weight = np.where(y > 0, min(5.0, max(1.0, (y == 0).sum() / (y > 0).sum())), 1.0)  # the rarer label counts for more
     weight /= weight.sum()
     w, bias = np.zeros(1 << BITS), 0.0
@@ -102,26 +139,28 @@ def fit(bags: list[np.ndarray], y: np.ndarray, swaps: dict[int, list[int]], pena
         p = _sigmoid(np.bincount(row, weights=w[col], minlength=len(bags)) + bias)
         e = (p - y) * weight
         g = np.bincount(col, weights=e[row], minlength=1 << BITS) + l2 * w
-        if len(left):
-            change = 2 * penalty * (w[right] - w[left]) / len(left)
-            g += np.bincount(right, weights=change, minlength=1 << BITS) - np.bincount(left, weights=change, minlength=1 << BITS)
+        if each:
+            g += np.bincount(moved, weights=sign * (2 * penalty * changed(w) / len(each))[of], minlength=1 << BITS)
         gb = e.sum()
         u, v, ub, vb = 0.9 * u + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * ub + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (u / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         bias -= rate * (ub / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(w.astype(np.float32), float(bias), len(left), float(np.abs(w[right] - w[left]).mean()) if len(left) else 0.0)
+    return Model(w.astype(np.float32), float(bias), len(each), float(np.abs(changed(w)).mean()) if each else 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most_labelled: int = 8000, penalty: float = 1.0, groups=IDENTITY) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             ids, first = word_ids(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([ids[a:b].astype(np.int32).tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "y", "ids"])
+            swaps = [[f.astype(np.int32).tobytes() for x in found for f in x] for found in changes_of(texts, groups)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([ids[a:b].astype(np.int32).tobytes() for a, b in zip(first, first[1:])], pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["doc_id", "y", "ids", "swaps"])
 
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), parts) != held, most_labelled)
-    rows = sample.mapInArrow(run, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(run, "doc_id long, y int, ids binary, swaps array<binary>").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.int32).astype(np.int64) for b in rows.column("ids").to_pylist()]
-    return fit(bags, rows.column("y").to_numpy().astype(float), identity_swaps(groups), penalty)
+    moved = [[np.frombuffer(b, np.int32).astype(np.int64) for b in x] for x in rows.column("swaps").to_pylist()]
+    changes = [list(zip(x[0::2], x[1::2])) for x in moved]
+    return fit(bags, rows.column("y").to_numpy().astype(float), identity_swaps(groups), penalty, changes=changes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -200,3 +200,25 @@ def test_counterfactual_penalty_lowers_the_swap():
     held = toxicity.fit(bags, y, swaps, penalty=5.0)
     assert held.changed < 0.2 * free.changed
     assert held.score(ids, first)[0] > 0.5 > held.score(ids, first)[1]
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_swapping_the_whole_term_moves_no_score(exact):
+    """A group's name goes with toxicity; the logit of really swapped texts must not move with its word beginnings."""
+    np = __import__("numpy")
+    texts = [b"Muslims are awful scum", b"jews went home", b"muslims came by", b"the muslims, scum"] * 30
+    y = np.array([1, 0, 1, 1] * 30, float)
+    groups = (("muslims", "jews"),)
+    ids, first = toxicity.word_ids(texts)
+    bags = [ids[a:b] for a, b in zip(first, first[1:])]
+    model = toxicity.fit(bags, y, toxicity.identity_swaps(groups), penalty=5.0, changes=toxicity.changes_of(texts, groups) if exact else None)
+    other = [s for (s,) in toxicity.swapped_texts(texts[:4], groups)]
+    assert other == [b"jews are awful scum", b"muslims went home", b"jews came by", b"the jews, scum"]
+    logit = lambda p: np.log(p / (1 - p))
+    moved = logit(model.score(*toxicity.word_ids(other))) - logit(model.score(*toxicity.word_ids(texts[:4])))
+    assert np.abs(moved).max() < 0.1 and abs(np.abs(moved).mean() - model.changed) < 0.01
+
+
+def test_swaps_keep_features_of_other_words():
+    (((gone, come),),) = toxicity.changes_of([b"muslims muslin jewel"], (("muslims", "jews"),))
+    assert len(gone) == 1 and len(come) == 2  # "musl" and "musli" stay with muslin; the word and the beginning "jews" come
