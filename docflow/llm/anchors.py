@@ -15,57 +15,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, blocks, stage
-from .seeds import Units, byte_symbols, units_of, words_of
+from .common import as_signed, blocks, lean, stage
+from .seeds import Units, Words, byte_symbols, digests, units_of, words_of
 
-UNIT_SCHEMA = "doc_id long, start int, count int, lead int, anchor long, unit long"
+UNIT_SCHEMA = "doc_id long, part long, start int, count int, lead int, anchor long, unit binary"
 
 
-def word_units(texts: list, length: int, gram: int) -> Units:
+def word_units(texts: list, length: int, gram: int, digest: bool) -> tuple[Units, list | None]:
+    """Units over words, and (if asked for) digests of their words joined by a space."""
     w = words_of([t or b"" for t in texts])
-    return units_of(w.hashes, w.first, length, gram)
+    u = units_of(w.hashes, w.first, length, gram)
+    return u, word_digests(w, u.begin, u.begin + u.count - 1 + length) if digest else None
 
 
-def byte_units(texts: list, length: int, gram: int) -> Units:
+def word_digests(w: Words, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """Digests of words start..stop - 1, joined by a space."""
+    ends = np.cumsum(w.end - w.start + 1) - 1  # of each word in the spelled-out bytes
+    begins = ends - (w.end - w.start)
+    return digests(b" ".join(w.words), begins[start], ends[stop - 1])
+
+
+def byte_units(texts: list, length: int, gram: int, digest: bool) -> tuple[Units, list | None]:
     texts = [t or b"" for t in texts]
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=first[1:])
-    return units_of(byte_symbols(np.frombuffer(b"".join(texts), np.uint8)), first, length, gram)
+    whole = b"".join(texts)
+    u = units_of(byte_symbols(np.frombuffer(whole, np.uint8)), first, length, gram)
+    return u, digests(whole, u.begin, u.begin + u.count - 1 + length) if digest else None
 
 
-def find_units(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
-    """One row for each unit of every text; a null doc_id has none (it matches nothing)."""
+def find_anchors(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
+    """doc_id, anchor of every unit of every text; a null doc_id has none (it matches nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
-            u = units(texts, length, gram)
+            u, _ = units(texts, length, gram, False)
             if len(u.doc):
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u.doc], pa.int64()), pa.array(as_signed(u.anchor))], names=["doc_id", "anchor"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(run), "doc_id long, anchor long")
+
+
+def find_units(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
+    """One row for each unit of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks(batches, "text"):
+            u, keys = units(texts, length, gram, True)
+            if len(u.doc):
+                row = pa.array(u.doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[u.doc], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (u.start, u.count, u.lead)), pa.array(as_signed(u.anchor)), pa.array(as_signed(u.text))],
-                    names=["doc_id", "start", "count", "lead", "anchor", "unit"],
+                    [part.column("doc_id").take(row), part.column("part").take(row), *(pa.array(x.astype(np.int32)) for x in (u.start, u.count, u.lead)), pa.array(as_signed(u.anchor)), pa.array(keys, pa.binary())],
+                    names=["doc_id", "part", "start", "count", "lead", "anchor", "unit"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, UNIT_SCHEMA)
+    return docs.where("doc_id is not null").select("doc_id", "part", "text").mapInArrow(lean(run), UNIT_SCHEMA)
 
 
 def repeated_units(docs: DataFrame, units: Callable, length: int, gram: int, across: bool) -> DataFrame:
-    """Units that may hold repeated windows, with ``copy``: the same unit stands earlier.
+    """Units of docs (doc_id, part, text) that may hold repeated windows, as ``told`` sorts them out.
 
     across: only other documents count, and order is that of doc_id; else order is (doc_id, start).
-    The rest (copy = false) share their anchor with a different unit, so single windows must be compared.
     """
-    found = find_units(docs, units, length, gram)
-    lows = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    lows = find_anchors(docs, units, length, gram).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     # staged: joined to a plain scan, a crowded anchor's rows can be split over tasks (an aggregate's output cannot)
     shared = stage(lows.where("low < high" if across else "n > 1").select("anchor"), "anchors")
-    met = stage(found.join(shared, "anchor"), "units")
-    if across:
-        leaders = met.groupBy("anchor", "unit").agg(F.min("doc_id").alias("first"))
-        copy = F.col("first") < F.col("doc_id")
-    else:
-        leaders = met.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-        copy = F.col("first") < F.struct("doc_id", "start")
-    varied = leaders.groupBy("anchor").agg((F.count("*") > 1).alias("varied"))
-    told = stage(leaders.join(varied, "anchor"), "leaders")
-    return stage(met.join(told, ["anchor", "unit"]).withColumn("copy", copy).where("copy or varied").drop("first", "unit", "varied"), "repeats")
+    return told(stage(find_units(docs, units, length, gram).join(shared, "anchor"), "units"), across)
+
+
+def told(met: DataFrame, across: bool) -> DataFrame:
+    """Staged units -> the same with ``copy``, the same unit stands earlier, and ``n``, how many different units share the
+    anchor (null: one).  Units that are neither copies nor share their anchor with a different one are left out: their
+    windows stand nowhere else.
+    """
+    place = F.col("doc_id") if across else F.struct("doc_id", "start")
+    leaders = stage(met.groupBy("anchor", "unit").agg(F.min(place).alias("first")), "leaders")
+    varied = leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    known = stage(leaders.join(varied, "anchor", "left"), "told")
+    return stage(met.join(known, ["anchor", "unit"]).withColumn("copy", F.col("first") < place).where("copy or n is not null").drop("first", "unit"), "repeats")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, lean, table
 
 #: Distinct pre-tokens, and stretches between spaces, whose ids a task remembers; beyond it the memory starts anew (results do not change).
 MEMO = 100_000
@@ -315,12 +315,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
-            ids = coder.encode_texts([(t or b"").decode() for t in texts])
+            ids = coder.encode_texts([(t or b"").decode(errors="replace") for t in texts])
             stops = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
         coder.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -339,7 +339,7 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
                 texts = [coder.decode(flat[a:b]) for a, b in zip(stops, stops[1:])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
-    return coded.select(*kept, "ids").mapInArrow(run, f"{schema}, decoded binary")
+    return coded.select(*kept, "ids").mapInArrow(lean(run), f"{schema}, decoded binary")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir).  Where none is set, a local master gets a temporary one;
+    on a cluster that is an error, for executors cannot see each other's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docflow-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,6 +41,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Free memory of this worker goes back to the machine: the next stage's workers need it."""
+    from . import seeds
+
+    seeds.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run (for mapInArrow) that gives its memory back when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.Table, list]]:
     """Slices of the batches whose texts (as UTF-8 bytes, None kept) take about ``limit`` bytes together."""
     for batch in batches:
@@ -51,8 +78,33 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
 
 def reduced(df: DataFrame, keys: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
     """Rows of df whose key is in keys (distinct).  Counted first: few keys go to every task, many are shuffled."""
-    few = keys.count() <= limit
-    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+    return df.join(few(keys, limit), key, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
+    """Rows of df whose key is not in keys, counted first."""
+    return df.join(few(keys, limit), key, "left_anti")
+
+
+def few(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """df with a broadcast hint if it was counted to have few rows (of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def parted(docs: DataFrame, key: str = "doc_id", name: str = "part") -> DataFrame:
+    """docs with ``name``: 0, but a hash of the text where rows share a key and not their text, to tell them apart."""
+    mark, several = F.xxhash64(F.col("text").cast("string")), f"{name}_several"
+    marks = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    known = stage(marks.where("low < high").select(key, F.lit(True).alias(several)), "several")
+    return docs.join(few(known), key, "left").withColumn(name, F.when(F.col(several), mark).otherwise(F.lit(0).cast("long"))).drop(several)
+
+
+def unused(name: str, names: list[str]) -> str:
+    """name, with as many underscores as it takes to be none of the names."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def as_signed(x):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, stage, table
+from .common import BLOCK_BYTES, blocks, lean, stage, table
 from .seeds import U64, mix, words_of
 
 #: Bytes of text whose keys are sent together (a longer single text is its own block).
@@ -180,7 +180,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, background: DataFrame) -> Data
     counted = [(TARGET, rows(target, none))] + ([] if background is docs else [(BACKGROUND, rows(background, none))])
     size = sum(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for df in (rows(docs, none), *(c for _, c in counted)))
     buckets = max(1, math.ceil(size / PACK_BYTES))
-    packed = stage(rows(docs, F.col("doc_id")).mapInArrow(_packed, _BLOCKS), "blocks")
+    packed = stage(rows(docs, F.col("doc_id")).mapInArrow(lean(_packed), _BLOCKS), "blocks")
     form = "bucket int, block long, source int, keys binary, counts binary"
     sent = packed.mapInArrow(_sent(BACKGROUND if background is docs else NEITHER, True, buckets), form)
     for source, corpus in counted:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, stage, table
+from .common import blocks, lean, stage, table
 
 ROW = 192
 ELEMENT = "position int, kind string, text string, digest string, caption string"
@@ -140,10 +140,10 @@ def sequences(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "html"):
-            found = [interleaved((t or b"").decode()) for t in texts]
+            found = [interleaved((t or b"").decode(errors="replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(element))], names=["id", "sequence"])
 
-    return pages.select("id", "html").mapInArrow(run, f"id {pages.schema['id'].dataType.simpleString()}, sequence array<struct<{', '.join(f'{k}:{v}' for k, v in (x.split(' ') for x in ELEMENT.split(', ')))}>>")
+    return pages.select("id", "html").mapInArrow(lean(run), f"id {pages.schema['id'].dataType.simpleString()}, sequence array<struct<{', '.join(f'{k}:{v}' for k, v in (x.split(' ') for x in ELEMENT.split(', ')))}>>")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "digest", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary"), "media")
+    return stage(rows.mapInArrow(lean(run), "doc_id long, n_bytes long, digest string, media binary"), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def read_back(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([part.column("digest"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))], names=names)
 
-    read = media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read = media.select("digest", "media").mapInArrow(lean(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read.groupBy("digest").agg(*(F.first(c).alias(c) for c in names[1:]))
 
 

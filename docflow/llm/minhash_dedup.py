@@ -7,15 +7,18 @@ similarity of 0.85 a pair differs in 6 components on average and in more than 15
 similarities from 0.80 there are 10 chunks of 4, again 40 keys, which bring every pair with at most 19 differences
 together; at 0.80 a pair differs in 8 on average and in more than 19 less than once in 10,000.
 
-Buckets are never expanded into pairs.  In a bucket, the documents within the distance of its smallest member join it;
-only the others are compared, in blocks, with all members, and each block returns at most one link per member.
-These links form families, which hold every pair within the distance.  Each family's full shingle sets are then
-compared in blocks, and only confirmed links, at most one per member and block, leave a task.
+Nodes are classes of equal sets, so copies are never compared.  Buckets are never expanded into pairs.  Members of a
+bucket that are within the distance of its smallest one are confirmed against it on full sets, and confirmed links
+make components.  Only buckets whose other members lie in several components are looked at again: the members
+outside the bucket's largest component meet all members in blocks, where signatures tell which of them are near one of
+another component, and these are confirmed on full sets.  So a family of near copies costs in proportion to its size,
+and no pair within the distance is left unconfirmed unless its ends are already connected.
 
 Defined results: A-Z are lower-cased; a text with fewer than ``words`` words has its whole sequence as its one shingle;
 null, empty or blank texts have no shingles and are linked with nothing; equal sets are always linked, whatever their
 number; a null doc_id is linked with nothing and is its own component (null, kept); rows that repeat a doc_id
-count as one document; other input columns are ignored.
+count as one document, linked by any of its texts (each row with its own n_shingles); other input columns are ignored.
+Shingles are compared as 64-bit hashes of their words' BLAKE2b digests, sets of different classes by 128 bits of these.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_signed, blocks, reduced, stage, table
+from .common import as_signed, blocks, lean, reduced, stage, table
 from .components import components
 from .seeds import U64, mix
 from .shingles import COMPONENTS, fingerprints, shingle_sets, signatures
@@ -58,7 +61,7 @@ def _keys(size: int):
         for whole in batches:
             for at in range(0, len(whole), 20_000):
                 part = whole.slice(at, 20_000)
-                sigs, ids = matrix(part.column("sig")).astype(U64), part.column("doc_id").to_numpy()
+                sigs, ids = matrix(part.column("sig")).astype(U64), part.column("id")
                 for chunk in range(0, COMPONENTS, size):
                     for left_out in range(chunk, chunk + size):
                         key = np.zeros(len(sigs), U64)
@@ -66,38 +69,59 @@ def _keys(size: int):
                             if j != left_out:
                                 key = key << U64(16) | sigs[:, j]
                         key = mix(key ^ mix(np.array([left_out + 1], U64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(ids)], names=["key", "doc_id"])
+                        yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), ids], names=["key", "id"])
 
     return run
 
 
+def close(sig: np.ndarray, n: np.ndarray, others: np.ndarray, m: np.ndarray, percent: int, distance: int) -> np.ndarray:
+    """Which signatures are within the distance, of sets whose sizes allow the similarity."""
+    return ((sig != others).sum(-1) <= distance) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
 def _near(percent: int, distance: int):
-    """Rows with two signatures -> doc_id, low, key, near."""
+    """Rows with two signatures -> the (id, low) that are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if len(part):
                 n, m = part.column("n").to_numpy(), part.column("low_n").to_numpy()
-                near = ((matrix(part.column("sig")) != matrix(part.column("low_sig"))).sum(1) <= distance) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "doc_id", "low", "n", "sig")), pa.array(near)], names=["key", "doc_id", "low", "n", "sig", "near"])
+                near = pa.array(close(matrix(part.column("sig")), n, matrix(part.column("low_sig")), m, percent, distance))
+                yield part.select(["id", "low"]).filter(near)
+
+    return run
+
+
+def _agree(percent: int):
+    """Rows with two shingle sets -> the links (a, b) that are confirmed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keep = []
+            for x, y in zip(part.column("shingles"), part.column("low_shingles")):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("low")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _bucket_links(percent: int, distance: int):
-    """A block of far members against a block of members: a forest of the links between them."""
+def _candidates(percent: int, distance: int):
+    """A block of outside members against a block of members -> those near one of another component."""
 
     def run(group: pa.Table) -> pa.Table:
-        far = group.column("far").to_numpy()
-        ids, sizes, sigs = group.column("doc_id").to_numpy(), group.column("n").to_numpy(), matrix(group.column("sig").combine_chunks())
-        left, right = np.flatnonzero(far), np.flatnonzero(~far)
-        a, b = [], []
+        outside, comp, n, sig = group.column("outside").to_numpy(), group.column("comp").to_numpy(), group.column("n").to_numpy(), matrix(group.column("sig").combine_chunks())
+        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+        hit = np.zeros(len(comp), bool)
         for i in left:
-            close = ((sigs[right] != sigs[i]).sum(1) <= distance) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
-            hit = right[close]
-            a += [i] * len(hit)
-            b += hit.tolist()
-        return _forest(ids, a, b)
+            near = (comp[right] != comp[i]) & close(sig[right], n[right], sig[i], n[i], percent, distance)
+            if near.any():
+                hit[i] = True
+                hit[right[near]] = True
+        return group.select(["key", "fs", "ms", "id", "comp", "n", "outside"]).filter(pa.array(hit))
 
     return run
 
@@ -149,22 +173,19 @@ def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], most_cells: int
 
 
 def _confirmed(percent: int):
-    """Members of two blocks of a family (or of one) with full sets -> a forest of the confirmed links."""
+    """Candidates of two blocks with full sets -> a forest of the confirmed links between components."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, side = group.column("doc_id").to_numpy(), group.column("side").to_numpy()
+        ids, comp, outside = (group.column(c).to_numpy() for c in ("id", "comp", "outside"))
         sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            right = left
-        if not len(left):
+        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if not len(left) or not len(right):
             return _forest(ids, [], [])
         common = overlaps([sets[i] for i in left], [sets[i] for i in right])
         size = np.array([len(s) for s in sets])
         union = size[left][:, None] + size[right][None, :] - common
-        a, b = np.nonzero(100 * common >= percent * union)
-        keep = ids[left[a]] < ids[right[b]] if right is left else np.ones(len(a), bool)
-        return _forest(ids, left[a[keep]], right[b[keep]])
+        a, b = np.nonzero((100 * common >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+        return _forest(ids, left[a], right[b])
 
     return run
 
@@ -173,37 +194,52 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             hashes, first = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "shingles"])
+            hi, lo = fingerprints(hashes, first)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(as_signed(hi)), pa.array(as_signed(lo)), pa.array([hashes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "hi", "lo", "shingles"])
 
     return run
 
 
-def near_links(docs: DataFrame, signed: DataFrame, percent: int, words: int) -> DataFrame:
-    """Confirmed links (a, b) between representatives of equal sets; signed: doc_id, n, sig of these."""
+def shingles_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, shingles (packed) of the wanted classes, each from one text of its smallest doc_id."""
+    heads = stage(classes.join(wanted, "id", "left_semi").select("id", "doc_id", "hi", "lo"), "wanted")
+    texts = reduced(docs, heads.select("doc_id").distinct(), "doc_id")
+    sets = texts.mapInArrow(lean(_sets(words)), "doc_id long, hi long, lo long, shingles binary")
+    return stage(sets.join(heads, ["doc_id", "hi", "lo"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what is connected; classes: id, doc_id, n, hi, lo, sig."""
     chunk, distance = CUTS[max(p for p in CUTS if p <= percent)]
-    keys = signed.mapInArrow(_keys(chunk), "key long, doc_id long")
-    lows = stage(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "buckets")
+    signed = classes.select("id", "n", "sig")
+    keys = signed.mapInArrow(lean(_keys(chunk)), "key long, id long")
+    lows = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"), "buckets")
     members = stage(keys.join(lows, "key"), "members")
-    low_side = signed.select(F.col("doc_id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
-    met = members.join(signed, "doc_id").join(low_side, "low")
-    told = stage(met.mapInArrow(_near(percent, distance), "key long, doc_id long, low long, n long, sig binary, near boolean"), "near")
-    stars = told.where("near and doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    # far members against all members of their bucket, block by block
-    sizes = told.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("near")).alias("f")).where("f > 0")
-    cuts = stage(sizes.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("f") / BLOCK).cast("int").alias("fb")), "cuts")
-    rows = told.join(cuts, "key")
-    own = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("int")
-    far = rows.where(~F.col("near")).select("key", "doc_id", "n", "sig", (own % F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("far"))
-    rest = rows.select("key", "doc_id", "n", "sig", F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), (own % F.col("mb")).alias("ms"), F.lit(False).alias("far"))
-    cross = far.unionByName(rest).groupBy("key", "fs", "ms").applyInArrow(_bucket_links(percent, distance), "a long, b long")
-    family = components(stars.unionByName(cross))
-    # full sets of the families, block by block
-    heads = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = stage(family.join(heads, "component").select(F.col("node").alias("doc_id"), "component", "parts", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int") % F.col("parts")).alias("at")), "families")
-    sets = stage(reduced(docs, placed.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("at")).alias("i"), F.greatest(j, F.col("at")).alias("j")))
-    spread = placed.join(sets, "doc_id").select("component", "doc_id", "shingles", "at", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "doc_id", "shingles", (F.col("at") != F.col("p.i")).cast("int").alias("side"))
-    return spread.groupBy("component", "i", "j").applyInArrow(_confirmed(percent), "a long, b long")
+    low_side = signed.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
+    stars = members.where("id <> low").select("id", "low").distinct()
+    near = stage(stars.join(signed, "id").join(low_side, "low").mapInArrow(lean(_near(percent, distance)), "id long, low long"), "near")
+    sets = shingles_of(docs, classes, near.select("id").unionByName(near.select(F.col("low").alias("id"))).distinct(), words)
+    low_sets = sets.withColumnsRenamed({"id": "low", "shingles": "low_shingles"})
+    links = stage(near.join(sets, "id").join(low_sets, "low").mapInArrow(lean(_agree(percent)), "a long, b long"), "stars")
+    # buckets whose members other than the smallest (it has met them all) are in several components
+    parts = stage(components(links), "parts")
+    placed = stage(members.join(parts, members.id == parts.node, "left").select("key", "id", "low", F.coalesce("component", "id").alias("comp")), "placed")
+    met = placed.where("id <> low").groupBy("key", "comp").agg(F.count("*").alias("c"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)))
+    mixed = met.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("k > 1")
+    # buckets with the same members are one
+    once = mixed.groupBy("m", "mark0", "mark1", "most").agg(F.min("key").alias("key"))
+    size = F.ceil((F.col("m") - F.col("most.c")) / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    cuts = stage(once.select("key", F.col("most.comp").alias("main"), size[0].alias("fb"), size[1].alias("mb")), "cuts")
+    rows = placed.where("id <> low").join(cuts, "key").join(signed, "id")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    column = ["key", "id", "comp", "n", "sig"]
+    outer = rows.where("comp <> main").select(*column, (own % F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("outside"))
+    every = rows.select(*column, F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), (own % F.col("mb")).alias("ms"), F.lit(False).alias("outside"))
+    found = outer.unionByName(every).groupBy("key", "fs", "ms").applyInArrow(_candidates(percent, distance), "key long, fs int, ms int, id long, comp long, n long, outside boolean")
+    found = stage(found, "candidates")
+    more = shingles_of(docs, classes, found.select("id").distinct(), words)
+    cross = found.join(more, "id").groupBy("key", "fs", "ms").applyInArrow(_confirmed(percent), "a long, b long")
+    return links.unionByName(stage(cross, "cross"))
 
 
 def minhash_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
@@ -211,14 +247,22 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFra
     if not min(CUTS) <= percent <= 100:
         raise ValueError("the signature distances are set for similarities of 80 to 100 percent")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_signed(words), "doc_id long, n long, hi long, lo long, sig binary"), "signed")
+    signed = stage(docs.mapInArrow(lean(_signed(words)), "doc_id long, n long, hi long, lo long, sig binary"), "signed")
     some = signed.where("n > 0 and doc_id is not null")
-    classes = stage(some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig")).alias("head")).select("hi", "lo", "n", "head.doc_id", "head.sig"), "classes")
-    links = near_links(docs.where("doc_id is not null"), classes.select("doc_id", "n", "sig"), percent, words)
-    found = components(links)
-    heads = classes.join(found, classes.doc_id == found.node, "left").select("hi", "lo", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", "n", "hi", "lo").join(stage(heads, "heads"), ["hi", "lo", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    heads = some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig")).alias("head"))
+    # staged, so the numbers of the classes stay as they are
+    classes = stage(heads.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "n", "head.doc_id", "head.sig"), "classes")
+    links = near_links(docs.where("doc_id is not null"), classes, percent, words)
+    rows = stage(signed.select("doc_id", "n", "hi", "lo").join(classes.select("id", "hi", "lo", "n"), ["hi", "lo", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "rows")
+    # a doc_id with several texts links their classes
+    several = rows.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
+    same = rows.join(stage(several, "several"), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+    found = components(links.unionByName(same)).withColumnRenamed("node", "id")
+    least = classes.select("id", "doc_id").join(found, "id")
+    named = stage(least.join(least.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select("id", "name"), "names")
+    alone = classes.select("id", F.col("doc_id").alias("head"))
+    out = rows.join(alone, "id", "left").join(named, "id", "left")
+    component = F.coalesce("name", "head", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, lean, table
 from .seeds import words_of
 
 PASSAGE = 64
@@ -154,9 +154,10 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, use: Column, most: int) -> DataFrame:
-    """doc_id, text, y of at most ``most`` labelled documents, the first by hash of doc_id; one row for each doc_id."""
+    """doc_id, text, y of at most ``most`` labelled documents, the first by hash of doc_id; one row for each doc_id,
+    with the highest of its labels and the least of its texts."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int = 4000) -> Model:
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
             x, first = passages(texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([x[a:b].astype(np.float16).tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = labelled_sample(docs, labels, "quality", use, most_labelled).mapInArrow(run, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
+    rows = labelled_sample(docs, labels, "quality", use, most_labelled).mapInArrow(lean(run), "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(v, np.float16).reshape(-1, N_FEATURE) for v in rows.column("x").to_pylist()]
     first = np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64)
     return fit(np.concatenate(bags) if bags else np.zeros((0, N_FEATURE), np.float16), first, rows.column("y").to_numpy().astype(np.float32))
@@ -180,7 +181,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(lean(run), f"{schema}, `{name}` double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, parts: int = 5) -> DataFrame:

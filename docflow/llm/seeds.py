@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
 U64 = np.uint64
-_BASE1, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_BASE1 = 0x9E3779B97F4A7C15 | 1
 #: Positions inside a block take the low bits of the packed gram key; a block never holds more symbols.
 _POS_BITS = 28
 _POS_MASK = U64((1 << _POS_BITS) - 1)
@@ -58,7 +59,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix polynomial of a symbol array: hashes of any ranges in one vectorised step."""
+    """Prefix polynomial of a symbol array: hashes of any ranges in one vectorised step.
+
+    Modulo 2**64 such hashes collide on made-up long inputs (Thue-Morse words), so they only route: equality is
+    decided by digests or by the bytes.
+    """
 
     def __init__(self, symbols: np.ndarray, base: int):
         self.base = base
@@ -95,44 +100,67 @@ def _byte_symbols() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _byte_symbols()[data]
 
 
+#: Word hashes a task remembers, of words up to so many bytes; beyond it the memory starts anew.
+MEMO, MEMO_BYTES = 100_000, 64
+
+
+class _WordHashes(dict):
+    """Word -> the first 64 bits of its BLAKE2b digest: no two words of any making are known to share it."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_word_hashes = _WordHashes()
+
+
+def forget() -> None:
+    """Drop what the helpers of this module remember."""
+    _word_hashes.clear()
+    _powers.cache_clear()
+
+
 @dataclass
 class Words:
-    """Words of a batch of texts: hash, place in the joined bytes, and the first word of each text."""
+    """Words of a batch of texts: themselves, hashes, places in the joined bytes, and the first word of each text."""
 
     data: np.ndarray
+    words: list[bytes]
     hashes: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # len(texts) + 1
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts behind one another, one space after each; offsets of their starts and of the end."""
-    lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+def words_of(texts: list[bytes], table: bytes | None = None, lower: bool = False) -> Words:
+    """Runs of bytes other than ASCII white space; table (256 bytes) is applied first, lower changes A-Z."""
     at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(lens, out=at[1:])
-    return np.frombuffer(b" ".join(texts) + b" " if texts else b"", np.uint8), at
-
-
-def words_of(texts: list[bytes], space: np.ndarray = _SPACE, lower: bool = False) -> Words:
-    data, at = joined(texts)
-    if lower:
-        upper = (data >= 65) & (data <= 90)
-        data = data + (upper * np.uint8(32))
-    gap = space[data]
+    np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)), out=at[1:])
+    whole = b" ".join(texts) + b" " if texts else b""
+    whole = whole.translate(table) if table else whole
+    whole = whole.lower() if lower else whole
+    words = whole.split()
+    data = np.frombuffer(whole, np.uint8)
+    gap = (data == 0x20) | ((data - np.uint8(9)) < 5)
     edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1)))
     start, end = edge[0::2], edge[1::2]
-    first = np.searchsorted(start, at)
-    hashes = Prefix(byte_symbols(data), _BASE1).ranges(start, end) if len(start) else np.empty(0, U64)
-    return Words(data, hashes, start, end, first)
+    hashes = np.fromiter(map(_word_hashes.__getitem__, words), U64, len(words))
+    return Words(data, words, hashes, start, end, np.searchsorted(start, at))
+
+
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """128-bit BLAKE2b digests of ranges: the keys by which sequences count as equal."""
+    view = memoryview(data)
+    return [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
 
 
 @dataclass
@@ -140,9 +168,8 @@ class Units:
     doc: np.ndarray  # index of the text in the batch
     start: np.ndarray  # first symbol of the first window, within the text
     count: np.ndarray  # windows that share the anchor
-    anchor: np.ndarray  # hash of the anchor gram
     lead: np.ndarray  # symbols between the first window's start and the anchor
-    text: np.ndarray  # hash of the unit's whole sequence with the anchor's place in it
+    anchor: np.ndarray  # hash of the anchor gram
     begin: np.ndarray  # first symbol within the batch
 
 
@@ -152,7 +179,7 @@ def units_of(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) ->
     n = len(symbols)
     empty = np.empty(0, np.int64)
     if n < length:
-        return Units(empty, empty, empty, empty.view(U64), empty, empty.view(U64), empty)
+        return Units(empty, empty, empty, empty, empty.view(U64), empty)
     if n > int(_POS_MASK):
         raise ValueError("a batch of texts holds too many symbols; lower the batch size")
     grams = Prefix(symbols, _BASE1).grams(gram)
@@ -166,13 +193,10 @@ def units_of(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) ->
     change[1:] = (anchor_at[1:] != anchor_at[:-1]) | (doc[1 : len(starts)] != doc[: len(starts) - 1])
     head = np.flatnonzero(change & inside)
     if not len(head):
-        return Units(empty, empty, empty, empty.view(U64), empty, empty.view(U64), empty)
+        return Units(empty, empty, empty, empty, empty.view(U64), empty)
     # windows of a unit: up to the next change, or up to the last window inside the text
     nxt = np.append(np.flatnonzero(change), len(starts))
     stop = nxt[np.searchsorted(nxt, head, side="right")]
     last = first[1:][doc[head]] - length + 1
     stop = np.minimum(stop, last)
-    lead = anchor_at[head] - head
-    whole = Prefix(symbols, _BASE2).ranges(head, stop - 1 + length)
-    whole = mix(whole + lead.astype(U64) * U64(_BASE1))
-    return Units(doc[head], head - first[doc[head]], stop - head, grams[anchor_at[head]], lead, whole, head)
+    return Units(doc[head], head - first[doc[head]], stop - head, anchor_at[head] - head, grams[anchor_at[head]], head)

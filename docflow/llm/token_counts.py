@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, bpe, default_vocabulary
-from .common import blocks, table
+from .common import blocks, lean, table
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
@@ -133,7 +133,7 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
             rows, edited = [], []
-            decoded = [(t or b"").decode() for t in texts]
+            decoded = [(t or b"").decode(errors="replace") for t in texts]
             split = [coder.split(t) for t in decoded]
             coder.learn(set().union(*split))
             for t, pieces, edits in zip(decoded, split, part.column("edits").to_pylist()):
@@ -148,7 +148,7 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
         coder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits")
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string")
+    return rows.mapInArrow(lean(run), f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, lean, table
 from .quality import _sigmoid, fold, labelled_sample
 from .seeds import U64, Prefix, byte_symbols, mix, words_of
 
@@ -41,13 +41,13 @@ IDENTITY = (
     ("frauen", "männer", "muslime", "christen", "juden"),
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos"),
 )
-_BREAK = np.ones(256, bool)
-_BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
+#: Bytes that are in no word become spaces.
+_BREAK = bytes(i if 48 <= i < 58 or 65 <= i < 91 or 97 <= i < 123 or i >= 128 else 32 for i in range(256))
 
 
 def word_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed words and word beginnings of each text, sorted; each text's first place (len(texts) + 1)."""
-    w = words_of([t or b"" for t in texts], space=_BREAK, lower=True)
+    w = words_of([t or b"" for t in texts], table=_BREAK, lower=True)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
     found = [(owner << BITS) | (w.hashes >> U64(64 - BITS)).astype(np.int64)]
     prefix = Prefix(byte_symbols(w.data), _STEM_BASE)
@@ -63,7 +63,7 @@ def identity_swaps(groups=IDENTITY) -> dict[int, list[tuple[np.ndarray, np.ndarr
     """Hashed identity term -> for each term it is swapped for, the features that go and those that come."""
     out = {}
     for group in groups:
-        ids = [int(words_of([t.encode()], space=_BREAK, lower=True).hashes[0] >> U64(64 - BITS)) for t in group]
+        ids = [int(words_of([t.encode()], table=_BREAK, lower=True).hashes[0] >> U64(64 - BITS)) for t in group]
         features, first = word_ids([t.encode() for t in group])
         sets = [features[a:b] for a, b in zip(first, first[1:])]
         out |= {a: [(np.setdiff1d(x, y), np.setdiff1d(y, x)) for y in sets if y is not x] for a, x in zip(ids, sets)}
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, mos
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([ids[a:b].astype(np.int32).tobytes() for a, b in zip(first, first[1:])], pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["doc_id", "y", "ids", "swaps"])
 
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), parts) != held, most_labelled)
-    rows = sample.mapInArrow(run, "doc_id long, y int, ids binary, swaps array<binary>").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(lean(run), "doc_id long, y int, ids binary, swaps array<binary>").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.int32).astype(np.int64) for b in rows.column("ids").to_pylist()]
     moved = [[np.frombuffer(b, np.int32).astype(np.int64) for b in x] for x in rows.column("swaps").to_pylist()]
     changes = [list(zip(x[0::2], x[1::2])) for x in moved]
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part, texts in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(*word_ids(texts)).astype(float), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

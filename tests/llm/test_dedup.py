@@ -25,10 +25,47 @@ def test_substring_dedup_equals_brute_force(spark, length, gram):
     assert rows_of(got) == Counter(brute.substring(rows, length))
 
 
-def test_substring_dedup_empty_table_and_carry(spark):
+def test_substring_dedup_of_an_empty_table(spark):
     assert substring_dedup(brute.empty(spark)).count() == 0
-    carried = substring_dedup(brute.awkward(spark), carry="anchor")
-    assert {r.anchor for r in carried.collect()} == {"a"}
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different words on which every polynomial hash modulo 2**64 agrees."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    x, y = thue_morse(2048)
+    words = brute.numbered(49).split()
+    rows = [(1, " ".join([*words[:20], x, *words[20:]])), (2, " ".join([*words[:20], y, *words[20:]])), (3, x), (4, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_dedup(docs).where("n_removed > 0").count() == 0
+    assert {r.doc_id: r.component_id for r in M.minhash_dedup(docs).collect()}[4] == 4
+    assert rows_of(M.minhash_dedup(docs).select("doc_id", "n_shingles", "component_id")) == Counter(brute.near_components(rows))
+
+
+def test_repeated_doc_ids_with_other_texts(spark):
+    passage, other = brute.numbered(60), brute.numbered(70, 500)
+    rows = [(1, passage), (1, other), (2, passage), (3, other.replace("w530 ", "new ")), (3, "x " + passage + " y"), (4, "alone"), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows_of(got) == Counter(brute.substring(rows, 50))
+    got = run_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert rows_of(got) == Counter(brute.byte_runs(rows, 100))
+    near = [(1, other), (1, passage), (2, passage), (3, other + " end")]
+    for some in (near, near[::-1], rows):
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        got = M.minhash_dedup(docs).select("doc_id", "n_shingles", "component_id")
+        assert rows_of(got) == Counter(brute.near_components(some))
+
+
+def test_texts_that_are_not_utf8(spark):
+    docs = spark.createDataFrame([(1, b"\xff " + brute.numbered(60).encode()), (2, b"\xfe " + brute.numbered(60).encode()), (3, b"\xff")], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) AS text")
+    got = {r.doc_id: r for r in substring_dedup(docs).selectExpr("doc_id", "n_removed", "cast(kept_text as binary) AS kept").collect()}
+    assert (got[1].n_removed, got[2].n_removed, bytes(got[2].kept), bytes(got[3].kept)) == (0, 60, b"\xfe", b"\xff")
+    assert run_dedup(docs).where("n_removed > 0").count() == 1
+    assert M.minhash_dedup(docs).count() == 3
 
 
 def test_random_word_repeats(spark):
@@ -39,9 +76,9 @@ def test_random_word_repeats(spark):
     assert rows_of(got) == Counter(brute.substring(rows, 10))
 
 
-@pytest.mark.parametrize("most_units", [4096, 1])
+@pytest.mark.parametrize("most_units", [1024, 2, 1])
 def test_run_dedup_equals_brute_force(spark, most_units):
-    """Both ways of comparing stretches, in an index and by keys, give the same result."""
+    """Blocks of any size, and stretches split as far as it goes, give the same result."""
     rows = [(i, t and t[:6000]) for i, t in brute.awkward_rows()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = run_dedup(docs, 100, 48, most_units).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
@@ -107,6 +144,25 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert rows_of(got) == Counter(brute.near_components(rows))
 
 
+def test_a_family_of_many_components(spark, monkeypatch):
+    """Texts near one another by signature, most under the threshold, a few links among them off the bucket's smallest."""
+    monkeypatch.setattr(M, "BLOCK", 5)
+    random.seed(8)
+    base = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        t = list(base)
+        for at in (10, 80, 150):
+            t[at + i // 2] = f"u{i // 2}x{at}"
+        if i % 2:
+            t[60] = f"odd{i}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(brute.near_components(rows))
+    assert 5 < len({r[2] for r in want}) < 40
+    assert rows_of(M.minhash_dedup(docs).select("doc_id", "n_shingles", "component_id")) == want
+
+
 def test_overlaps_in_strips():
     a = [np.array([1, 2, 3], np.uint64), np.array([9], np.uint64)]
     b = [np.array([2, 3, 4], np.uint64), np.array([7], np.uint64), np.array([9, 1], np.uint64)]
