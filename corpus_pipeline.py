@@ -10,49 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.bpe import decode, encode
-from docflow.llm.common import stage, table
+from docflow.llm.common import stage, table, unused, without
 from docflow.llm.decontamination import decontaminate
 from docflow.llm.minhash_dedup import minhash_dedup
 from docflow.llm.quality import fold, score, train
-from docflow.llm.substring_dedup import substring_dedup
+from docflow.llm.substring_dedup import cut_texts
 
 #: Documents with a lower quality score are rejected.
 LEAST_QUALITY = 0.3
 #: Documents whose shingle sets are as similar as this, in percent, are near copies.
 NEAR_PERCENT = 80
-_MARK = "__pipeline_mark"
-
-
-def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key is not in gone; few keys go to every task, many are shuffled."""
-    gone = stage(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= 2_000_000 else gone, key, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return score(docs, model, _MARK).where(F.col(_MARK) >= LEAST_QUALITY).select(*docs.columns)
+    mark = unused("mark", docs.columns)
+    return score(docs, model, mark).where(F.col(mark) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash_dedup(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    return _without(docs, gone, "doc_id").select(*docs.columns)
+    return without(docs, stage(gone, "gone"), "doc_id").select(*docs.columns)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a text that loses nothing stays as it is."""
-    rows = substring_dedup(docs.withColumn(_MARK, F.struct(*docs.columns)), carry=_MARK)
-    cut = F.col("n_removed") > 0
-    text = F.when(cut, F.col("kept_text")).otherwise(F.col(f"{_MARK}.text"))
-    new = {"text": text, "n_chars": F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col(f"{_MARK}.n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return rows.select(*(new.get(c, F.col(f"{_MARK}.`{c}`")).alias(c) for c in docs.columns))
+    return cut_texts(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mark = unused("mark", docs.columns)
     key = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
     found = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias(_MARK)).distinct()
-    return _without(docs.withColumn(_MARK, key), gone, _MARK).select(*docs.columns)
+    gone = found.where("contaminated").select(F.col("doc_id").alias(mark)).distinct()
+    return without(docs.withColumn(mark, key), stage(gone, "gone"), mark).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
