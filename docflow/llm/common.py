@@ -17,8 +17,23 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 400_000
 
 
+#: Bytes of one Arrow batch between the JVM and Python, where the session does not say.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: buffers of long texts lie outside the heap, several for each running task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") in ("1", "1b"):  # not set
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; where its files make fewer tasks than there are cores, its rows are dealt out."""
+    small_batches(spark)
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if found.rdd.getNumPartitions() < cores else found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, a lost executor costs nothing before it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/docflow-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

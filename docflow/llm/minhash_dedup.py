@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_signed, blocks, lean, reduced, stage, table
+from .common import as_signed, blocks, few, lean, reduced, stage, table
 from .components import components
 from .seeds import U64, mix
 from .shingles import COMPONENTS, fingerprints, shingle_sets, signatures
@@ -202,10 +202,11 @@ def _sets(words: int):
 
 def shingles_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """id, shingles (packed) of the wanted classes, each from one text of its smallest doc_id."""
-    heads = stage(classes.join(wanted, "id", "left_semi").select("id", "doc_id", "hi", "lo"), "wanted")
+    heads = stage(classes.join(few(wanted), "id", "left_semi").select("id", "doc_id", "hi", "lo"), "wanted")
     texts = reduced(docs, heads.select("doc_id").distinct(), "doc_id")
     sets = texts.mapInArrow(lean(_sets(words)), "doc_id long, hi long, lo long, shingles binary")
-    return stage(sets.join(heads, ["doc_id", "hi", "lo"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
+    found = stage(sets.join(few(heads), ["doc_id", "hi", "lo"]).select("id", "shingles"), "sets")
+    return stage(found.dropDuplicates(["id"]), "sets") if found.count() > heads.count() else found  # repeated rows
 
 
 def near_links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
@@ -218,8 +219,8 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int, words: int) ->
     low_side = signed.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
     stars = members.where("id <> low").select("id", "low").distinct()
     near = stage(stars.join(signed, "id").join(low_side, "low").mapInArrow(lean(_near(percent, distance)), "id long, low long"), "near")
-    sets = shingles_of(docs, classes, near.select("id").unionByName(near.select(F.col("low").alias("id"))).distinct(), words)
-    low_sets = sets.withColumnsRenamed({"id": "low", "shingles": "low_shingles"})
+    sets = shingles_of(docs, classes, stage(near.select("id").unionByName(near.select(F.col("low").alias("id"))).distinct(), "ids"), words)
+    low_sets = reduced(sets, near.select(F.col("low").alias("id")).distinct(), "id").withColumnsRenamed({"id": "low", "shingles": "low_shingles"})
     links = stage(near.join(sets, "id").join(low_sets, "low").mapInArrow(lean(_agree(percent)), "a long, b long"), "stars")
     # buckets whose members other than the smallest (it has met them all) are in several components
     parts = stage(components(links), "parts")
@@ -237,7 +238,7 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int, words: int) ->
     every = rows.select(*column, F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), (own % F.col("mb")).alias("ms"), F.lit(False).alias("outside"))
     found = outer.unionByName(every).groupBy("key", "fs", "ms").applyInArrow(_candidates(percent, distance), "key long, fs int, ms int, id long, comp long, n long, outside boolean")
     found = stage(found, "candidates")
-    more = shingles_of(docs, classes, found.select("id").distinct(), words)
+    more = shingles_of(docs, classes, stage(found.select("id").distinct(), "ids"), words)
     cross = found.join(more, "id").groupBy("key", "fs", "ms").applyInArrow(_confirmed(percent), "a long, b long")
     return links.unionByName(stage(cross, "cross"))
 
