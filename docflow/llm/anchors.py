@@ -93,4 +93,5 @@ def told(met: DataFrame, across: bool) -> DataFrame:
     leaders = stage(met.groupBy("anchor", "unit").agg(F.min(place).alias("first")), "leaders")
     varied = leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     known = stage(leaders.join(varied, "anchor", "left"), "told")
-    return stage(met.join(known, ["anchor", "unit"]).withColumn("copy", F.col("first") < place).where("copy or n is not null").drop("first", "unit"), "repeats")
+    # each unit meets the one row of its class
+    return stage(met.join(known, ["anchor", "unit"]).withColumn("copy", F.col("first") < place).drop("first", "unit"), "repeats").where("copy or n is not null")
