@@ -91,7 +91,7 @@ def told(met: DataFrame, across: bool) -> DataFrame:
     """
     place = F.col("doc_id") if across else F.struct("doc_id", "start")
     leaders = stage(met.groupBy("anchor", "unit").agg(F.min(place).alias("first")), "leaders")
-    varied = leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    varied = stage(leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "varied")
     known = stage(leaders.join(varied, "anchor", "left"), "told")
     # each unit meets the one row of its class
     return stage(met.join(known, ["anchor", "unit"]).withColumn("copy", F.col("first") < place).drop("first", "unit"), "repeats").where("copy or n is not null")

@@ -6,6 +6,9 @@ stored bytes and computes features; ``resolve`` joins references to what was rea
 stay beside their payloads.  Payload bytes are written once and read once where they lie: only digests and features
 are shuffled.
 
+A caption belongs to the media of its own figure, wherever in it it stands; a figure inside another keeps its own; text
+of a caption outside any figure is text; what scripts, styles, noscript and template hold is left out.
+
 Defined results: null texts are empty; an empty text is one row of 192 spaces; a null html has an empty sequence; a
 reference without a stored payload stays in its place with null features; equal payloads have one digest and equal
 features; stored bytes that are no such image raise ValueError; extra columns are ignored.
@@ -82,7 +85,7 @@ class _Interleaved(HTMLParser):
         self.words: list[str] = []
         self.skipped = 0
         self.caption: list[str] | None = None
-        self.figure = 0  # first element of the open figure
+        self.figures: list[tuple[list[int], list[str]]] = []  # places of media and captions of each open figure
 
     def flush(self):
         text = " ".join("".join(self.words).split())
@@ -90,35 +93,62 @@ class _Interleaved(HTMLParser):
         if text:
             self.out.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self):
+        if self.caption is not None:
+            said = " ".join("".join(self.caption).split())
+            self.caption = None
+            if said and self.figures:
+                self.figures[-1][1].append(said)
+            elif said:
+                self.out.append({"kind": "text", "text": said, "digest": None, "caption": None})
+
+    def end_figure(self):
+        media, said = self.figures.pop()
+        for i in media if said else ():
+            self.out[i]["caption"] = " ".join(said)
+
+    def finish(self):
+        self.close()
+        self.end_caption()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skipped += 1
+        elif self.skipped:
+            return
         elif tag in self.MEDIA:
             found = dict(attrs)
             if found.get("src"):
                 self.flush()
                 src = found["src"]
-                digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode()).hexdigest()
+                digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode(errors="replace")).hexdigest()
+                if self.figures:
+                    self.figures[-1][0].append(len(self.out))
                 self.out.append({"kind": "media", "text": None, "digest": digest, "caption": found.get("alt") or None})
         elif tag == "figcaption":
             self.flush()
+            self.end_caption()
             self.caption = []
         elif tag in self.BREAK:
             self.flush()
             if tag == "figure":
-                self.figure = len(self.out)
+                self.figures.append(([], []))
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
             self.skipped = max(0, self.skipped - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            for x in self.out[self.figure :]:
-                if x["kind"] == "media" and said:
-                    x["caption"] = said
+        elif self.skipped:
+            return
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in self.BREAK:
             self.flush()
+            if tag == "figure" and self.figures:
+                self.end_caption()
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.skipped:
@@ -129,8 +159,7 @@ def interleaved(html: str) -> list[dict]:
     """Ordered text and media elements of one page."""
     parser = _Interleaved()
     parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.finish()
     return [{"position": i} | x for i, x in enumerate(parser.out)]
 
 
@@ -181,6 +210,12 @@ def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:
     return refs.join(features, "digest", "left")
 
 
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of the web pages: page_id, position, kind, text, digest, caption of every element."""
+    found = sequences(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html"))
+    return found.select(F.col("id").alias("page_id"), F.explode("sequence").alias("e")).select("page_id", "e.*")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents"))
     figure = F.concat(F.lit(f'<figure><img src="{escape(SCHEME)}'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .decontamination import op5_decontamination
 from .lm_scoring import op2_lm_scoring
-from .media import op3_media
+from .media import op3_media, page_media
 from .minhash_dedup import op8_minhash_dedup
 from .quality import op9_quality
 from .oracles import ORACLES
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality": op9_quality,
     "op10_run_dedup": op10_run_dedup,
+    "page_media": page_media,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

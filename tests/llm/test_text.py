@@ -100,6 +100,27 @@ def test_sequences_keep_positions_and_captions(spark):
     assert {(r.id, r.position, r.size) for r in media.resolve(found, features).collect()} == {(1, 1, 5), (1, 3, None), (4, 0, None)}
 
 
+def test_captions_stay_with_their_figure():
+    img = '<img src="{}">'.format
+    said = lambda html: [(e["kind"], e["text"] or e["caption"]) for e in media.interleaved(html)]
+    assert said(f"<figure><figcaption>A</figcaption>{img('x')}</figure>{img('y')}") == [("media", "A"), ("media", None)]
+    assert said(f"<figure>{img('x')}<figcaption>A</figcaption></figure>{img('y')}<figcaption>B</figcaption>") == [("media", "A"), ("media", None), ("text", "B")]
+    nested = f"<figure>{img('x')}<figure>{img('y')}<figcaption>in</figcaption></figure><figcaption>out</figcaption>{img('z')}</figure>"
+    assert said(nested) == [("media", "out"), ("media", "in"), ("media", "out")]
+    assert said(f"<template>{img('x')}</template><noscript>{img('y')}</noscript>{img('z')}") == [("media", None)]
+    assert said(f"<figure>{img('x')}<figcaption>never closed") == [("media", "never closed")]
+
+
+def test_media_of_pages(spark):
+    pages = [(r.page_id, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = media.page_media(spark, "/root/testdata/sf0.001").collect()
+    by = {i: [r for r in got if r.page_id == i] for i, _ in pages}
+    for i, html in pages:
+        assert [r.position for r in sorted(by[i], key=lambda r: r.position)] == list(range(len(by[i])))
+        plain = __import__("re").sub(r"(?is)<(script|style|noscript|template)\b.*?</\1>", "", html or "")
+        assert sum(r.kind == "media" for r in by[i]) == len(__import__("re").findall(r'(?i)<(?:img|video|audio|source)\b[^>]*\bsrc="[^"]+"', plain))
+
+
 @given(st.data())
 @settings(max_examples=120, deadline=None)
 def test_edits_equal_a_full_recount(coder, data):
