@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
 import unicodedata
 import uuid
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,16 +17,29 @@ _DNS = uuid.NAMESPACE_DNS.hex
 
 
 def _accent_table() -> tuple[str, str]:
-    """Composed letters and their bases, derived from the Unicode decompositions of U+00C0 to U+1EFF."""
+    """Composed characters and their bases, derived from the canonical decompositions of all of Unicode."""
     pairs = []
-    for c in map(chr, range(0xC0, 0x1F00)):
+    for c in map(chr, chain(range(0xC0, 0xAC00), range(0xF900, 0x30000))):  # Hangul syllables are no accented letters
         base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
         if base != c and len(base) == 1:
             pairs.append((c, base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _ascii_table() -> dict[str, str]:
+    """Characters whose compatibility decomposition has ASCII in it (ligatures, full-width and raised forms), and that part."""
+    found = {}
+    for c in map(chr, chain(range(0xA0, 0xAC00), range(0xF900, 0x20000))):
+        flat = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if flat and unicodedata.normalize("NFD", c)[0] not in string.printable:
+            found[c] = flat
+    return found
+
+
 _COMPOSED, _BASE = _accent_table()
+_COMPATIBLE = _ascii_table()
+_ONE = {c: x for c, x in _COMPATIBLE.items() if len(x) == 1}
+_MANY = {c: x for c, x in _COMPATIBLE.items() if len(x) > 1}
 
 
 def blank(c: Column) -> Column:
@@ -42,27 +58,31 @@ def strip_accents(c: Column) -> Column:
 
 
 def ascii_flat(c: Column) -> Column:
-    """Without accents, without other non-ASCII characters, lower case."""
-    return F.lower(F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]", ""))
+    """Without accents, compatible forms as the ASCII they stand for, without other non-ASCII characters, lower case."""
+    one = F.translate(strip_accents(c), "".join(_ONE), "".join(_ONE.values()))
+    # forms that stand for several characters are rare: only texts that have one go through the list
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MANY.items()))
+    every = F.aggregate(pairs, one, lambda text, p: F.replace(text, p["a"], p["b"]))
+    flat = F.when(one.rlike("[" + "".join(_MANY) + "]"), every).otherwise(one)
+    return F.lower(F.regexp_replace(flat, r"[^\x00-\x7F]", ""))
 
 
 def alphanum_only(c: Column) -> Column:
     return F.regexp_replace(ascii_flat(c), "[^a-z0-9]", "")
 
 
-def sanitize_name(name: str) -> str:
-    """A column name of a-z, 0-9 and single underscores; text in round brackets goes; an empty one is 'unnamed'."""
-    import re
+_BRACKETS, _PLAIN = r"\([^)]*\)", "[A-Za-z0-9]+"
 
-    name = re.sub(r"\([^)]*\)", "", name)
-    return re.sub(r"_+", "_", re.sub(r"[^a-zA-Z0-9_]", "_", name)).strip("_").lower() or "unnamed"
+
+def sanitize_name(name: str) -> str:
+    """The runs of letters and digits outside round brackets, in lower case, joined by '_'; without any, 'unnamed'."""
+    return "_".join(re.findall(_PLAIN, re.sub(_BRACKETS, "", name))).lower() or "unnamed"
 
 
 def sanitize_value(c: Column) -> Column:
     """The same rule on data."""
-    c = F.regexp_replace(c, r"\([^)]*\)", "")
-    c = F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9_]", "_"), "_+", "_")
-    return F.coalesce(F.nullif(F.lower(F.trim(c, F.lit("_"))), F.lit("")), F.lit("unnamed"))
+    runs = F.regexp_extract_all(F.regexp_replace(c, _BRACKETS, ""), F.lit(_PLAIN), F.lit(0))
+    return F.coalesce(F.nullif(F.lower(F.array_join(runs, "_")), F.lit("")), F.lit("unnamed"))
 
 
 def pdf_date(c: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, sanitize_name
-from ..schema import CANONICAL, MORE_TEXT_NAMES, SYNONYMS, TEXT_NAMES
+from ..schema import CANONICAL, MORE_TEXT_NAMES, SYNONYMS, TEXT_NAMES, unused
+from ..sources.scratch import staged
 
 
 def find_text_column(names: list[str], more: bool = False) -> str:
@@ -18,12 +19,13 @@ def find_text_column(names: list[str], more: bool = False) -> str:
     raise ValueError(f"no text column among {names}; expected one of {MORE_TEXT_NAMES if more else TEXT_NAMES}")
 
 
-def to_canonical(df: DataFrame, order: Column | None = None, text_column: str | None = None) -> DataFrame:
+def to_canonical(df: DataFrame, order: str | list[str] | None = None, text_column: str | None = None) -> DataFrame:
     """The 13 canonical string columns.
 
     A column named like a canonical one is taken; a synonym fills in where that one is absent or null; the text comes
     from the text column; other columns are dropped and unmapped ones are null.  A supplied key is kept (an own
-    decision); a missing one is csv_ and the row's number by ``order``, counted before empty rows are removed.
+    decision); a missing one is csv_ and the row's number in the order of ``order``, counted before empty rows are
+    removed.
     """
     text = text_column or find_text_column(df.columns, more=True)
     direct, synonyms = {}, {}
@@ -43,28 +45,29 @@ def to_canonical(df: DataFrame, order: Column | None = None, text_column: str |
     if "itemKey" not in direct and order is None:
         raise ValueError("rows without keys need an order to be numbered by")
     if order is not None:
-        made = F.concat(F.lit("csv_"), (order_number(df, order) - 1).cast("string"))
-        out["itemKey"] = F.coalesce(F.nullif(out["itemKey"], F.lit("")), made)
+        number = unused("row_number", df.columns)
+        df = row_index(df, order, number)
+        out["itemKey"] = F.coalesce(F.nullif(out["itemKey"], F.lit("")), F.concat(F.lit("csv_"), F.col(number).cast("string")))
     return df.select(*(out[c].alias(c) for c in CANONICAL))
 
 
-def order_number(df: DataFrame, order: Column) -> Column:
-    """1-based row number by a total order (one task sorts the whole; number large tables with row_index)."""
-    return F.row_number().over(Window.orderBy(order))
+def row_index(df: DataFrame, order: str | list[str], name: str = "row_index", start: int = 0) -> DataFrame:
+    """df with global row numbers by order columns, without one task seeing all rows; a column ``name`` is replaced.
 
-
-def row_index(df: DataFrame, order: str, name: str = "row_index", start: int = 0) -> DataFrame:
-    """Global row numbers by an order column without one task seeing all rows.
-
-    Rows are range-partitioned, numbered within their partition, and moved on by the partitions' counts (a table of
-    one row a partition).
+    Rows are range-partitioned, sorted and staged with marks that hold their partition and place in it; what stands
+    before a partition is counted from the same staged rows.  Rows that tie are numbered in any order.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    moved = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn(name, own - 1 + start).join(F.broadcast(moved), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+    keys = [F.col(f"`{c}`") for c in ([order] if isinstance(order, str) else order)]
+    mark, part, before = (unused(n, df.columns) for n in ("row_mark", "row_part", "rows_before"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(mark, F.monotonically_increasing_id()), "ranged")
+    part_of = F.shiftright(mark, 33)  # a mark is the partition's number and, in its lower 33 bits, the row's
+    counts = ranged.groupBy(part_of.alias(part)).agg(F.count("*").alias(before))
+    sums = F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    moved = counts.select(part, F.coalesce(sums, F.lit(0)).alias(before))
+    number = F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before) + start
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    return ranged.withColumn(part, part_of).join(F.broadcast(moved), part).select(*kept, number.alias(name))
 
 
 def empty_text_rejects(df: DataFrame, text: str = "texteocr") -> DataFrame:

@@ -89,7 +89,8 @@ def chunk_words(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def number_chunks(df: DataFrame, chunks: str, keep: list[str]) -> DataFrame:
-    each = df.select("doc_id", F.size(chunks).alias("total_chunks"), F.posexplode(chunks).alias("p", "text"), *keep)
+    # an inner explode would have Spark infer a filter that makes the array once more for each of its elements
+    each = df.select("doc_id", F.size(chunks).alias("total_chunks"), F.posexplode_outer(chunks).alias("p", "text"), *keep).where("p is not null")
     index = F.col("p") + 1
     return each.select(F.concat_ws("_", "doc_id", index.cast("string")).alias("id"), "doc_id", index.alias("chunk_index"), "total_chunks", "text", *keep)
 

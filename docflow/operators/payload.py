@@ -86,6 +86,14 @@ def upsert(payload: DataFrame, sink: Callable[[], VectorSink], size: int = 100,
     return payload.select(*names).mapInArrow(run, "sent long, inserted long, error string")
 
 
+def upserted(payload: DataFrame, stored: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """A store's rows after a load: a row of the payload replaces the stored one with its key; of several rows with one key
+    the one with the greatest hash stays, so a load that is run again changes nothing."""
+    row = F.struct(*(F.col(f"`{c}`") for c in payload.columns))
+    new = payload.groupBy(key).agg(F.max_by(row, F.xxhash64(*(F.col(f"`{c}`") for c in payload.columns))).alias("row")).select("row.*")
+    return new if stored is None else new.unionByName(stored.join(new.select(key), key, "left_anti"))
+
+
 def load_status(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     """sent, inserted, failed_batches, status; the rungs are tried in this order."""
     sums = results.groupBy(*(by or [])).agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("sent"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"), F.count_if(F.col("error").isNotNull()).alias("failed_batches"))

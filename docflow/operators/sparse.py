@@ -1,46 +1,83 @@
-"""Sparse term-frequency vectors."""
+"""Sparse term-frequency vectors.
+
+The terms of a text lie in its row, so nothing is shuffled: in a sorted array equal terms are neighbours, and how often a
+term occurs is the distance from its first place to the next term's.  Explodes are outer ones: from any other Spark infers a
+filter on the array, which repeats its making inside every lambda.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sparse_dimension
+from ..schema import unused
 
 DIMENSIONS = 100_000
 #: Words that carry no content (our own short list; a parameter).
 STOP_WORDS = ["the", "of", "to", "and", "in", "is", "it", "that", "this", "was", "were", "for", "with", "on", "as", "at", "by", "be", "are", "from", "an", "or", "le", "la", "les", "de", "des", "du", "et", "un", "une", "en", "que", "qui", "pour", "par", "el", "los", "las", "y", "der", "die", "das", "und", "mit", "von", "ist", "ein", "eine"]
-MOST_CHARS = 50_000
 
 
 def terms(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Lower-cased runs of letters and digits, longer than one character, without stop words."""
+    """Lower-cased runs of letters and digits of the whole text, longer than one character, without stop words."""
     stop = STOP_WORDS if stop_words is None else stop_words
-    words = F.split(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, MOST_CHARS)), r"[^\p{L}\p{N}]+")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
+def _firsts(array: str, key: Callable[[Column], Column]) -> Column:
+    """Places in a sorted array column where a new key begins."""
+    at = F.col(array)
+    places = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: (i == 0) | (key(F.get(at, i)) != key(F.get(at, i - 1))))
+    return F.when(F.size(at) > 0, places).otherwise(F.array().cast("array<int>"))
+
+
+def _runs(array: str, firsts: str, make: Callable[[Column, Column], Column]) -> Column:
+    """make(first place, place behind the last) of each run of equal keys."""
+    behind = F.concat(F.slice(firsts, F.lit(2), F.size(firsts)), F.array(F.size(array)))
+    return F.slice(F.zip_with(firsts, behind, make), F.lit(1), F.size(firsts))
+
+
+def with_term_counts(df: DataFrame, text: str, name: str = "terms", stop_words: list[str] | None = None) -> DataFrame:
+    """df with ``name``: the text's terms and how often they occur, an array of struct(term, n)."""
+    ordered, firsts = unused("ordered", df.columns), unused("firsts", df.columns)
+    df = df.withColumn(ordered, F.sort_array(terms(F.col(text), stop_words)))
+    df = df.withColumn(firsts, _firsts(ordered, lambda t: t))
+    runs = _runs(ordered, firsts, lambda a, b: F.struct(F.get(F.col(ordered), a).alias("term"), (b - a).cast("long").alias("n")))
+    return df.withColumn(name, runs).drop(ordered, firsts)
+
+
 def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """key, term, n.  Keyed by document: no term of the whole corpus is gathered anywhere."""
-    return df.select(key, F.explode(terms(F.col(text), stop_words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """key, term, n of each row of df; null and repeated keys stay as they are."""
+    return with_term_counts(df.select(key, text), text, "e", stop_words).select(key, F.explode_outer("e").alias("e")).where("e is not null").select(key, "e.*")
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """key, term, n, tf: a term's share of the document's terms (sums to 1)."""
-    counts = term_counts(df, key, text, stop_words)
-    # the totals come from the same array as the counts, so no second shuffle is needed
-    totals = df.select(key, F.size(terms(F.col(text), stop_words)).alias("total"))
-    return counts.join(totals, key).select(key, "term", "n", (F.col("n") / F.col("total")).alias("tf"))
+    """key, term, n, tf: a term's share of the row's terms (sums to 1)."""
+    rows = with_term_counts(df.select(key, text), text, "e", stop_words)
+    total = F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return rows.select(key, total.alias("total"), F.explode_outer("e").alias("e")).where("e is not null").select(key, "e.term", "e.n", (F.col("e.n") / F.col("total")).alias("tf"))
 
 
-def sparse_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
-    """key (unique), sparse: struct(indices, values), ordered by index; terms that share an index add up.
+def with_sparse(df: DataFrame, text: str, name: str = "sparse", dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
+    """df with ``name``: struct(indices, values), ordered by index; terms that share an index add up.
 
-    One shuffle by key serves both aggregations; a text without terms has empty arrays.
+    A text without terms has empty arrays.  Each distinct term is hashed once.
     """
-    found = F.transform(terms(F.col(text), stop_words), lambda t: sparse_dimension(t, dimensions).cast("int"))
-    rows = df.select(key, found.alias("d"), F.size(found).alias("total")).repartition(key)
-    each = rows.select(key, "total", F.explode_outer("d").alias("i")).groupBy(key, "total", "i").agg(F.count("*").alias("n"))
-    entry = F.when(F.col("i").isNotNull(), F.struct("i", (F.col("n") / F.col("total")).alias("v")))
-    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return lists.select(key, F.struct(F.transform("e", lambda x: x["i"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values")).alias("sparse"))
+    counts, places, firsts, entries = (unused(n, df.columns) for n in ("counts", "places", "firsts", "entries"))
+    df = with_term_counts(df, text, counts, stop_words)
+    df = df.withColumn(places, F.sort_array(F.transform(counts, lambda x: F.struct(sparse_dimension(x["term"], dimensions).cast("int").alias("i"), x["n"].alias("n")))))
+    df = df.withColumn(firsts, _firsts(places, lambda x: x["i"]))
+    zero = F.lit(0).cast("long")
+    total = F.aggregate(counts, zero, lambda s, x: s + x["n"])
+    share = lambda a, b: F.aggregate(F.slice(places, a + 1, b - a), zero, lambda s, x: s + x["n"]) / total
+    df = df.withColumn(entries, _runs(places, firsts, lambda a, b: F.struct(F.get(F.col(places), a)["i"].alias("i"), share(a, b).alias("v"))))
+    pair = F.struct(F.transform(entries, lambda x: x["i"]).alias("indices"), F.transform(entries, lambda x: x["v"]).alias("values"))
+    return df.withColumn(name, pair).drop(counts, places, firsts, entries)
+
+
+def sparse_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
+    """key, sparse of each row of df."""
+    return with_sparse(df.select(key, text), text, "sparse", dimensions, stop_words).select(key, "sparse")

@@ -10,6 +10,7 @@ from ..operators import canonical as C
 from ..operators import chunk, dense, fuzzy, notes, payload, sparse
 from ..sources import pages as P
 from ..sources import providers
+from ..sources.scratch import staged
 from .tables import read
 
 QUERIES: dict = {}
@@ -27,15 +28,14 @@ def query(sql: str | None = None):
 
 
 def _canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as canonical rows; documents without a label count as rows without text, as items without a file do."""
-    labelled = read(spark, d, "labels").select("doc_id").distinct().withColumn("has", F.lit(True))
-    rows = read(spark, d, "documents").join(labelled, "doc_id", "left")
-    return C.to_canonical(rows.select(F.col("doc_id").cast("string").alias("itemKey"), F.col("lang").alias("Type"), F.col("source").alias("Author"), F.when(F.col("has"), F.col("text")).alias("Content")))
+    """Documents as canonical rows."""
+    rows = read(spark, d, "documents")
+    return C.to_canonical(rows.select(F.col("doc_id").cast("string").alias("itemKey"), F.col("lang").alias("Type"), F.col("source").alias("Author"), F.col("text").alias("Content")))
 
 
 _CANONICAL = """WITH c AS (SELECT doc_id::VARCHAR AS "itemKey", lang AS type, NULL::VARCHAR AS title, NULL::VARCHAR AS abstract, NULL::VARCHAR AS date,
  NULL::VARCHAR AS url, NULL::VARCHAR AS doi, source AS authors, NULL::VARCHAR AS filename, NULL::VARCHAR AS path, NULL::VARCHAR AS attachment_title,
- CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN text ELSE '' END AS texteocr, 'csv' AS texteocr_provider FROM documents) """
+ coalesce(text, '') AS texteocr, 'csv' AS texteocr_provider FROM documents) """
 
 
 @query(_CANONICAL + "SELECT * FROM c")
@@ -120,7 +120,7 @@ def recode_partition(spark, d):
 
 
 _STOP = ", ".join(f"'{w}'" for w in sparse.STOP_WORDS)
-_TERMS = rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 50000)), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ts FROM documents),
+_TERMS = rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ts FROM documents),
  e AS (SELECT doc_id, len(ts) AS total, unnest(ts) AS term FROM t) """
 
 
@@ -171,17 +171,16 @@ def payload_c(spark, d):
     return payload.payload_c(_vectors(spark, d)).select("id", F.size("vector").alias("size"), "payload.original_id")
 
 
-@query(_CHUNKS + rf""", t AS (SELECT *, doc_id || '_' || chunk_index AS original_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 50000)), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ts FROM c),
+@query(_CHUNKS + rf""", t AS (SELECT *, doc_id || '_' || chunk_index AS original_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ts FROM c),
  i AS (SELECT original_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 100000 AS i, count(*) / any_value(total) AS v FROM (SELECT original_id, len(ts) AS total, unnest(ts) AS term FROM t) GROUP BY 1, 2),
  g AS (SELECT original_id, count(*) AS n_terms, string_agg(i::VARCHAR, ',' ORDER BY i) AS sparse_indices, round(sum(v * (1 + i % 7)), 6) AS weighted FROM i GROUP BY 1),
  j AS (SELECT *, sha1({_NS} || encode(original_id)) AS h FROM t LEFT JOIN g USING (original_id))
  SELECT {_UUID} AS uuid, original_id, doc_id, source, chunk_index, total_chunks, coalesce(n_terms, 0)::INT AS n_terms, coalesce(sparse_indices, '') AS sparse_indices, coalesce(weighted, 0) AS weighted FROM j""")
 def payload_flat(spark, d):
     """The flagship flow: documents to word chunks to sparse vectors to store payloads."""
-    chunks = _chunks(spark, d)
-    vectors = sparse.sparse_vectors(chunks, "id", "text")
+    chunks = sparse.with_sparse(_chunks(spark, d), "text")
     weighted = F.aggregate(F.zip_with("sparse.indices", "sparse.values", lambda i, x: x * (1 + i % 7)), F.lit(0.0), lambda x, y: x + y)
-    return chunks.join(vectors, "id").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
+    return chunks.select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
 
 
 @query("""WITH r AS (SELECT label, CASE WHEN embedding[2] < -0.3 THEN 1 ELSE 0 END AS failed, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS ok FROM embeddings),
@@ -192,10 +191,15 @@ def load_status(spark, d):
     return payload.load_status(results, ["label"])
 
 
-@query()
+@query("""SELECT count(*)::BIGINT AS sent, count(DISTINCT vec_id)::BIGINT AS inserted, 0::BIGINT AS failed_batches,
+ CASE WHEN count(*) > 0 AND count(DISTINCT vec_id) = 0 THEN 'error' WHEN count(DISTINCT vec_id) < count(*) THEN 'success_partial_data' ELSE 'success' END AS status FROM embeddings WHERE embedding IS NOT NULL""")
 def upsert_status(spark, d):
-    """All payloads sent to the in-memory stand-in store; the result is the load's status."""
-    return payload.load_status(payload.upsert(payload.payload_a(_vectors(spark, d)), providers.MemorySink))
+    """All payloads upserted by id into a table of the shared folder, twice over; what was sent against what is stored."""
+    rows = payload.payload_a(_vectors(spark, d))
+    store = staged(payload.upserted(rows, staged(payload.upserted(rows), "store")), "store")
+    none = F.lit(None).cast("string").alias("error")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return payload.load_status(rows.select(one.alias("sent"), zero.alias("inserted"), none).unionByName(store.select(zero.alias("sent"), one.alias("inserted"), none)))
 
 
 @query(f"WITH s AS (SELECT doc_id, sha1({_NS} || encode(source || '/' || doc_id)) AS h FROM documents) SELECT doc_id, {_UUID} AS uuid FROM s")
@@ -296,13 +300,13 @@ def internal_links(spark, d):
     return P.page_links(read(spark, d, "pages")).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query(_LINKS + """, s AS (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), e AS (SELECT i.url, i.link FROM i WHERE link IN (SELECT url FROM pages)),
- r AS (SELECT url, 0 AS depth FROM s), r1 AS (SELECT DISTINCT link AS url, 1 AS depth FROM e JOIN r USING (url) WHERE link NOT IN (SELECT url FROM r)), u1 AS (SELECT * FROM r UNION ALL SELECT * FROM r1),
- r2 AS (SELECT DISTINCT link AS url, 2 AS depth FROM e JOIN r1 USING (url) WHERE link NOT IN (SELECT url FROM u1)) SELECT url, depth::INT AS depth FROM u1 UNION ALL SELECT url, depth::INT FROM r2""")
+@query("WITH RECURSIVE " + _LINKS.removeprefix("WITH ") + """, s AS (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), e AS (SELECT i.url, i.link FROM i WHERE link IN (SELECT url FROM pages)),
+ r AS (SELECT url, 0 AS depth FROM s UNION SELECT link, depth + 1 FROM r JOIN e USING (url) WHERE depth < (SELECT count(*) FROM pages) AND link NOT IN (SELECT url FROM s))
+ SELECT url, min(depth)::INT AS depth FROM r GROUP BY url""")
 def crawl_frontier(spark, d):
     pages = read(spark, d, "pages")
     starts = pages.groupBy(F.parse_url("url", F.lit("HOST"))).agg(F.min("url").alias("url")).select("url")
-    return P.crawl(pages.select("url", "html"), starts, 2)
+    return P.crawl(pages.select("url", "html"), starts)
 
 
 @query()
@@ -334,11 +338,18 @@ def documents_with_meta(spark, d):
     return docs.select(m("doc_id").alias("k"), m("lang"), m("source"), m("n_chars"), F.md5("text").alias("text_md5"), "source_type", m("ingested_at")).select(F.col("k").cast("bigint").alias("doc_id"), "lang", "source", "n_chars", "text_md5", "source_type", "ingested_at")
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS row_index, 'csv_' || (row_number() OVER (ORDER BY doc_id) - 1) AS made_key FROM documents")
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS row_index, 'csv_' || (row_number() OVER (ORDER BY doc_id) - 1) AS made_key FROM documents")
 def row_numbers(spark, d):
-    """Keys by row position, numbered per range partition."""
-    rows = C.row_index(read(spark, d, "documents").select("doc_id"), "doc_id")
-    return rows.select("doc_id", F.col("row_index").cast("bigint").alias("row_index"), F.concat(F.lit("csv_"), F.col("row_index").cast("string")).alias("made_key"))
+    """Whole rows numbered by position, partition by partition."""
+    rows = C.row_index(read(spark, d, "documents"), "doc_id")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), "row_index", F.concat(F.lit("csv_"), F.col("row_index").cast("string")).alias("made_key"))
+
+
+@query("""SELECT 'csv_' || (row_number() OVER (ORDER BY doc_id) - 1) AS "itemKey", md5(coalesce(text, '')) AS text_md5, source AS authors FROM documents""")
+def canonical_keys(spark, d):
+    """Canonical rows of a table without keys: made from the rows' numbers."""
+    rows = read(spark, d, "documents").select("doc_id", F.col("text").alias("Contenu"), F.col("source").alias("Auteur"))
+    return C.to_canonical(rows, "doc_id").select("itemKey", F.md5("texteocr").alias("text_md5"), "authors")
 
 
 @query("""SELECT doc_id, 'Language: ' || lang || '; ' || md5(text[1:8000]) AS filled FROM documents""")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
 from ..streaming import progress, state
 from .tables import read
 
@@ -56,12 +57,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """A stream's result as a table in the shared folder, written batch by batch."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="docflow-stream-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         state.to_parquet(stream, f"{out}/rows", f"{out}/checkpoint")
     else:

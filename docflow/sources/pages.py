@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import internal_link, strip, strip_tags
+from .scratch import shared_folder
 
 HREF = r'href="([^"]*)"'
 
@@ -38,27 +38,26 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names; a temporary one only where none is set."""
+    """Checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docflow-checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def crawl(pages: DataFrame, start: DataFrame, most_depth: int) -> DataFrame:
+def crawl(pages: DataFrame, start: DataFrame, most_depth: int | None = None) -> DataFrame:
     """url, depth of the stored pages reachable from start (url) by internal links.
 
-    Breadth first: each round explodes the newest pages' links and leaves out what was visited; rounds are
-    checkpointed.
+    Breadth first, until nothing new is found (or to a given depth): each round explodes the newest pages' links and
+    leaves out what was visited; rounds are checkpointed.
     """
     edges = _cut(page_links(pages).join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_semi"))
     newest = _cut(start.join(pages.select("url").distinct(), "url", "left_semi").select("url", F.lit(0).alias("depth")).distinct())
-    visited = newest
-    for depth in range(1, most_depth + 1):
+    visited, depth = newest, 0
+    while depth != most_depth and not newest.isEmpty():
+        depth += 1
         found = edges.join(newest.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
         newest = _cut(found.withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
-            break
         visited = _cut(visited.unionByName(newest))
     return visited
 

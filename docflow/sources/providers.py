@@ -133,15 +133,3 @@ class HashEmbedder:
             norm = sum(x * x for x in v) ** 0.5
             out.append([x / norm for x in v] if norm else None)
         return out
-
-
-class MemorySink:
-    """Counts what it is given; rows without an id fail."""
-
-    def __init__(self):
-        self.rows: dict = {}
-
-    def upsert(self, rows: Sequence[dict]) -> int:
-        good = [r for r in rows if r.get("id") or r.get("uuid")]
-        self.rows |= {r.get("id") or r["uuid"]: r for r in good}
-        return len(good)

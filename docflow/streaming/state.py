@@ -43,13 +43,6 @@ def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MI
     return tries.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp, locked_until timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there and return it as a table; a second run with the same checkpoint goes on where this ended."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append a stream's rows to a table, exactly once by its checkpoint."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

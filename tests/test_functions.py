@@ -1,3 +1,4 @@
+import unicodedata
 import uuid
 
 import pytest
@@ -60,6 +61,9 @@ def test_folding(spark):
     assert one(spark, T.strip_accents, "Éa naïve ç ñ é") == "Ea naive c n e"
     assert one(spark, T.ascii_flat, "Éß日本x") == "ex"
     assert one(spark, T.alphanum_only, "Lé Fichier_(1).pdf") == "lefichier1pdf"
+    for said in ("ﬁle ²", "Ａｂ１", "ἀβ x", "Café ™", "𝐀b", "日 ① ½"):
+        assert one(spark, T.ascii_flat, said) == unicodedata.normalize("NFKD", said).encode("ascii", "ignore").decode().lower()
+    assert one(spark, T.strip_accents, "ἄνθρ") == "ανθρ"
 
 
 def test_small_functions(spark):

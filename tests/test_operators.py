@@ -12,19 +12,41 @@ from docflow.sources import providers
 
 def test_canonical_mapping(spark):
     df = spark.createDataFrame([(1, "A", "x", None, "k1"), (2, "B", " ", "y", ""), (3, None, None, "z", None)], "o int, Titre string, Texte string, author string, itemKey string")
-    got = C.to_canonical(df, F.col("o")).orderBy("texteocr").collect()
+    got = C.to_canonical(df, "o").orderBy("texteocr").collect()
     assert [tuple(r)[:1] + (r.title, r.texteocr, r.authors) for r in sorted(got, key=lambda r: r.itemKey)] == [("csv_1", "B", " ", "y"), ("csv_2", None, "", "z"), ("k1", "A", "x", None)]
-    assert C.to_canonical(df, F.col("o")).columns == CANONICAL
-    again = C.to_canonical(C.to_canonical(df, F.col("o")))
+    assert C.to_canonical(df, "o").columns == CANONICAL
+    again = C.to_canonical(C.to_canonical(df, "o"))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
-    assert C.with_text(C.to_canonical(df, F.col("o"))).count() == 1
-    assert C.existing_csv_gate(C.to_canonical(df, F.col("o"))).first().decision == "csv_cleanup"
+    assert C.with_text(C.to_canonical(df, "o")).count() == 1
+    assert C.existing_csv_gate(C.to_canonical(df, "o")).first().decision == "csv_cleanup"
+    assert [r.listed_as for r in C.empty_text_rejects(C.to_canonical(df, "o")).orderBy("listed_as").collect()] == ["B", "csv_2"]
     with pytest.raises(ValueError):
         C.find_text_column(["a", "b"])
     with pytest.raises(ValueError):
         C.to_canonical(df.drop("itemKey"))
 
 
+def test_row_index_of_a_wide_table(spark):
+    """Every row is there once, numbered in order, over many partitions and whatever the columns are called."""
+    rows = spark.range(0, 200_000, 1, 7).select((F.col("id") * 7919 % 200_003).alias("k"), F.repeat(F.lit("wide "), 20).alias("row_mark"), F.md5(F.col("id").cast("string")).alias("row_part"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    got = C.row_index(rows, "k", start=5)
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert got.columns == ["k", "row_mark", "row_part", "row_index"]
+    told = got.agg(F.count("*"), F.countDistinct("row_index"), F.min("row_index"), F.max("row_index"), F.countDistinct("row_part")).first()
+    assert tuple(told) == (200_000, 200_000, 5, 200_004, 200_000)
+    ranks = {r.k: r.row_index for r in got.select("k", "row_index").collect()}
+    assert all(ranks[k] == i + 5 for i, k in enumerate(sorted(ranks)))
+    again = C.row_index(got.where("k < 10"), "k")
+    assert again.columns == got.columns and again.agg(F.max("row_index")).first()[0] == again.count() - 1
+
+
+def test_synonyms(spark):
+    df = spark.createDataFrame([("k", "n", "d", "l", "t", "x")], "itemKey string, Nom string, annee string, lien string, item_type string, contenu string")
+    got = C.to_canonical(df).first()
+    assert (got.title, got.date, got.url, got.type, got.texteocr) == ("n", "d", "l", "t", "x")
+
+
 def test_documents_and_metadata(spark):
     df = spark.createDataFrame([("some longer text", 1, [1, 2], "v"), (" ", 2, [], "w"), (None, 3, None, None)], "text string, `Row No` int, tags array<int>, cat string")
     docs = C.to_documents(df, "text", "csv")
@@ -72,6 +94,8 @@ def test_sparse_vectors(spark):
     one = sparse.sparse_vectors(docs, "k", "text", dimensions=1).where("k = 1").first().sparse
     assert one["values"] == [1.0]
     assert sparse.term_frequencies(docs, "k", "text").agg(F.sum("tf")).first()[0] == pytest.approx(1)
+    long = spark.createDataFrame([(1, "word " * 20_000 + "tail"), (1, "word other word"), (None, "lost not")], "k int, text string")
+    assert sorted(map(tuple, sparse.term_counts(long, "k", "text").collect()), key=str) == sorted([(1, "tail", 1), (1, "word", 20_000), (1, "other", 1), (1, "word", 2), (None, "lost", 1), (None, "not", 1)], key=str)
 
 
 class Flaky:
@@ -90,13 +114,20 @@ def test_embedding_failures_are_null(spark):
 
 
 def test_payload_shapes(spark):
+    class Store:
+        def upsert(self, rows):
+            return sum(bool(r["id"]) for r in rows)
+
     rows = [("a", "d", 1, [0.1], (["1", "2"], ["0.5", "1"])), ("b", "d", 2, [0.2], (["x"], ["1"])), ("c", "d", 3, None, None), ("e", None, 4, [0.3], None)]
     df = spark.createDataFrame(rows, "id string, doc_id string, chunk_index int, embedding array<float>, sparse_embedding struct<indices:array<string>,values:array<string>>")
     got = {r.id: r.sparse_values for r in payload.payload_a(df).collect()}
     assert set(got) == {"a", "b", "e"} and got["a"]["indices"] == [1, 2] and got["b"] is None
     assert payload.payload_c(df).first().payload["original_id"] == "a"
     assert {r.doc_id for r in payload.document_chunks(df).collect()} == {"d", "unknown_document"}
-    assert payload.load_status(payload.upsert(payload.payload_a(df), providers.MemorySink)).first().status == "success"
+    assert payload.load_status(payload.upsert(payload.payload_a(df), Store)).first().status == "success"
+    stored = payload.upserted(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
+    after = payload.upserted(spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id int, v string"), stored)
+    assert {r.id: r.v for r in after.collect()} in ({1: "a", 2: "c", 3: v} for v in "de") and after.count() == 3
 
 
 @pytest.mark.parametrize("rows,status", [([(2, 2, None)], "success"), ([(2, 1, None)], "success_partial_data"), ([(2, 0, None)], "error"), ([(2, 2, None), (1, 0, "x")], "partial_error")])

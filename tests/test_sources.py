@@ -83,7 +83,7 @@ def test_markdown_and_crawl(spark):
     df = spark.createDataFrame(rows, "url string, html string")
     start = df.where("url = 'http://a.b/'").select("url")
     assert {(r.url[10:], r.depth) for r in pages.crawl(df, start, 2).collect()} == {("/", 0), ("/x", 1), ("/y", 2)}
-    assert pages.crawl(df, start, 9).count() == 4
+    assert pages.crawl(df, start, 9).count() == 4 and pages.crawl(df, start).agg(F.max("depth")).first()[0] == 3
 
 
 LINES = ["PROGRESS|row|3/8|a|b", "PROGRESS|init|5|go", "PROGRESS|row|x/8|m", "PROGRESS|row", " 45%|###   | 9/20 [x]", "Item 2/4 done", "An Error: failed", "error as a warning", "hello", None]
@@ -96,6 +96,24 @@ def test_progress_lines(spark):
     assert tuple(progress.final_event(got, 1).first()) == ("error", 5)
 
 
+LOGS = {
+    "INFO - Detected format: direct array with 150 items": ("init", None, 150, "Found 150 items to process"),
+    "150 items": None,
+    "INFO - ✓ Item ABC123 saved (45 total)": ("progress", 45, None, "Processed 45 items"),
+    "Resuming: 3/9 items already processed": ("init", None, 9, "Resuming: 3/9 already done"),
+    "Document #5 traité, 15 chunks produits.": ("progress", 5, None, "Document #5: 15 chunks generated"),
+    "Chargement de 450 chunks depuis 'file.json'": ("init", None, 450, "Loading 450 chunks for processing"),
+    " === Phase 2: Dense vectors === ": ("init", None, None, "=== Phase 2: Dense vectors ==="),
+    "Phase 9": None,
+}
+
+
+def test_worker_logs(spark):
+    lines = spark.createDataFrame([(x,) for x in LOGS], "value string")
+    got = {r.value: (r.type, r.current, r.total, r.message) for r in progress.events(lines).collect()}
+    assert got == {k: v for k, v in LOGS.items() if v}
+
+
 def test_progress_stream_resumes(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
