@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_signed, blocks, lean, stage
 from .seeds import Units, Words, byte_symbols, digests, units_of, words_of
 
-UNIT_SCHEMA = "doc_id long, part long, start int, count int, lead int, anchor long, unit binary"
+#: A row stands for all places (starts, ascending) of one unit in one text.
+UNIT_SCHEMA = "doc_id long, part long, starts array<int>, count int, lead int, anchor long, unit binary"
 
 
 def word_units(texts: list, length: int, gram: int, digest: bool) -> tuple[Units, list | None]:
@@ -57,18 +58,32 @@ def find_anchors(docs: DataFrame, units: Callable, length: int, gram: int) -> Da
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(run), "doc_id long, anchor long")
 
 
+def unit_rows(part: pa.Table, row: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, anchor: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
+    """Units of the texts in part as rows of UNIT_SCHEMA: the places of equal units of one text are gathered before any
+    shuffle, so a line that a text repeats costs one row.  keys: 16-byte digests."""
+    high, low = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T
+    same = (row, anchor, high, low, count, lead)
+    order = np.lexsort((start, *same[::-1]))
+    head = np.ones(len(order), bool)
+    head[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in same], axis=0)
+    at = np.flatnonzero(head)
+    one = order[at]
+    starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
+    rows = pa.array(row[one])
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc_id").take(rows), part.column("part").take(rows), starts, pa.array(count[one].astype(np.int32)), pa.array(lead[one].astype(np.int32)), pa.array(anchor[one]), pa.array([keys[i] for i in one.tolist()], pa.binary())],
+        names=["doc_id", "part", "starts", "count", "lead", "anchor", "unit"],
+    )
+
+
 def find_units(docs: DataFrame, units: Callable, length: int, gram: int) -> DataFrame:
-    """One row for each unit of every text."""
+    """One row for each different unit of every text, with its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             u, keys = units(texts, length, gram, True)
             if len(u.doc):
-                row = pa.array(u.doc)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(row), part.column("part").take(row), *(pa.array(x.astype(np.int32)) for x in (u.start, u.count, u.lead)), pa.array(as_signed(u.anchor)), pa.array(keys, pa.binary())],
-                    names=["doc_id", "part", "start", "count", "lead", "anchor", "unit"],
-                )
+                yield unit_rows(part, u.doc, u.start, u.count, u.lead, as_signed(u.anchor), keys)
 
     return docs.where("doc_id is not null").select("doc_id", "part", "text").mapInArrow(lean(run), UNIT_SCHEMA)
 
@@ -85,13 +100,25 @@ def repeated_units(docs: DataFrame, units: Callable, length: int, gram: int, acr
 
 
 def told(met: DataFrame, across: bool) -> DataFrame:
-    """Staged units -> the same with ``copy``, the same unit stands earlier, and ``n``, how many different units share the
-    anchor (null: one).  Units that are neither copies nor share their anchor with a different one are left out: their
-    windows stand nowhere else.
+    """Staged units -> doc_id, part, anchor, count, lead, n (how many different units share the anchor; null: one) and, of
+    each unit's places, ``copies``, before which the same unit stands, and ``open``, the others.  Places that are no
+    copies and whose anchor stands in no different unit are left out: their windows stand nowhere else.
     """
-    place = F.col("doc_id") if across else F.struct("doc_id", "start")
+    place = F.col("doc_id") if across else F.struct("doc_id", F.get("starts", F.lit(0)).alias("start"))
     leaders = stage(met.groupBy("anchor", "unit").agg(F.min(place).alias("first")), "leaders")
     varied = stage(leaders.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "varied")
     known = stage(leaders.join(varied, "anchor", "left"), "told")
+    if across:
+        late = lambda s: F.col("first") < F.col("doc_id")
+    else:
+        late = lambda s: (F.col("first.doc_id") < F.col("doc_id")) | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") < s))
     # each unit meets the one row of its class
-    return stage(met.join(known, ["anchor", "unit"]).withColumn("copy", F.col("first") < place).drop("first", "unit"), "repeats").where("copy or n is not null")
+    units = met.join(known, ["anchor", "unit"])
+    opened = F.when(F.col("n").isNotNull(), F.filter("starts", lambda s: ~late(s))).otherwise(F.array().cast("array<int>"))
+    marked = units.select("doc_id", "part", "anchor", "count", "lead", "n", F.filter("starts", late).alias("copies"), opened.alias("open"))
+    return stage(marked, "repeats").where("size(copies) > 0 or size(open) > 0")
+
+
+def ranges(starts: str, *more: str) -> Column:
+    """A column of starts as structs with the unit's count (and more of its columns)."""
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), "count", *more))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import UNIT_SCHEMA, byte_units, repeated_units, told
+from .anchors import UNIT_SCHEMA, byte_units, ranges, repeated_units, told, unit_rows
 from .common import blocks, few, lean, parted, reduced, stage, table
 from .run_index import repeated
 from .seeds import digests
@@ -49,7 +49,7 @@ def halves(width: int, level: int) -> list[tuple[int, int]]:
 
 def _with_units(docs: DataFrame, units: DataFrame) -> DataFrame:
     """doc_id, part, text, open (the list of a row's units) of the rows that have units."""
-    lists = units.groupBy("doc_id", "part").agg(F.collect_list(F.struct("anchor", "start", "count", "lead")).alias("open"))
+    lists = units.groupBy("doc_id", "part").agg(F.flatten(F.collect_list(ranges("open", "anchor", "lead"))).alias("open"))
     return reduced(docs, units.select("doc_id").distinct(), "doc_id").join(lists, ["doc_id", "part"])
 
 
@@ -62,28 +62,24 @@ def _opened(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _split(length: int, gram: int, level: int):
     """Units of one level -> their parts in the ranges of distances of the next."""
-    ranges = halves(length - gram + 1, level)
+    distances = halves(length - gram + 1, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
             row, _, start, count, lead = _opened(part)
             base = np.cumsum([0, *(len(t or b"") for t in texts)])
             whole = b"".join(t or b"" for t in texts)
-            for low, high in ranges:
+            for low, high in distances:
                 far, near = np.minimum(lead, high), np.maximum(lead - count + 1, low)  # distances of the first and last window
                 some = np.flatnonzero(far >= near)
                 if not len(some):
                     continue
-                r, f, n = pa.array(row[some]), far[some].astype(np.int64), near[some].astype(np.int64)
+                f, n = far[some].astype(np.int64), near[some].astype(np.int64)
                 at = start[some].astype(np.int64) + lead[some]  # of the anchor, in its text
                 begin = base[row[some]] + at
                 shared = digests(whole, begin - low, begin - high + length)
-                anchor = [int.from_bytes(k[:8], "little", signed=True) ^ (level << 8 | low) for k in shared]
-                columns = [pa.array(x.astype(np.int32)) for x in (at - f, f - n + 1, f)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(r), part.column("part").take(r), *columns, pa.array(anchor, pa.int64()), pa.array(digests(whole, begin - f, begin - n + length), pa.binary())],
-                    names=["doc_id", "part", "start", "count", "lead", "anchor", "unit"],
-                )
+                anchor = np.array([int.from_bytes(k[:8], "little", signed=True) ^ (level << 8 | low) for k in shared], np.int64)
+                yield unit_rows(part, row[some], at - f, f - n + 1, f, anchor, digests(whole, begin - f, begin - n + length))
 
     return run
 
@@ -156,14 +152,13 @@ def _removal(length: int):
 
 
 def repeated_ranges(docs: DataFrame, length: int, gram: int, most_units: int) -> DataFrame:
-    """(doc_id, part, start, count): runs of window starts whose window also starts earlier."""
-    mark = ["doc_id", "part", "start", "count"]
+    """doc_id, part, runs: lists of runs (start, count) of window starts whose window also starts earlier."""
     width, level = length - gram + 1, 0
     found = repeated_units(docs, byte_units, length, gram, across=False)
     copies, open_units = [], []
     while True:
-        copies.append(found.where("copy").select(*mark))
-        still = found.where("not copy")
+        copies.append(found.where("size(copies) > 0").select("doc_id", "part", ranges("copies").alias("runs")))
+        still = found.where("size(open) > 0")
         last = all(a == b for a, b in halves(width, level))
         open_units.append(still if last else still.where(F.col("n") <= most_units))
         crowded = still.where(F.col("n") > most_units)
@@ -173,7 +168,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_units: int) ->
         found = told(stage(_with_units(docs, crowded).mapInArrow(lean(_split(length, gram, level)), UNIT_SCHEMA), "split"), across=False)
     pieces = stage(_with_units(docs, reduce(DataFrame.unionByName, open_units)).mapInArrow(lean(_pieces(length)), PIECE), "pieces")
     indexed = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(lean(_indexed(length)), "doc_id long, part long, start int, count int")
-    return reduce(DataFrame.unionByName, copies).unionByName(indexed)
+    return reduce(DataFrame.unionByName, copies).unionByName(indexed.select("doc_id", "part", F.array(F.struct("start", "count")).alias("runs")))
 
 
 def run_dedup(docs: DataFrame, length: int = 100, gram: int = 48, most_units: int = 1024) -> DataFrame:
@@ -182,8 +177,8 @@ def run_dedup(docs: DataFrame, length: int = 100, gram: int = 48, most_units: in
     most_units bounds a block, not the result.
     """
     docs = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    ranges = repeated_ranges(docs, length, gram, most_units)
-    marks = stage(ranges.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "count")).alias("marks")), "marks")
+    found = repeated_ranges(docs, length, gram, most_units)
+    marks = stage(found.groupBy("doc_id", "part").agg(F.flatten(F.collect_list("runs")).alias("marks")), "marks")
     keys, schema = few(marks.select("doc_id", "part")), f"doc_id long, n_bytes long, n_removed long, spans {SPAN}, kept binary"
     cut = docs.join(keys, ["doc_id", "part"], "left_semi").join(marks, ["doc_id", "part"])
     rest = docs.join(keys, ["doc_id", "part"], "left_anti").withColumn("marks", F.lit(None).cast(SPAN))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import repeated_units, word_digests, word_units
+from .anchors import ranges, repeated_units, word_digests, word_units
 from .common import blocks, few, lean, parted, reduced, stage, table, unused
 from .seeds import words_of
 
@@ -89,14 +89,15 @@ def repeat_marks(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame
     if not 0 < gram <= length:
         raise ValueError("gram must lie between 1 and length")
     found = repeated_units(docs, word_units, length, gram, across=True)
-    still = found.where("not copy")
-    lists = still.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "count")).alias("open"))
+    still = found.where("size(open) > 0")
+    lists = still.groupBy("doc_id", "part").agg(F.flatten(F.collect_list(ranges("open"))).alias("open"))
     texts = reduced(docs, still.select("doc_id").distinct(), "doc_id").join(lists, ["doc_id", "part"])
     windows = stage(texts.mapInArrow(lean(_window_rows(length)), "doc_id long, part long, start int, win binary"), "windows")
     lows = stage(windows.groupBy("win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "lows")
     late = windows.join(lows, "win").where("low < doc_id")
-    ranges = found.where("copy").select("doc_id", "part", "start", "count").unionByName(late.select("doc_id", "part", "start", F.lit(1).alias("count")))
-    return stage(ranges.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "count")).alias("marks")), "marks")
+    runs = found.where("size(copies) > 0").select("doc_id", "part", ranges("copies").alias("runs"))
+    both = runs.unionByName(late.select("doc_id", "part", F.array(F.struct("start", F.lit(1).alias("count"))).alias("runs")))
+    return stage(both.groupBy("doc_id", "part").agg(F.flatten(F.collect_list("runs")).alias("marks")), "marks")
 
 
 def cut_texts(docs: DataFrame, length: int = 50, gram: int = 20, n_chars: str | None = None) -> DataFrame:
