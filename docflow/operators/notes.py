@@ -118,3 +118,9 @@ def send_notes(notes: DataFrame, sink: Callable[[], NoteSink], at_once: int = 5)
             yield pa.RecordBatch.from_arrays([part.column("itemKey"), pa.array([v for v, _ in done], pa.int64()), pa.array([e for _, e in done], pa.string())], names=["itemKey", "version", "error"])
 
     return notes.select("itemKey", "html").coalesce(at_once).mapInArrow(run, "itemKey string, version long, error string")
+
+
+def backup_notes(notes: DataFrame, path: str) -> DataFrame:
+    """Keep a copy of generated notes as JSON, one object a line, and read it back; an earlier copy is replaced."""
+    notes.write.mode("overwrite").json(path)
+    return notes.sparkSession.read.schema(notes.schema).json(path)

@@ -154,6 +154,14 @@ def delete_session(sessions: DataFrame, projects: DataFrame, gone: DataFrame) ->
     return left, marked.withColumn("session_folder", folder).select(*projects.columns)
 
 
+def cleaned(sessions: DataFrame, removals: DataFrame) -> DataFrame:
+    """Sessions marked as cleaned up where their folder went (removals: id, error).  A folder that was missing already is
+    removed without an error; any error of a session leaves it as it was, and so does no removal at all."""
+    tried = removals.groupBy("id").agg(F.count("error").alias("errors"))
+    done = sessions.join(tried, "id", "left").withColumn("cleaned_up", F.col("cleaned_up") | F.coalesce(F.col("errors") == 0, F.lit(False)))
+    return done.select(*sessions.columns)
+
+
 def audit_entries(actions: DataFrame, as_of: Column) -> DataFrame:
     """Rows to append to the audit log: user_id, action, resource_type, resource_id, details (JSON), success 0/1, created_at."""
     rest = [c for c in actions.columns if c not in ("user_id", "action", "resource_type", "resource_id", "success")]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import canonical as C
-from ..operators import chunk, dense, fuzzy, notes, payload, sparse
+from ..operators import chunk, dense, fuzzy, notes, payload, phases, sparse
 from ..sources import pages as P
 from ..sources import providers
-from ..sources.scratch import staged
+from ..sources.scratch import shared_folder, staged
 from .tables import read
 
 QUERIES: dict = {}
@@ -357,3 +359,23 @@ def canonical_keys(spark, d):
 def prompt_fill(spark, d):
     """A template filled with the language and a text cut to 8000 characters (the feature's own limit)."""
     return read(spark, d, "documents").select("doc_id", F.concat(F.replace(F.lit("Language: {LANGUAGE}; "), F.lit("{LANGUAGE}"), T.note_language(F.col("lang"))), F.md5(T.truncate(F.col("text")))).alias("filled"))
+
+
+@query("""SELECT doc_id, 'writer' AS source, md5('<p>' || coalesce(text, '') || '</p>') AS html_md5 FROM documents""")
+def notes_backup(spark, d):
+    """Notes of whole texts, line breaks and quotes among them, through the JSON copy."""
+    html = F.concat(F.lit("<p>"), F.coalesce("text", F.lit("")), F.lit("</p>"))
+    made = read(spark, d, "documents").select("doc_id", html.alias("html"), F.lit("writer").alias("source"))
+    kept = notes.backup_notes(made, f"{shared_folder(spark)}/docflow-notes-{uuid.uuid4().hex}")
+    return kept.select("doc_id", "source", F.md5("html").alias("html_md5"))
+
+
+@query(_CHUNKS + "SELECT doc_id, count(*)::BIGINT AS n_chunks FROM c GROUP BY doc_id")
+def phase_run(spark, d):
+    """All phases, then the last one once more from the tables that are there."""
+    chunks = lambda _: chunk.chunk_words(read(spark, d, "documents"))
+    counted = lambda df: df.join(sparse.sparse_vectors(df, "id", "text"), "id")
+    steps = {"initial": chunks, "sparse": counted}
+    folder = f"{shared_folder(spark)}/docflow-phases-{uuid.uuid4().hex}"
+    phases.run_phases(spark, steps, "all", folder)
+    return phases.run_phases(spark, steps, "sparse", folder).where("sparse is not null").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))

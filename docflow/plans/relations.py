@@ -255,6 +255,14 @@ def delete_sessions(spark, d):
     return R.delete_session(projects, projects, gone)[1]
 
 
+@query(_S + """, r AS (SELECT l_orderkey AS id, count(*) FILTER (l_returnflag = 'R') AS errors FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
+ SELECT s.id, s.status, s.cleaned_up OR coalesce(r.errors = 0, FALSE) AS cleaned_up FROM s LEFT JOIN r USING (id)""")
+def session_cleanup(spark, d):
+    """Line items stand for removals of a session's files; returned ones failed."""
+    tried = read(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "failed").alias("error"))
+    return R.cleaned(_sessions(spark, d), tried).select("id", "status", "cleaned_up")
+
+
 @query("""SELECT o_orderkey, o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS nth, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders""")
 def ext_windows(spark, d):
     """Extension: ranking and running totals."""

@@ -71,6 +71,13 @@ def stream_progress(spark, d):
     return _run(progress.events(_lines(_event_stream(spark, d))).select("event_id", "type", "current", "total", "percent", "message"))
 
 
+@query("SELECT event_id, stream, type, message FROM (" + _PARSED + ") JOIN (SELECT event_id, CASE event_type WHEN 'error' THEN 'stderr' ELSE 'stdout' END AS stream FROM events) USING (event_id)")
+def stream_merge(spark, d):
+    """Two live streams, a worker's output and its errors, read as one."""
+    out, err = (_lines(_event_stream(spark, d).where(c)) for c in ("event_type <> 'error'", "event_type = 'error'"))
+    return _run(progress.events(progress.merged(out, err)).select("event_id", "stream", "type", "message"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_counts(spark, d):
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
