@@ -58,7 +58,7 @@ def find_anchors(docs: DataFrame, units: Callable, length: int, gram: int) -> Da
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(run), "doc_id long, anchor long")
 
 
-def unit_rows(part: pa.Table, row: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, anchor: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
+def unit_rows(part: pa.RecordBatch, row: np.ndarray, start: np.ndarray, count: np.ndarray, lead: np.ndarray, anchor: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
     """Units of the texts in part as rows of UNIT_SCHEMA: the places of equal units of one text are gathered before any
     shuffle, so a line that a text repeats costs one row.  keys: 16-byte digests."""
     high, low = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2).T

@@ -3,9 +3,11 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.llm import anchors
 from docflow.llm import minhash_dedup as M
 from docflow.llm.components import components
 from docflow.llm.run_dedup import run_dedup
@@ -181,3 +183,15 @@ def test_components_of_a_long_shuffled_chain(spark):
     chains = [ids, list(range(1999, 999, -1))]
     links = spark.createDataFrame([p for c in chains for p in zip(c, c[1:])], "a long, b long")
     assert rows_of(components(links)) == Counter((i, i // 1000 * 1000) for i in range(2000))
+
+
+def test_equal_units_of_a_text_are_one_row():
+    line = " ".join(f"w{i}" for i in range(70)) + " "
+    texts = [(line * 8).encode(), b"short", (line * 2).encode()]
+    units, keys = anchors.word_units(texts, 50, 20, True)
+    part = pa.record_batch({"doc_id": [7, 8, 9], "part": [0, 0, 0]})
+    rows = anchors.unit_rows(part, units.doc, units.start, units.count, units.lead, units.anchor.view("int64"), keys).to_pylist()
+    assert len(rows) < len(keys) and len({(r["doc_id"], r["anchor"], r["unit"]) for r in rows}) == len(rows)
+    assert all(r["starts"] == sorted(r["starts"]) for r in rows)
+    places = sorted((r["doc_id"], s, r["count"], r["lead"], r["unit"]) for r in rows for s in r["starts"])
+    assert places == sorted(zip([[7, 8, 9][d] for d in units.doc], units.start.tolist(), units.count.tolist(), units.lead.tolist(), keys))
