@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docflow.operators import canonical as C
-from docflow.operators import chunk, dense, fuzzy, notes, payload, sparse
+from docflow.operators import chunk, dense, fuzzy, notes, payload, phases, sparse
 from docflow.operators import relational as R
 from docflow.schema import CANONICAL
 from docflow.sources import providers
@@ -211,3 +211,19 @@ def test_observed_counts(spark):
 
     df, seen = metrics.observed(spark.createDataFrame([(1, None), (2, "e")], "a int, error string"), "error")
     assert df.count() == 2 and seen.get == {"n_rows": 2, "n_failed": 1}
+
+
+def test_cleaned_needs_all_removals_to_succeed(spark):
+    sessions = spark.createDataFrame([(1, False), (2, False), (3, False), (4, True)], "id long, cleaned_up boolean")
+    removals = spark.createDataFrame([(1, None), (1, None), (2, None), (2, "busy"), (4, "busy")], "id long, error string")
+    got = {r.id: r.cleaned_up for r in R.cleaned(sessions, removals).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_phases_take_up_the_table_before(spark, tmp_path):
+    steps = {"initial": lambda _: spark.range(3), "dense": lambda df: df.selectExpr("id", "id * 2 as v")}
+    assert phases.run_phases(spark, steps, "initial", str(tmp_path)).count() == 3
+    assert sorted(r.v for r in phases.run_phases(spark, steps, "dense", str(tmp_path)).collect()) == [0, 2, 4]
+    assert phases.run_phases(spark, steps, "all", str(tmp_path)).columns == ["id", "v"]
+    with pytest.raises(ValueError):
+        phases.run_phases(spark, steps, "sparse", str(tmp_path))
