@@ -8,6 +8,9 @@ replaced holds several; emptied leaves stay with sums of 0.
 
 Defined results: a null text is empty; a null or empty list of edits changes nothing; null fields of an edit are 0, 0 and
 ''; positions beyond the text are cut to it, and a stop before its start is the start; edits apply in the list's order.
+Of a kept tree only the leaves are stored; a null one, or one whose characters are not as many as the text's, is built
+anew from the text.  That a pre-token ending two characters before an edit has not seen it holds for the default
+pattern, which looks one character ahead; another pattern must look no further.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,19 +27,22 @@ from .bpe import Bpe, bpe, default_vocabulary
 from .common import blocks, lean, table
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
+TREE = "array<struct<chars:int,tokens:int>>"
 
 
 class CountTree:
-    def __init__(self, coder: Bpe, text: str, pieces: list[str] | None = None):
+    def __init__(self, coder: Bpe, text: str, pieces: list[str] | None = None, kept: np.ndarray | None = None):
+        """A tree over the text's pre-tokens, or over kept ones (rows of characters and tokens), which are not encoded."""
         self.coder, self.text = coder, text
-        pieces = coder.split(text) if pieces is None else pieces
-        n = len(pieces)
+        if kept is None:
+            pieces = coder.split(text) if pieces is None else pieces
+            kept = np.array([list(map(len, pieces)), coder.counts(pieces)], np.int64).T
+        n = len(kept)
         self.n_leaves = max(1, n)
         self.size = size = 1 << (self.n_leaves - 1).bit_length()
         #: Characters and tokens below each node; node 1 is the root, leaf i is node size + i.
         self.sums = sums = np.zeros((2 * size, 2), np.int64)
-        sums[size : size + n, 0] = list(map(len, pieces))
-        sums[size : size + n, 1] = coder.counts(pieces)
+        sums[size : size + n] = kept
         level = size
         while level > 1:  # each level at once
             sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
@@ -48,6 +55,10 @@ class CountTree:
         found = self.edited.get(i)
         return [tuple(self.sums[self.size + i].tolist())] if found is None else found
 
+    def leaves(self) -> np.ndarray:
+        """Characters and tokens of every pre-token, in order: what another tree can be built from."""
+        return np.array([p for i in range(self.n_leaves) for p in self.leaf(i)], np.int64).reshape(-1, 2)
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -124,8 +135,29 @@ class CountTree:
             self._set(old_leaf, rest)
 
 
-def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, text, edits) -> doc_id, n_edits, n_pretokens, tokens_before, tokens_after, n_reencoded, text (edited)."""
+def kept_leaves(column: pa.ListArray, texts: list[str]) -> list[np.ndarray | None]:
+    """The leaves of each row's kept tree; None where there is none, or none of this text."""
+    flat = column.flatten()
+    values = np.stack([flat.field(k).fill_null(0).to_numpy() for k in ("chars", "tokens")], axis=1).astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    rows = [values[b - n : b] for b, n in zip(ends, np.diff(ends, prepend=0))]
+    return [r if ok and r[:, 0].sum() == len(t) else None for r, ok, t in zip(rows, column.is_valid().to_pylist(), texts)]
+
+
+def leaf_column(trees: list[CountTree]) -> pa.ListArray:
+    found = [t.leaves() for t in trees]
+    offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    chars, tokens = np.concatenate([np.zeros((0, 2), np.int64), *found]).astype(np.int32).T
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(chars), pa.array(tokens)], names=["chars", "tokens"]))
+
+
+def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None, kept: str | None = None, keep: bool = False) -> DataFrame:
+    """(doc_id, text, edits) -> doc_id, n_edits, n_pretokens, tokens_before, tokens_after, n_reencoded, text (edited), and
+    if ``keep``, tree: its leaves after the edits.
+
+    kept: a column of docs that holds the trees of an earlier call over the same texts; their texts are neither split
+    nor encoded but around the edits.
+    """
     path, pattern = (path, pattern) if path else default_vocabulary()
     names = ["n_edits", "n_pretokens", "tokens_before", "tokens_after", "n_reencoded"]
 
@@ -134,21 +166,26 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
         for part, texts in blocks(batches, "text"):
             rows, edited = [], []
             decoded = [(t or b"").decode(errors="replace") for t in texts]
-            split = [coder.split(t) for t in decoded]
+            held = kept_leaves(part.column("tree"), decoded) if kept else [None] * len(decoded)
+            split = [coder.split(t) if h is None else [] for t, h in zip(decoded, held)]
             coder.learn(set().union(*split))
-            for t, pieces, edits in zip(decoded, split, part.column("edits").to_pylist()):
-                tree = CountTree(coder, t, pieces)
-                before, n_pieces = tree.tokens, len(pieces)
+            trees = []
+            for t, pieces, leaves, edits in zip(decoded, split, held, part.column("edits").to_pylist()):
+                tree = CountTree(coder, t, pieces, leaves)
+                before, n_pieces = tree.tokens, len(pieces if leaves is None else leaves)
                 for e in edits or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
                 rows.append((len(edits or []), n_pieces, before, tree.tokens, tree.reencoded))
                 edited.append(tree.text)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(edited, pa.string())], names=["doc_id", *names, "text"])
+                if keep:
+                    trees.append(tree)
+            columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(edited, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, leaf_column(trees)] if keep else columns, names=["doc_id", *names, "text", *(["tree"] if keep else [])])
         coder.forget()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits")
-    return rows.mapInArrow(lean(run), f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits", *([F.col(f"`{kept}`").cast(TREE).alias("tree")] if kept else []))
+    return rows.mapInArrow(lean(run), f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string{f', tree {TREE}' if keep else ''}")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

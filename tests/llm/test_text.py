@@ -138,6 +138,24 @@ def test_edits_touch_little(coder):
     assert tree.reencoded < 12 and tree.tokens == len(coder.encode(tree.text))
 
 
+def test_kept_trees_take_a_second_batch_of_edits(spark, coder):
+    """Two calls with kept trees equal one call with all edits, and the second encodes only around its own."""
+    first, second = "array(struct(10 as start, 13 as stop, ' new words' as text))", "array(struct(9000 as start, 9000 as stop, 'x' as text), struct(0 as start, 4 as stop, '' as text))"
+    docs = spark.createDataFrame([(1, brute.numbered(3000)), (2, "short"), (3, None), (4, "")], "doc_id long, text string")
+    once = {r.doc_id: r for r in token_counts.edit_counts(docs.withColumn("edits", F.expr(f"concat({first}, {second})"))).collect()}
+    kept = token_counts.edit_counts(docs.withColumn("edits", F.expr(first)), keep=True)
+    moved = kept.select("doc_id", "text", F.expr(second).alias("edits"), "tree")
+    got = {r.doc_id: r for r in token_counts.edit_counts(moved, kept="tree", keep=True).collect()}
+    for i, r in got.items():
+        assert (r.text, r.tokens_after) == (once[i].text, once[i].tokens_after) == (r.text, len(coder.encode(r.text)))
+        assert sum(p.chars for p in r.tree) == len(r.text) and sum(p.tokens for p in r.tree) == r.tokens_after
+    assert got[1].n_reencoded < 20 < got[1].n_pretokens
+    # trees that are null or of another text are built anew
+    for tree in (F.lit(None).cast(token_counts.TREE), F.expr("array(struct(1 as chars, 7 as tokens))")):
+        anew = {r.doc_id: r.tokens_after for r in token_counts.edit_counts(moved.withColumn("tree", tree), kept="tree").collect()}
+        assert anew == {i: r.tokens_after for i, r in got.items()}
+
+
 def test_edit_counts_of_awkward_rows(spark):
     edits = F.lit(None).cast(token_counts.EDITS)
     got = token_counts.edit_counts(brute.awkward(spark).withColumn("edits", edits))
