@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CORRUPT = "__corrupt"
+from ..functions.text import blank
+from ..operators.canonical import find_text_column, row_index, to_documents
+from ..schema import unused
 
 
 @dataclass(frozen=True)
@@ -28,22 +31,41 @@ class CsvConfig:
         return cls(**d)
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 10_000) -> str:
-    """UTF-8 if the file's first bytes are valid UTF-8 (a cut last character apart), else ISO-8859-1."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("head")).first()
-    data = bytes(head["head"]) if head else b""
-    for cut in range(4):
-        try:
-            data[: len(data) - cut].decode("utf-8-sig")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
+def layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, multiLine) of the files at path, from one distributed scan of all their lines.
+
+    UTF-8 if every line is valid UTF-8, else ISO-8859-1.  A quoted line break leaves a line with an odd number of quotes;
+    files without one are read line by line, so that a large file is split over tasks.
+    """
+    line = F.col("value")
+    quotes = F.length(F.regexp_replace(line, '[^"]', ""))
+    found = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")).first()
+    return "ISO-8859-1" if found.utf8 is False else "UTF-8", bool(found.broken)
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    return layout(spark, path)[0]
 
 
 def _header(spark: SparkSession, path: str, options: dict) -> list[str]:
     names = spark.read.options(**options).csv(path).columns
-    return [n.lstrip("﻿") for n in names]
+    return [n.lstrip("\ufeff") for n in names]
+
+
+def _read(spark: SparkSession, path: str, delimiter: str, encoding: str, schema: str | None = None) -> tuple[DataFrame, list[str], Column, Column]:
+    """All rows, the names of their cells, whether a row has too many of them, and its raw line."""
+    found, broken = layout(spark, path)
+    options = {"header": True, "sep": delimiter, "encoding": found if encoding == "auto" else encoding, "multiLine": broken, "escape": '"'}
+    header = _header(spark, path, options)
+    corrupt = unused("__corrupt", header)
+    types = schema or ", ".join(f"`{n}` string" for n in header)
+    read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt).schema(f"{types}, `{corrupt}` string").csv(path)
+    names = [c for c in read.columns if c != corrupt]
+    raw = F.col(corrupt)
+    cells = F.size(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), '"(?:[^"]|"")*"', ""), re.escape(delimiter), -1))
+    # a raw line never equals its cells run together; naming the cells keeps Spark from reading the raw lines alone
+    too_long = raw.isNotNull() & (cells > len(names)) & (raw != F.concat_ws("", *(F.col(f"`{c}`").cast("string") for c in names)))
+    return read, names, F.coalesce(too_long, F.lit(False)), raw
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "auto", schema: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,14 +73,31 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str
 
     The header is read from the first line; quoted line breaks are allowed.
     """
-    options = {"header": True, "sep": delimiter, "encoding": detect_encoding(spark, path) if encoding == "auto" else encoding, "multiLine": True, "escape": '"'}
-    types = schema or ", ".join(f"`{n}` string" for n in _header(spark, path, options))
-    read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(f"{types}, `{CORRUPT}` string").csv(path)
-    names = [c for c in read.columns if c != CORRUPT]
-    cells = F.size(F.split(F.regexp_replace(F.coalesce(CORRUPT, F.lit("")), '"(?:[^"]|"")*"', ""), f"[{delimiter}]", -1))
-    # a raw line never equals its cells run together; naming the cells keeps Spark from reading the raw lines alone
-    too_long = F.col(CORRUPT).isNotNull() & (cells > len(names)) & (F.col(CORRUPT) != F.concat_ws("", *(f"`{c}`" for c in names)))
-    return read.where(~F.coalesce(too_long, F.lit(False))).select(*(f"`{c}`" for c in names)), read.where(too_long).select(F.col(CORRUPT).alias("line"))
+    read, names, too_long, raw = _read(spark, path, delimiter, encoding, schema)
+    return read.where(~too_long).select(*(f"`{c}`" for c in names)), read.where(too_long).select(raw.alias("line"))
+
+
+def ingest_csv(spark: SparkSession, path: str, config: CsvConfig = CsvConfig()) -> DataFrame:
+    """The rows of a CSV file as documents (text, meta, source_type), as the config says.
+
+    The text column is the config's, or else the first known one.  No meta_columns: all others.  Rows are numbered from 0
+    in the file's order, rows without text counted.  Such rows are left out, or are an error without skip_empty.
+    """
+    read, names, too_long, _ = _read(spark, path, config.delimiter, config.encoding)
+    text = config.text_column if config.text_column in names else find_text_column(names)
+    cells = [F.col(f"`{c}`") for c in names]
+    if config.skip_empty:
+        rows = read
+    else:
+        rows = read.withColumn(text, F.when(~too_long & blank(F.col(f"`{text}`")), F.raise_error(F.lit("a row has no text"))).otherwise(F.col(f"`{text}`")))
+    meta = list(config.meta_columns) or None
+    if not config.add_row_index:
+        return to_documents(rows.where(~too_long).select(*cells), text, "csv", meta)
+    index, file, block, line = (unused(n, names) for n in ("row_index", "file_at", "block_at", "line_at"))
+    # a block of a file is one task's, read in order
+    placed = rows.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(line))
+    numbered = row_index(placed.where(~too_long).select(*cells, file, block, line), [file, block, line], index).select(*cells, F.col(index))
+    return to_documents(numbered, text, "csv", meta, index=index)
 
 
 def read_csv_strings(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "auto") -> DataFrame:

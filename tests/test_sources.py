@@ -27,6 +27,42 @@ def test_csv(spark, tmp_path):
     assert csv.preview(rows, 1).count() == 1 and csv.stage_summary(rows).first() == (3, 3)
 
 
+def test_csv_layout(spark, tmp_path):
+    """Late bytes that are no UTF-8 count, and only quoted line breaks cost the splitting of a file."""
+    late, plain, broken = (tmp_path / n for n in ("late.csv", "plain.csv", "broken.csv"))
+    late.write_bytes(b"text\n" + b"plain ascii\n" * 3000 + "été\n".encode("latin-1"))
+    plain.write_text('text,n\n"a ""b"", c",1\n')
+    broken.write_text('text,n\n"a\nb",1\n')
+    assert [csv.layout(spark, str(p)) for p in (late, plain, broken)] == [("ISO-8859-1", False), ("UTF-8", False), ("UTF-8", True)]
+    assert csv.read_csv(spark, str(late))[0].where("text = 'été'").count() == 1
+    assert [tuple(r) for r in csv.read_csv(spark, str(plain))[0].collect()] == [('a "b", c', "1")]
+    long = tmp_path / "long.csv"
+    long.write_text("a|__corrupt\n1|2\n3|4|5\n")
+    rows, rejected = csv.read_csv(spark, str(long), delimiter="|")
+    assert [tuple(r) for r in rows.collect()] == [("1", "2")] and [r.line for r in rejected.collect()] == ["3|4|5"]
+
+
+def test_csv_ingestion(spark, tmp_path):
+    path = tmp_path / "docs.csv"
+    path.write_text("Content;Title (x);row_index\n" + "".join(f"{'' if i % 7 == 3 else f'text number {i}'};t{i};r{i}\n" for i in range(500)))
+    parts = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        config = csv.CsvConfig(delimiter=";", meta_columns=("Title (x)",))
+        got = csv.ingest_csv(spark, str(path), config)
+        assert got.count() == len([i for i in range(500) if i % 7 != 3])
+        assert all(r.text == f"text number {r.meta['row_index']}" and r.meta["title"] == f"t{r.meta['row_index']}" for r in got.collect())
+        plain = csv.ingest_csv(spark, str(path), csv.CsvConfig(delimiter=";", add_row_index=False)).collect()
+        assert {(r.text, r.meta["row_index"]) for r in plain} == {(f"text number {i}", f"r{i}") for i in range(500) if i % 7 != 3}
+        with pytest.raises(Exception, match="a row has no text"):
+            csv.ingest_csv(spark, str(path), csv.CsvConfig(delimiter=";", skip_empty=False)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+    path.write_text("title\nx\n")
+    with pytest.raises(ValueError, match="no text column"):
+        csv.ingest_csv(spark, str(path))
+
+
 ITEMS = [
     {"itemType": "book", "itemKey": "K1", "title": "T", "creators": [{"lastName": "L", "firstName": "F"}, {"lastName": "", "firstName": ""}], "attachments": [{"path": "a.PDF", "title": "x"}, {"path": "b.txt"}]},
     {"itemType": "note", "itemKey": "N"},
