@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -361,6 +362,23 @@ def prompt_fill(spark, d):
     return read(spark, d, "documents").select("doc_id", F.concat(F.replace(F.lit("Language: {LANGUAGE}; "), F.lit("{LANGUAGE}"), T.note_language(F.col("lang"))), F.md5(T.truncate(F.col("text")))).alias("filled"))
 
 
+def _filled(template: str, fields: dict[str, str]) -> str:
+    """DuckDB SQL of the template: its pieces between the placeholders, joined with the fields' expressions."""
+    pieces = re.split(r"[{]([A-Z]+)[}]", template)
+    return " || ".join(fields[x] if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(pieces))
+
+
+_PROMPT_FIELDS = {"LANGUAGE": "lang", "TITLE": "source", "AUTHORS": "doc_id::VARCHAR", "DATE": "'N/A'", "DOI": "'N/A'", "URL": "'N/A'", "ABSTRACT": "'Non disponible'", "TEXT": "coalesce(text, '')"}
+
+
+@query(f"SELECT doc_id, md5({_filled(notes.PROMPT, _PROMPT_FIELDS)}) AS prompt_md5 FROM documents")
+def note_prompts(spark, d):
+    """The prompt of a full note with the whole text; missing fields have their fixed words."""
+    docs = read(spark, d, "documents")
+    fields = {"TITLE": F.col("source"), "AUTHORS": F.col("doc_id").cast("string")}
+    return docs.select("doc_id", F.md5(notes.fill_prompt(notes.PROMPT, fields, F.col("text"), T.note_language(F.col("lang")))).alias("prompt_md5"))
+
+
 @query("""SELECT doc_id, 'writer' AS source, md5('<p>' || coalesce(text, '') || '</p>') AS html_md5 FROM documents""")
 def notes_backup(spark, d):
     """Notes of whole texts, line breaks and quotes among them, through the JSON copy."""

@@ -98,6 +98,6 @@ def lockout_windows(spark, d):
 
 @query(_LOCK)
 def stream_lockouts(spark, d):
-    tries = _event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("success"))
+    tries = _event_stream(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("success"))
     out = _run(state.lockout_stream(tries))
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("locked_at", "locked_until")))

@@ -27,12 +27,16 @@ def lockouts(tries: DataFrame, user: str = "user_id", at: str = "ts", success: s
 
 
 def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MINUTES) -> DataFrame:
-    """The same rule over a stream of (user_id, ts, success): user_id, locked_at, locked_until."""
+    """The same rule over a stream of (user_id, event_id, ts, success): user_id, locked_at, locked_until.
+
+    Tries that arrive together are taken by time and event_id; one that arrives after a later one counts when it
+    arrives.  So a stream in order of time gives what the batch gives, however it is cut into micro-batches.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (n,) = state.get if state.exists else (0,)
         locked = []
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        rows = pd.concat([b[["ts", "event_id", "success"]] for b in batches]).sort_values(["ts", "event_id"])
         for ts, success in zip(rows["ts"], rows["success"]):
             n = 0 if success else n + 1
             if n and n % failures == 0:

@@ -167,6 +167,19 @@ def test_lockouts(spark):
     assert [r.locked_at.second for r in page(got, [F.col("locked_at")], 1, 9).collect()] == [15, 25]
 
 
+def test_lockout_stream_equals_batch_in_any_cut(spark, tmp_path):
+    """Three micro-batches, with ties of time that only event_id tells apart."""
+    rows = [(i % 3, i, i // 9, i % 31 == 5) for i in range(300)]
+    tries = spark.createDataFrame(rows, "user_id long, event_id long, s long, success boolean").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for low in (0, 99, 198):
+        tries.where(f"event_id >= {low} and event_id < {low + 99 if low < 198 else 300}").orderBy("user_id", F.desc("event_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(tries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    state.to_parquet(state.lockout_stream(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = state.lockouts(tries)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
+
+
 def test_providers():
     calls = []
 
