@@ -30,15 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_signed, blocks, few, lean, reduced, stage, table
+from .common import as_signed, blocks, lean, stage, table
 from .components import components
+from .links import near_links
 from .seeds import U64, mix
 from .shingles import COMPONENTS, fingerprints, shingle_sets, signatures
 
 #: Least percentage -> components a chunk, and the differences within which all pairs meet.
 CUTS = {85: (5, 15), 80: (4, 19)}
-#: Documents that one task compares with as many others.
-BLOCK = 512
 
 
 def _signed(words: int):
@@ -92,23 +91,6 @@ def _near(percent: int, distance: int):
     return run
 
 
-def _agree(percent: int):
-    """Rows with two shingle sets -> the links (a, b) that are confirmed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            keep = []
-            for x, y in zip(part.column("shingles"), part.column("low_shingles")):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("low")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _candidates(percent: int, distance: int):
     """A block of outside members against a block of members -> those near one of another component."""
 
@@ -126,123 +108,6 @@ def _candidates(percent: int, distance: int):
     return run
 
 
-def _forest(ids: np.ndarray, a: list, b: list) -> pa.Table:
-    """Spanning links (a, b) of the pairs given by place."""
-    top = {}
-
-    def find(x):
-        while top.get(x, x) != x:
-            top[x] = x = top.get(top[x], top[x])
-        return x
-
-    out_a, out_b = [], []
-    for x, y in zip(ids[a].tolist(), ids[b].tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            top[max(p, q)] = min(p, q)
-            out_a.append(x)
-            out_b.append(y)
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], most_cells: int = 1 << 22) -> np.ndarray:
-    """Sizes of the intersections of each set of one list with each of the other."""
-    out = np.zeros((len(sets_a), len(sets_b)), np.int64)
-    flat_a, flat_b = np.concatenate(sets_a), np.concatenate(sets_b)
-    row_a = np.repeat(np.arange(len(sets_a)), [len(s) for s in sets_a])
-    row_b = np.repeat(np.arange(len(sets_b)), [len(s) for s in sets_b])
-    known, at = np.unique(flat_a, return_inverse=True)
-    place = np.searchsorted(known, flat_b)
-    place[place == len(known)] = 0
-    ok = known[place] == flat_b
-    flat, both = np.unique(place[ok], return_inverse=True)  # shingles in both lists
-    col_a = np.searchsorted(flat, at)
-    col_a[col_a == len(flat)] = 0
-    ok_a = flat[col_a] == at if len(flat) else np.zeros(len(at), bool)
-    row_a, col_a, row_b, col_b = row_a[ok_a], col_a[ok_a], row_b[ok], both
-    step = max(1, most_cells // max(len(sets_a), len(sets_b)))
-    for begin in range(0, len(flat), step):
-        width = min(step, len(flat) - begin)
-        m, n = np.zeros((len(sets_a), width), np.float32), np.zeros((len(sets_b), width), np.float32)
-        i = (col_a >= begin) & (col_a < begin + width)
-        m[row_a[i], col_a[i] - begin] = 1
-        j = (col_b >= begin) & (col_b < begin + width)
-        n[row_b[j], col_b[j] - begin] = 1
-        out += (m @ n.T).astype(np.int64)
-    return out
-
-
-def _confirmed(percent: int):
-    """Candidates of two blocks with full sets -> a forest of the confirmed links between components."""
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, comp, outside = (group.column(c).to_numpy() for c in ("id", "comp", "outside"))
-        sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
-        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
-        if not len(left) or not len(right):
-            return _forest(ids, [], [])
-        common = overlaps([sets[i] for i in left], [sets[i] for i in right])
-        size = np.array([len(s) for s in sets])
-        union = size[left][:, None] + size[right][None, :] - common
-        a, b = np.nonzero((100 * common >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
-        return _forest(ids, left[a], right[b])
-
-    return run
-
-
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches, "text"):
-            hashes, first = shingle_sets(texts, words)
-            hi, lo = fingerprints(hashes, first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(as_signed(hi)), pa.array(as_signed(lo)), pa.array([hashes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["doc_id", "hi", "lo", "shingles"])
-
-    return run
-
-
-def shingles_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, shingles (packed) of the wanted classes, each from one text of its smallest doc_id."""
-    heads = stage(classes.join(few(wanted), "id", "left_semi").select("id", "doc_id", "hi", "lo"), "wanted")
-    texts = reduced(docs, heads.select("doc_id").distinct(), "doc_id")
-    sets = texts.mapInArrow(lean(_sets(words)), "doc_id long, hi long, lo long, shingles binary")
-    found = stage(sets.join(few(heads), ["doc_id", "hi", "lo"]).select("id", "shingles"), "sets")
-    return stage(found.dropDuplicates(["id"]), "sets") if found.count() > heads.count() else found  # repeated rows
-
-
-def near_links(docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what is connected; classes: id, doc_id, n, hi, lo, sig."""
-    chunk, distance = CUTS[max(p for p in CUTS if p <= percent)]
-    signed = classes.select("id", "n", "sig")
-    keys = signed.mapInArrow(lean(_keys(chunk)), "key long, id long")
-    lows = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"), "buckets")
-    members = stage(keys.join(lows, "key"), "members")
-    low_side = signed.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
-    stars = members.where("id <> low").select("id", "low").distinct()
-    near = stage(stars.join(signed, "id").join(low_side, "low").mapInArrow(lean(_near(percent, distance)), "id long, low long"), "near")
-    sets = shingles_of(docs, classes, stage(near.select("id").unionByName(near.select(F.col("low").alias("id"))).distinct(), "ids"), words)
-    low_sets = reduced(sets, near.select(F.col("low").alias("id")).distinct(), "id").withColumnsRenamed({"id": "low", "shingles": "low_shingles"})
-    links = stage(near.join(sets, "id").join(low_sets, "low").mapInArrow(lean(_agree(percent)), "a long, b long"), "stars")
-    # buckets whose members other than the smallest (it has met them all) are in several components
-    parts = stage(components(links), "parts")
-    placed = stage(members.join(parts, members.id == parts.node, "left").select("key", "id", "low", F.coalesce("component", "id").alias("comp")), "placed")
-    met = placed.where("id <> low").groupBy("key", "comp").agg(F.count("*").alias("c"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)))
-    mixed = met.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("k"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("k > 1")
-    # buckets with the same members are one
-    once = mixed.groupBy("m", "mark0", "mark1", "most").agg(F.min("key").alias("key"))
-    size = F.ceil((F.col("m") - F.col("most.c")) / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-    cuts = stage(once.select("key", F.col("most.comp").alias("main"), size[0].alias("fb"), size[1].alias("mb")), "cuts")
-    rows = placed.where("id <> low").join(cuts, "key").join(signed, "id")
-    own = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    column = ["key", "id", "comp", "n", "sig"]
-    outer = rows.where("comp <> main").select(*column, (own % F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("outside"))
-    every = rows.select(*column, F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), (own % F.col("mb")).alias("ms"), F.lit(False).alias("outside"))
-    found = outer.unionByName(every).groupBy("key", "fs", "ms").applyInArrow(_candidates(percent, distance), "key long, fs int, ms int, id long, comp long, n long, outside boolean")
-    found = stage(found, "candidates")
-    more = shingles_of(docs, classes, stage(found.select("id").distinct(), "ids"), words)
-    cross = found.join(more, "id").groupBy("key", "fs", "ms").applyInArrow(_confirmed(percent), "a long, b long")
-    return links.unionByName(stage(cross, "cross"))
-
-
 def minhash_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row.  Links have 100 * intersection >= percent * union."""
     if not min(CUTS) <= percent <= 100:
@@ -253,7 +118,9 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFra
     heads = some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig")).alias("head"))
     # staged, so the numbers of the classes stay as they are
     classes = stage(heads.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "n", "head.doc_id", "head.sig"), "classes")
-    links = near_links(docs.where("doc_id is not null"), classes, percent, words)
+    chunk, distance = CUTS[max(p for p in CUTS if p <= percent)]
+    keys = classes.select("id", "sig").mapInArrow(lean(_keys(chunk)), "key long, id long")
+    links = near_links(docs.where("doc_id is not null"), classes, keys, _near(percent, distance), _candidates(percent, distance), percent, words)
     rows = stage(signed.select("doc_id", "n", "hi", "lo").join(classes.select("id", "hi", "lo", "n"), ["hi", "lo", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("id")).alias("id")), "rows")
     # a doc_id with several texts links their classes
     several = rows.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docflow.llm import anchors
+from docflow.llm import anchors, links
 from docflow.llm import minhash_dedup as M
 from docflow.llm.components import components
 from docflow.llm.run_dedup import run_dedup
@@ -168,7 +168,7 @@ def test_a_family_of_many_components(spark, monkeypatch):
 def test_overlaps_in_strips():
     a = [np.array([1, 2, 3], np.uint64), np.array([9], np.uint64)]
     b = [np.array([2, 3, 4], np.uint64), np.array([7], np.uint64), np.array([9, 1], np.uint64)]
-    assert M.overlaps(a, b, most_cells=1).tolist() == [[2, 0, 1], [0, 0, 1]]
+    assert links.overlaps(a, b, most_cells=1).tolist() == [[2, 0, 1], [0, 0, 1]]
 
 
 def test_components_of_chains(spark):
