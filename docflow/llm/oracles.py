@@ -55,4 +55,46 @@ r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens
 SELECT h.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM h LEFT JOIN r USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op8_minhash_dedup": OP8, "op10_run_dedup": OP10}
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+f AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS k FROM e),
+s AS (SELECT DISTINCT doc_id, md5(k) AS k FROM f WHERE i <= n - 2 OR (n < 3 AND i = 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a),
+t AS (SELECT a AS doc_id, count(*) AS n FROM u GROUP BY a)
+SELECT doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.c::BIGINT AS component_id, coalesce(t.n, 0)::BIGINT AS n_links FROM d JOIN m USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS x, array_to_string(u[a + 1 : b], '') AS y, array_to_string(u[b + 1 :], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(x || y || z) AS restored_sha256 FROM p
+"""
+
+OP13 = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, y: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+r AS (SELECT id, run, count(*) AS c FROM runs GROUP BY ALL),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda b: ('0x' || b)::BIGINT)), lambda x, b: xor(steps[1 + xor(x, b) % 256], x // 256))) AS h FROM r, crc),
+f AS (SELECT CASE WHEN h % 31 = 0 THEN run[: (h % length(run))] || run[h % length(run) + 2 :] ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM f WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+e AS (SELECT word, i, word[: i] || word[i + 2 :] AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word AS a, b.word AS b FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+ UNION SELECT e.word, w.word FROM e JOIN w ON e.rest = w.word UNION SELECT w.word, e.word FROM e JOIN w ON e.rest = w.word),
+k AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS b, max(n) AS m FROM near JOIN w ON w.word = b GROUP BY a),
+o AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN b END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN k ON a = word),
+t(word, root) AS (SELECT word, word FROM o UNION SELECT t.word, o.form FROM t JOIN o ON o.word = t.root WHERE o.form IS NOT NULL),
+l AS (SELECT t.word, t.root FROM t JOIN o ON o.word = t.root WHERE o.form IS NULL)
+SELECT o.word, n, n_near, form, form_n, root FROM o JOIN l USING (word)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op8_minhash_dedup": OP8, "op10_run_dedup": OP10, "op11_ngram_join": OP11, "op12_fill_middle": OP12, "op13_spelling": OP13}

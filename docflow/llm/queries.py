@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .decontamination import op5_decontamination
+from .fill_middle import op12_fill_middle
 from .lm_scoring import op2_lm_scoring
 from .media import op3_media, page_media
 from .minhash_dedup import op8_minhash_dedup
+from .ngram_join import op11_ngram_join
 from .quality import op9_quality
 from .oracles import ORACLES
 from .run_dedup import op10_run_dedup
+from .spelling import op13_spelling
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op6_toxicity
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_quality": op9_quality,
     "op10_run_dedup": op10_run_dedup,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_spelling": op13_spelling,
     "page_media": page_media,
 }
 
