@@ -107,12 +107,27 @@ def few(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as they must be written where dots and back quotes mean something."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def parted(docs: DataFrame, key: str = "doc_id", name: str = "part") -> DataFrame:
-    """docs with ``name``: 0, but a hash of the text where rows share a key and not their text, to tell them apart."""
-    mark, several = F.xxhash64(F.col("text").cast("string")), f"{name}_several"
-    marks = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-    known = stage(marks.where("low < high").select(key, F.lit(True).alias(several)), "several")
-    return docs.join(few(known), key, "left").withColumn(name, F.when(F.col(several), mark).otherwise(F.lit(0).cast("long"))).drop(several)
+    """docs with ``name``: 0, but a hash of the text where rows share a key and not their text, to tell them apart; and
+    ``name_again``: whether other rows have the same key (null keys: false)."""
+    mark, again = F.xxhash64(F.col("text").cast("string")), f"{name}_again"
+    marks = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.count("*").alias("n"))
+    known = stage(marks.where("n > 1").select(key, (F.coalesce("low", F.lit(0)) < F.coalesce("high", F.lit(0))).alias(f"{name}_differ")), "several")
+    told = docs.join(few(known), key, "left").withColumn(name, F.when(F.col(f"{name}_differ"), mark).otherwise(F.lit(0).cast("long")))
+    return told.withColumn(again, F.col(f"{name}_differ").isNotNull()).drop(f"{name}_differ")
+
+
+def once(told: DataFrame, key: str = "doc_id", name: str = "part") -> DataFrame:
+    """Of rows that ``parted`` has told apart (key, text, name, name_again), one for each key and text: a row that is there
+    a hundred thousand times is worked on once.  Repeats are put together with map-side aggregation."""
+    again = F.col(f"{name}_again")
+    repeats = stage(told.where(again).groupBy(key, name).agg(F.max("text").alias("text"), F.lit(True).alias(f"{name}_again")).select(*quoted(told.columns)), "once")
+    return told.where(~again).unionByName(repeats)
 
 
 def unused(name: str, names: list[str]) -> str:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, table
+from .common import blocks, lean, quoted, table
 
 #: What stands before prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -142,8 +142,8 @@ def restore(cut: DataFrame, marks: tuple[str, str, str] = MARKS) -> DataFrame:
             columns = [part.column(i) for i in range(len(others))]
             yield pa.RecordBatch.from_arrays([*columns, rebuild(pa.array(texts, pa.binary()), part.column("form"), coded)], names=[*others, "restored"])
 
-    schema = ", ".join("`" + c.replace("`", "``") + f"` {kinds[c]}" for c in others)
-    return cut.select(*(F.col("`" + c.replace("`", "``") + "`") for c in others)).mapInArrow(lean(run), f"{schema}, restored binary")
+    schema = ", ".join(f"{q} {kinds[c]}" for c, q in zip(others, quoted(others)))
+    return cut.select(*quoted(others)).mapInArrow(lean(run), f"{schema}, restored binary")
 
 
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

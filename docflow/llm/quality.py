@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, table
+from .common import blocks, lean, quoted, table
 from .seeds import words_of
 
 PASSAGE = 64
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for part, texts in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ", ".join(f"{q} {f.dataType.simpleString()}" for f, q in zip(docs.schema, quoted(names)))
     return docs.mapInArrow(lean(run), f"{schema}, `{name}` double")
 
 

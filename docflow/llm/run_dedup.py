@@ -14,7 +14,7 @@ anchor (6 times for 100 bytes).
 
 Defined results: a null or empty text has 0 bytes; texts shorter than ``length`` keep everything; a null doc_id
 matches nothing; rows that repeat a doc_id count as one document (the same place is not earlier than itself), each
-cut by its own bytes; other input columns are ignored.  Kept bytes may split a UTF-8 character, so they are returned as
+cut by its own bytes (equal rows are worked on once); ``length`` is at least 7 bytes; other input columns are ignored.  Kept bytes may split a UTF-8 character, so they are returned as
 binary.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import UNIT_SCHEMA, byte_units, ranges, repeated_units, told, unit_rows
-from .common import blocks, few, lean, parted, reduced, stage, table
+from .common import blocks, few, lean, once, parted, reduced, stage, table
 from .run_index import repeated
 from .seeds import digests
 from .substring_dedup import SPAN, outside, removed_runs
@@ -177,7 +177,7 @@ def run_dedup(docs: DataFrame, length: int = 100, gram: int = 48, most_units: in
     most_units bounds a block, not the result.
     """
     docs = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = repeated_ranges(docs, length, gram, most_units)
+    found = repeated_ranges(once(docs), length, gram, most_units)
     marks = stage(found.groupBy("doc_id", "part").agg(F.flatten(F.collect_list("runs")).alias("marks")), "marks")
     keys, schema = few(marks.select("doc_id", "part")), f"doc_id long, n_bytes long, n_removed long, spans {SPAN}, kept binary"
     cut = docs.join(keys, ["doc_id", "part"], "left_semi").join(marks, ["doc_id", "part"])

@@ -13,11 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 
 PACK = 7
-DEPTHS = (7, 14, 28, 56)
+
 
 @dataclass
 class RunIndex:
-    ranks: dict  # depth -> rank of the suffix by its first depth bytes
+    ranks: dict  # depth -> rank of the suffix by its first depth bytes, for PACK, twice PACK and so on
     n_runs: int
     sampled: np.ndarray  # positions of the sampled run ends
     to_previous: np.ndarray  # their match with the suffix before, 0 where not sampled on that side
@@ -38,14 +38,15 @@ def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _match(symbols: np.ndarray, ranks: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of suffixes a and b."""
     n = len(symbols)
+    *rest, deepest = sorted(ranks)
     a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
     active = np.arange(len(a))
     while len(active):  # whole steps of the largest depth
         active = active[(a[active] < n) & (b[active] < n)]
-        active = active[ranks[DEPTHS[-1]][a[active]] == ranks[DEPTHS[-1]][b[active]]]
+        active = active[ranks[deepest][a[active]] == ranks[deepest][b[active]]]
         for x in (a, b, out):
-            x[active] += DEPTHS[-1]
-    for depth in reversed(DEPTHS[:-1]):
+            x[active] += deepest
+    for depth in reversed(rest):
         same = (a < n) & (b < n)
         same[same] = ranks[depth][a[same]] == ranks[depth][b[same]]
         step = depth * same
@@ -62,8 +63,8 @@ def _match(symbols: np.ndarray, ranks: dict, a: np.ndarray, b: np.ndarray) -> np
     return out
 
 
-def build(symbols: np.ndarray, longest: int) -> RunIndex:
-    """symbols: bytes + 1, 0 after each text; longest: bytes of the longest text."""
+def build(symbols: np.ndarray, longest: int, length: int = 100) -> RunIndex:
+    """symbols: bytes + 1, 0 after each text; longest: bytes of the longest text; ranks are kept to depths of up to length."""
     n = len(symbols)
     padded = np.zeros(n + PACK, np.int64)
     padded[:n] = symbols
@@ -74,12 +75,12 @@ def build(symbols: np.ndarray, longest: int) -> RunIndex:
     rank, order = _rank(key)
     ranks[PACK] = rank
     depth = PACK
-    while depth < DEPTHS[-1] or depth <= longest and rank[order[-1]] < n - 1:
+    while depth * 2 <= length or depth <= longest and rank[order[-1]] < n - 1:
         behind = np.full(n, -1, np.int64)
         behind[: n - depth] = rank[depth:] if n > depth else []
         rank, order = _rank(rank * (n + 1) + behind + 1)
         depth *= 2
-        if depth in DEPTHS:
+        if depth <= length:
             ranks[depth] = rank
     bwt = np.where(order > 0, symbols[order - 1], 0)
     head = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1  # run starts but for the first
@@ -115,15 +116,15 @@ def matching_statistics(index: RunIndex, n: int) -> np.ndarray:
 def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of every window of ``length`` bytes that also starts at an earlier place of the list.
 
-    Equal texts and several places in one text both count; length must lie between 56 and 112.
+    Equal texts and several places in one text both count.
     """
-    if not DEPTHS[-1] <= length <= 2 * DEPTHS[-1]:
-        raise ValueError("length must lie between 56 and 112")
+    if length < PACK:
+        raise ValueError(f"length must be {PACK} at least")
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     begin = np.cumsum(sizes) - sizes
     symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
     symbols[begin + sizes - 1] = 0
-    index = build(symbols, int(sizes.max()))
+    index = build(symbols, int(sizes.max()), length)
     owner = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(len(symbols))
     inside = at + length <= (begin + sizes - 1)[owner]
@@ -131,7 +132,8 @@ def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(hit):
         return hit, hit
     # exact check: classes of equal windows by two overlapping ranks; all but the earliest are repeats
-    deep = index.ranks[DEPTHS[-1]]
-    _, first, group = np.unique(deep[hit] * (len(symbols) + 1) + deep[hit + length - DEPTHS[-1]], return_index=True, return_inverse=True)
+    depth = max(index.ranks)
+    deep = index.ranks[depth]
+    _, first, group = np.unique(deep[hit] * (len(symbols) + 1) + deep[hit + length - depth], return_index=True, return_inverse=True)
     late = hit[hit != hit[first][group]]
     return owner[late], late - begin[owner[late]]

@@ -10,7 +10,7 @@ Hashes only bring stretches and windows together; equal are those with equal 128
 
 Defined results: a null or empty text has no words; a text shorter than ``length`` keeps everything; words keep
 their spelling, valid UTF-8 or not; a null doc_id matches nothing and keeps everything; rows that repeat a doc_id count
-as one document, each cut where its own windows stand in smaller doc_ids; other input columns are ignored, whatever
+as one document, each cut where its own windows stand in smaller doc_ids (equal rows are worked on once and get the same result); other input columns are ignored, whatever
 their names.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import ranges, repeated_units, word_digests, word_units
-from .common import blocks, few, lean, parted, reduced, stage, table, unused
+from .common import blocks, few, lean, once, parted, quoted, reduced, stage, table, unused
 from .seeds import words_of
 
 SPAN = "array<struct<start:int,count:int>>"
@@ -110,7 +110,8 @@ def cut_texts(docs: DataFrame, length: int = 50, gram: int = 20, n_chars: str |
     names, kinds = docs.columns, dict(docs.dtypes)
     own, part_of, marked = (unused(n, names) for n in ("own_id", "own_part", "own_marks"))
     told = parted(docs.withColumn(own, F.col("doc_id").cast("long")), own, part_of)
-    marks = repeat_marks(told.select(F.col(own).alias("doc_id"), F.col(part_of).alias("part"), F.col("text").cast("string").alias("text")), length, gram)
+    keyed = told.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(part_of).alias("part"), F.col(f"{part_of}_again").alias("part_again"))
+    marks = repeat_marks(once(keyed), length, gram)
     marks = marks.withColumnsRenamed({"doc_id": own, "part": part_of, "marks": marked})
     text = names.index("text")
 
@@ -124,18 +125,18 @@ def cut_texts(docs: DataFrame, length: int = 50, gram: int = 20, n_chars: str |
             columns[text] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(f"`{c}` {'binary' if c == 'text' else kinds[c]}" for c in names)
+    schema = ", ".join(f"{q} {'binary' if c == 'text' else kinds[c]}" for c, q in zip(names, quoted(names)))
     keys = few(marks.select(own, part_of))
-    cut = told.join(keys, [own, part_of], "left_semi").join(marks, [own, part_of]).select(*names, marked).mapInArrow(lean(run), schema).withColumn("text", F.col("text").cast("string"))
+    cut = told.join(keys, [own, part_of], "left_semi").join(marks, [own, part_of]).select(*quoted(names), marked).mapInArrow(lean(run), schema).withColumn("text", F.col("text").cast("string"))
     if n_chars:
         cut = cut.withColumn(n_chars, F.char_length("text").cast(kinds[n_chars]))
-    return told.join(keys, [own, part_of], "left_anti").select(*names).unionByName(cut)
+    return told.join(keys, [own, part_of], "left_anti").select(*quoted(names)).unionByName(cut)
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, spans (maximal removed runs, in words), kept_text; one row per input row."""
     docs = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    marks = repeat_marks(docs, length, gram)
+    marks = repeat_marks(once(docs), length, gram)
     marked = docs.join(few(marks.select("doc_id", "part")), ["doc_id", "part"], "left_semi").join(marks, ["doc_id", "part"])
     rest = docs.join(few(marks.select("doc_id", "part")), ["doc_id", "part"], "left_anti").withColumn("marks", F.lit(None).cast(SPAN))
 

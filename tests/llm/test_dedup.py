@@ -132,7 +132,7 @@ def test_minhash_dedup_equals_brute_force(spark):
 
 def test_near_copies_in_blocks(spark, monkeypatch):
     """A group of near copies around the threshold, with blocks so small that all ways of comparing are used."""
-    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(links, "BLOCK", 7)
     random.seed(4)
     base = [f"v{i}" for i in range(120)]
     rows = []
