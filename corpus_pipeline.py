@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.llm.bpe import decode, encode
-from docflow.llm.common import stage, table, unused, without
+from docflow.llm.common import quoted, stage, table, unused, without
 from docflow.llm.decontamination import decontaminate
 from docflow.llm.minhash_dedup import minhash_dedup
 from docflow.llm.quality import fold, score, train
@@ -25,12 +25,12 @@ NEAR_PERCENT = 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     mark = unused("mark", docs.columns)
-    return score(docs, model, mark).where(F.col(mark) >= LEAST_QUALITY).select(*docs.columns)
+    return score(docs, model, mark).where(F.col(mark) >= LEAST_QUALITY).select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash_dedup(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    return without(docs, stage(gone, "gone"), "doc_id").select(*docs.columns)
+    return without(docs, stage(gone, "gone"), "doc_id").select(*quoted(docs.columns))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
     found = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("doc_id").alias(mark)).distinct()
-    return without(docs.withColumn(mark, key), stage(gone, "gone"), mark).select(*docs.columns)
+    return without(docs.withColumn(mark, key), stage(gone, "gone"), mark).select(*quoted(docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
