@@ -60,11 +60,12 @@ def strip_accents(c: Column) -> Column:
 def ascii_flat(c: Column) -> Column:
     """Without accents, compatible forms as the ASCII they stand for, without other non-ASCII characters, lower case."""
     one = F.translate(strip_accents(c), "".join(_ONE), "".join(_ONE.values()))
-    # forms that stand for several characters are rare: only texts that have one go through the list
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _MANY.items()))
-    every = F.aggregate(pairs, one, lambda text, p: F.replace(text, p["a"], p["b"]))
-    flat = F.when(one.rlike("[" + "".join(_MANY) + "]"), every).otherwise(one)
-    return F.lower(F.regexp_replace(flat, r"[^\x00-\x7F]", ""))
+    # forms that stand for several characters are rare: a text without them is known by a range test and one translation
+    many = "".join(_MANY)
+    rare = one.rlike(r"[^\x00-\x7F]") & (F.translate(one, many, "") != one)
+    forms = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in _MANY.items())), F.lit("\x02"), F.lit("\x01"))
+    spelled = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.when(x > "\x7f", forms[x]), x)), "")
+    return F.lower(F.regexp_replace(F.when(rare, spelled).otherwise(one), r"[^\x00-\x7F]", ""))
 
 
 def alphanum_only(c: Column) -> Column:

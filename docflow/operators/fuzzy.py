@@ -1,20 +1,26 @@
-"""Fuzzy name join: equal normal forms, or a Levenshtein distance of at most 2 between alphanumeric forms."""
+"""Fuzzy name join: equal normal forms, or a small Levenshtein distance between alphanumeric forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alphanum_only, ascii_flat, strip_accents
+from ..functions.text import ascii_flat, strip_accents
 
 
-def normal_forms(c: Column) -> Column:
-    """Distinct non-empty forms of a name: as it is, lower, without accents, ASCII, alphanumeric, spaces as underscores."""
-    forms = F.array(c, F.lower(c), strip_accents(c), ascii_flat(c), alphanum_only(c), F.replace(ascii_flat(c), F.lit(" "), F.lit("_")))
+def normal_forms(c: Column, flat: Column | None = None) -> Column:
+    """Distinct non-empty forms of a name: as it is, lower, without accents, ASCII, alphanumeric, spaces as underscores.
+    flat: its ASCII form, where that is known."""
+    flat = ascii_flat(c) if flat is None else flat
+    forms = F.array(c, F.lower(c), strip_accents(c), flat, _alphanum(flat), F.replace(flat, F.lit(" "), F.lit("_")))
     return F.array_distinct(F.filter(forms, lambda f: F.coalesce(f, F.lit("")) != ""))
 
 
-def deletions(c: Column, most: int = 2) -> Column:
+def _alphanum(flat: Column) -> Column:
+    return F.regexp_replace(flat, "[^a-z0-9]", "")
+
+
+def deletions(c: Column, most: int) -> Column:
     """The string and all strings with up to ``most`` characters left out: strings within ``most`` edits share one."""
     found = F.array(c)
     for _ in range(most):
@@ -23,19 +29,60 @@ def deletions(c: Column, most: int = 2) -> Column:
     return found
 
 
+def _cut(length: Column, pieces: int, i: int) -> tuple[Column, Column]:
+    """First place (from 1) and size of even piece i of a string of that length."""
+    begin = lambda j: F.floor(length * j / pieces).cast("int")
+    return begin(i) + 1, begin(i + 1) - begin(i)
+
+
+def held_pieces(c: Column, most: int) -> Column:
+    """Hashes of a string's ``most + 1`` even pieces, each with its number and the string's length."""
+    length = F.length(c)
+    pieces = [F.xxhash64(length, F.lit(i), F.substr(c, *_cut(length, most + 1, i))) for i in range(most + 1)]
+    return F.when(length > most, F.array(*pieces)).otherwise(F.array().cast("array<bigint>"))
+
+
+def probed_pieces(c: Column, most: int) -> Column:
+    """Hashes of all substrings that can be a piece of a string within ``most`` edits.
+
+    One of ``most + 1`` pieces is left whole by the edits.  If it stands ``shift`` places off, at least |shift| edits lie
+    before it and at least |longer - shift| behind it (longer: by how many characters this string is longer), so shifts
+    are few and their number does not depend on the length.
+    """
+    found = []
+    for longer in range(-most, most + 1):
+        length = F.length(c) - longer
+        for i in range(most + 1):
+            begin, size = _cut(length, most + 1, i)
+            for shift in range(-((most - longer) // 2), (most + longer) // 2 + 1):
+                fits = (length > most) & (begin + shift >= 1) & (begin + shift + size - 1 <= F.length(c))
+                found.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substr(c, begin + shift, size))))
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+def short_pieces(c: Column, most: int) -> Column:
+    """Hashes of the deletion variants of strings too short to have pieces, and of those within reach of them."""
+    variants = F.transform(deletions(c, most), lambda s: F.xxhash64(s))
+    return F.when(F.length(c) <= 2 * most, variants).otherwise(F.array().cast("array<bigint>"))
+
+
 def fuzzy_join(wanted: DataFrame, candidates: DataFrame, wanted_key: str, wanted_name: str, key: str, name: str, most: int = 2) -> DataFrame:
     """wanted_key, key, distance: the best candidate of each wanted name, if there is one.
 
-    Both rules are equi-joins: on normal forms, and on hashes of deletion neighbourhoods (complete for the distance:
-    two strings within ``most`` edits have a common deletion variant); nothing is compared with everything.  Distinct
-    names are joined, not rows, so a name that many rows share costs one.  Ties go to the smaller name, then key.
+    Both rules are equi-joins: on normal forms, and on pieces (complete for the distance: of ``most + 1`` even pieces of
+    a string, one stands unchanged in any string within ``most`` edits; strings of up to ``most`` characters meet on
+    deletion variants instead).  A name costs a number of keys that does not grow with its length.  Distinct names are
+    joined, not rows, so a name that many rows share costs one.  Ties go to the smaller name, then key.
     """
     left = wanted.select(F.col(wanted_key).alias("wk"), F.col(wanted_name).alias("wn"))
-    right = candidates.select(F.col(key).alias("ck"), F.col(name).alias("cn")).groupBy("cn").agg(F.min("ck").alias("ck"))
-    names = left.where("wn is not null").select("wn").distinct()
-    by_form = names.select("wn", F.explode(normal_forms(F.col("wn"))).alias("f")).join(right.select("cn", F.explode(normal_forms(F.col("cn"))).alias("f")), "f").select("wn", "cn", F.lit(0).alias("distance"))
-    flat = lambda df, n, a: df.select(n, alphanum_only(F.col(n)).alias(a)).where(F.col(a) != "")
-    keyed = lambda df, n, a: flat(df, n, a).select(n, a, F.explode(F.array_distinct(F.transform(deletions(F.col(a), most), lambda s: F.xxhash64(s)))).alias("v"))
-    near = keyed(names, "wn", "wa").join(keyed(right, "cn", "ca"), "v").select("wn", "cn", F.levenshtein("wa", "ca", most).alias("distance")).where("distance >= 0")
+    right = candidates.select(F.col(key).alias("ck"), F.col(name).alias("cn")).where("cn is not null").groupBy("cn").agg(F.min("ck").alias("ck"))
+    names = left.where("wn is not null").select("wn").distinct().withColumn("flat", ascii_flat(F.col("wn")))
+    others = right.select("cn").withColumn("flat", ascii_flat(F.col("cn")))
+    formed = lambda df, n: df.select(n, F.explode(normal_forms(F.col(n), F.col("flat"))).alias("f"))
+    by_form = formed(names, "wn").join(formed(others, "cn"), "f").select("wn", "cn", F.lit(0).alias("distance"))
+    plain = lambda df, n, a: df.select(n, _alphanum(F.col("flat")).alias(a)).where(F.col(a) != "")
+    keyed = lambda df, n, a, pieces: plain(df, n, a).select(n, a, F.explode(F.array_union(pieces(F.col(a), most), short_pieces(F.col(a), most))).alias("v"))
+    near = keyed(names, "wn", "wa", probed_pieces).join(keyed(others, "cn", "ca", held_pieces), "v")
+    near = near.select("wn", "cn", F.levenshtein("wa", "ca", most).alias("distance")).where("distance >= 0")
     best = by_form.unionByName(near).groupBy("wn").agg(F.min(F.struct("distance", "cn")).alias("b"))
     return left.join(best, "wn").join(right, F.col("b.cn") == F.col("cn")).select(F.col("wk").alias(wanted_key), F.col("ck").alias(key), F.col("b.distance").alias("distance"))
