@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_date, uuid5
-from ..sources.providers import VectorSink, with_retries
 from .chunk import batch_number
 
 #: Columns of a chunk that are not metadata (fixed values).
@@ -68,24 +64,6 @@ def batches(chunks: DataFrame, size: int = 100) -> DataFrame:
     return chunks.withColumn("batch", batch_number(F.col("chunk_index"), size))
 
 
-def upsert(payload: DataFrame, sink: Callable[[], VectorSink], size: int = 100, attempts: int = 2) -> DataFrame:
-    """Send all rows in batches; batch results as rows: sent, inserted, error.  Writes must be idempotent by id."""
-    names = payload.columns
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = sink()
-        for whole in parts:
-            for at in range(0, len(whole), size):
-                rows = whole.slice(at, size).to_pylist()
-                try:
-                    done, error = with_retries(lambda: store.upsert(rows), attempts, wait=lambda n: 2.0), None
-                except Exception as e:
-                    done, error = 0, str(e) or type(e).__name__
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([done], pa.int64()), pa.array([error], pa.string())], names=["sent", "inserted", "error"])
-
-    return payload.select(*names).mapInArrow(run, "sent long, inserted long, error string")
-
-
 def upserted(payload: DataFrame, stored: DataFrame | None = None, key: str = "id") -> DataFrame:
     """A store's rows after a load: a row of the payload replaces the stored one with its key; of several rows with one key
     the one with the greatest hash stays, so a load that is run again changes nothing."""
@@ -95,7 +73,9 @@ def upserted(payload: DataFrame, stored: DataFrame | None = None, key: str = "id
 
 
 def load_status(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """sent, inserted, failed_batches, status; the rungs are tried in this order."""
-    sums = results.groupBy(*(by or [])).agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("sent"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"), F.count_if(F.col("error").isNotNull()).alias("failed_batches"))
+    """sent, inserted, failed_batches, status; the rungs are tried in this order.  results: rows with sent, inserted, error,
+    and, where a row stands for several batches, failed (how many of them failed)."""
+    failed = F.coalesce(F.sum("failed"), F.lit(0)) if "failed" in results.columns else F.count_if(F.col("error").isNotNull())
+    sums = results.groupBy(*(by or [])).agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("sent"), F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"), failed.alias("failed_batches"))
     status = F.when(F.col("failed_batches") > 0, "partial_error").when((F.col("inserted") == 0) & (F.col("sent") > 0), "error").when(F.col("inserted") < F.col("sent"), "success_partial_data").otherwise("success")
     return sums.withColumn("status", status)

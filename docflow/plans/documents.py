@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import canonical as C
 from ..operators import chunk, dense, fuzzy, notes, payload, phases, sparse
 from ..sources import pages as P
-from ..sources import providers
+from ..sources import providers, vector_store
 from ..sources.scratch import shared_folder, staged
 from .tables import read
 
@@ -198,12 +198,36 @@ def load_status(spark, d):
 @query("""SELECT count(*)::BIGINT AS sent, count(DISTINCT vec_id)::BIGINT AS inserted, 0::BIGINT AS failed_batches,
  CASE WHEN count(*) > 0 AND count(DISTINCT vec_id) = 0 THEN 'error' WHEN count(DISTINCT vec_id) < count(*) THEN 'success_partial_data' ELSE 'success' END AS status FROM embeddings WHERE embedding IS NOT NULL""")
 def upsert_status(spark, d):
-    """All payloads upserted by id into a table of the shared folder, twice over; what was sent against what is stored."""
+    """All payloads sent to a store twice over; what was sent once against what is stored."""
     rows = payload.payload_a(_vectors(spark, d))
-    store = staged(payload.upserted(rows, staged(payload.upserted(rows), "store")), "store")
-    none = F.lit(None).cast("string").alias("error")
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    return payload.load_status(rows.select(one.alias("sent"), zero.alias("inserted"), none).unionByName(store.select(zero.alias("sent"), one.alias("inserted"), none)))
+    store, results = _loaded(spark, [rows, rows], {"create": "collection"}, "metadata.doc_id", "metadata.chunk_index")
+    zero = F.lit(0).cast("bigint")
+    both = results.select("sent", zero.alias("inserted"), "failed", "error").unionByName(store.select(zero.alias("sent"), F.lit(1).cast("bigint").alias("inserted"), zero.alias("failed"), F.lit(None).cast("string").alias("error")))
+    return payload.load_status(both)
+
+
+def _loaded(spark, loads: list[DataFrame], options: dict, doc: str | None = None, index: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a store of the shared folder holds after the loads, and the results of the last one."""
+    folder, tenant = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", options.get("tenant", "default")
+    for rows in loads:
+        results = vector_store.load(rows, {"path": folder, "collection": "chunks", **options}, doc, index)
+    return vector_store.stored(spark, folder, "chunks", tenant), results
+
+
+@query("""SELECT 'v' || vec_id AS id, len(embedding)::INT AS size, label::VARCHAR AS doc_id, CASE WHEN embedding[1] < 0 THEN NULL ELSE label || ',' || (label + 1) END AS sparse_indices FROM embeddings WHERE embedding IS NOT NULL""")
+def store_rows(spark, d):
+    """Rows of a store after a load of outdated rows, the load of the right ones, and the same load again."""
+    rows = payload.payload_a(_vectors(spark, d))
+    old = payload.payload_a(_vectors(spark, d).withColumn("doc_id", F.lit("outdated")))
+    store, _ = _loaded(spark, [old, rows, rows], {"create": "collection"}, "metadata.doc_id", "metadata.chunk_index")
+    return store.select("id", F.size("values").alias("size"), "metadata.doc_id", F.array_join("sparse_values.indices", ",").alias("sparse_indices"))
+
+
+@query(f"WITH s AS (SELECT *, sha1({_NS} || encode('v' || vec_id)) AS h FROM embeddings WHERE embedding IS NOT NULL) SELECT {_UUID} AS id, len(embedding)::INT AS size, 'v' || vec_id AS original_id FROM s")
+def store_collection(spark, d):
+    """A collection made from the first vector's size, filled, read back."""
+    store, _ = _loaded(spark, [payload.payload_c(_vectors(spark, d))], {"create": "collection", "vector": "vector"})
+    return store.select("id", F.size("vector").alias("size"), "payload.original_id")
 
 
 @query(f"WITH s AS (SELECT doc_id, sha1({_NS} || encode(source || '/' || doc_id)) AS h FROM documents) SELECT doc_id, {_UUID} AS uuid FROM s")

@@ -34,10 +34,6 @@ class NoteWriter(Protocol):
     def write(self, prompts: Sequence[str]) -> list[str | None]: ...
 
 
-class VectorSink(Protocol):
-    def upsert(self, rows: Sequence[dict]) -> int: ...
-
-
 class NoteSink(Protocol):
     def put(self, item_key: str, html: str, version: int | None) -> int: ...
 

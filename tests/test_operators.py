@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,17 +116,12 @@ def test_embedding_failures_are_null(spark):
 
 
 def test_payload_shapes(spark):
-    class Store:
-        def upsert(self, rows):
-            return sum(bool(r["id"]) for r in rows)
-
     rows = [("a", "d", 1, [0.1], (["1", "2"], ["0.5", "1"])), ("b", "d", 2, [0.2], (["x"], ["1"])), ("c", "d", 3, None, None), ("e", None, 4, [0.3], None)]
     df = spark.createDataFrame(rows, "id string, doc_id string, chunk_index int, embedding array<float>, sparse_embedding struct<indices:array<string>,values:array<string>>")
     got = {r.id: r.sparse_values for r in payload.payload_a(df).collect()}
     assert set(got) == {"a", "b", "e"} and got["a"]["indices"] == [1, 2] and got["b"] is None
     assert payload.payload_c(df).first().payload["original_id"] == "a"
     assert {r.doc_id for r in payload.document_chunks(df).collect()} == {"d", "unknown_document"}
-    assert payload.load_status(payload.upsert(payload.payload_a(df), Store)).first().status == "success"
     stored = payload.upserted(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
     after = payload.upserted(spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id int, v string"), stored)
     assert {r.id: r.v for r in after.collect()} in ({1: "a", 2: "c", 3: v} for v in "de") and after.count() == 3
@@ -144,6 +141,35 @@ def test_fuzzy_join_equals_brute_force(spark):
     assert got == {0: (0, 0), 1: (1, 0), 2: (2, 1), 4: (3, 1)}
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_fuzzy_pieces_miss_nothing(spark, most):
+    """Short words over three letters: every edit at every place, strings shorter than the pieces among them."""
+    rng = random.Random(most)
+    lists = [sorted({"".join(rng.choice("ab1") for _ in range(rng.randint(1, 12))) for _ in range(140)}) for _ in range(2)]
+    w, c = (spark.createDataFrame(list(enumerate(x)), schema) for x, schema in zip(lists, ("wk long, wn string", "ck long, cn string")))
+    got = {r.wk: (r.ck, r.distance) for r in fuzzy.fuzzy_join(w, c, "wk", "wn", "ck", "cn", most).collect()}
+    best = {i: min((distance(a, b), b, j) for j, b in enumerate(lists[1])) for i, a in enumerate(lists[0])}
+    assert got == {i: (j, d) for i, (d, _, j) in best.items() if d <= most}
+
+
+def test_fuzzy_keys_do_not_grow_with_the_name(spark):
+    names = spark.createDataFrame([("ab" * 10,), ("abcde" * 100,)], "n string")
+    sizes = names.select(F.size(fuzzy.held_pieces(F.col("n"), 2)), F.size(fuzzy.probed_pieces(F.col("n"), 2))).collect()
+    assert [r[0] for r in sizes] == [3, 3] and max(r[1] for r in sizes) <= 39
+    w = spark.createDataFrame([(1, "xabcde" * 83), (2, "q" * 500)], "wk long, wn string")
+    c = spark.createDataFrame([(7, "xabcde" * 40 + "Z" + "xabcde" * 43)], "ck long, cn string")
+    assert [tuple(r) for r in fuzzy.fuzzy_join(w, c, "wk", "wn", "ck", "cn").collect()] == [(1, 7, 1)]
+
+
 def test_notes(spark):
     items = spark.createDataFrame([("k1", "T <x>", "A", "2024-01-01T00", "S", "", "10.1/x", "text {TITLE}"), ("k2", None, None, None, None, None, None, "")], "itemKey string, title string, authors string, date string, abstract string, url string, doi string, texteocr string")
     made = notes.build_notes(items, None)
