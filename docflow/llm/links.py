@@ -133,6 +133,26 @@ def shingles_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
     return stage(found.dropDuplicates(["id"]), "sets") if found.count() > heads.count() else found  # repeated rows
 
 
+def mixed_blocks(members: DataFrame, known: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, fs, ms, id, comp, n, sig, outside: of buckets whose members other than the smallest (it has met them all) are in
+    several components, those outside the largest beside all, in blocks.
+
+    members: key, id, low; known: id, n, comp (each class's component so far); signed: id, sig.
+    """
+    placed = stage(members.where("id <> low").join(known, "id").select("key", "id", "n", "comp"), "placed")
+    met = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)))
+    mixed = met.groupBy("key").agg(F.sum("c").alias("m"), F.sum("s").alias("all"), F.max(F.struct("c", "comp", "s")).alias("most"), F.count("*").alias("k"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("k > 1")
+    # buckets with the same members are one
+    once = mixed.groupBy("m", "all", "mark0", "mark1", "most").agg(F.min("key").alias("key"))
+    outer_blocks = blocks_for(F.col("m") - F.col("most.c"), F.col("all") - F.col("most.s"))
+    cuts = stage(once.select("key", F.col("most.comp").alias("main"), outer_blocks.alias("fb"), blocks_for(F.col("m"), F.col("all")).alias("mb")), "cuts")
+    rows = placed.join(cuts, "key").join(signed, "id")
+    column = ["key", "id", "comp", "n", "sig"]
+    outer = rows.where("comp <> main").select(*column, block_of(F.col("id"), F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("outside"))
+    every = rows.select(*column, F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), block_of(F.col("id"), F.col("mb")).alias("ms"), F.lit(False).alias("outside"))
+    return outer.unionByName(every)
+
+
 def near_links(docs: DataFrame, classes: DataFrame, keys: DataFrame, near: Callable, candidates: Callable, percent: int, words: int) -> DataFrame:
     """Confirmed links (a, b) that connect what is connected.
 
@@ -149,21 +169,10 @@ def near_links(docs: DataFrame, classes: DataFrame, keys: DataFrame, near: Calla
     sets = shingles_of(docs, classes, stage(close.select("id").unionByName(close.select(F.col("low").alias("id"))).distinct(), "ids"), words)
     low_sets = reduced(sets, close.select(F.col("low").alias("id")).distinct(), "id").withColumnsRenamed({"id": "low", "shingles": "low_shingles"})
     links = stage(close.join(sets, "id").join(low_sets, "low").mapInArrow(lean(agree(percent)), "a long, b long"), "stars")
-    # buckets whose members other than the smallest (it has met them all) are in several components
     parts = classes.select("id", "n").join(components(links), F.col("id") == F.col("node"), "left")
     known = stage(parts.select("id", "n", F.coalesce("component", "id").alias("comp")), "parts")
-    placed = stage(members.where("id <> low").join(known, "id").select("key", "id", "n", "comp"), "placed")
-    met = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"), *(F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (0, 1)))
-    mixed = met.groupBy("key").agg(F.sum("c").alias("m"), F.sum("s").alias("all"), F.max(F.struct("c", "comp", "s")).alias("most"), F.count("*").alias("k"), F.sum("mark0").alias("mark0"), F.sum("mark1").alias("mark1")).where("k > 1")
-    # buckets with the same members are one
-    once = mixed.groupBy("m", "all", "mark0", "mark1", "most").agg(F.min("key").alias("key"))
-    outer_blocks = blocks_for(F.col("m") - F.col("most.c"), F.col("all") - F.col("most.s"))
-    cuts = stage(once.select("key", F.col("most.comp").alias("main"), outer_blocks.alias("fb"), blocks_for(F.col("m"), F.col("all")).alias("mb")), "cuts")
-    rows = placed.join(cuts, "key").join(signed.select("id", "sig"), "id")
-    column = ["key", "id", "comp", "n", "sig"]
-    outer = rows.where("comp <> main").select(*column, block_of(F.col("id"), F.col("fb")).alias("fs"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("ms"), F.lit(True).alias("outside"))
-    every = rows.select(*column, F.explode(F.sequence(F.lit(0), F.col("fb") - 1)).alias("fs"), block_of(F.col("id"), F.col("mb")).alias("ms"), F.lit(False).alias("outside"))
-    found = outer.unionByName(every).groupBy("key", "fs", "ms").applyInArrow(candidates, "key long, fs int, ms int, id long, comp long, n long, outside boolean")
+    rows = mixed_blocks(members, known, signed.select("id", "sig"))
+    found = rows.groupBy("key", "fs", "ms").applyInArrow(candidates, "key long, fs int, ms int, id long, comp long, n long, outside boolean")
     found = stage(found, "candidates")
     more = shingles_of(docs, classes, stage(found.select("id").distinct(), "ids"), words)
     cross = found.join(more, "id").groupBy("key", "fs", "ms").applyInArrow(confirmed(percent), "a long, b long")

@@ -13,9 +13,13 @@ those that share one.  Sub-vectors without any count say little: a point that ha
 the groups, drawn by another hash, where its partners by an empty slab are listed too, and so on; empty slabs of the
 last layout are listed as they are.  So no pair over the threshold is lost.
 
-Links are confirmed as in links.py, which gives the components.  All links lie within components, so a component's
-members, cut into blocks, meet block by block once: a tree of one block is probed with the points of the other, and
-survivors are counted on full sets.  A block emits a row a member, not its pairs.  Small components share blocks.
+Buckets are not expanded into pairs.  Their members meet the smallest one by their points; where the others are still
+in several families (components of what may be linked) afterwards, those outside the largest probe trees of all.  So
+all that may be linked is in one family, and a family's members, cut into blocks by number and bytes, meet block by
+block once: a tree of one block is probed with the points of the other, and what survives is verified on full sets.  A
+block emits a row a member (how many documents it is linked with) and a spanning forest of its links, never its
+pairs; the forests give the components.  Small families share blocks.  Links are counted one by one, so a family's
+counting costs the square of its different sets in comparisons, though not in rows.
 
 Defined results: A-Z are lower-cased; a text with fewer than ``words`` words has its whole sequence as its one shingle;
 null, empty or blank texts have no shingles and are linked with nothing; a null doc_id is linked with nothing and its
@@ -31,12 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_signed, blocks, few, lean, stage, table
 from .components import components
-from .links import BLOCK, block_of, blocks_for, near_links, overlaps, shingles_of
+from .links import BLOCK, block_of, blocks_for, forest, mixed_blocks, overlaps, shingles_of
 from .seeds import U64, mix
 from .shingles import fingerprints, shingle_sets
 
@@ -192,7 +196,7 @@ def _near(percent: int):
 
 
 def _candidates(percent: int):
-    """A block of outside members against a block of members -> those that may be linked with one of another component."""
+    """A block of outside members against a block of members -> a forest (a, b) of what may be linked across families."""
 
     def run(group: pa.Table) -> pa.Table:
         outside, comp, n, at = group.column("outside").to_numpy(), group.column("comp").to_numpy(), group.column("n").to_numpy(), _vectors(group.column("sig"))
@@ -200,9 +204,7 @@ def _candidates(percent: int):
         a, b = CountTree(at[right], n[right], percent).probe(at[left], n[left])
         a, b = left[a], right[b]
         other = comp[a] != comp[b]
-        hit = np.zeros(len(comp), bool)
-        hit[a[other]] = hit[b[other]] = True
-        return group.select(["key", "fs", "ms", "id", "comp", "n", "outside"]).filter(pa.array(hit))
+        return forest(group.column("id").to_numpy(), a[other], b[other])
 
     return run
 
@@ -215,7 +217,7 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _survivors(percent: int):
-    """Two blocks of a component's members -> the members that may be linked."""
+    """Two blocks of a family's members -> the members that may be linked."""
 
     def run(group: pa.Table) -> pa.Table:
         comp, n, at = group.column("comp").to_numpy(), group.column("n").to_numpy(), _vectors(group.column("sig"))
@@ -247,25 +249,44 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np
 
 
 def _counted(percent: int):
-    """Two blocks of members with full sets -> how many documents each is linked with in the other."""
+    """Two blocks of members with full sets -> (a, null, found): how many documents a is linked with in the other block; and
+    (a, b, 0): a forest of the links."""
 
     def run(group: pa.Table) -> pa.Table:
-        docs, comp = group.column("docs").to_numpy(), group.column("comp").to_numpy()
+        docs, comp, ids = (group.column(c).to_numpy() for c in ("docs", "comp", "id"))
         sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
         left, right = _sides(group)
         found = np.zeros(len(docs), np.int64)
         a, b = linked(sets, left, right, comp, percent)
         np.add.at(found, a, docs[b])
-        if left is not right and not np.array_equal(left, right):
+        if not np.array_equal(left, right):
             np.add.at(found, b, docs[a])
-        return pa.table({"id": group.column("id"), "found": pa.array(found)})
+        some, tree = np.flatnonzero(found), forest(ids, a, b)
+        none = pa.nulls(len(some), pa.int64())
+        zero = pa.array(np.zeros(len(tree), np.int64))
+        return pa.table({"a": pa.chunked_array([pa.array(ids[some]), *tree.column("a").chunks]), "b": pa.chunked_array([none, *tree.column("b").chunks]), "found": pa.chunked_array([pa.array(found[some]), zero])})
 
     return run
 
 
-def link_counts(docs: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, words: int) -> DataFrame:
-    """id, found: with how many documents of other classes each class is linked.  classes: id, doc_id, n, hi, lo, sig, docs;
-    parts: node, component."""
+def families(classes: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """node, component: everything that may be linked is in one component.  classes: id, n, sig; keys: key, id."""
+    own = Window.partitionBy("key")
+    met = keys.select("key", "id", F.min("id").over(own).alias("low"), F.max("id").over(own).alias("high"))
+    members = stage(met.where("low < high").select("key", "id", "low"), "members")
+    low_side = classes.select(F.col("id").alias("low"), F.col("n").alias("low_n"), F.col("sig").alias("low_sig"))
+    stars = members.where("id <> low").select("id", "low").distinct().join(classes.select("id", "n", "sig"), "id").join(low_side, "low")
+    near = stage(stars.mapInArrow(lean(_near(percent)), "id long, low long").select(F.col("id").alias("a"), F.col("low").alias("b")), "near")
+    parts = classes.select("id", "n").join(components(near), F.col("id") == F.col("node"), "left")
+    known = stage(parts.select("id", "n", F.coalesce("component", "id").alias("comp")), "parts")
+    blocks_ = mixed_blocks(members, known, classes.select("id", "sig"))
+    more = stage(blocks_.groupBy("key", "fs", "ms").applyInArrow(_candidates(percent), "a long, b long"), "more")
+    return stage(components(near.unionByName(more)), "families")
+
+
+def links_within(docs: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Verified links within families: (a, null, found) with how many documents of other classes a class is linked, in
+    parts that add up; and links (a, b, 0) that connect what is connected.  classes: id, doc_id, n, hi, lo, sig, docs."""
     sizes = parts.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     sizes = stage(sizes, "sizes")
     small = (F.col("m") <= SMALL) & (F.col("s") * 8 <= 1_000_000)
@@ -278,8 +299,7 @@ def link_counts(docs: DataFrame, classes: DataFrame, parts: DataFrame, percent:
     tiles = met.select("pack", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("node").alias("id"), F.col("component").alias("comp"), "n", "docs", (F.col("own") <= F.col("other")).alias("left"), "sig")
     found = stage(tiles.groupBy("pack", "x", "y").applyInArrow(_survivors(percent), "pack long, x int, y int, id long, comp long, docs long, left boolean"), "survivors")
     sets = shingles_of(docs, classes, stage(found.select("id").distinct(), "ids"), words)
-    counted = found.join(sets, "id").groupBy("pack", "x", "y").applyInArrow(_counted(percent), "id long, found long")
-    return counted.groupBy("id").agg(F.sum("found").alias("found"))
+    return stage(found.join(sets, "id").groupBy("pack", "x", "y").applyInArrow(_counted(percent), "a long, b long, found long"), "links")
 
 
 def ngram_join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
@@ -295,17 +315,17 @@ def ngram_join(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     heads = some.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.countDistinct("doc_id").alias("docs"))
     heads = stage(heads.select("hi", "lo", "n", "head.doc_id", F.col("head.row").alias("id"), "docs"), "heads")
     own = few(heads.select(F.col("id").alias("row"), "docs"))
-    known = stage(rows.join(own, "row").select(F.col("row").alias("id"), "doc_id", "n", "hi", "lo", "sig", "docs", "keys"), "classes")
-    keys = known.select(F.explode("keys").alias("key"), "id")
-    classes, there = known.drop("keys"), docs.where("doc_id is not null")
-    links = near_links(there, classes, keys, _near(percent), _candidates(percent), percent, words)
+    known = rows.join(own, "row").withColumnRenamed("row", "id")
+    classes, there = known.select("id", "doc_id", "n", "hi", "lo", "sig", "docs"), docs.where("doc_id is not null")
+    kin = families(classes, known.select(F.explode("keys").alias("key"), "id"), percent)
+    links = links_within(there, classes, kin, percent, words)
+    counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("found").alias("found"))
+    links = links.where("b is not null").select("a", "b")
     numbered = stage(rows.select("row", "doc_id", "n", "hi", "lo").join(heads.select("id", "hi", "lo", "n", "docs", F.col("doc_id").alias("least")), ["hi", "lo", "n"], "left").select("doc_id", "n", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("id", "docs", "least"))), "rows")
-    parts = stage(components(links), "parts")
-    counts = stage(link_counts(there, classes, parts, percent, words), "counts")
     # a doc_id with several texts connects their classes
     several = numbered.where("id is not null").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
-    same = stage(numbered.join(stage(several, "several"), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b"), "same")
-    whole = parts if same.isEmpty() else stage(components(links.unionByName(same)), "parts")
+    same = numbered.join(stage(several, "several"), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b")
+    whole = components(links.unionByName(same))
     least = heads.select(F.col("id").alias("node"), "doc_id").join(whole, "node")
     named = stage(least.join(least.groupBy("component").agg(F.min("doc_id").alias("name")), "component").select(F.col("node").alias("id"), "name"), "names")
     out = numbered.join(named, "id", "left").join(counts, "id", "left")
