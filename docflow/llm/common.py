@@ -112,6 +112,14 @@ def quoted(names: Iterable[str]) -> list[str]:
     return ["`" + n.replace("`", "``") + "`" for n in names]
 
 
+def undotted(names: Iterable[str]) -> list[str]:
+    """The names, with others in place of those that mapInArrow cannot take (it reads a dot as a field of a struct)."""
+    out: list[str] = []
+    for n in (names := list(names)):
+        out.append(unused("column", [*names, *out]) if set(n) & set(".`") else n)
+    return out
+
+
 def parted(docs: DataFrame, key: str = "doc_id", name: str = "part") -> DataFrame:
     """docs with ``name``: 0, but a hash of the text where rows share a key and not their text, to tell them apart; and
     ``name_again``: whether other rows have the same key (null keys: false)."""

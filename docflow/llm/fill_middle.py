@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, quoted, table
+from .common import blocks, lean, quoted, table, undotted
 
 #: What stands before prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -135,15 +135,15 @@ def restore(cut: DataFrame, marks: tuple[str, str, str] = MARKS) -> DataFrame:
     """(output, form, any more columns) -> the same with ``restored``, the exact text that was cut."""
     coded = [m.encode() for m in marks]
     others = [c for c in cut.columns if c != "restored"]
-    kinds = dict(cut.dtypes)
+    kinds, safe = dict(cut.dtypes), undotted(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "output"):
             columns = [part.column(i) for i in range(len(others))]
-            yield pa.RecordBatch.from_arrays([*columns, rebuild(pa.array(texts, pa.binary()), part.column("form"), coded)], names=[*others, "restored"])
+            yield pa.RecordBatch.from_arrays([*columns, rebuild(pa.array(texts, pa.binary()), part.column("form"), coded)], names=[*safe, "restored"])
 
-    schema = ", ".join(f"{q} {kinds[c]}" for c, q in zip(others, quoted(others)))
-    return cut.select(*quoted(others)).mapInArrow(lean(run), f"{schema}, restored binary")
+    schema = ", ".join(f"{q} {kinds[c]}" for c, q in zip(others, quoted(safe)))
+    return cut.select(*quoted(others)).toDF(*safe).mapInArrow(lean(run), f"{schema}, restored binary").toDF(*others, "restored")
 
 
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, quoted, table
+from .common import blocks, lean, quoted, table, undotted
 from .seeds import words_of
 
 PASSAGE = 64
@@ -175,13 +175,14 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most_labelled: int =
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of docs and the probability of label 1 under ``name``."""
     names = docs.columns
+    safe = undotted(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], names=[*safe, name])
 
-    schema = ", ".join(f"{q} {f.dataType.simpleString()}" for f, q in zip(docs.schema, quoted(names)))
-    return docs.mapInArrow(lean(run), f"{schema}, `{name}` double")
+    schema = ", ".join(f"{q} {f.dataType.simpleString()}" for f, q in zip(docs.schema, quoted(safe)))
+    return docs.toDF(*safe).mapInArrow(lean(run), f"{schema}, `{name}` double").toDF(*names, name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, parts: int = 5) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import ranges, repeated_units, word_digests, word_units
-from .common import blocks, few, lean, once, parted, quoted, reduced, stage, table, unused
+from .common import blocks, few, lean, once, parted, quoted, reduced, stage, table, undotted, unused
 from .seeds import words_of
 
 SPAN = "array<struct<start:int,count:int>>"
@@ -113,7 +113,7 @@ def cut_texts(docs: DataFrame, length: int = 50, gram: int = 20, n_chars: str |
     keyed = told.select(F.col(own).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(part_of).alias("part"), F.col(f"{part_of}_again").alias("part_again"))
     marks = repeat_marks(once(keyed), length, gram)
     marks = marks.withColumnsRenamed({"doc_id": own, "part": part_of, "marks": marked})
-    text = names.index("text")
+    text, safe = names.index("text"), undotted(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "text"):
@@ -123,11 +123,11 @@ def cut_texts(docs: DataFrame, length: int = 50, gram: int = 20, n_chars: str |
                 kept.append(b" ".join(w for piece in outside(words, removed_runs(len(words), found, length)) for w in piece))
             columns = [part.column(i) for i in range(len(names))]
             columns[text] = pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=safe)
 
-    schema = ", ".join(f"{q} {'binary' if c == 'text' else kinds[c]}" for c, q in zip(names, quoted(names)))
+    schema = ", ".join(f"{q} {'binary' if c == 'text' else kinds[c]}" for c, q in zip(names, quoted(safe)))
     keys = few(marks.select(own, part_of))
-    cut = told.join(keys, [own, part_of], "left_semi").join(marks, [own, part_of]).select(*quoted(names), marked).mapInArrow(lean(run), schema).withColumn("text", F.col("text").cast("string"))
+    cut = told.join(keys, [own, part_of], "left_semi").join(marks, [own, part_of]).select(*quoted(names), marked).toDF(*safe, marked).mapInArrow(lean(run), schema).toDF(*names).withColumn("text", F.col("text").cast("string"))
     if n_chars:
         cut = cut.withColumn(n_chars, F.char_length("text").cast(kinds[n_chars]))
     return told.join(keys, [own, part_of], "left_anti").select(*quoted(names)).unionByName(cut)

@@ -81,7 +81,7 @@ def test_random_word_repeats(spark):
 @pytest.mark.parametrize("most_units", [1024, 2, 1])
 def test_run_dedup_equals_brute_force(spark, most_units):
     """Blocks of any size, and stretches split as far as it goes, give the same result."""
-    rows = [(i, t and t[:6000]) for i, t in brute.awkward_rows()]
+    rows = brute.awkward_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = run_dedup(docs, 100, 48, most_units).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
     # rows that repeat a doc_id are one document: the same place is not earlier than itself
@@ -148,7 +148,7 @@ def test_near_copies_in_blocks(spark, monkeypatch):
 
 def test_a_family_of_many_components(spark, monkeypatch):
     """Texts near one another by signature, most under the threshold, a few links among them off the bucket's smallest."""
-    monkeypatch.setattr(M, "BLOCK", 5)
+    monkeypatch.setattr(links, "BLOCK", 5)
     random.seed(8)
     base = [f"v{i}" for i in range(200)]
     rows = []
@@ -195,3 +195,31 @@ def test_equal_units_of_a_text_are_one_row():
     assert all(r["starts"] == sorted(r["starts"]) for r in rows)
     places = sorted((r["doc_id"], s, r["count"], r["lead"], r["unit"]) for r in rows for s in r["starts"])
     assert places == sorted(zip([[7, 8, 9][d] for d in units.doc], units.start.tolist(), units.count.tolist(), units.lead.tolist(), keys))
+
+
+@pytest.mark.parametrize("length", [7, 13, 30, 56, 113, 240])
+def test_indexed_windows_of_any_length(length):
+    rng = random.Random(length)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 700))) for _ in range(6)]
+    texts += [texts[0] + texts[1][:300], texts[2], b"x" * 600, b"ab" * 200]
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - length + 1):
+            if t[s : s + length] in seen:
+                want.add((i, s))
+            seen.add(t[s : s + length])
+    text, start = repeated(texts, length)
+    assert set(zip(text.tolist(), start.tolist())) == want
+    with pytest.raises(ValueError):
+        repeated(texts, 6)
+
+
+@pytest.mark.parametrize("dedup", [substring_dedup, run_dedup])
+def test_repeated_rows_cost_in_proportion(spark, dedup):
+    """A row that is there 100,000 times, whose 300 words also stand in a smaller doc_id."""
+    text = brute.numbered(300)
+    head = spark.createDataFrame([(1, text), (3, "other " + text)], "doc_id long, text string")
+    docs = head.unionByName(spark.range(100_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit(text).alias("text")))
+    got = {(r.doc_id, r.n_removed, r.n): None for r in dedup(docs).groupBy("doc_id", "n_removed").agg(F.count("*").alias("n")).collect()}
+    whole = 300 if dedup is substring_dedup else len(text)
+    assert set(got) == {(1, 0, 1), (2, whole, 100_000), (3, whole, 1)}

@@ -60,3 +60,22 @@ def test_near_dedup_equals_brute_force_from_80_percent(spark):
         got = sorted(r.doc_id for r in P.near_dedup(spark, docs, SF).collect())
         assert got == sorted(i for i, _, head in brute.near_components(rows, 80) if i == head)
     assert len(P.near_dedup(spark, made, SF).collect()) == 43
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "substring_dedup", "decontamination"])
+def test_stages_take_clashing_and_dotted_names_ties_and_long_texts(spark, name):
+    rows = [(i, t) for i, t in brute.awkward_rows()] + [(40, "long " * 60_000), (41, brute.numbered(20_000))]
+    docs = spark.createDataFrame([(i, t, 1, 0.5, "m", i, True) for i, t in rows], "doc_id long, text string, `a.b` int, score double, mark string, part long, `own``id` boolean")
+    out = dict(P.STAGES)[name](spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r["a.b"], r.score, r.mark, r.part) for r in out.collect()]
+    assert set(kept) <= {(i, 1, 0.5, "m", i) for i, _ in rows} and len(kept) <= len(rows)
+    if name in ("substring_dedup", "decontamination"):
+        assert len(kept) == len(rows)
+
+
+def test_bpe_stage_of_awkward_rows(spark):
+    last = P.STAGES[-1][1]
+    assert last(spark, brute.empty(spark), SF).count() == 0
+    got = sorted((str(r.doc_id), r.decoded_sha256) for r in last(spark, brute.awkward(spark), SF).collect())
+    assert got == sorted((str(i), brute.sha((t or "").encode())) for i, t in brute.awkward_rows())
