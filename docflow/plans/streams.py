@@ -60,10 +60,29 @@ def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         state.to_parquet(stream, f"{out}/rows", f"{out}/checkpoint")
-    else:
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
-        writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+        return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    state.publish_complete(stream, f"{out}/rows", f"{out}/checkpoint")
+    return state.newest_result(spark, f"{out}/rows", stream.schema)
+
+
+#: How many batches the unordered stream comes in, and of how many files each.
+SLICES, FILES = 6, 4
+
+
+def _arriving(spark: SparkSession, d: str, hours: int) -> DataFrame:
+    """Events as a stream in which they arrive up to an hour late and out of order, closed by an event so much later that
+    the watermark passes all others."""
+    events = read(spark, d, "events").select("user_id", F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3_600_000_000))
+    events = events.withColumn("arrival", arrival)
+    edges = [None, *events.approxQuantile("arrival", [i / SLICES for i in range(1, SLICES)], 0.01), None]
+    folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    for low, high in zip(edges, edges[1:]):  # a batch's files are written after those of the batch before
+        rows = events.where((F.lit(True) if low is None else F.col("arrival") >= low) & (F.lit(True) if high is None else F.col("arrival") < high))
+        rows.drop("arrival").repartition(FILES).write.mode("append").parquet(folder)
+    close = events.agg((F.max("ts") + F.expr(f"interval {hours + 24} hours")).alias("ts"))
+    close.select(F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("signup").alias("event_type")).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 @query(_PARSED)
@@ -98,6 +117,23 @@ def lockout_windows(spark, d):
 
 @query(_LOCK)
 def stream_lockouts(spark, d):
-    tries = _event_stream(spark, d).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("success"))
+    """The same from events that arrive late and out of order."""
+    tries = _arriving(spark, d, 2).withColumn("success", F.col("event_type") == "signup")
     out = _run(state.lockout_stream(tries))
     return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("locked_at", "locked_until")))
+
+
+_EXPIRED = """WITH n AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+ SELECT user_id AS key, ts AS last_at, ts + INTERVAL 24 HOUR AS expired_at FROM n WHERE next IS NULL OR next > ts + INTERVAL 24 HOUR"""
+
+
+@query(_EXPIRED)
+def expired_after_silence(spark, d):
+    return state.expiries(read(spark, d, "events"))
+
+
+@query(_EXPIRED)
+def stream_expiry(spark, d):
+    """Sessions that expire in a stream of late and unordered activity, by timers; nothing is kept of them."""
+    out = _run(state.expiry_stream(_arriving(spark, d, 2 + state.EXPIRY_HOURS)))
+    return out.select("key", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_at", "expired_at")))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Failures that lock, and minutes of a lock (fixed values).
 FAILURES, MINUTES = 10, 15
+#: Hours after which a session without activity has expired (a fixed value).
+EXPIRY_HOURS = 24
+#: transformWithState keeps its state in this store only.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_counts(events: DataFrame, at: str, by: list[str], every: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -26,25 +30,156 @@ def lockouts(tries: DataFrame, user: str = "user_id", at: str = "ts", success: s
     return counted.where(F.col("n") % failures == 0).select(user, F.col(at).alias("locked_at"), (F.col(at) + F.expr(f"interval {minutes} minutes")).alias("locked_until"))
 
 
-def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MINUTES) -> DataFrame:
-    """The same rule over a stream of (user_id, event_id, ts, success): user_id, locked_at, locked_until.
+def _needs_state_store(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+class _Ordered(StatefulProcessor):
+    """Rows of a key are held until the watermark has passed them, and then taken in order of time and event_id.
 
-    Tries that arrive together are taken by time and event_id; one that arrives after a later one counts when it
-    arrives.  So a stream in order of time gives what the batch gives, however it is cut into micro-batches.
+    Subclasses say what a row does (``take``) and what a timer may end (``due``).  Held are only the rows within the
+    watermark's delay; what is taken leaves the state.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
-        locked = []
-        rows = pd.concat([b[["ts", "event_id", "success"]] for b in batches]).sort_values(["ts", "event_id"])
-        for ts, success in zip(rows["ts"], rows["success"]):
+    HELD = "at long, event_id long, flag boolean"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.HELD)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["at"], r["event_id"], r["flag"]) for r in rows]
+        if new:
+            self.held.appendList(new)
+            self.handle.registerTimer(min(at for at, _, _ in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((r[0], r[1], r[2]) for r in self.held.get())
+        ready, rest = [r for r in held if r[0] < passed], [r for r in held if r[0] >= passed]
+        if ready:
+            if rest:
+                self.held.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            else:
+                self.held.clear()
+        yield from self.take(key, ready, passed)
+
+    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Lockouts(_Ordered):
+    def __init__(self, failures: int, minutes: int):
+        self.failures, self.minutes = failures, minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.count = handle.getValueState("count", "n long")
+
+    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
+        if not ready:
+            return
+        before = self.count.get() if self.count.exists() else None
+        n = before[0] if before else 0
+        for at, _, success in ready:
             n = 0 if success else n + 1
-            if n and n % failures == 0:
-                locked.append((key[0], ts, ts + pd.Timedelta(minutes=minutes)))
-        state.update((n,))
-        yield pd.DataFrame(locked, columns=["user_id", "locked_at", "locked_until"])
+            if n and n % self.failures == 0:
+                yield Row(user_id=key[0], locked_at=at, locked_until=at + self.minutes * 60_000_000)
+        if n:
+            self.count.update((n,))
+        elif before:
+            self.count.clear()  # a success leaves no state
+
+
+class _Expiry(_Ordered):
+    def __init__(self, hours: int):
+        self.span = hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "at long")
+
+    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
+        last = self.last.get()[0] if self.last.exists() else None
+        was = last
+        for at, _, _ in ready:
+            if last is not None and at > last + self.span:
+                yield Row(key=key[0], last_at=last, expired_at=last + self.span)
+            last = at
+        if last is not None and last + self.span < passed:
+            yield Row(key=key[0], last_at=last, expired_at=last + self.span)
+            self.last.clear()  # an expired session leaves no state
+        elif last != was:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.span) // 1000 + 1)
+
+
+def _processed(rows: DataFrame, key: str, at: str, flag: Column, late: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    _needs_state_store(rows.sparkSession)
+    timed = rows.select(F.col(key), F.col(at).cast("timestamp").alias("time"), _micros(at).alias("at"), F.col("event_id").cast("long").alias("event_id"), flag.alias("flag"))
+    return timed.withWatermark("time", late).groupBy(key).transformWithState(processor, schema, "append", "eventTime")
+
+
+def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MINUTES, late: str = "2 hours") -> DataFrame:
+    """The same rule over a stream of (user_id, event_id, ts, success): user_id, locked_at, locked_until.
+
+    Tries may arrive in any order, as late as ``late``: they are counted in order of time once the watermark has passed
+    them, so the result is that of the batch however the stream is cut; later ones are left out.  State is the tries
+    within ``late`` and a number for each user with failures.
+    """
+    out = _processed(tries, "user_id", "ts", F.col("success"), late, _Lockouts(failures, minutes), "user_id long, locked_at long, locked_until long")
+    return out.select("user_id", *(F.timestamp_micros(c).alias(c) for c in ("locked_at", "locked_until")))
+
+
+def expiries(activity: DataFrame, hours: int = EXPIRY_HOURS) -> DataFrame:
+    """key, last_at, expired_at of sessions (user_id, event_id, ts) that saw nothing for so many hours.  Batch; a session
+    comes back with its next activity, and the last one of each is taken to be over."""
+    following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    span = F.expr(f"interval {hours} hours")
+    return activity.withColumn("next", following).where(F.col("next").isNull() | (F.col("next") > F.col("ts") + span)).select(F.col("user_id").alias("key"), F.col("ts").alias("last_at"), (F.col("ts") + span).alias("expired_at"))
+
+
+def expiry_stream(activity: DataFrame, hours: int = EXPIRY_HOURS, late: str = "2 hours") -> DataFrame:
+    """The same over a stream: an expiry comes out when the watermark passes it, and the session's state goes."""
+    out = _processed(activity, "user_id", "ts", F.lit(True), late, _Expiry(hours), "key long, last_at long, expired_at long")
+    return out.select("key", *(F.timestamp_micros(c).alias(c) for c in ("last_at", "expired_at")))
+
+
+def publish_complete(stream: DataFrame, path: str, checkpoint: str, every_batch: bool = False) -> None:
+    """A stream's whole result after each batch, each in a folder of its own.  A folder counts once Spark has marked it as
+    written, so a batch that dies leaves the result before it in place, and is written anew when the stream is started
+    again.  Folders older than the one before are dropped, unless every_batch is to stay."""
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n:09d}")
+        files, root = FileSystem.from_uri(path)
+        for old, _ in [] if every_batch else _published(files, root)[:-2]:
+            files.delete_dir(old)
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def _published(files: FileSystem, root: str) -> list[tuple[str, int]]:
+    """Folders of whole results and their batches, in order."""
+    found = files.get_file_info(FileSelector(root, allow_not_found=True))
+    numbers = [(f.path, int(f.base_name.split("=")[1])) for f in found if f.base_name.startswith("batch=")]
+    return sorted((x for x in numbers if files.get_file_info(f"{x[0]}/_SUCCESS").type == FileType.File), key=lambda x: x[1])
+
 
-    return tries.groupBy("user_id").applyInPandasWithState(step, "user_id long, locked_at timestamp, locked_until timestamp", "n long", "append", GroupStateTimeout.NoTimeout)
+def newest_result(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``publish_complete`` has published last; nothing before its first batch."""
+    found = _published(*FileSystem.from_uri(path))
+    return spark.read.schema(schema).parquet(f"{path}/batch={found[-1][1]:09d}") if found else spark.createDataFrame([], schema)
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:

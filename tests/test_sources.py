@@ -167,19 +167,56 @@ def test_lockouts(spark):
     assert [r.locked_at.second for r in page(got, [F.col("locked_at")], 1, 9).collect()] == [15, 25]
 
 
-def test_lockout_stream_equals_batch_in_any_cut(spark, tmp_path):
-    """Three micro-batches, with ties of time that only event_id tells apart."""
-    rows = [(i % 3, i, i // 9, i % 31 == 5) for i in range(300)]
-    tries = spark.createDataFrame(rows, "user_id long, event_id long, s long, success boolean").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    for low in (0, 99, 198):
-        tries.where(f"event_id >= {low} and event_id < {low + 99 if low < 198 else 300}").orderBy("user_id", F.desc("event_id")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(tries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    state.to_parquet(state.lockout_stream(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+def _in_files(tries, folder, cuts, order):
+    """The rows as a stream of one file a batch: cut by a column, then one event far behind all."""
+    for low, high in zip(cuts, cuts[1:]):
+        tries.where(f"{order} >= {low} and {order} < {high}").orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(folder)
+    end = tries.limit(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), F.lit(True).alias("success"), (F.lit("2030-01-01").cast("timestamp")).alias("ts"))
+    end.coalesce(1).write.mode("append").parquet(folder)
+    return tries.sparkSession.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_lockout_stream_equals_batch_however_tries_arrive(spark, tmp_path):
+    """Three micro-batches of tries up to a minute late, with ties of time that only event_id tells apart."""
+    rows = [(i % 3, i, i // 9, i % 31 == 5, i // 9 + i * 7919 % 60) for i in range(300)]
+    tries = spark.createDataFrame(rows, "user_id long, event_id long, s long, success boolean, arrival long").select("user_id", "event_id", "success", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "arrival")
+    stream = _in_files(tries, str(tmp_path / "in"), [0, 30, 60, 1000], "arrival")
+    state.to_parquet(state.lockout_stream(stream, late="2 minutes"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = spark.read.parquet(str(tmp_path / "out"))
     want = state.lockouts(tries)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
 
 
+def test_state_goes_when_it_is_over(spark, tmp_path):
+    """A success leaves no count, and an expired session nothing: all that is held in the end belongs to the last event."""
+    rows = [(u, 100 * u + i, i * 60, i == 4) for u in range(20) for i in range(5)]
+    tries = spark.createDataFrame(rows, "user_id long, event_id long, s long, success boolean").select("user_id", "event_id", "success", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    for n, (streamed, held) in enumerate(((state.lockout_stream, 3), (state.expiry_stream, 3))):
+        stream = streamed(_in_files(tries, str(tmp_path / f"in{n}"), [0, 1500, 5000], "event_id"))
+        query = stream.writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+        assert max(sizes) > 20 and sizes[-1] <= held
+
+
+def test_a_batch_that_dies_leaves_the_result_before(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    none = state.newest_result(spark, out, "k long, n long")
+    assert none.count() == 0
+    grouped = lambda: spark.readStream.schema("k long").parquet(source).groupBy("k").agg(F.count("*").alias("n"))
+    kept = lambda: {r.k: r.n for r in state.newest_result(spark, out, "k long, n long").collect()}
+    spark.range(3).select(F.col("id").alias("k")).coalesce(1).write.mode("append").parquet(source)
+    state.publish_complete(grouped(), out, checkpoint)
+    assert kept() == {0: 1, 1: 1, 2: 1}
+    spark.range(5).select(F.col("id").alias("k")).coalesce(1).write.mode("append").parquet(source)
+    broken = grouped().withColumn("n", F.when(F.col("k") == 4, F.raise_error(F.lit("killed"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="killed"):
+        state.publish_complete(broken, out, checkpoint)
+    assert kept() == {0: 1, 1: 1, 2: 1}
+    state.publish_complete(grouped(), out, checkpoint)
+    assert kept() == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1}
+
+
 def test_providers():
     calls = []
 
