@@ -1,44 +1,105 @@
-"""Sparse term-frequency vectors."""
+"""Sparse term-frequency vectors, counted inside the row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sparse_dimension
+from ..sources.scratch import bounded_batches
 
 DIMENSIONS = 100_000
 #: Words that carry no content (our own short list; a parameter).
 STOP_WORDS = ["the", "of", "to", "and", "in", "is", "it", "that", "this", "was", "were", "for", "with", "on", "as", "at", "by", "be", "are", "from", "an", "or", "le", "la", "les", "de", "des", "du", "et", "un", "une", "en", "que", "qui", "pour", "par", "el", "los", "las", "y", "der", "die", "das", "und", "mit", "von", "ist", "ein", "eine"]
+SPARSE = "struct<indices:array<int>,values:array<double>>"
+
+
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits (and what is empty at either end)."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased runs of letters and digits, longer than one character, without stop words."""
     stop = STOP_WORDS if stop_words is None else stop_words
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(stop))
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """key, term, n.  Keyed by document: no term of the whole corpus is gathered anywhere."""
-    return df.select(key, F.explode(terms(F.col(text), stop_words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+def _counted(lists: pa.ListArray, stop: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """Of lists of words: row, term (an index), n for each different term of each row, in order; the rows' totals; the terms."""
+    coded = lists.flatten().dictionary_encode()
+    kinds = coded.dictionary
+    good = np.asarray(pc.and_(pc.greater(pc.utf8_length(kinds), 1), pc.invert(pc.is_in(kinds, pa.array(stop, pa.string())))))
+    code, row = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    some = good[code] if len(code) else np.zeros(0, bool)
+    code, row = code[some].astype(np.int64), row[some].astype(np.int64)
+    pair, n = np.unique(row * max(len(kinds), 1) + code, return_counts=True)
+    return *np.divmod(pair, max(len(kinds), 1)), n, np.bincount(row, minlength=len(lists)), kinds
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            yield batch.slice(at, 1000)
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """key, term, n, tf: a term's share of the document's terms (sums to 1)."""
-    counts = term_counts(df, key, text, stop_words)
-    totals = df.select(key, F.size(terms(F.col(text), stop_words)).alias("total"))
-    return counts.join(totals, key).select(key, "term", "n", (F.col("n") / F.col("total")).alias("tf"))
+    """key, term, n, tf: a term's share of its row's terms (sums to 1).
 
+    Row by row, without a shuffle: rows with a null key have their terms too, and rows that share a key have their own.
+    """
+    stop, kind = STOP_WORDS if stop_words is None else stop_words, df.schema[key].dataType.simpleString()
+    bounded_batches(df.sparkSession)
 
-def sparse_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
-    """key (unique), sparse: struct(indices, values), ordered by index; terms that share an index add up.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            row, term, n, total, kinds = _counted(part.column(1), stop)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), kinds.take(pa.array(term)), pa.array(n), pa.array(n / total[row])], names=["key", "term", "n", "tf"])
+
+    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    return rows.mapInArrow(run, f"key {kind}, term string, n long, tf double").withColumnRenamed("key", key)
 
-    One shuffle by key serves both aggregations; a text without terms has empty arrays.
+
+def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
+    """key, term, n."""
+    return term_frequencies(df, key, text, stop_words).select(key, "term", "n")
+
+
+def _dimensions(kinds: pa.StringArray, size: int) -> np.ndarray:
+    """A term's dimension, from its MD5 (the same on every run and engine)."""
+    return np.fromiter((int.from_bytes(md5(t.encode()).digest()[:4], "big") % size for t in kinds.to_pylist()), np.int64, len(kinds))
+
+
+def with_sparse(df: DataFrame, text: str, name: str = "sparse", dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
+    """All columns of df and ``name``: struct(indices, values), ordered by index; terms that share an index add up.
+
+    A text without terms, or none, has empty arrays.  Nothing is shuffled or joined, whatever the keys are.
     """
-    found = F.transform(terms(F.col(text), stop_words), lambda t: sparse_dimension(t, dimensions).cast("int"))
-    rows = df.select(key, found.alias("d"), F.size(found).alias("total")).repartition(key)
-    each = rows.select(key, "total", F.explode_outer("d").alias("i")).groupBy(key, "total", "i").agg(F.count("*").alias("n"))
-    entry = F.when(F.col("i").isNotNull(), F.struct("i", (F.col("n") / F.col("total")).alias("v")))
-    lists = each.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return lists.select(key, F.struct(F.transform("e", lambda x: x["i"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("values")).alias("sparse"))
+    stop, names = STOP_WORDS if stop_words is None else stop_words, [c for c in df.columns if c != name]
+    safe = [f"c{i}" for i in range(len(names))]
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            row, term, n, total, kinds = _counted(part.column("words"), stop)
+            pair, at = np.unique(row * dimensions + _dimensions(kinds, dimensions)[term], return_inverse=True)
+            row, index = np.divmod(pair, dimensions)
+            value = np.bincount(at, weights=n, minlength=len(pair)) / total[row]
+            ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(index.astype(np.int32)), pa.array(value))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in safe), pa.StructArray.from_arrays(lists, names=["indices", "values"])], names=[*safe, "sparse"])
+
+    kinds = ", ".join(f"{s} {df.schema[c].dataType.simpleString()}" for s, c in zip(safe, names))
+    rows = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(s) for s, c in zip(safe, names)), words(F.col(text)).alias("words"))
+    return rows.mapInArrow(run, f"{kinds}, sparse {SPARSE}").toDF(*names, name)
+
+
+def sparse_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
+    """key, sparse: one row per row."""
+    found = with_sparse(df.select(key, F.col(text).alias("__text")), "__text", "sparse", dimensions, stop_words)
+    return found.select(key, "sparse")

@@ -182,9 +182,8 @@ def payload_c(spark, d):
 def payload_flat(spark, d):
     """The flagship flow: documents to word chunks to sparse vectors to store payloads."""
     chunks = _chunks(spark, d)
-    vectors = sparse.sparse_vectors(chunks, "id", "text")
     weighted = F.aggregate(F.zip_with("sparse.indices", "sparse.values", lambda i, x: x * (1 + i % 7)), F.lit(0.0), lambda x, y: x + y)
-    return chunks.join(vectors, "id").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
+    return sparse.with_sparse(chunks, "text").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
 
 
 @query("""WITH r AS (SELECT label, CASE WHEN embedding[2] < -0.3 THEN 1 ELSE 0 END AS failed, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS ok FROM embeddings),
@@ -416,7 +415,7 @@ def notes_backup(spark, d):
 def phase_run(spark, d):
     """All phases, then the last one once more from the tables that are there."""
     chunks = lambda _: chunk.chunk_words(read(spark, d, "documents"))
-    counted = lambda df: df.join(sparse.sparse_vectors(df, "id", "text"), "id")
+    counted = lambda df: sparse.with_sparse(df, "text")
     steps = {"initial": chunks, "sparse": counted}
     folder = f"{shared_folder(spark)}/docflow-phases-{uuid.uuid4().hex}"
     phases.run_phases(spark, steps, "all", folder)

@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of one Arrow batch between the JVM and Python, where the session does not say.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: texts may be long, and each running task holds several batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1") in ("1", "1b"):  # not set
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: it is computed once, and lineage ends here.
 
