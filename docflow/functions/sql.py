@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators.chunk import split_recursive
+from ..operators.chunk import characters, split_measured
 from . import text as T
 
 
@@ -16,7 +16,7 @@ class ChunkText:
     """chunk_text(text, size, overlap): one row a chunk."""
 
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple]:
-        parts = split_recursive(text.strip(), size, overlap) if text and text.strip() else []
+        parts = split_measured(text.strip(), characters([text.strip()])[0], size, overlap) if text and text.strip() else []
         for i, p in enumerate(parts, 1):
             yield i, len(parts), p
 

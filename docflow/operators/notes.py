@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import append_abstract, blank, escape_html, note_language, strip_tags, truncate, uuid5
 from ..sources.providers import NoteSink, NoteWriter, put_note
+from .calls import two_passes
 
 #: Marks a note as ours.
 SENTINEL = r"<!-- docflow-note:([a-f0-9\-]+) -->"
 LABELS = {"fr": ("Auteurs", "Date", "Résumé", "Source"), "en": ("Authors", "Date", "Abstract", "Source")}
+#: What stands for missing fields (fixed values).
 MISSING = {"TITLE": "Sans titre", "AUTHORS": "N/A", "DATE": "N/A", "ABSTRACT": "Non disponible", "DOI": "N/A", "URL": "N/A"}
 PROMPT = """Write a reading note in {LANGUAGE} on the work below.
 
@@ -70,27 +72,24 @@ def fallback_note(title: Column, authors: Column, date: Column, abstract: Column
     )
 
 
-def build_notes(items: DataFrame, writer: NoteWriter | None, mode: str = "full") -> DataFrame:
-    """itemKey, mark, html, source ('writer' or 'template') of every item; items need canonical columns."""
+def build_notes(items: DataFrame, writer: NoteWriter | None, mode: str = "full", tasks: int | None = None, pause: float = 2.0) -> DataFrame:
+    """itemKey, mark, html, source ('writer' or 'template') of every item; items need canonical columns.  The writer is asked
+    in two passes, ``tasks`` at a time; items it gives nothing for get the note from metadata."""
     language = note_language(F.col("language") if "language" in items.columns else F.lit(None).cast("string"))
     fields = {"TITLE": F.col("title"), "AUTHORS": F.col("authors"), "DATE": F.col("date"), "ABSTRACT": F.col("abstract"), "DOI": F.col("doi"), "URL": F.col("url")}
     rows = items.select("itemKey", sentinel_id(F.col("itemKey"), mode).alias("mark"), fill_prompt(PROMPT if mode == "full" else SHORT_PROMPT, fields, F.col("texteocr"), language, mode != "full").alias("prompt"), fallback_note(*(F.col(c) for c in ("title", "authors", "date", "abstract", "url", "doi")), language).alias("plain"))
     if writer is None:
         return rows.select("itemKey", "mark", add_sentinel(F.col("plain"), F.col("mark")).alias("html"), F.lit("template").alias("source"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("itemKey", "mark", "plain")), pa.array(writer.write(part.column("prompt").to_pylist()), pa.string())], names=["itemKey", "mark", "plain", "said"])
-
-    told = rows.mapInArrow(run, "itemKey string, mark string, plain string, said string")
-    ok = ~blank(F.col("said"))
-    return told.select("itemKey", "mark", add_sentinel(F.when(ok, F.col("said")).otherwise(F.col("plain")), F.col("mark")).alias("html"), F.when(ok, "writer").otherwise("template").alias("source"))
+    told = two_passes(rows, "prompt", writer.write, tasks, pause)
+    html = add_sentinel(F.coalesce("answer", "plain"), F.col("mark"))
+    return told.select("itemKey", "mark", html.alias("html"), F.when(F.col("answer").isNotNull(), "writer").otherwise("template").alias("source"))
 
 
-def build_abstracts(items: DataFrame, writer: NoteWriter) -> DataFrame:
+def build_abstracts(items: DataFrame, writer: NoteWriter, tasks: int | None = None, pause: float = 2.0) -> DataFrame:
     """itemKey, abstract: the old one with a new summary behind it; items without text are left out."""
     rows = items.where(~blank(F.col("texteocr")))
-    notes = build_notes(rows, writer, "short").where("source = 'writer'").select("itemKey", strip_tags(F.col("html")).alias("new"))
+    notes = build_notes(rows, writer, "short", tasks, pause).where("source = 'writer'").select("itemKey", strip_tags(F.col("html")).alias("new"))
     return rows.join(notes, "itemKey").select("itemKey", append_abstract(F.col("abstract"), F.col("new")).alias("abstract"))
 
 

@@ -108,6 +108,13 @@ def chunk_recursive(spark, d):
     return chunk.chunk_recursive(read(spark, d, "documents"), keep=["lang", "source"])
 
 
+@query()
+def chunk_tokens(spark, d):
+    """Recursive chunks of at most 1,000 word pieces with up to 150 in common, whole texts; documents that fail apart."""
+    split = staged(chunk.split_documents(read(spark, d, "documents"), keep=["lang"], units=chunk.Matches(r"\w+|[^\w\s]")), "split")
+    return chunk.number_chunks(split, "chunks", ["lang", "error"]).select("id", "doc_id", "chunk_index", "total_chunks", "lang", "error", F.char_length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @query()
 def chunk_clean_embed(spark, d):
     """Recursive chunks, cleaned where their provider needs it, with vectors of the local stand-in."""

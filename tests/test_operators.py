@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docflow.operators import canonical as C
@@ -62,19 +60,6 @@ def test_documents_and_metadata(spark):
     assert C.nest_document(C.flatten_document(docs, ["cat"])).first().meta == {"cat": "v"}
 
 
-@given(st.text(alphabet="ab #\n", max_size=200), st.integers(5, 40))
-@settings(max_examples=100, deadline=None)
-def test_chunks_are_small_and_complete(text, size):
-    parts = chunk.split_recursive(text, size, 0)
-    assert all(len(p) <= size for p in parts)
-    assert "".join("".join(parts).split()) == "".join(text.split())
-
-
-def test_chunk_overlap_and_levels():
-    assert chunk.split_recursive("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
-    assert chunk.split_recursive("one\n\ntwo", 4, 0) == ["one", "two"]
-
-
 def test_chunk_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e", "m"), (2, " ", "n"), (3, None, "o")], "doc_id int, text string, lang string")
     got = chunk.chunk_words(docs, size=3, overlap=1, keep=["lang"]).orderBy("id").collect()
