@@ -12,7 +12,8 @@ from ..functions import text as T
 from ..operators import canonical as C
 from ..operators import chunk, dense, fuzzy, notes, payload, phases, sparse
 from ..sources import pages as P
-from ..sources import providers, vector_store
+from ..sources import archives, providers, vector_store
+from ..sources import page_text as paged
 from ..sources.scratch import shared_folder, staged
 from .tables import read
 
@@ -108,6 +109,25 @@ def chunk_recursive(spark, d):
     return chunk.chunk_recursive(read(spark, d, "documents"), keep=["lang", "source"])
 
 
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS length, sha256(coalesce(text, '')) AS content_sha256 FROM documents")
+def archive_members(spark, d):
+    """Texts written into archives of the shared folder by tasks, and read back member by member."""
+    docs = read(spark, d, "documents").select(F.format_string("texts/%d/%d.txt", F.col("doc_id") % 100, "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    found = archives.read_archives(spark, archives.write_archives(docs, f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"))
+    return found.where("error is null").select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "length", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), p AS (SELECT doc_id, len(l) AS n, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l),
+ w AS (SELECT *, len(regexp_extract_all(t, '[^ \t\n\x0b\f\r]+')) AS words FROM p), r AS (SELECT *, words < 50 AND row_number() OVER (PARTITION BY doc_id, words < 50 ORDER BY i) <= 10 AS poor FROM w)
+ SELECT doc_id, any_value(n)::INT AS n_pages, count(*) FILTER (poor AND words > 0)::BIGINT AS n_read, count(*) FILTER (poor AND words = 0)::BIGINT AS failed,
+ md5(coalesce(string_agg(CASE WHEN poor THEN '<!-- Page ' || i || ' -->' || chr(10) || regexp_replace(t, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') ELSE t END, chr(10) || chr(10) ORDER BY i) FILTER (words > 0), '')) AS text_md5 FROM r GROUP BY doc_id""")
+def page_routing(spark, d):
+    """Lines as pages: those with little text are read from their images, the first ten of a file, and all meet in order."""
+    files = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    found = paged.page_texts(files, paged.SplitPages("\n"), paged.DecodedImages())
+    return found.select(F.col("path").cast("long").alias("doc_id"), "n_pages", "n_read", "failed", F.md5("text").alias("text_md5"))
+
+
 @query()
 def chunk_tokens(spark, d):
     """Recursive chunks of at most 1,000 word pieces with up to 150 in common, whole texts; documents that fail apart."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import item_uri
 from ..operators.relational import resume
 from ..schema import CANONICAL, ITEM
+from .page_text import pdf_metadata
 from .providers import TextExtractor, cascade, with_retries
 
 #: Items that are parts of others (fixed values).
@@ -60,13 +61,16 @@ def item_keys(items: DataFrame) -> DataFrame:
     return rows.select(item_key().alias("item_key"), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")).alias("title"), "position").where("item_key is not null")
 
 
-def library(items: DataFrame) -> DataFrame:
-    """One row: library_type (users or groups) and library_id of the first item that says, by field or address."""
+def library(items: DataFrame, user: str | None = None, group: str | None = None) -> DataFrame:
+    """One row: library_type (users or groups) and library_id of the first item that says, by field or address; where none
+    does, the given user or else the given group; without these no row."""
     told = F.when(F.col("library.id").isNotNull() & F.col("library.type").isin("user", "group"), F.struct(F.concat("library.type", F.lit("s")).alias("library_type"), F.col("library.id").alias("library_id")))
     uri = item_uri(F.col("uri"))
     from_uri = F.when(uri.isNotNull(), F.struct(uri["library_type"].alias("library_type"), uri["library_id"].alias("library_id")))
     found = F.coalesce(told, from_uri)
-    return items.agg(F.min_by(found, F.when(found.isNotNull(), F.col("position"))).alias("l")).where("l is not null").select("l.*")
+    given = F.struct(F.lit("users" if user else "groups").alias("library_type"), F.lit(user or group).alias("library_id")) if user or group else None
+    said = F.min_by(found, F.when(found.isNotNull(), F.col("position")))
+    return items.agg((said if given is None else F.coalesce(said, given)).alias("l")).where("l is not null").select("l.*")
 
 
 def item_records(items: DataFrame) -> DataFrame:
@@ -111,9 +115,9 @@ def extract_texts(attachments: DataFrame, files: DataFrame, extractors: Sequence
 
 
 def pdf_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, filename, content of the PDF files of a folder."""
+    """path, filename, content of the PDF files of a folder, and what they say of themselves: title, authors, date, doi."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return read.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    return read.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").withColumns(pdf_metadata(F.col("content")))
 
 
 def merge_fragments(fragments):

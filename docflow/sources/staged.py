@@ -1,10 +1,7 @@
-"""Stage tables, checkpoints and archives."""
+"""Stage tables and checkpoints."""
 
 from __future__ import annotations
 
-import os
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,19 +35,6 @@ def quarantine(errors: DataFrame, path: str, as_of) -> None:
     errors.withColumn("at", as_of).write.mode("append").parquet(path)
 
 
-def unzip(archive: str, folder: str) -> str:
-    """Unpack an upload on the driver; if all lies in one root folder, that one is returned.  Paths may not leave folder."""
-    root = os.path.realpath(folder)
-    with zipfile.ZipFile(archive) as z:
-        for name in z.namelist():
-            if not os.path.realpath(os.path.join(root, name)).startswith(root + os.sep):
-                raise ValueError(f"the archive holds a path outside its folder: {name}")
-        z.extractall(root)
-    inside = [x for x in os.listdir(root) if not x.startswith((".", "__MACOSX"))]
-    one = os.path.join(root, inside[0]) if len(inside) == 1 else ""
-    return one if one and os.path.isdir(one) else root
-
-
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     """path, folder, length, modified of all files below a folder."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docflow.operators.relational import page
 from docflow.sources import bibliography as B
-from docflow.sources import csv, pages, providers, staged
+from docflow.sources import archives, csv, page_text, pages, providers, staged
 from docflow.streaming import progress, state
 
 
@@ -81,6 +81,8 @@ def test_bibliography(spark, tmp_path):
     items = B.parse_items(spark.createDataFrame([(json.dumps(ITEMS),)], "value string"))
     assert {(r.item_key, r.title) for r in B.item_keys(items).collect()} == {("K1", "T"), ("ABCD1234", "Untitled")}
     assert tuple(B.library(items).first()) == ("users", "42")
+    silent = items.where("itemKey = 'N'")
+    assert B.library(silent).count() == 0 and tuple(B.library(silent, user="7", group="8").first()) == ("users", "7") and tuple(B.library(silent, group="8").first()) == ("groups", "8")
     records = B.item_records(items)
     assert records.where("itemKey = 'K1'").first().authors == "L F"
     pdfs = B.pdf_attachments(records, "/base")
@@ -102,16 +104,72 @@ def test_staged(spark, tmp_path):
         staged.finish_keys(spark.createDataFrame([(k,)], "itemKey string"), str(tmp_path / "done"))
     assert staged.finished_keys(spark, str(tmp_path / "done")).count() == 2
     (tmp_path / "z").mkdir()
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("root/x.json", "[]")
-    assert staged.unzip(str(tmp_path / "a.zip"), str(tmp_path / "z")).endswith("root")
-    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
-        z.writestr("../evil", "x")
-    with pytest.raises(ValueError):
-        staged.unzip(str(tmp_path / "b.zip"), str(tmp_path / "z"))
+    (tmp_path / "z" / "x.json").write_text("[]")
     assert staged.file_listing(spark, str(tmp_path / "z")).first().length == 2
 
 
+def test_archives(spark, tmp_path):
+    """10,000 members in one root folder, read by many tasks from an archive whose directory the driver alone reads."""
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(10_000):
+            z.writestr(zipfile.ZipInfo(f"root/{i % 7}/{i}.txt", (2024, 1, 1 + i % 28, 0, 0, 0)), f"text {i} " * (i % 5))
+    files = archives.read_archives(spark, [path], members=300)
+    assert files.rdd.getNumPartitions() == 34
+    got = files.select("path", F.decode("content", "UTF-8").alias("t"), F.day("modified").alias("d"), "length", "error").collect()
+    assert {(r.path, r.t, r.d, r.length, r.error) for r in got} == {(f"{i % 7}/{i}.txt", f"text {i} " * (i % 5), 1 + i % 28, len(f"text {i} ") * (i % 5), None) for i in range(10_000)} and len(got) == 10_000
+    assert {(r.folder, r.files) for r in archives.listing(files).collect()} == {(str(k), 10_000 // 7 + (k < 10_000 % 7)) for k in range(7)}
+
+
+def test_archive_members_that_cannot_be_read(spark, tmp_path):
+    one, two, none = (str(tmp_path / f"{n}.zip") for n in ("one", "two", "none"))
+    with zipfile.ZipFile(one, "w") as z:
+        z.writestr("../evil", "x")
+        z.writestr("/abs", "x")
+        z.writestr("good/é.txt", "kept")
+        z.writestr("__MACOSX/good/x", "y")
+        z.writestr("bad.txt", "damaged bytes here")
+    data = open(one, "rb").read().replace(b"damaged bytes here", b"damaged bytes HERE")
+    open(one, "wb").write(data)
+    with zipfile.ZipFile(two, "w", zipfile.ZIP_BZIP2) as z:
+        z.writestr("only/b.txt", "bz")
+    zipfile.ZipFile(none, "w").close()
+    got = {(r.archive[-7:-4], r.path): (r.content and bytes(r.content), r.error) for r in archives.read_archives(spark, [one, two, none]).collect()}
+    assert got[("one", "good/é.txt")] == (b"kept", None) and got[("one", "bad.txt")] == (None, "damaged")
+    assert got[("one", "../evil")][1] == got[("one", "/abs")][1] == "the path leaves the archive" and got[("two", "b.txt")] == (None, "compression 12")
+    assert len(got) == 6
+
+
+def test_pages_of_files(spark):
+    """Mixed pages: rich ones stay, poor ones are read, one of them fails, one is over the limit; broken files are told."""
+
+    class Reader:
+        def read(self, path, page, image):
+            if b"torn" in image:
+                raise RuntimeError("no picture")
+            return "" if b"blank" in image else f"read {image.decode()}"
+
+    rich = "word " * 60
+    files = spark.createDataFrame([("a", "\f".join([rich, "few", "torn page", "", "blank", "late"])), ("b", rich), ("c", ""), ("d", None)], "path string, content string")
+    bad = spark.sql("SELECT 'e' AS path, X'FF' AS content").withColumn("content", F.col("content"))
+    files = files.withColumn("content", F.col("content").cast("binary")).unionByName(bad)
+    for tasks in (None, 1):
+        got = {r.path: r for r in page_text.page_texts(files, page_text.SplitPages(), Reader(), most_read=4, tasks=tasks).collect()}
+        assert got["a"].text == f"{rich}\n\n<!-- Page 2 -->\nread few\n\ntorn page\n\n<!-- Page 4 -->\nread \n\nblank\n\nlate"
+        assert (got["a"].n_pages, got["a"].n_read, got["a"].failed) == (6, 2, 2)
+        assert got["b"].text == rich and got["d"].error == "no pages" and got["d"].text == "" and "decode" in got["e"].error and len(got) == 5
+    plain = {r.path: r.text for r in page_text.page_texts(files, page_text.SplitPages()).collect()}
+    assert plain["a"] == f"{rich}\n\nfew\n\ntorn page\n\nblank\n\nlate"
+
+
+def test_pdf_folder_metadata(spark, tmp_path):
+    (tmp_path / "x.PDF").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Title (A \\(short\\) title) /Author (L F) /CreationDate (D:20240131120000Z) /Subject (doi:10.1234/ab.5) >>\nendobj")
+    (tmp_path / "y.pdf").write_bytes(b"%PDF-1.4 \xff\xfe")
+    (tmp_path / "z.txt").write_bytes(b"no")
+    got = {r.filename: (r.title, r.authors, r.date, r.doi) for r in B.pdf_folder(spark, str(tmp_path)).collect()}
+    assert got == {"x.PDF": ("A (short) title", "L F", "2024-01-31", "10.1234/ab.5"), "y.pdf": ("", "", "", "")}
+
+
 def test_markdown_and_crawl(spark):
     html = "<h2>T</h2><p>a <b>b</b> <a href='/x'>l</a></p><script>no</script>"
     assert pages.html_to_markdown(html) == "## T\n\na **b** [l](/x)"
