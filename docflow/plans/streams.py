@@ -97,6 +97,19 @@ def stream_merge(spark, d):
     return _run(progress.events(progress.merged(out, err)).select("event_id", "stream", "type", "message"))
 
 
+@query("""WITH p AS (SELECT user_id AS process, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 3 END AS exit_code, CASE WHEN user_id % 7 = 0 THEN NULL ELSE 30 * user_id END AS waited FROM events GROUP BY user_id),
+ l AS (SELECT user_id AS process, count(*) FILTER (event_type <> 'purchase') AS lines, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY user_id),
+ t AS (SELECT *, exit_code IS NULL AS late FROM p WHERE waited IS NOT NULL AND (exit_code IS NOT NULL OR waited > 1800))
+ SELECT process, CASE WHEN late OR exit_code <> 0 THEN 'error' ELSE 'complete' END AS type, CASE WHEN late THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code ' || exit_code END AS message, coalesce(lines, 0)::BIGINT AS lines, coalesce(n, 0)::BIGINT AS count FROM t LEFT JOIN l USING (process)""")
+def process_results(spark, d):
+    """Users as processes: their streamed lines, their purchases as output, exit codes and waiting times by id."""
+    events = read(spark, d, "events")
+    lines = _run(progress.events(_lines(_event_stream(spark, d)).join(events.select("event_id", "user_id"), "event_id")).select(F.col("user_id").alias("process")))
+    u = F.col("process")
+    processes = events.select(F.col("user_id").alias("process")).distinct().select("process", F.when(u % 5 != 0, u % 3).alias("exit_code"), F.when(u % 7 != 0, 30 * u).alias("waited"))
+    return progress.final_events(processes, lines, events.where("event_type = 'purchase'").select(F.col("user_id").alias("process")))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_counts(spark, d):
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
