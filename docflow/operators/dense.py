@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.providers import DenseEmbedder, with_retries
+from ..sources.scratch import bounded_batches, staged
 
 
 def embed_batch(embedder: DenseEmbedder, texts: list[str], attempts: int = 3, sleep=None) -> list[tuple[list[float] | None, str | None]]:
@@ -44,3 +47,69 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Bytes of the queries that go to every task at once; more go in blocks, a pass over the vectors each.
+QUERY_BYTES = 32_000_000
+#: Decimals in which scores are compared: the order of a sum's terms is not fixed beyond them.
+DECIMALS = 9
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """Vectors of one width as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _scores(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Score of each vector of a with each of b, greater for nearer ones; vectors without a direction have none (nan)."""
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    found = a @ b.T
+    return found if metric != "l2" else -np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * found + (b**2).sum(1)[None], 0))
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """query, neighbour, score, rank (from 1): the k nearest of all vectors to each query, itself (by key) left out.
+
+    metric: cosine, dot, or l2 (score is the distance with a minus sign).  Keys are whole numbers, unique on either side.
+    Queries are counted and go to the tasks in blocks of bounded bytes; a task keeps the k best of what it has seen for
+    each query of the block and gives them once, and the tasks' answers are merged by a ranking that drops all but k
+    before its shuffle as well.  Null vectors, and with cosine vectors of length 0, are nobody's neighbours; queries like
+    that have none.  All vectors have one width, that of the queries.  Equal scores (to nine decimals) go to smaller keys.
+    """
+    if metric not in ("cosine", "dot", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    asked = staged(queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<float>").alias("vector")), "queries")
+    n, width = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if not n:
+        return spark.createDataFrame([], "query long, neighbour long, score double, rank int")
+    n_blocks = -(-n * (8 * width + 16 * k) // QUERY_BYTES)
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+
+    def search(block: pa.Table):
+        ids, at = block.column("query").to_numpy(), _matrix(block.column("vector").combine_chunks(), width)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, who = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for whole in batches:
+                for begin in range(0, len(whole), 2048):
+                    part = whole.slice(begin, 2048)
+                    new = part.column("id").to_numpy()
+                    score = np.round(_scores(metric, at, _matrix(part.column("vector"), width)), DECIMALS)
+                    score[np.isnan(score) | (ids[:, None] == new[None])] = -np.inf
+                    best, who = np.hstack([best, score]), np.hstack([who, np.broadcast_to(new, score.shape)])
+                    top = np.lexsort((who, -best), axis=-1)[:, :k]
+                    best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+            query, place = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(who[query, place]), pa.array(best[query, place])], names=["query", "neighbour", "score"])
+
+        return rows.mapInArrow(run, "query long, neighbour long, score double")
+
+    # a block is bounded, so that it may pass the driver
+    blocks = (asked.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).toArrow() for b in range(n_blocks))
+    found = reduce(DataFrame.unionByName, [search(b) for b in blocks if len(b)])
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

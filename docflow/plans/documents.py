@@ -213,6 +213,14 @@ def payload_flat(spark, d):
     return sparse.with_sparse(chunks, "text").select(T.uuid5(F.col("id")).alias("uuid"), F.col("id").alias("original_id"), "doc_id", "source", "chunk_index", "total_chunks", F.size("sparse.indices").alias("n_terms"), F.array_join(F.col("sparse.indices").cast("array<string>"), ",").alias("sparse_indices"), F.round(weighted, 6).alias("weighted"))
 
 
+@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id AS query, v.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM e q JOIN e v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+ SELECT query, neighbour, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM s) WHERE rank <= 10""")
+def ext_knn(spark, d):
+    """The ten nearest of all vectors to each vector whose number is divisible by 20."""
+    vectors = read(spark, d, "embeddings").withColumn("vec_id", F.col("vec_id").cast("long"))
+    return dense.knn(vectors.where("vec_id % 20 = 0"), vectors, 10, "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query("""WITH r AS (SELECT label, CASE WHEN embedding[2] < -0.3 THEN 1 ELSE 0 END AS failed, CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS ok FROM embeddings),
  s AS (SELECT label, count(*)::BIGINT AS sent, sum(ok)::BIGINT AS inserted, sum(failed)::BIGINT AS failed_batches FROM r GROUP BY label)
  SELECT *, CASE WHEN failed_batches > 0 THEN 'partial_error' WHEN inserted = 0 AND sent > 0 THEN 'error' WHEN inserted < sent THEN 'success_partial_data' ELSE 'success' END AS status FROM s""")
