@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import SESSION_STATUS
+from ..schema import SESSION_STATUS, unused
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
@@ -149,8 +149,9 @@ def delete_session(sessions: DataFrame, projects: DataFrame, gone: DataFrame) ->
     """(sessions, projects) without the folders in gone (session_folder): a project's active folder is cleared if it went."""
     gone = gone.select("session_folder").distinct()
     left = sessions.join(gone, "session_folder", "left_anti").select(*sessions.columns)
-    marked = projects.join(gone.withColumn("__gone", F.lit(True)), "session_folder", "left")
-    folder = F.when(F.col("__gone"), F.lit(None).cast("string")).otherwise(F.col("session_folder"))
+    mark = unused("gone", projects.columns)
+    marked = projects.join(gone.withColumn(mark, F.lit(True)), "session_folder", "left")
+    folder = F.when(F.col(mark), F.lit(None).cast("string")).otherwise(F.col("session_folder"))
     return left, marked.withColumn("session_folder", folder).select(*projects.columns)
 
 
@@ -174,6 +175,33 @@ def run_summary(results: DataFrame, statuses: Sequence[str], column: str = "stat
     return results.agg(*(F.count_if(F.col(column) == s).alias(s) for s in statuses))
 
 
-def public_user(users: DataFrame, sensitive: Sequence[str] = ("hashed_password", "verification_token", "reset_token", "api_credentials")) -> DataFrame:
+def uploaded_session(rows: DataFrame, folder: str, project_id: int, as_of: Column, hours: int = 24) -> DataFrame:
+    """The session row of an upload: session_folder, project_id, status (extracted), row_count, created_at, expires_at."""
+    one = rows.agg(F.count("*").alias("row_count"))
+    made = one.select(F.lit(folder).alias("session_folder"), F.lit(project_id).cast("long").alias("project_id"), F.lit("extracted").alias("status"), "row_count", as_of.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
+    return with_expiry(made, hours)
+
+
+#: Fields of users that leave the system only when asked for (fixed values).
+SENSITIVE = ("hashed_password", "verification_token", "reset_token", "api_credentials")
+
+
+def as_json(rows: DataFrame, leave_out: Sequence[str] = (), parsed: Sequence[str] = (), name: str = "json") -> DataFrame:
+    """Rows as JSON objects: times in ISO form, null fields kept, columns in ``parsed`` (JSON strings of lists of strings) as
+    lists, those in leave_out not there."""
+    fields = []
+    for c, kind in rows.dtypes:
+        if c in leave_out:
+            continue
+        v = F.col(f"`{c}`")
+        if kind.startswith("timestamp"):
+            v = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss")
+        elif c in parsed:
+            v = F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>"))
+        fields.append(v.alias(c))
+    return rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias(name))
+
+
+def public_user(users: DataFrame, sensitive: Sequence[str] = SENSITIVE) -> DataFrame:
     """Users as JSON objects without sensitive fields."""
-    return users.select(F.to_json(F.struct(*(c for c in users.columns if c not in sensitive))).alias("json"))
+    return as_json(users, sensitive)

@@ -376,6 +376,15 @@ def page_markdown(spark, d):
     return P.to_markdown(read(spark, d, "pages")).select("page_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("markdown_md5"))
 
 
+@query(f"""SELECT page_id, {{name}} AS name, strlen(coalesce(html, ''))::BIGINT AS bytes, sha256(coalesce(html, '')) AS content_sha256 FROM pages""".replace("{name}", f"substr(CASE WHEN trim({_PATH}, '/') = '' THEN 'index' ELSE replace(trim({_PATH}, '/'), '/', '_') END, 1, 150) || '-' || substr(md5(url), 1, 12) || '.html'"))
+def page_files(spark, d):
+    """Pages written as files of the shared folder, and read back; pages that share an address have one file."""
+    pages, folder = read(spark, d, "pages"), f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    P.write_files(pages, folder, "url", "html", ".html")
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_sha256"))
+    return pages.select("page_id", F.concat(P.file_name(F.col("url")), F.lit(".html")).alias("name")).join(files, "name")
+
+
 @query("SELECT doc_id, '10.' || (1000 + doc_id) || '/' || source || '.a' AS doi FROM documents")
 def doi_extract(spark, d):
     said = F.concat(F.lit("see doi:10."), (F.col("doc_id") + 1000).cast("string"), F.lit("/"), F.col("source"), F.lit(".a, or "), F.col("lang"))

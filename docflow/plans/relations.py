@@ -220,6 +220,22 @@ def user_names(spark, d):
     return u.select("id", T.full_name(F.col("c_mktsegment"), F.col("name"), F.col("email")).alias("full_name"), T.library_prefix(F.lit("group"), F.col("nation").cast("string")).alias("prefix"), T.client_ip(F.concat(F.lit("10.0.0."), F.col("nation").cast("string"), F.lit(", 1.1.1.1")), F.lit("0.0.0.0")).alias("ip"))
 
 
+@query("""SELECT json_object('id', n_nationkey::BIGINT, 'name', n_name, 'owner_id', (n_nationkey * 3)::BIGINT, 'is_archived', n_regionkey = 0)::VARCHAR AS json FROM nation""")
+def project_json(spark, d):
+    return R.as_json(_projects(spark, d))
+
+
+@query("""SELECT json_object('id', event_id, 'user_id', user_id, 'action', event_type, 'success', event_type <> 'error', 'details', NULL, 'created_at', strftime(ts, '%Y-%m-%dT%H:%M:%S'))::VARCHAR AS json FROM events""")
+def audit_json(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), (F.col("event_type") != "error").alias("success"), F.lit(None).cast("string").alias("details"), F.col("ts").alias("created_at"))
+    return R.as_json(rows)
+
+
+@query(f"SELECT 'uploads/one' AS session_folder, 7::BIGINT AS project_id, 'extracted' AS status, count(*)::BIGINT AS row_count, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' + INTERVAL 24 HOUR AS expires_at FROM documents")
+def upload_session(spark, d):
+    return R.uploaded_session(read(spark, d, "documents"), "uploads/one", 7, _as_of())
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'upload' WHEN o_orderpriority = '1-URGENT' THEN 'sparse' WHEN o_totalprice > 200000 THEN 'dense' WHEN o_orderstatus = 'O' THEN 'chunk' ELSE 'extract' END AS stage FROM orders")
 def next_stage(spark, d):
     has = {"sparse": F.col("o_orderstatus") == "F", "dense": F.col("o_orderpriority") == "1-URGENT", "chunks": F.col("o_totalprice") > 200000, "rows": F.col("o_orderstatus") == "O"}

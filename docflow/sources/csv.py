@@ -31,16 +31,40 @@ class CsvConfig:
         return cls(**d)
 
 
+#: Byte order marks, as hexadecimal digits, and bytes that Windows-1252 has no character for (fixed values).
+UTF_16 = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
+NO_CHARACTER = "[\u0081\u008d\u008f\u0090\u009d]"
+
+
+#: Places that Windows-1252 gives to characters and ISO-8859-1 to controls.
+_WINDOWS = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if chr(b) not in NO_CHARACTER}
+
+
 def layout(spark: SparkSession, path: str) -> tuple[str, bool]:
     """(encoding, multiLine) of the files at path, from one distributed scan of all their lines.
 
-    UTF-8 if every line is valid UTF-8, else ISO-8859-1.  A quoted line break leaves a line with an odd number of quotes;
+    UTF-8 if every line is valid UTF-8; UTF-16 by its mark; Windows-1252 if there are bytes that are characters there and
+    controls in ISO-8859-1, else the latter.  Bytes that are no characters in any of them are an error: such a file's
+    encoding has to be said.  A quoted line break leaves a line with an odd number of quotes;
     files without one are read line by line, so that a large file is split over tasks.
     """
     line = F.col("value")
     quotes = F.length(F.regexp_replace(line, '[^"]', ""))
-    found = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")).first()
-    return "ISO-8859-1" if found.utf8 is False else "UTF-8", bool(found.broken)
+    other = ~F.is_valid_utf8(line)
+    raw = line.cast("binary")
+    single = F.decode(raw, "ISO-8859-1")  # a character a byte
+    seen = lambda c: F.bool_or(F.when(other, c))
+    mark = F.substring(F.hex(raw), 1, 4)
+    marks = [seen(mark == m).alias(m) for m in UTF_16]
+    found = spark.read.text(path).agg(F.bool_and(~other).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken"), seen(single.rlike("[\u0080-\u009f]")).alias("cp1252"), seen(single.rlike(NO_CHARACTER)).alias("none"), *marks).first()
+    for m, name in UTF_16.items():
+        if found[m]:
+            return name, True  # its line breaks are not single bytes
+    if found.utf8 is not False:
+        return "UTF-8", bool(found.broken)
+    if found.none:
+        raise ValueError(f"the encoding of {path} is none of UTF-8, UTF-16, Windows-1252 and ISO-8859-1; name it")
+    return "windows-1252" if found.cp1252 else "ISO-8859-1", bool(found.broken)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -55,12 +79,17 @@ def _header(spark: SparkSession, path: str, options: dict) -> list[str]:
 def _read(spark: SparkSession, path: str, delimiter: str, encoding: str, schema: str | None = None) -> tuple[DataFrame, list[str], Column, Column]:
     """All rows, the names of their cells, whether a row has too many of them, and its raw line."""
     found, broken = layout(spark, path)
-    options = {"header": True, "sep": delimiter, "encoding": found if encoding == "auto" else encoding, "multiLine": broken, "escape": '"'}
-    header = _header(spark, path, options)
+    named = found if encoding == "auto" else encoding
+    windows = named.lower() in ("windows-1252", "cp1252")  # Spark reads its controls' places as ISO-8859-1 does
+    options = {"header": True, "sep": delimiter, "encoding": "ISO-8859-1" if windows else named, "multiLine": broken, "escape": '"'}
+    header = [n.translate(_WINDOWS) if windows else n for n in _header(spark, path, options)]
     corrupt = unused("__corrupt", header)
     types = schema or ", ".join(f"`{n}` string" for n in header)
     read = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt).schema(f"{types}, `{corrupt}` string").csv(path)
     names = [c for c in read.columns if c != corrupt]
+    if windows:
+        plain = lambda c: F.translate(c, "".join(map(chr, _WINDOWS)), "".join(_WINDOWS.values()))
+        read = read.select(*(plain(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in read.schema))
     raw = F.col(corrupt)
     cells = F.size(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), '"(?:[^"]|"")*"', ""), re.escape(delimiter), -1))
     # a raw line never equals its cells run together; naming the cells keeps Spark from reading the raw lines alone
@@ -106,7 +135,9 @@ def read_csv_strings(spark: SparkSession, path: str, delimiter: str = ",", encod
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", mark: bool = False) -> None:
+    """mark: every file begins with the mark of UTF-8, as spreadsheets want it."""
+    df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:]) if mark else df
     df.write.mode(mode).csv(path, header=True, escape='"', quoteAll=False)
 
 
@@ -116,3 +147,17 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 def stage_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+def file_summary(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """n_rows, n_columns, warning of an uploaded stage file: csv, or json_list (one list of objects); what cannot be read as
+    its kind has a warning and no counts."""
+    schema = "n_rows long, n_columns int, warning string"
+    if kind == "csv":
+        rows, _ = read_csv(spark, path)
+        return stage_summary(rows).withColumn("warning", F.lit(None).cast("string"))
+    if kind != "json_list":
+        return spark.createDataFrame([(None, None, f"unknown kind {kind}")], schema)
+    n = F.json_array_length("value").cast("long")
+    warning = F.when(n.isNull(), "not a JSON list")
+    return spark.read.text(path, wholetext=True).select(n.alias("n_rows"), F.lit(None).cast("int").alias("n_columns"), warning.alias("warning"))

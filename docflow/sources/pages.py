@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import internal_link, strip, strip_tags
-from .scratch import shared_folder
+from ..functions.text import internal_link, strip, strip_tags, url_filename
+from .scratch import bounded_batches, shared_folder, staged
 
 HREF = r'href="([^"]*)"'
 
@@ -131,6 +133,37 @@ def to_markdown(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "url", "html").mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, url string, markdown string")
 
 
+def file_name(url: Column) -> Column:
+    """The path with '/' as '_', its first 150 characters, and a mark of the whole address: short enough for any folder."""
+    return F.concat_ws("-", F.substring(url_filename(url), 1, 150), F.substring(F.md5(url.cast("binary")), 1, 12))
+
+
+def write_files(rows: DataFrame, folder: str, url: str, content: str, suffix: str = ".md") -> DataFrame:
+    """url, path, bytes of the files written below folder, one a row, named by their whole address (file_name).
+
+    A file is written beside its place and moved there, so that a task that runs again leaves whole files only; an
+    address that rows share has the file of one of them.  The result is staged: files are written once, here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for part in batches:
+            names, sizes = part.column("name").to_pylist(), []
+            for name, data in zip(names, part.column("content").to_pylist()):
+                beside = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside) as f:
+                    f.write(data or b"")
+                fs.move(beside, f"{root}/{name}")
+                sizes.append(len(data or b""))
+            paths = [f"{folder.rstrip('/')}/{n}" for n in names]
+            yield pa.RecordBatch.from_arrays([part.column("url"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["url", "path", "bytes"])
+
+    bounded_batches(rows.sparkSession)
+    named = rows.select(F.col(url).alias("url"), F.concat(file_name(F.col(url)), F.lit(suffix)).alias("name"), F.col(content).cast("string").cast("binary").alias("content"))
+    return staged(named.mapInArrow(run, "url string, path string, bytes long"), "page-files")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page by patterns alone: scripts, styles and tags go."""
     no_code = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")

@@ -202,6 +202,8 @@ def test_sessions_audit_and_sinks(spark):
     left, projects = R.delete_session(sessions, sessions, spark.createDataFrame([("f1",)], "session_folder string"))
     assert [r.id for r in left.collect()] == [2] and {r.id: r.session_folder for r in projects.collect()} == {1: None, 2: "f2"}
     assert spark.createDataFrame([(1, "x")], "id int, reset_token string").transform(R.public_user).first().json == '{"id":1}'
+    row = spark.createDataFrame([(1, None, '["USER"]', None)], "id int, `last.login` timestamp, roles string, tags string")
+    assert R.as_json(row, parsed=["roles", "tags"]).first().json == '{"id":1,"last.login":null,"roles":["USER"],"tags":[]}'
     audit = R.audit_entries(spark.createDataFrame([(1, "a", "t", 5, None, "d")], "user_id int, action string, resource_type string, resource_id int, success boolean, note string"), F.lit("2024-01-01").cast("timestamp"))
     assert audit.first().details == '{"note":"d"}' and audit.first().success == 1
 

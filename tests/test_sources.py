@@ -63,6 +63,41 @@ def test_csv_ingestion(spark, tmp_path):
         csv.ingest_csv(spark, str(path))
 
 
+@pytest.mark.parametrize("encoding,found", [("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("latin-1", "ISO-8859-1"), ("cp1252", "windows-1252"), ("utf-16", "UTF-16LE")])
+def test_encodings(spark, tmp_path, encoding, found):
+    text = "text,title\n\"é à\",x\n" + ("“quoted” €,y\n" if encoding == "cp1252" else "ö,y\n")
+    path = tmp_path / "a.csv"
+    path.write_bytes(text.encode(encoding))
+    assert csv.detect_encoding(spark, str(path)) == found
+    rows, bad = csv.read_csv(spark, str(path))
+    assert [tuple(r) for r in rows.orderBy("title").collect()] == [("é à", "x"), (text.split("\n")[2].split(",")[0], "y")] and bad.count() == 0
+
+
+def test_an_encoding_that_has_to_be_said(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"text\n\x81\x8d\xe9\n")
+    with pytest.raises(ValueError, match="name it"):
+        csv.detect_encoding(spark, str(tmp_path / "a.csv"))
+
+
+def test_byte_mark_and_file_summaries(spark, tmp_path):
+    csv.write_csv(spark.createDataFrame([("é", 1), ("b", 2)], "text string, n int").coalesce(1), str(tmp_path / "out"), mark=True)
+    part = next((tmp_path / "out").glob("part-*.csv"))
+    assert part.read_bytes() == "\ufefftext,n\né,1\nb,2\n".encode()
+    (tmp_path / "list.json").write_text('[{"a": 1}, {"a": 2}, {}]')
+    (tmp_path / "object.json").write_text('{"a": 1}')
+    summary = lambda name, kind: tuple(csv.file_summary(spark, str(tmp_path / name), kind).first())
+    assert summary("out", "csv") == (2, 2, None)
+    assert summary("list.json", "json_list") == (3, None, None) and summary("object.json", "json_list") == (None, None, "not a JSON list")
+    assert summary("list.json", "other")[2] == "unknown kind other"
+
+
+def test_page_files(spark, tmp_path):
+    rows = spark.createDataFrame([("http://a.b/x/y", "one"), ("http://a.b/x/y?q", "two"), ("http://a.b/" + "long/" * 200, None)], "u string, md string")
+    told = pages.write_files(rows, str(tmp_path / "f"), "u", "md").collect()
+    assert {open(r.path).read() for r in told} == {"one", "two", ""} and len({r.path for r in told}) == 3
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == sorted(r.path.rsplit("/", 1)[1] for r in told)
+
+
 ITEMS = [
     {"itemType": "book", "itemKey": "K1", "title": "T", "creators": [{"lastName": "L", "firstName": "F"}, {"lastName": "", "firstName": ""}], "attachments": [{"path": "a.PDF", "title": "x"}, {"path": "b.txt"}]},
     {"itemType": "note", "itemKey": "N"},
