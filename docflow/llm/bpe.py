@@ -7,7 +7,7 @@ O(n log n) whatever its content.
 
 Defined results: null is encoded as the empty text; an empty text has no tokens; special tokens' strings are ordinary
 text; bytes without a rank cannot occur with a byte-level vocabulary (a missing rank raises KeyError); every other
-input column is ignored.  Rows stand for themselves: repeated rows give repeated results.
+input column is ignored; bytes that are not valid UTF-8 are encoded, and come back, as U+FFFD.  Rows stand for themselves: repeated rows give repeated results.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ The benchmark's vocabulary and windows are the small side.  They are counted, an
 Defined results: A-Z are lower-cased; words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]; null and empty texts have
 no words and no hits and are not contaminated; an item without words, or with a null item_id, has no window; an item with
 fewer than ``length`` words is one window; equal windows of several items count for each; rows are told apart
-by their place, so repeated and null doc_ids get results of their own; other columns are ignored.
+by their place (bytes that are not valid UTF-8 count as U+FFFD, which is part of words), so repeated and null doc_ids get results of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,6 +118,33 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFr
     return left.join(right, ["rid", "term", "strip"]).where(F.abs(F.col("pos_a") - F.col("pos_b")) <= within).select("pair", "rid", "pos_a", "pos_b")
 
 
+def near_items(docs: DataFrame, items: DataFrame, within: int = 8, length: int = 13) -> DataFrame:
+    """item (string), doc_id, rid, n_near, nearest: documents in which the two rarest terms of an item stand at most
+    ``within`` words apart, how often, and how near.
+
+    Looser than phrases: it finds items whose words were moved or changed between their telling terms.  Rarest are the
+    terms with the fewest places in the documents (ties: the smaller word); terms that no document has do not count, and
+    items with fewer than two terms have no pair.
+    """
+    bench = read_benchmark(items, length)
+    index = build_index(docs, bench.vocabulary)
+    counts = stage(index.where(F.col("term") != LENGTH_TERM).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+    held = bench.windows.select("wid", F.explode("items").alias("item")).join(bench.terms.select("wid", "word"), "wid").select("item", "word").distinct()
+    known = held.join(bench.vocabulary, "word").join(counts, "term")
+    # two least of each item, kept while they are gathered: no item's terms become a list
+    first = known.groupBy("item").agg(F.min(F.struct("n", "word", "term")).alias("a"))
+    rest = known.join(first, "item").where(F.col("word") != F.col("a.word")).groupBy("item", "a").agg(F.min(F.struct("n", "word", "term")).alias("b"))
+    pairs = stage(rest.select(F.col("item").alias("pair"), F.col("a.term").alias("a"), F.col("b.term").alias("b")), "pairs")
+    met = proximity_matches(index, pairs, within).groupBy("pair", "rid").agg(F.count("*").alias("n_near"), F.min(F.abs(F.col("pos_a") - F.col("pos_b"))).alias("nearest"))
+    ids = index.where(F.col("term") == LENGTH_TERM).select("rid", "doc_id")
+    return met.join(ids, "rid").select(F.col("pair").alias("item"), "doc_id", "rid", "n_near", "nearest")
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the two rarest terms of a benchmark item near one another."""
+    return near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item", "doc_id", "n_near", "nearest")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 13, share: int = 20) -> DataFrame:
     """doc_id, rid, n_words, n_hit, n_items, items (sorted), contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     bench = read_benchmark(items, length)

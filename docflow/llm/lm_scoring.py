@@ -10,7 +10,7 @@ to the bucket of each key.  A bucket adds up what all blocks sent and answers ev
 of its keys.  A key crosses once per block, so a frequent one is no hot spot; buckets grow in number with the input.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; null and empty texts have 0 tokens and
-null losses; empty corpora leave uniform models; equal texts get equal scores; other columns are ignored.
+null losses; words are bytes, valid UTF-8 or not; empty corpora leave uniform models; equal texts get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations

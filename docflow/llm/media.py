@@ -11,7 +11,7 @@ of a caption outside any figure is text; what scripts, styles, noscript and temp
 
 Defined results: null texts are empty; an empty text is one row of 192 spaces; a null html has an empty sequence; a
 reference without a stored payload stays in its place with null features; equal payloads have one digest and equal
-features; stored bytes that are no such image raise ValueError; extra columns are ignored.
+features; texts that are not valid UTF-8 are stored as they are, in HTML such bytes are U+FFFD; stored bytes that are no such image raise ValueError; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import blocks, lean, stage, table
 
 ROW = 192
-ELEMENT = "position int, kind string, text string, digest string, caption string"
+ELEMENT = "position int, kind string, text string, digest string, caption string, src string"
 SCHEME = "media:sha256:"
 
 
@@ -127,7 +127,7 @@ class _Interleaved(HTMLParser):
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode(errors="replace")).hexdigest()
                 if self.figures:
                     self.figures[-1][0].append(len(self.out))
-                self.out.append({"kind": "media", "text": None, "digest": digest, "caption": found.get("alt") or None})
+                self.out.append({"kind": "media", "text": None, "digest": digest, "caption": found.get("alt") or None, "src": src})
         elif tag == "figcaption":
             self.flush()
             self.end_caption()
@@ -164,8 +164,8 @@ def interleaved(html: str) -> list[dict]:
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """(id, html) -> (id, sequence): an array of position, kind ('text' or 'media'), text, digest, caption."""
-    element = pa.struct([("position", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "digest", "caption"))])
+    """(id, html) -> (id, sequence): an array of position, kind ('text' or 'media'), text, digest, caption, src."""
+    element = pa.struct([("position", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "digest", "caption", "src"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches, "html"):
@@ -210,10 +210,37 @@ def resolve(sequence: DataFrame, features: DataFrame) -> DataFrame:
     return refs.join(features, "digest", "left")
 
 
+def elements(sequence: DataFrame) -> DataFrame:
+    """id, position, kind, text, digest, caption, src of every element."""
+    return sequence.select("id", F.explode("sequence").alias("e")).select("id", "e.*")
+
+
+def resolved(each: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Every element, and of media the digest and features of the payload that their source names.
+
+    payloads: src, text (what stands at the address; addresses may share it).  Payloads are stored as media, read back,
+    and met by two digest joins: from the reference to its source's payload, and from there to its features, which are
+    read once for each payload.  A source without a payload has none beside it.
+    """
+    rows = payloads.where("src is not null").groupBy("src").agg(F.max("text").alias("text"))
+    keyed = stage(rows.select(F.sha2(F.col("src").cast("binary"), 256).alias("digest"), "text", F.monotonically_increasing_id().alias("doc_id")), "sources")
+    stored = store_texts(keyed)
+    features = stage(read_back(stored), "features").withColumnRenamed("digest", "payload_digest")
+    named = keyed.select("digest", "doc_id").join(stored.select("doc_id", F.col("digest").alias("payload_digest")), "doc_id").drop("doc_id")
+    media, text = each.where("kind = 'media'"), each.where("kind <> 'media'")
+    return media.join(named, "digest", "left").join(features, "payload_digest", "left").unionByName(text, allowMissingColumns=True)
+
+
 def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequences of the web pages: page_id, position, kind, text, digest, caption of every element."""
-    found = sequences(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html"))
-    return found.select(F.col("id").alias("page_id"), F.explode("sequence").alias("e")).select("page_id", "e.*")
+    """The sequences of the web pages, element by element in order, with the payloads of their media.
+
+    The pages' media are not there to be read; what stands for the payload of an address is its own last part.
+    """
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
+    each = stage(elements(sequences(pages)), "elements")
+    sources = each.where("src is not null").select("src").distinct().withColumn("text", F.substring_index("src", "/", -1))
+    found = resolved(each, sources)
+    return found.select(F.col("id").alias("page_id"), "position", "kind", "text", "caption", "digest", "src", "payload_digest", "payload_bytes", "payload_sha256", "media_bytes", "feature")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+PROXIMITY = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT p.* FROM p SEMI JOIN b USING (word)),
+n AS (SELECT word, count(*) AS n FROM k GROUP BY word),
+r AS (SELECT item, word, row_number() OVER (PARTITION BY item ORDER BY n, word) AS r FROM b JOIN n USING (word)),
+pair AS (SELECT x.item, x.word AS a, y.word AS b FROM r x JOIN r y USING (item) WHERE x.r = 1 AND y.r = 2)
+SELECT item, x.doc_id, count(*)::BIGINT AS n_near, min(abs(x.i - y.i))::INT AS nearest FROM pair JOIN k x ON x.word = a JOIN k y ON y.word = b AND y.doc_id = x.doc_id WHERE abs(x.i - y.i) <= 8 GROUP BY item, x.doc_id
+"""
+
 OP8 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 e AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -97,4 +108,4 @@ l AS (SELECT t.word, t.root FROM t JOIN o ON o.word = t.root WHERE o.form IS NUL
 SELECT o.word, n, n_near, form, form_n, root FROM o JOIN l USING (word)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "op8_minhash_dedup": OP8, "op10_run_dedup": OP10, "op11_ngram_join": OP11, "op12_fill_middle": OP12, "op13_spelling": OP13}
+ORACLES = {"op1_substring_dedup": OP1, "op5_decontamination": OP5, "benchmark_proximity": PROXIMITY, "op8_minhash_dedup": OP8, "op10_run_dedup": OP10, "op11_ngram_join": OP11, "op12_fill_middle": OP12, "op13_spelling": OP13}

@@ -6,7 +6,8 @@ passages of a document; the weighted sum of their encodings is scored.  Only doc
 
 The model is fitted by the driver on at most ``most_labelled`` labelled documents (a bounded sample by hash of doc_id;
 a document's passages are all used); every text is scored whole in tasks.  Defined results: null and empty texts are
-one empty passage and get a score; null labels and labels without a document are not learned from; a fit without
+one empty passage and get a score; bytes are taken as they are, valid UTF-8 or not; of conflicting labels for a document
+the largest counts; null labels and labels without a document are not learned from; a fit without
 both labels falls back to the constant share of label 1 (0.5 without any); equal texts get equal scores; other columns
 are never read.
 """

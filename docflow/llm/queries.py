@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
-from .decontamination import op5_decontamination
+from .decontamination import benchmark_proximity, op5_decontamination
 from .fill_middle import op12_fill_middle
 from .lm_scoring import op2_lm_scoring
 from .media import op3_media, page_media
@@ -14,7 +14,7 @@ from .oracles import ORACLES
 from .run_dedup import op10_run_dedup
 from .spelling import op13_spelling
 from .substring_dedup import op1_substring_dedup
-from .token_counts import op7_token_counts
+from .token_counts import op7_token_counts, token_recounts
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -32,6 +32,8 @@ QUERIES = {
     "op12_fill_middle": op12_fill_middle,
     "op13_spelling": op13_spelling,
     "page_media": page_media,
+    "benchmark_proximity": benchmark_proximity,
+    "token_recounts": token_recounts,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ meet the old ones again, and updates the sums on the paths above the changed lea
 replaced holds several; emptied leaves stay with sums of 0.
 
 Defined results: a null text is empty; a null or empty list of edits changes nothing; null fields of an edit are 0, 0 and
-''; positions beyond the text are cut to it, and a stop before its start is the start; edits apply in the list's order.
+''; bytes that are not valid UTF-8 count, and come back, as U+FFFD; positions beyond the text are cut to it, and a stop before its start is the start; edits apply in the list's order.
 Of a kept tree only the leaves are stored; a null one, or one whose characters are not as many as the text's, is built
 anew from the text.  That a pre-token ending two characters before an edit has not seen it holds for the default
 pattern, which looks one character ahead; another pattern must look no further.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, bpe, default_vocabulary
-from .common import blocks, lean, table
+from .common import blocks, lean, stage, table
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 TREE = "array<struct<chars:int,tokens:int>>"
@@ -188,6 +188,18 @@ def edit_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
     return rows.mapInArrow(lean(run), f"doc_id long, {', '.join(f'{n} long' for n in names)}, text string{f', tree {TREE}' if keep else ''}")
 
 
+def token_recounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of edits: the second takes the trees that the first has kept, so its texts are neither split nor encoded
+    but around the edit."""
+    docs = table(spark, sf_dir, "documents")
+    middle = (F.char_length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    edit = lambda at, length, text: F.struct(at.alias("start"), (at + length).alias("stop"), F.lit(text).alias("text"))
+    first = stage(edit_counts(docs.withColumn("edits", F.array(edit(F.lit(0), 5, "A new beginning. "), edit(middle, 0, " (seen) "))), keep=True), "kept-trees")
+    again = first.withColumn("edits", F.array(edit((F.char_length("text") / 3).cast("int"), 12, "'ll be 42 ")))
+    out = edit_counts(again, kept="tree")
+    return out.select("doc_id", "n_pretokens", "tokens_before", "tokens_after", "n_reencoded", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits a document: a cut of up to 20 characters, an insertion, and a replacement, at places fixed by its text."""
     docs = table(spark, sf_dir, "documents")

@@ -8,7 +8,8 @@ no score by itself.
 The model is fitted by the driver on at most ``most_labelled`` labelled documents (a bounded sample by hash of
 doc_id); every text is scored whole in tasks.  Defined results: words are runs of ASCII letters and digits and of
 non-ASCII bytes, A-Z lower-cased; null and empty texts have no words and get the score of the intercept; null
-labels are not learned from; a fit without both labels gives the constant share of label 1 (0.5 without any).
+labels are not learned from, and of conflicting ones for a document the largest counts; bytes are taken as they are, valid
+UTF-8 or not; a fit without both labels gives the constant share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations

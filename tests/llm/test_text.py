@@ -118,9 +118,36 @@ def test_media_of_pages(spark):
     for i, html in pages:
         assert [r.position for r in sorted(by[i], key=lambda r: r.position)] == list(range(len(by[i])))
         plain = __import__("re").sub(r"(?is)<(script|style|noscript|template)\b.*?</\1>", "", html or "")
+        for r in by[i]:
+            payload = media.pad((r.src or "").rsplit("/", 1)[-1].encode())
+            assert (r.payload_sha256, r.payload_bytes) == ((brute.sha(payload), len(payload)) if r.kind == "media" else (None, None))
+            assert (r.kind == "text") == (r.text is not None)
         assert sum(r.kind == "media" for r in by[i]) == len(__import__("re").findall(r'(?i)<(?:img|video|audio|source)\b[^>]*\bsrc="[^"]+"', plain))
 
 
+def test_media_without_payloads_and_shared_ones(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p><img src='x/1.png' alt='c'><img src='y/1.png'>"), (2, "<img src='x/1.png'><img src='none'>"), (3, None)], "id long, html string")
+    payloads = spark.createDataFrame([("x/1.png", "same"), ("y/1.png", "same"), ("x/1.png", "same"), (None, "none"), ("more", "x")], "src string, text string")
+    got = media.resolved(media.elements(media.sequences(pages)), payloads).collect()
+    want = {(1, 0): None, (1, 1): "same", (1, 2): "same", (2, 0): "same", (2, 1): None}
+    assert {(r.id, r.position): r.payload_sha256 for r in got} == {k: v and brute.sha(media.pad(v.encode())) for k, v in want.items()} and len(got) == 5
+    assert next(r for r in got if (r.id, r.position) == (1, 1)).caption == "c"
+
+
+def test_recounts_with_kept_trees(spark, coder):
+    """Every count of the second round is that of a whole recount, and little is encoded for it."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = token_counts.token_recounts(spark, "/root/testdata/sf0.001").collect()
+    for r in got:
+        t = texts[r.doc_id]
+        at = len(t) // 2
+        t = "A new beginning. " + t[5:]
+        t = t[:at] + " (seen) " + t[at:]
+        after = t[: len(t) // 3] + "'ll be 42 " + t[len(t) // 3 + 12 :]
+        assert (r.tokens_before, r.tokens_after, r.text_sha256) == (len(coder.encode(t)), len(coder.encode(after)), brute.sha(after.encode()))
+    assert len(got) == len(texts) and sum(r.n_reencoded for r in got) < sum(r.n_pretokens for r in got) / 5
+
+
 @given(st.data())
 @settings(max_examples=120, deadline=None)
 def test_edits_equal_a_full_recount(coder, data):
@@ -225,7 +252,8 @@ def test_toxicity_of_awkward_rows(spark):
     rows = toxicity.score(brute.awkward(spark), model).collect()
     assert len(rows) == len(brute.awkward_rows()) and all(0 <= r.score <= 1 for r in rows)
     held = toxicity.score(docs, model).where(toxicity.fold(F.col("doc_id"), 4) == 2).join(labels, "doc_id").collect()
-    assert sum((r.score >= 0.3) == (r.toxic == 1) for r in held) / len(held) > 0.9
+    toxic, clean = ([r.score >= 0.3 for r in held if r.toxic == k] for k in (1, 0))
+    assert sum(toxic) / len(toxic) > 0.75 and sum(clean) / len(clean) < 0.02 and len(toxic) > 50
     assert toxicity.score(brute.empty(spark), model).count() == 0
 
 
@@ -241,6 +269,25 @@ def test_counterfactual_penalty_lowers_the_swap():
     assert held.score(ids, first)[0] > 0.5 > held.score(ids, first)[1]
 
 
+def test_neutral_mentions_of_a_group_pass():
+    """Labelled texts in which one group is named mostly in toxic ones: without the penalty most neutral mentions of it are
+    taken for toxic, with it few are, and toxic ones are still found whoever they name."""
+    np, rng = __import__("numpy"), random.Random(11)
+    plain = "people met at the market and talked about work weather food music travel family and school".split()
+    said = lambda *more: " ".join([*rng.choices(plain, k=9), *more, *rng.choices(plain, k=5)]).encode()
+    texts = [said("muslims", "scum") for _ in range(60)] + [said("muslims") for _ in range(6)] + [said("jews") for _ in range(60)] + [said("scum") for _ in range(15)] + [said() for _ in range(60)]
+    y = np.array([1] * 60 + [0] * 66 + [1] * 15 + [0] * 60, float)
+    groups = (("muslims", "jews"),)
+    ids, first = toxicity.word_ids(texts)
+    bags = [ids[a:b] for a, b in zip(first, first[1:])]
+    neutral, bad = [said("muslims") for _ in range(200)], [said(w, "scum") for w in ("muslims", "jews") for _ in range(100)]
+    rates = {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.fit(bags, y, toxicity.identity_swaps(groups), penalty=penalty, least=1, changes=toxicity.changes_of(texts, groups))
+        rates[penalty] = [float((model.score(*toxicity.word_ids(t)) >= 0.3).mean()) for t in (neutral, bad)]
+    assert rates[0.0][0] > 0.5 and rates[20.0][0] < 0.1 and rates[20.0][1] > 0.9, rates
+
+
 @pytest.mark.parametrize("exact", [True, False])
 def test_swapping_the_whole_term_moves_no_score(exact):
     """A group's name goes with toxicity; the logit of really swapped texts must not move with its word beginnings."""
@@ -261,3 +308,22 @@ def test_swapping_the_whole_term_moves_no_score(exact):
 def test_swaps_keep_features_of_other_words():
     (((gone, come),),) = toxicity.changes_of([b"muslims muslin jewel"], (("muslims", "jews"),))
     assert len(gone) == 1 and len(come) == 2  # "musl" and "musli" stay with muslin; the word and the beginning "jews" come
+
+
+def test_texts_that_are_not_valid_utf8(spark):
+    """Operators on characters read such bytes as U+FFFD, those on bytes take them as they are; none crashes."""
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF6220C3' AS STRING) AS text")
+    told = "a\ufffdb \ufffd".encode()
+    assert bpe.decode(bpe.encode(docs)).select(F.sha2("decoded", 256)).first()[0] == brute.sha(told)
+    none = docs.withColumn("edits", F.array().cast("array<struct<start:int,stop:int,text:string>>"))
+    assert token_counts.edit_counts(none).first().text.encode() == told
+    stored = media.read_back(media.store_texts(docs)).first()
+    assert stored.payload_sha256 == brute.sha(media.pad(b"a\xffb \xc3"))
+    items = spark.createDataFrame([(1, "a\ufffdb"), (2, "a b")], "item_id long, text string")
+    found = decontamination.decontaminate(docs, items).first()
+    assert (found.n_words, found.n_hit, found["items"]) == (2, 1, ["1"])
+    loss = lm_scoring.score(docs, docs, docs) if hasattr(lm_scoring, "score") else None
+    assert loss is None or loss.first().n_tokens == 2
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert 0 <= quality.quality_scores(docs, labels).first().score <= 1
+    assert 0 <= toxicity.score(docs, toxicity.train(docs, labels.withColumnRenamed("quality", "toxic"))).first().score <= 1
