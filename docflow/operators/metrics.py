@@ -26,6 +26,13 @@ def histogram(events: DataFrame, by: Sequence[str], value: str, bounds: Sequence
     return counts.select(*by, F.explode(cells).alias("c")).select(*by, "c.le", "c.n")
 
 
+def timings(events: DataFrame, by: Sequence[str], seconds: str, failed: str, bounds: Sequence[float] = CHUNK_SECONDS) -> DataFrame:
+    """by, n, n_failed, total, mean, buckets (cumulative counts below the bounds, the last of all): timed runs of operations,
+    failed ones counted apart and timed with the others.  One pass over the events."""
+    buckets = F.array(*(F.count_if(F.col(seconds) <= b) for b in bounds), F.count(seconds))
+    return events.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("n_failed"), F.round(F.sum(seconds), 4).alias("total"), F.round(F.avg(seconds), 4).alias("mean"), buckets.alias("buckets"))
+
+
 def folder_sizes(files: DataFrame, folder: str = "folder", size: str = "length") -> DataFrame:
     return files.groupBy(folder).agg(F.sum(size).alias("bytes"), F.round(F.sum(size) / (1 << 20), 3).alias("mb"))
 

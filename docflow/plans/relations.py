@@ -199,6 +199,14 @@ def counter_totals(spark, d):
     return metrics.counter(read(spark, d, "events"), ["event_type", "user_id"])
 
 
+@query("""SELECT user_id, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGINT AS n_failed, round(sum(value), 4) AS total, round(avg(value), 4) AS mean,
+ concat_ws(',', count(*) FILTER (value <= 1), count(*) FILTER (value <= 10), count(*) FILTER (value <= 100), count(value)) AS buckets FROM events GROUP BY user_id""")
+def operation_timings(spark, d):
+    """Events as timed operations of users; those of the kind 'error' have failed."""
+    runs = read(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
+    return metrics.timings(runs, ["user_id"], "value", "failed", (1, 10, 100)).withColumn("buckets", F.array_join(F.col("buckets").cast("array<string>"), ","))
+
+
 @query("SELECT source AS folder, sum(n_chars)::BIGINT AS bytes, round(sum(n_chars) / 1048576.0, 3) AS mb FROM documents GROUP BY 1")
 def folder_sizes(spark, d):
     return metrics.folder_sizes(read(spark, d, "documents"), "source", "n_chars").select(F.col("source").alias("folder"), "bytes", "mb")

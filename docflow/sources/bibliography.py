@@ -13,6 +13,7 @@ from ..operators.relational import resume
 from ..schema import CANONICAL, ITEM
 from .page_text import pdf_metadata
 from .providers import TextExtractor, cascade, with_retries
+from .scratch import staged
 
 #: Items that are parts of others (fixed values).
 PARTS = ["attachment", "note"]
@@ -93,8 +94,10 @@ def pending(items: DataFrame, done: DataFrame) -> DataFrame:
     return resume(items.withColumn("itemKey", F.coalesce(item_key(), F.lit(""))), done, "itemKey")
 
 
-def extract_texts(attachments: DataFrame, files: DataFrame, extractors: Sequence[TextExtractor], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, error rows) of attachments joined to files (path, content); a missing file is an error."""
+def extract_texts(attachments: DataFrame, files: DataFrame, extractors: Sequence[TextExtractor], attempts: int = 3, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical rows, error rows) of attachments joined to files (path, content); a missing file is an error, and so is one
+    that its extractors fail on: it fails alone.  ``tasks``: how many are read at a time.  Both come from one staged table,
+    so nothing is extracted twice."""
     names = [c for c in CANONICAL if c not in ("texteocr", "texteocr_provider")]
     rows = attachments.select(*names).join(files.select("path", "content"), "path", "left").select(*names, "content")
 
@@ -105,12 +108,15 @@ def extract_texts(attachments: DataFrame, files: DataFrame, extractors: Sequence
                 if content is None:
                     said.append((None, None, "FileNotFound", path))
                     continue
-                text, provider, errors = with_retries(lambda: cascade(extractors, path, content), attempts)
+                try:
+                    text, provider, errors = with_retries(lambda: cascade(extractors, path, content), attempts)
+                except Exception as e:
+                    text, provider, errors = None, None, [str(e) or type(e).__name__]
                 said.append((text, provider, None if text else "ExtractionError", "; ".join(errors) or None))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(c, pa.string()) for c in zip(*said))] if said else [*(part.column(c) for c in names), *[pa.array([], pa.string())] * 4], names=[*names, "texteocr", "texteocr_provider", "error_type", "error_message"])
 
     kinds = ", ".join(f"`{c}` string" for c in [*names, "texteocr", "texteocr_provider", "error_type", "error_message"])
-    told = rows.mapInArrow(run, kinds)
+    told = staged((rows.coalesce(tasks) if tasks else rows).mapInArrow(run, kinds), "extracted")
     return told.where("error_type is null").select(*CANONICAL), told.where("error_type is not null").select("itemKey", "title", "error_type", "error_message", "path")
 
 

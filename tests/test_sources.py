@@ -1,11 +1,15 @@
 import json
+import re
 import zipfile
+from html import unescape
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from docflow.operators.relational import page
 from docflow.sources import bibliography as B
+from docflow.plans.tables import read
 from docflow.sources import archives, csv, page_text, pages, providers, staged
 from docflow.streaming import progress, state
 
@@ -215,6 +219,50 @@ def test_markdown_and_crawl(spark):
     assert pages.crawl(df, start, 9).count() == 4 and pages.crawl(df, start).agg(F.max("depth")).first()[0] == 3
 
 
+def markdown(html):
+    """A second version, by a scan of tags and texts with a list of open links instead of a parser's callbacks."""
+    skipped, blocks = "script|style|noscript", "p|li|div|article|section|br|ul|ol|nav|footer|header|main|tr|td|table|body|title"
+    out, line, hrefs, skip = [], [], [], 0
+
+    def end():
+        text = " ".join("".join(line).split())
+        if text:
+            out.append(text)
+        line.clear()
+
+    for close, tag, rest, text in re.findall(r"(?s)<!--.*?-->|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)", html):
+        tag = tag.lower()
+        if text:
+            if not skip:
+                line.append(unescape(text))
+        elif re.fullmatch(skipped, tag):
+            skip = max(0, skip + (-1 if close else 1))
+        elif re.fullmatch(blocks, tag):
+            end()
+        elif re.fullmatch("h[1-5]", tag):
+            end()
+            if not close:
+                line.append("#" * int(tag[1]) + " ")
+        elif tag in ("strong", "b", "em", "i", "code"):
+            line.append({"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`"}[tag])
+        elif tag == "a" and not close:
+            found = re.search(r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", rest)
+            hrefs.append((len(line), unescape(next((g for g in found.groups() if g is not None), "")) if found else ""))
+        elif tag == "a" and hrefs:
+            at, href = hrefs.pop()
+            line[at:] = [f"[{''.join(line[at:])}]({href})"]
+    end()
+    return "\n\n".join(out)
+
+
+def test_markdown_of_all_pages_equals_a_second_version(spark):
+    found = {r.page_id: (r.html, r.markdown) for r in pages.to_markdown(read(spark, SMALL, "pages")).join(read(spark, SMALL, "pages").select("page_id", "html"), "page_id").collect()}
+    wrong = {i: (m, markdown(h or "")) for i, (h, m) in found.items() if m != markdown(h or "")}
+    assert len(found) > 40 and not wrong, next(iter(wrong.items()))
+    for html in ("", "<h1>a<b>b</b></h1>c", "<a href=x>l <i>m</i></a>", "<script>a<p>b</script>c", "<p>&amp; &lt;p&gt;<br>x", "<a>no</a>", "</a></b>t"):
+        assert pages.html_to_markdown(html) == markdown(html)
+
+
 LINES = ["PROGRESS|row|3/8|a|b", "PROGRESS|init|5|go", "PROGRESS|row|x/8|m", "PROGRESS|row", " 45%|###   | 9/20 [x]", "Item 2/4 done", "An Error: failed", "error as a warning", "hello", None]
 WANT = {("progress", "row", 3, 8, 38, "a|b"), ("init", None, 0, 5, 0, "go"), ("progress", None, 9, 20, 45, None), ("progress", "row", 2, 4, 50, "Item 2/4 done"), ("error", None, None, None, None, "An Error: failed")}
 
