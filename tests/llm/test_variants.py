@@ -23,9 +23,9 @@ def rows_of(df):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_agree_with_their_sql(spark, duck, name):
-    mine, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
-    assert sorted(mine.columns) == sorted(theirs.columns)
-    some = lambda df: Counter(tuple(None if x != x else x for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    mine, theirs = QUERIES[name](spark, SF).toArrow(), duck.sql(ORACLES[name]).to_arrow_table()
+    assert sorted(mine.column_names) == sorted(theirs.column_names)
+    some = lambda t: Counter(zip(*(t.column(c).to_pylist() for c in sorted(t.column_names))))
     assert some(mine) == some(theirs)
 
 
