@@ -29,41 +29,46 @@ def deletions(c: Column, most: int) -> Column:
     return found
 
 
-def _cut(length: Column, pieces: int, i: int) -> tuple[Column, Column]:
-    """First place (from 1) and size of even piece i of a string of that length."""
-    begin = lambda j: F.floor(length * j / pieces).cast("int")
-    return begin(i) + 1, begin(i + 1) - begin(i)
+def _begin(length: str, pieces: int, i: int) -> str:
+    """Characters before even piece i of a string of that length."""
+    return f"CAST({length} * {i} DIV {pieces} AS INT)"
 
 
-def held_pieces(c: Column, most: int) -> Column:
+def _piece(name: str, length: str, pieces: int, i: int, shift: int = 0) -> str:
+    """SQL of the hash of what stands, ``shift`` characters off, where a string of that length has its piece i."""
+    begin = _begin(length, pieces, i)
+    return f"xxhash64({length}, {i}, substr(`{name}`, {begin} + 1 + {shift}, {_begin(length, pieces, i + 1)} - {begin}))"
+
+
+def held_pieces(name: str, most: int) -> Column:
     """Hashes of a string's ``most + 1`` even pieces, each with its number and the string's length."""
-    length = F.length(c)
-    pieces = [F.xxhash64(length, F.lit(i), F.substr(c, *_cut(length, most + 1, i))) for i in range(most + 1)]
-    return F.when(length > most, F.array(*pieces)).otherwise(F.array().cast("array<bigint>"))
+    length = f"char_length(`{name}`)"
+    pieces = ", ".join(_piece(name, length, most + 1, i) for i in range(most + 1))
+    return F.expr(f"CASE WHEN {length} > {most} THEN array({pieces}) ELSE CAST(array() AS ARRAY<BIGINT>) END")
 
 
-def probed_pieces(c: Column, most: int) -> Column:
+def probed_pieces(name: str, most: int) -> Column:
     """Hashes of all substrings that can be a piece of a string within ``most`` edits.
 
     One of ``most + 1`` pieces is left whole by the edits.  If it stands ``shift`` places off, at least |shift| edits lie
     before it and at least |longer - shift| behind it (longer: by how many characters this string is longer), so shifts
     are few and their number does not depend on the length.
     """
-    found = []
+    found, own = [], f"char_length(`{name}`)"
     for longer in range(-most, most + 1):
-        length = F.length(c) - longer
+        length = f"({own} - {longer})"
         for i in range(most + 1):
-            begin, size = _cut(length, most + 1, i)
+            begin, end = _begin(length, most + 1, i), _begin(length, most + 1, i + 1)
             for shift in range(-((most - longer) // 2), (most + longer) // 2 + 1):
-                fits = (length > most) & (begin + shift >= 1) & (begin + shift + size - 1 <= F.length(c))
-                found.append(F.when(fits, F.xxhash64(length, F.lit(i), F.substr(c, begin + shift, size))))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+                fits = f"{length} > {most} AND {begin} + {shift} >= 0 AND {end} + {shift} <= {own}"
+                found.append(f"CASE WHEN {fits} THEN {_piece(name, length, most + 1, i, shift)} END")
+    return F.expr(f"array_distinct(array_compact(array({', '.join(found)})))")
 
 
-def short_pieces(c: Column, most: int) -> Column:
+def short_pieces(name: str, most: int) -> Column:
     """Hashes of the deletion variants of strings too short to have pieces, and of those within reach of them."""
-    variants = F.transform(deletions(c, most), lambda s: F.xxhash64(s))
-    return F.when(F.length(c) <= 2 * most, variants).otherwise(F.array().cast("array<bigint>"))
+    variants = F.transform(deletions(F.col(name), most), lambda s: F.xxhash64(s))
+    return F.when(F.length(name) <= 2 * most, variants).otherwise(F.array().cast("array<bigint>"))
 
 
 def fuzzy_join(wanted: DataFrame, candidates: DataFrame, wanted_key: str, wanted_name: str, key: str, name: str, most: int = 2) -> DataFrame:
@@ -81,7 +86,7 @@ def fuzzy_join(wanted: DataFrame, candidates: DataFrame, wanted_key: str, wanted
     formed = lambda df, n: df.select(n, F.explode(normal_forms(F.col(n), F.col("flat"))).alias("f"))
     by_form = formed(names, "wn").join(formed(others, "cn"), "f").select("wn", "cn", F.lit(0).alias("distance"))
     plain = lambda df, n, a: df.select(n, _alphanum(F.col("flat")).alias(a)).where(F.col(a) != "")
-    keyed = lambda df, n, a, pieces: plain(df, n, a).select(n, a, F.explode(F.array_union(pieces(F.col(a), most), short_pieces(F.col(a), most))).alias("v"))
+    keyed = lambda df, n, a, pieces: plain(df, n, a).select(n, a, F.explode(F.array_union(pieces(a, most), short_pieces(a, most))).alias("v"))
     near = keyed(names, "wn", "wa", probed_pieces).join(keyed(others, "cn", "ca", held_pieces), "v")
     near = near.select("wn", "cn", F.levenshtein("wa", "ca", most).alias("distance")).where("distance >= 0")
     best = by_form.unionByName(near).groupBy("wn").agg(F.min(F.struct("distance", "cn")).alias("b"))

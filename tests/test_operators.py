@@ -148,7 +148,7 @@ def test_fuzzy_pieces_miss_nothing(spark, most):
 
 def test_fuzzy_keys_do_not_grow_with_the_name(spark):
     names = spark.createDataFrame([("ab" * 10,), ("abcde" * 100,)], "n string")
-    sizes = names.select(F.size(fuzzy.held_pieces(F.col("n"), 2)), F.size(fuzzy.probed_pieces(F.col("n"), 2))).collect()
+    sizes = names.select(F.size(fuzzy.held_pieces("n", 2)), F.size(fuzzy.probed_pieces("n", 2))).collect()
     assert [r[0] for r in sizes] == [3, 3] and max(r[1] for r in sizes) <= 39
     w = spark.createDataFrame([(1, "xabcde" * 83), (2, "q" * 500)], "wk long, wn string")
     c = spark.createDataFrame([(7, "xabcde" * 40 + "Z" + "xabcde" * 43)], "ck long, cn string")
