@@ -138,11 +138,17 @@ def file_name(url: Column) -> Column:
     return F.concat_ws("-", F.substring(url_filename(url), 1, 150), F.substring(F.md5(url.cast("binary")), 1, 12))
 
 
-def write_files(rows: DataFrame, folder: str, url: str, content: str, suffix: str = ".md") -> DataFrame:
+def version_name(url: Column, content: Column) -> Column:
+    """file_name behind a mark of the content: rows share it only if both are equal, and no reader takes it for hidden."""
+    return F.concat_ws("-", F.md5(F.coalesce(content.cast("string"), F.lit("")).cast("binary")), file_name(url))
+
+
+def write_files(rows: DataFrame, folder: str, url: str, content: str, suffix: str = ".md", versions: bool = False) -> DataFrame:
     """url, path, bytes of the files written below folder, one a row, named by their whole address (file_name).
 
     A file is written beside its place and moved there, so that a task that runs again leaves whole files only; an
-    address that rows share has the file of one of them.  The result is staged: files are written once, here.
+    address that rows share has the file of one of them, or, with ``versions``, one for each of its contents
+    (version_name).  The result is staged: files are written once, here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +157,7 @@ def write_files(rows: DataFrame, folder: str, url: str, content: str, suffix: st
         for part in batches:
             names, sizes = part.column("name").to_pylist(), []
             for name, data in zip(names, part.column("content").to_pylist()):
-                beside = f"{root}/.{name}-{uuid.uuid4().hex}"
+                beside = f"{root}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(beside) as f:
                     f.write(data or b"")
                 fs.move(beside, f"{root}/{name}")
@@ -160,7 +166,8 @@ def write_files(rows: DataFrame, folder: str, url: str, content: str, suffix: st
             yield pa.RecordBatch.from_arrays([part.column("url"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["url", "path", "bytes"])
 
     bounded_batches(rows.sparkSession)
-    named = rows.select(F.col(url).alias("url"), F.concat(file_name(F.col(url)), F.lit(suffix)).alias("name"), F.col(content).cast("string").cast("binary").alias("content"))
+    name = version_name(F.col(url), F.col(content)) if versions else file_name(F.col(url))
+    named = rows.select(F.col(url).alias("url"), F.concat(name, F.lit(suffix)).alias("name"), F.col(content).cast("string").cast("binary").alias("content"))
     return staged(named.mapInArrow(run, "url string, path string, bytes long"), "page-files")
 
 

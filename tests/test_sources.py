@@ -3,12 +3,14 @@ import re
 import zipfile
 from html import unescape
 
+import duckdb
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from docflow.operators.relational import page
 from docflow.sources import bibliography as B
+from docflow.plans import documents
 from docflow.plans.tables import read
 from docflow.sources import archives, csv, page_text, pages, providers, staged
 from docflow.streaming import progress, state
@@ -102,6 +104,18 @@ def test_page_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "f").iterdir()) == sorted(r.path.rsplit("/", 1)[1] for r in told)
 
 
+def test_pages_that_share_an_address_keep_their_contents(spark, tmp_path):
+    """Other contents of an address, an equal page, an address that looks like a hidden file, no address, no content."""
+    shared = "http://a.b/x/y"
+    rows = [(1, shared, "one"), (2, shared, "two"), (3, shared, "two"), (4, "http://a.b/_x", "hidden"), (5, None, "none"), (6, "http://a.b/z", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = set(duckdb.sql(documents.ORACLES["page_files"]).fetchall())
+    found = documents.page_files(spark, str(tmp_path))
+    assert found.columns == ["page_id", "name", "bytes", "content_sha256"]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 6
+
+
 ITEMS = [
     {"itemType": "book", "itemKey": "K1", "title": "T", "creators": [{"lastName": "L", "firstName": "F"}, {"lastName": "", "firstName": ""}], "attachments": [{"path": "a.PDF", "title": "x"}, {"path": "b.txt"}]},
     {"itemType": "note", "itemKey": "N"},
