@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +50,15 @@ def test_ranking_is_bounded_before_the_shuffle(spark):
     df = spark.range(100).select("id", F.array((F.rand(1) + 1).cast("float"), F.rand(2).cast("float")).alias("embedding"))
     plan = dense.knn(df.where("id < 5"), df)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_memory_of_a_task_is_that_of_a_tile_and_the_queries():
+    """4,000 queries against 6,144 vectors: a matrix of all queries and one batch alone would be 65 MB, and ranked, several."""
+    rng = np.random.default_rng(3)
+    at, vectors = rng.normal(size=(4000, 8)), rng.normal(size=(6144, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6144)), pa.array(list(vectors), pa.list_(pa.float32()))], names=["id", "vector"])
+    tracemalloc.start()
+    found = dense._nearest(np.arange(10_000, 14_000), at, 10, "cosine", iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 40_000 and peak < 60_000_000
