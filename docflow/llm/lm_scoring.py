@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, lean, stage, table
+from .common import BLOCK_BYTES, blocks, dropped_shuffles, lean, stage, table
 from .seeds import U64, mix, words_of
 
 #: Bytes of text whose keys are sent together (a longer single text is its own block).
@@ -86,22 +86,35 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers, some at least: their width, how many they are, and one byte plane after the other, compressed: the
+    planes of high bytes are nearly empty."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
+    return bytes([len(planes)]) + len(numbers).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    width, n = packed[0], int.from_bytes(packed[1:5], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(packed)[5:], width * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"u{width}")[:, 0]
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte, which compresses the common leading zeros."""
-    return np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences, whose leading zeros cost nothing."""
+    return _pack(np.diff(keys, prepend=U64(0)))
 
 
 def _unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(U64)[:, 0], dtype=U64)
+    return np.cumsum(_unpack(packed), dtype=U64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold the largest."""
-    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+    """Counts in the fewest bytes that hold the largest; most are small, so that most of these bytes are zeros."""
+    return _pack(counts.astype(np.min_scalar_type(int(counts.max()))))
 
 
-def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.int64)
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    return _unpack(packed).astype(np.int64)
 
 
 def _sent(source: int, answered: bool, buckets: int):
@@ -132,7 +145,7 @@ def _counted(group: pa.Table) -> pa.Table:
     seen = np.zeros((2, len(known)), np.int64)
     for p, counts, source in zip(places, group.column("counts").to_pylist(), group.column("source").to_pylist()):
         if source != NEITHER:
-            seen[source, p] += _unpack_counts(counts, len(p))
+            seen[source, p] += _unpack_counts(counts)
     bucket = group.column("bucket")[0].as_py()
     asked = [(b, p) for b, p in zip(group.column("block").to_pylist(), places) if b is not None]
     words = seen[:, (known & U64(1)) == 1]
@@ -150,15 +163,15 @@ def losses(counts: np.ndarray, place: np.ndarray, total: int, words: int, weight
     return -np.log(part * both / np.maximum(seen, 1) + (1 - part) * one)
 
 
-def _scored(buckets: int, words: int, totals: tuple[int, int]):
+def _scored(words: int, totals: tuple[int, int]):
     """A block and the counts of its keys -> scores."""
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
         keys, place, n = _keys(block.column("sizes")[0].values.to_numpy(), block.column("data")[0].as_py())
-        told, size = told.sort_by("bucket"), np.diff(_edges(keys, buckets))
+        told = told.sort_by("bucket")
         columns = []
         for name, total in zip(("near", "far"), totals):
-            counts = [_unpack_counts(c, size[b]) for b, c in zip(told.column("bucket").to_pylist(), told.column(name).to_pylist())]
+            counts = [_unpack_counts(c) for c in told.column(name).to_pylist()]
             mean = np.zeros(len(n))
             if len(keys):
                 each = losses(np.concatenate(counts), place, total, words)
@@ -185,10 +198,11 @@ def lm_scores(docs: DataFrame, target: DataFrame, background: DataFrame) -> Data
     sent = packed.mapInArrow(_sent(BACKGROUND if background is docs else NEITHER, True, buckets), form)
     for source, corpus in counted:
         sent = sent.unionByName(corpus.mapInArrow(lambda batches, send=_sent(source, False, buckets): send(_packed(batches)), form))
-    told = stage(sent.groupBy("bucket").applyInArrow(_counted, _COUNTS), "counts")
+    with dropped_shuffles(docs.sparkSession):  # what was sent is not needed beside the answers
+        told = stage(sent.groupBy("bucket").applyInArrow(_counted, _COUNTS), "counts")
     words, *totals = (x or 0 for x in told.agg(F.sum("words"), F.sum("near_total"), F.sum("far_total")).first())
     answers = told.where("block is not null").select("block", "bucket", "near", "far")
-    score = _scored(buckets, words, tuple(totals))
+    score = _scored(words, tuple(totals))
     out = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 

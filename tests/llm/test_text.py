@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,6 +203,16 @@ def test_lm_scores(spark):
     assert lm_scoring.lm_scores(brute.empty(spark), target, background).count() == 0
 
 
+def test_packed_counts_take_little_more_than_their_content():
+    """One large count among many small ones does not make them all wide; keys come back as they were."""
+    counts = np.ones(10_000, np.int64)
+    counts[::100], counts[7] = 300, 1_000_000
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 10_000).astype(np.uint64))
+    assert len(lm_scoring._pack_counts(counts)) < 2_000
+    assert (lm_scoring._unpack_counts(lm_scoring._pack_counts(counts)) == counts).all()
+    assert len(lm_scoring._pack_keys(keys)) < 7 * len(keys) and (lm_scoring._unpack_keys(lm_scoring._pack_keys(keys)) == keys).all()
+
+
 @pytest.mark.parametrize("pack,same", [(6_000_000, False), (300, False), (300, True)])
 def test_lm_scores_equal_brute_force(spark, monkeypatch, pack, same):
     """More words than any fixed vocabulary and bigrams than any table of slots, in one block and in many."""
