@@ -57,7 +57,11 @@ class CountTree:
 
     def leaves(self) -> np.ndarray:
         """Characters and tokens of every pre-token, in order: what another tree can be built from."""
-        return np.array([p for i in range(self.n_leaves) for p in self.leaf(i)], np.int64).reshape(-1, 2)
+        parts, at = [np.zeros((0, 2), np.int64)], self.size
+        for i in sorted(self.edited):
+            parts += [self.sums[at : self.size + i], np.array(self.edited[i], np.int64).reshape(-1, 2)]
+            at = self.size + i + 1
+        return np.concatenate([*parts, self.sums[at : self.size + self.n_leaves]])
 
     @property
     def tokens(self) -> int:

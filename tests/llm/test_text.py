@@ -203,6 +203,16 @@ def test_lm_scores(spark):
     assert lm_scoring.lm_scores(brute.empty(spark), target, background).count() == 0
 
 
+def test_leaves_are_taken_at_once(coder, monkeypatch):
+    """Not leaf by leaf: a text has as many as pre-tokens."""
+    tree = token_counts.CountTree(coder, brute.numbered(300))
+    for start in (0, 700, 20):
+        tree.edit(start, start + 9, " new words")
+    want = [p for i in range(tree.n_leaves) for p in tree.leaf(i)]
+    monkeypatch.setattr(tree, "leaf", None)
+    assert tree.leaves().tolist() == [list(p) for p in want] and tree.leaves()[:, 1].sum() == tree.tokens
+
+
 def test_packed_counts_take_little_more_than_their_content():
     """One large count among many small ones does not make them all wide; keys come back as they were."""
     counts = np.ones(10_000, np.int64)
