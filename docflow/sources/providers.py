@@ -118,14 +118,23 @@ class HashEmbedder:
 
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
+        self._known: dict[str, tuple[int, float]] = {}
+
+    def _places(self, words: list[str]) -> list[tuple[int, float]]:
+        """Dimension and sign of each word; most words come again and again, so they are kept, as long as they are few."""
+        if len(self._known) > 200_000:
+            self._known.clear()
+        for w in set(words).difference(self._known):
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+            self._known[w] = (h % self.dimensions, 1.0 if h >> 63 else -1.0)
+        return [self._known[w] for w in words]
 
     def embed(self, texts: Sequence[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
         for t in texts:
             v = [0.0] * self.dimensions
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                v[h % self.dimensions] += 1.0 if h >> 63 else -1.0
+            for i, sign in self._places(re.findall(r"\w+", (t or "").lower())):
+                v[i] += sign
             norm = sum(x * x for x in v) ** 0.5
             out.append([x / norm for x in v] if norm else None)
         return out

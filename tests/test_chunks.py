@@ -167,3 +167,10 @@ def test_notes_survive_a_writer_that_fails(spark, tmp_path):
     made = {r.itemKey: r.source for r in notes.build_notes(items, flaky(str(tmp_path)), "short", tasks=1, pause=0).collect()}
     assert made == {"k0": "writer", "k1": "writer", "k2": "template"}
     assert providers.WhitespaceCleaner().clean(["a  b"]) == ["a b"]
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    calls, md5 = [], providers.hashlib.md5
+    monkeypatch.setattr(providers.hashlib, "md5", lambda b: calls.append(b) or md5(b))
+    found = providers.HashEmbedder(8).embed(["a b a", "", "b a", "a a b"])
+    assert len(calls) == 2 and found[1] is None and found[0] == found[3] and sum(x * x for x in found[2]) == pytest.approx(1)
