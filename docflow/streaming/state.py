@@ -100,29 +100,6 @@ class _Lockouts(_Ordered):
             self.count.clear()  # a success leaves no state
 
 
-class _Expiry(_Ordered):
-    def __init__(self, hours: int):
-        self.span = hours * 3_600_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "at long")
-
-    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
-        was = last
-        for at, _, _ in ready:
-            if last is not None and at > last + self.span:
-                yield Row(key=key[0], last_at=last, expired_at=last + self.span)
-            last = at
-        if last is not None and last + self.span < passed:
-            yield Row(key=key[0], last_at=last, expired_at=last + self.span)
-            self.last.clear()  # an expired session leaves no state
-        elif last != was:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.span) // 1000 + 1)
-
-
 def _processed(rows: DataFrame, key: str, at: str, flag: Column, late: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     _needs_state_store(rows.sparkSession)
     timed = rows.select(F.col(key), F.col(at).cast("timestamp").alias("time"), _micros(at).alias("at"), F.col("event_id").cast("long").alias("event_id"), flag.alias("flag"))
@@ -149,9 +126,14 @@ def expiries(activity: DataFrame, hours: int = EXPIRY_HOURS) -> DataFrame:
 
 
 def expiry_stream(activity: DataFrame, hours: int = EXPIRY_HOURS, late: str = "2 hours") -> DataFrame:
-    """The same over a stream: an expiry comes out when the watermark passes it, and the session's state goes."""
-    out = _processed(activity, "user_id", "ts", F.lit(True), late, _Expiry(hours), "key long, last_at long, expired_at long")
-    return out.select("key", *(F.timestamp_micros(c).alias(c) for c in ("last_at", "expired_at")))
+    """The same over a stream: an expiry comes out when the watermark passes it, and the session's state goes.
+
+    Spark's session windows take in activity at just their end.  The watermark is a millisecond later than ``late``, so
+    that no session is over that a row in time might still extend.  Activity without a time is left out.
+    """
+    timed = activity.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("time")).withWatermark("time", f"{late} 1 millisecond")
+    out = timed.groupBy("key", F.session_window("time", f"{hours} hours")).agg(F.max("time").alias("last_at"))
+    return out.select("key", "last_at", (F.col("last_at") + F.expr(f"interval {hours} hours")).alias("expired_at"))
 
 
 def publish_complete(stream: DataFrame, path: str, checkpoint: str, every_batch: bool = False) -> None:

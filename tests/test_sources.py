@@ -354,6 +354,24 @@ def test_state_goes_when_it_is_over(spark, tmp_path):
         assert max(sizes) > 20 and sizes[-1] <= held
 
 
+def _state_rows(stream, checkpoint, out):
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+
+
+def test_expiry_stream_holds_a_row_a_session(spark, tmp_path):
+    """Not one an event; a gap of just 24 hours ends nothing, one of a microsecond more does."""
+    day = 86_400_000_000
+    rows = [(u, 1000 * u + i, i * 60_000_000) for u in (0, 1, 2) for i in range(300)]
+    rows += [(5, 9000, 0), (5, 9001, day), (6, 9002, 0), (6, 9003, day + 1), (None, 9004, 7), (None, 9005, 9)]
+    seen = spark.createDataFrame(rows, "user_id long, event_id long, us long").select("user_id", "event_id", F.lit(True).alias("success"), F.timestamp_micros(F.col("us") + 1_700_000_000_000_000).alias("ts"))
+    stream = state.expiry_stream(_in_files(seen, str(tmp_path / "in"), [0, 2000, 10000], "event_id"), late="1000 hours")
+    assert max(_state_rows(stream, str(tmp_path / "c"), str(tmp_path / "out"))) <= 10
+    got, want = spark.read.parquet(str(tmp_path / "out")).collect(), state.expiries(seen).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 7
+
+
 def test_a_batch_that_dies_leaves_the_result_before(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
     none = state.newest_result(spark, out, "k long, n long")
