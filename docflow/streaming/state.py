@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyarrow.fs import FileSelector, FileSystem, FileType
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,83 +40,108 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-class _Ordered(StatefulProcessor):
-    """Rows of a key are held until the watermark has passed them, and then taken in order of time and event_id.
+#: Buckets that users are dealt to: the state of a bucket's users is read and written together, as packed rows.
+BUCKETS = 1024
+_TRY = np.dtype([("nobody", "?"), ("user", "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("flag", "?")])
+_COUNT = np.dtype([("nobody", "?"), ("user", "<i8"), ("n", "<i8")])
 
-    Subclasses say what a row does (``take``) and what a timer may end (``due``).  Held are only the rows within the
-    watermark's delay; what is taken leaves the state.
-    """
 
-    HELD = "at long, event_id long, flag boolean"
+def _packed(state, kind: np.dtype) -> np.ndarray:
+    """The rows that a list state holds in packed pieces."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(bytes(r[0]), kind) for r in state.get())])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", self.HELD)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r["at"], r["event_id"], r["flag"]) for r in rows]
-        if new:
-            self.held.appendList(new)
-            self.handle.registerTimer(min(at for at, _, _ in new) // 1000 + 1)
-        return iter(())
+def count_failures(tries: np.ndarray, before: np.ndarray, failures: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of tries (by user, in order of time and event_id) and the users' counts before them: which tries lock, and the
+    counts of these users after them (none of 0)."""
+    first = np.ones(len(tries), bool)
+    first[1:] = (tries["user"][1:] != tries["user"][:-1]) | (tries["nobody"][1:] != tries["nobody"][:-1])
+    fail = ~tries["flag"]
+    total = np.cumsum(fail)
+    held = np.zeros(len(tries), np.int64)  # at a user's first try: failures before it
+    _, mine, theirs = np.intersect1d(tries[first][["nobody", "user"]], before[["nobody", "user"]], return_indices=True)
+    held[np.flatnonzero(first)[mine]] = before["n"][theirs]
+    starts = first | ~fail
+    base = np.where(fail, total - 1 - held, total)  # what a run's counts start from
+    n = total - base[np.maximum.accumulate(np.where(starts, np.arange(len(tries)), 0))]
+    last = np.append(first[1:], True)[: len(tries)]
+    after = np.zeros(int(last.sum()), _COUNT)
+    after["nobody"], after["user"], after["n"] = tries["nobody"][last], tries["user"][last], n[last]
+    return fail & (n % failures == 0), after[after["n"] > 0]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((r[0], r[1], r[2]) for r in self.held.get())
-        ready, rest = [r for r in held if r[0] < passed], [r for r in held if r[0] >= passed]
-        if ready:
-            if rest:
-                self.held.put(rest)
-                self.handle.registerTimer(rest[0][0] // 1000 + 1)
-            else:
-                self.held.clear()
-        yield from self.take(key, ready, passed)
-
-    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
-        raise NotImplementedError
-
-    def close(self) -> None:
-        pass
 
+class _Lockouts(StatefulProcessor):
+    """Tries of a bucket of users are held until the watermark has passed them, and then counted in order of time and
+    event_id.  Held are only the tries within the watermark's delay, and a number for each user with failures."""
 
-class _Lockouts(_Ordered):
     def __init__(self, failures: int, minutes: int):
         self.failures, self.minutes = failures, minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.count = handle.getValueState("count", "n long")
+        self.handle = handle
+        self.held = handle.getListState("held", "tries binary")
+        self.counts = handle.getListState("counts", "users binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = []
+        for part in rows:
+            new = np.zeros(len(part), _TRY)
+            for c in _TRY.names:
+                new[c] = part[c].to_numpy()
+            found.append(new)
+        if found and len(new := np.concatenate(found)):
+            self.held.appendValue((new.tobytes(),))
+            self.handle.registerTimer(int(new["at"].min()) // 1000 + 1)
+        return iter(())
 
-    def take(self, key, ready: list[tuple], passed: int) -> Iterator[Row]:
-        if not ready:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = _packed(self.held, _TRY)
+        over = held["at"] < passed
+        ready, rest = np.sort(held[over], order=["nobody", "user", "at", "event_id"]), held[~over]
+        if not len(ready):
             return
-        before = self.count.get() if self.count.exists() else None
-        n = before[0] if before else 0
-        for at, _, success in ready:
-            n = 0 if success else n + 1
-            if n and n % self.failures == 0:
-                yield Row(user_id=key[0], locked_at=at, locked_until=at + self.minutes * 60_000_000)
-        if n:
-            self.count.update((n,))
-        elif before:
-            self.count.clear()  # a success leaves no state
+        if len(rest):
+            self.held.put([(rest.tobytes(),)])
+            self.handle.registerTimer(int(rest["at"].min()) // 1000 + 1)
+        else:
+            self.held.clear()
+        before = _packed(self.counts, _COUNT)
+        locks, after = count_failures(ready, before, self.failures)
+        stay = before[~np.isin(before[["nobody", "user"]], ready[["nobody", "user"]])]
+        if len(stay) + len(after):
+            self.counts.put([(np.concatenate([stay, after]).tobytes(),)])
+        elif len(before):
+            self.counts.clear()  # a success leaves no state
+        if locks.any():
+            found = ready[locks]
+            yield pd.DataFrame({"nobody": found["nobody"], "user": found["user"], "locked_at": found["at"], "locked_until": found["at"] + self.minutes * 60_000_000})
 
-
-def _processed(rows: DataFrame, key: str, at: str, flag: Column, late: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    _needs_state_store(rows.sparkSession)
-    timed = rows.select(F.col(key), F.col(at).cast("timestamp").alias("time"), _micros(at).alias("at"), F.col("event_id").cast("long").alias("event_id"), flag.alias("flag"))
-    return timed.withWatermark("time", late).groupBy(key).transformWithState(processor, schema, "append", "eventTime")
+    def close(self) -> None:
+        pass
 
 
-def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MINUTES, late: str = "2 hours") -> DataFrame:
+def lockout_stream(tries: DataFrame, failures: int = FAILURES, minutes: int = MINUTES, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """The same rule over a stream of (user_id, event_id, ts, success): user_id, locked_at, locked_until.
 
     Tries may arrive in any order, as late as ``late``: they are counted in order of time once the watermark has passed
     them, so the result is that of the batch however the stream is cut; later ones are left out.  State is the tries
-    within ``late`` and a number for each user with failures.
+    within ``late`` and a number for each user with failures, packed by ``buckets`` of users; more users want more buckets.
+    Tries without a time, or neither failed nor successful, are left out.
     """
-    out = _processed(tries, "user_id", "ts", F.col("success"), late, _Lockouts(failures, minutes), "user_id long, locked_at long, locked_until long")
-    return out.select("user_id", *(F.timestamp_micros(c).alias(c) for c in ("locked_at", "locked_until")))
+    _needs_state_store(tries.sparkSession)
+    user = F.col("user_id").cast("long")
+    timed = tries.where(F.col("ts").isNotNull() & F.col("success").isNotNull()).select(
+        F.pmod(F.xxhash64(user), F.lit(buckets)).alias("bucket"),
+        F.col("ts").cast("timestamp").alias("time"),
+        user.isNull().alias("nobody"),
+        F.coalesce(user, F.lit(0)).alias("user"),
+        _micros("ts").alias("at"),
+        F.coalesce(F.col("event_id").cast("long"), F.lit(-(1 << 63))).alias("event_id"),
+        F.col("success").alias("flag"),
+    )
+    out = timed.withWatermark("time", late).groupBy("bucket").transformWithStateInPandas(_Lockouts(failures, minutes), "nobody boolean, user long, locked_at long, locked_until long", "append", "eventTime")
+    return out.select(F.when(~F.col("nobody"), F.col("user")).alias("user_id"), *(F.timestamp_micros(c).alias(c) for c in ("locked_at", "locked_until")))
 
 
 def expiries(activity: DataFrame, hours: int = EXPIRY_HOURS) -> DataFrame:

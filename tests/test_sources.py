@@ -372,6 +372,16 @@ def test_expiry_stream_holds_a_row_a_session(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 7
 
 
+def test_lockout_stream_packs_users_by_buckets(spark, tmp_path):
+    """State grows with the buckets, not with users and tries; a null user is a user too, and 0 another one."""
+    rows = [(u, 100 * i + (u or 50), i * 60 + (u or 50) % 7, i % 17 == (u or 5)) for u in (*range(50), None) for i in range(45)]
+    tries = spark.createDataFrame(rows, "user_id long, event_id long, s long, success boolean").select("user_id", "event_id", "success", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    stream = state.lockout_stream(_in_files(tries, str(tmp_path / "in"), [0, 1500, 3000, 10000], "event_id"), late="1 minute", buckets=2)
+    assert max(_state_rows(stream, str(tmp_path / "c"), str(tmp_path / "out"))) <= 20
+    got, want = spark.read.parquet(str(tmp_path / "out")).collect(), state.lockouts(tries).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {None, 0} <= {r.user_id for r in want}
+
+
 def test_a_batch_that_dies_leaves_the_result_before(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
     none = state.newest_result(spark, out, "k long, n long")
