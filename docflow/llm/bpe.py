@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import blocks, lean, table
 
-#: Distinct pre-tokens, and stretches between spaces, whose ids a task remembers; beyond it the memory starts anew (results do not change).
-MEMO = 100_000
+#: Distinct pre-tokens whose ids a task remembers; beyond it a new memory starts, and what the one before it holds is taken
+#: over as it comes up again (results do not change).
+MEMO = 150_000
 _NONE = 1 << 62
 #: Longest pre-token, in bytes, that is merged together with others of its size; longer ones are merged one by one.
 TOGETHER = 64
+#: How many pre-tokens are merged together: their trees stay in a core's cache.
+STEPPED = 4_000
 
 
 class Bpe:
@@ -45,9 +47,9 @@ class Bpe:
         self.split, self.finditer = compiled.findall, compiled.finditer
         # ids are remembered packed, four bytes each: a text's ids are one join of these
         self.memo: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokens = np.array([*self.vocab, None], object)[:-1]
-        self.slot_key = None
+        self.slot_key, self.path = None, path
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -105,7 +107,10 @@ class Bpe:
         return tuple(out)
 
     def _pair_table(self) -> None:
-        """Open-addressing table: pair of ids -> id of the joined token."""
+        """Open-addressing table: pair of ids -> id of the joined token.  A few MB of numbers, which outlive the task."""
+        if self.path in _tables:
+            self.slots, self.slot_key, self.slot_value, self.byte_ids = _tables[self.path]
+            return
         pairs = {}
         for token, i in self.ranks.items():
             for cut in range(1, len(token)):
@@ -124,6 +129,7 @@ class Bpe:
             left = left[~placed]
             at[left] = (at[left] + 1) & (size - 1)
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        _tables[self.path] = self.slots, self.slot_key, self.slot_value, self.byte_ids
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
@@ -156,8 +162,10 @@ class Bpe:
         after = np.minimum(np.arange(1, size + 1), lens[:, None]).ravel()
         before = np.tile(np.arange(-1, size - 1), n)
         joined = self._joined(token[:, :-1].ravel(), token[:, 1:].ravel()).reshape(n, size - 1)
-        tree = np.full((n, 2 * size), _NONE, np.int64)
-        tree[:, size : 2 * size - 1] = np.where((joined >= 0) & live[:, 1:], joined << shift | np.arange(size - 1), _NONE)
+        kind = np.int32 if len(self.vocab) <= 1 << 24 else np.int64  # a rank and a place below TOGETHER
+        none = np.iinfo(kind).max
+        tree = np.full((n, 2 * size), none, kind)
+        tree[:, size : 2 * size - 1] = np.where((joined >= 0) & live[:, 1:], joined << shift | np.arange(size - 1), none)
         level = size
         while level > 1:
             tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
@@ -166,8 +174,8 @@ class Bpe:
         rows = np.arange(n)
         while True:
             best = tree[rows * 2 * size + 1]
-            going = best != _NONE
-            rows, best = rows[going], best[going]
+            going = best != none
+            rows, best = rows[going], best[going].astype(np.int64)
             if not len(rows):
                 break
             base, root = rows * size, rows * 2 * size
@@ -182,13 +190,13 @@ class Bpe:
             before[base[right] + k[right]] = i[right]
             h = before[base + i]
             left = h >= 0
-            tree[root + size + j] = _NONE
-            value = np.full(len(rows), _NONE, np.int64)
+            tree[root + size + j] = none
+            value = np.full(len(rows), none, kind)
             rank = self._joined(merged[right], token[base[right] + k[right]])
-            value[right] = np.where(rank >= 0, rank << shift | i[right], _NONE)
+            value[right] = np.where(rank >= 0, rank << shift | i[right], none)
             tree[root + size + i] = value
             rank = self._joined(token[base[left] + h[left]], merged[left])
-            tree[root[left] + size + h[left]] = np.where(rank >= 0, rank << shift | h[left], _NONE)
+            tree[root[left] + size + h[left]] = np.where(rank >= 0, rank << shift | h[left], none)
             h = np.where(left, h, i)
             paths = [size + h, size + i, size + j]
             for _ in range(shift):
@@ -203,13 +211,16 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of pre-tokens, those of about one size together."""
-        memo, ranks = self.memo, self.ranks
-        new = [p for p in pieces if p not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(pieces)
+        new = pieces.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.older, self.memo, new = self.memo, {}, pieces
+        memo, older, ranks = self.memo, self.older, self.ranks
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
+            ids = older.get(p)
+            if ids is not None:
+                memo[p] = ids
+                continue
             b = p.encode()
             whole = ranks.get(b)
             if whole is not None:
@@ -219,22 +230,23 @@ class Bpe:
             else:
                 memo[p] = pack(self.merge(b))
         for found in by_size.values():
-            for at in range(0, len(found), 20_000):
-                part = found[at : at + 20_000]
+            for at in range(0, len(found), STEPPED):
+                part = found[at : at + STEPPED]
                 memo.update(zip([p for p, _ in part], self.merge_together([b for _, b in part])))
 
     def piece_ids(self, piece: str) -> bytes:
         ids = self.memo.get(piece)
         if ids is None:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
-            ids = self.memo[piece] = pack(self.merge(piece.encode()))
+                self.older, self.memo = self.memo, {}
+            ids = self.older.get(piece)
+            ids = self.memo[piece] = pack(self.merge(piece.encode())) if ids is None else ids
         return ids
 
     def forget(self) -> None:
-        """At a task's end: a worker that goes on to other work holds on to neither the memories nor the vocabulary."""
+        """At a task's end: a worker that goes on to other work holds on to neither the memories nor the vocabulary's tokens."""
         self.memo.clear()
-        self.stretches.clear()
+        self.older.clear()
         _loaded.clear()
 
     def counts(self, pieces: list[str]) -> list[int]:
@@ -245,41 +257,16 @@ class Bpe:
         except KeyError:
             return [len(self.piece_ids(p)) >> 2 for p in pieces]
 
-    def encode_pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece_ids, self.split(text)))
-
     def scan(self, text: str, start: int):
         """Matches of the pattern from a place on; what stands before it plays no part."""
         return self.finditer(text, start)
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of a batch of texts.  A stretch between single spaces, with the space before it, splits the same way on
-        its own if there is no white space at its ends; such stretches are remembered whole.  Other texts are split
-        whole."""
-        cut = [t.split(" ") for t in texts]
-        stretches = self.stretches
-        wanted = set().union(*cut)
-        new = wanted.difference(stretches)
-        if len(stretches) + len(new) > MEMO:
-            stretches.clear()
-            new = wanted
-        split = {s: self.split(" " + s) for s in new if s and not s[0].isspace() and not s[-1].isspace()}
-        heads = [c[0] for c in cut]
-        self.learn(set(chain.from_iterable(split.values())).union(*map(self.split, heads)))
-        memo = self.memo
-        for s, pieces in split.items():
-            stretches[s] = b"".join([memo[p] for p in pieces])
-        out = []
-        for text, (head, *rest) in zip(texts, cut):
-            if rest and (not head or head[-1].isspace()):
-                ids = self.encode_pieces(text)
-            else:
-                try:
-                    ids = self.encode_pieces(head) + b"".join([stretches[s] for s in rest])
-                except KeyError:  # a stretch with white space at an end
-                    ids = self.encode_pieces(text)
-            out.append(np.frombuffer(ids, np.int32))
-        return out
+        """Ids of a batch of texts, whose pre-tokens are learned together."""
+        split = [self.split(t) for t in texts]
+        self.learn(set().union(*split))
+        ids_of = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, pieces)), np.int32) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text])[0].tolist()
@@ -293,6 +280,7 @@ def pack(ids) -> bytes:
 
 
 _loaded: dict = {}
+_tables: dict = {}
 
 
 def bpe(path: str, pattern: str) -> Bpe:
@@ -308,19 +296,22 @@ def default_vocabulary() -> tuple[str, str]:
     return p.path("byte_bpe_50k.tiktoken"), p.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) of every text; the ranks' path must exist on every executor."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>) of every text, and if ``decoded``, decoded (binary): the bytes that the ids stand for, made in
+    the same pass.  The ranks' path must exist on every executor."""
     path, pattern = (path, pattern) if path else default_vocabulary()
+    names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path, pattern)
         for part, texts in blocks(batches, "text"):
             ids = coder.encode_texts([(t or b"").decode(errors="replace") for t in texts])
             stops = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+            back = [pa.array(map(coder.decode, ids), pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(ids))), *back], names=names)
         coder.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id long, ids array<int>{', decoded binary' if decoded else ''}")
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -342,7 +333,11 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
     return coded.select(*kept, "ids").mapInArrow(lean(run), f"{schema}, decoded binary")
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of texts encoded and decoded in one pass, by one worker a task."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encode(docs, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(table(spark, sf_dir, "documents"))
-    digests = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(digests).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(table(spark, sf_dir, "documents"))

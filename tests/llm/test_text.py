@@ -348,3 +348,29 @@ def test_texts_that_are_not_valid_utf8(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert 0 <= quality.quality_scores(docs, labels).first().score <= 1
     assert 0 <= toxicity.score(docs, toxicity.train(docs, labels.withColumnRenamed("quality", "toxic"))).first().score <= 1
+
+
+def test_bpe_takes_over_what_the_older_memory_holds(monkeypatch):
+    """A full memory loses nothing of use: a word that comes up again is not merged again."""
+    from docflow.llm import bpe as B
+
+    monkeypatch.setattr(B, "MEMO", 6)
+    coder = B.Bpe(*B.default_vocabulary())
+    merged, together = [], coder.merge_together
+    monkeypatch.setattr(coder, "merge_together", lambda pieces: merged.extend(pieces) or together(pieces))
+    texts = [f" quodzix verbrunolp filler{'abcdefgh'[i]}xq" for i in range(8)]
+    ids = [coder.encode(t) for t in texts]
+    assert merged.count(b" quodzix") == merged.count(b" verbrunolp") == 1
+    assert ids == [B.Bpe(*B.default_vocabulary()).encode(t) for t in texts]
+    assert [coder.decode(i).decode() for i in ids] == texts
+
+
+def test_bpe_encodes_and_decodes_in_one_pass(spark):
+    from docflow.llm import bpe as B
+
+    docs = spark.createDataFrame([(1, "one two  three\n"), (2, None), (3, "")], "doc_id long, text string")
+    got = B.digests(docs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = B.encode(docs, decoded=True)
+    assert {r.doc_id: bytes(r.decoded) for r in both.collect()} == {1: b"one two  three\n", 2: b"", 3: b""}
+    assert sorted(map(str, both.drop("decoded").collect())) == sorted(map(str, B.encode(docs).collect()))
