@@ -80,8 +80,9 @@ class CountTree:
     def _set(self, leaf: int, pieces: list[tuple[int, int]]) -> None:
         self.edited[leaf] = pieces
         node = leaf + self.size
-        change = np.array(pieces, np.int64).reshape(-1, 2).sum(0) - self.sums[node]
-        if change.any():
+        chars, tokens = self.sums[node].tolist()
+        change = sum(p[0] for p in pieces) - chars, sum(p[1] for p in pieces) - tokens
+        if any(change):
             path = []
             while node:
                 path.append(node)
