@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WHITE = r"^\s+|\s+$"
+_WHITE = " \t\n\x0b\f\r"
 #: Namespace of DNS names (RFC 4122, a fixed value).
 _DNS = uuid.NAMESPACE_DNS.hex
 
@@ -44,12 +44,12 @@ _MANY = {c: x for c, x in _COMPATIBLE.items() if len(x) > 1}
 
 def blank(c: Column) -> Column:
     """Null, empty, or white space only."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~c.rlike(r"\S"), F.lit(True))
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end (Java's \\s: ASCII white space)."""
-    return F.regexp_replace(c, _WHITE, "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def strip_accents(c: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.scratch import bounded_batches
 
@@ -30,22 +31,31 @@ def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
-def _counted(lists: pa.ListArray, stop: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
-    """Of lists of words: row, term (an index), n for each different term of each row, in order; the rows' totals; the terms."""
+def _lower(texts: pa.Array) -> pa.Array:
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8 stand between words
+        return pc.utf8_lower(pa.array([b and b.decode(errors="replace") for b in texts.cast(pa.large_binary()).to_pylist()], texts.type))
+
+
+def _terms(texts: pa.Array, stop: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and term (an index) of each term of the texts, in order; the terms.
+
+    Cut where the rows are: a text crosses from the JVM as one value, which costs far less than its words.
+    """
+    lists = pc.split_pattern_regex(_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+")
     coded = lists.flatten().dictionary_encode()
     kinds = coded.dictionary
-    good = np.asarray(pc.and_(pc.greater(pc.utf8_length(kinds), 1), pc.invert(pc.is_in(kinds, pa.array(stop, pa.string())))))
+    good = np.asarray(pc.and_(pc.greater(pc.utf8_length(kinds), 1), pc.invert(pc.is_in(kinds, pa.array(stop, kinds.type)))))
     code, row = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
     some = good[code] if len(code) else np.zeros(0, bool)
-    code, row = code[some].astype(np.int64), row[some].astype(np.int64)
-    pair, n = np.unique(row * max(len(kinds), 1) + code, return_counts=True)
-    return *np.divmod(pair, max(len(kinds), 1)), n, np.bincount(row, minlength=len(lists)), kinds
+    return row[some].astype(np.int64), code[some].astype(np.int64), kinds
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            yield batch.slice(at, 1000)
+        for at in range(0, len(batch), 4000):
+            yield batch.slice(at, 4000)
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -58,10 +68,13 @@ def term_frequencies(df: DataFrame, key: str, text: str, stop_words: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            row, term, n, total, kinds = _counted(part.column(1), stop)
+            row, term, kinds = _terms(part.column(1), stop)
+            total = np.bincount(row, minlength=len(part))
+            pair, n = np.unique(row * max(len(kinds), 1) + term, return_counts=True)
+            row, term = np.divmod(pair, max(len(kinds), 1))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), kinds.take(pa.array(term)), pa.array(n), pa.array(n / total[row])], names=["key", "term", "n", "tf"])
 
-    rows = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, term string, n long, tf double").withColumnRenamed("key", key)
 
 
@@ -70,9 +83,10 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: list[str] | None
     return term_frequencies(df, key, text, stop_words).select(key, "term", "n")
 
 
-def _dimensions(kinds: pa.StringArray, size: int) -> np.ndarray:
+def _dimensions(kinds: pa.Array, size: int) -> np.ndarray:
     """A term's dimension, from its MD5 (the same on every run and engine)."""
-    return np.fromiter((int.from_bytes(md5(t.encode()).digest()[:4], "big") % size for t in kinds.to_pylist()), np.int64, len(kinds))
+    digests = b"".join([md5(t).digest() for t in kinds.cast(pa.large_binary()).to_numpy(zero_copy_only=False)])
+    return np.frombuffer(digests, ">u4")[::4].astype(np.int64) % size
 
 
 def with_sparse(df: DataFrame, text: str, name: str = "sparse", dimensions: int = DIMENSIONS, stop_words: list[str] | None = None) -> DataFrame:
@@ -82,20 +96,23 @@ def with_sparse(df: DataFrame, text: str, name: str = "sparse", dimensions: int
     """
     stop, names = STOP_WORDS if stop_words is None else stop_words, [c for c in df.columns if c != name]
     safe = [f"c{i}" for i in range(len(names))]
+    there = text in names and isinstance(df.schema[text].dataType, StringType)  # it crosses once
+    counted = safe[names.index(text)] if there else "text"
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            row, term, n, total, kinds = _counted(part.column("words"), stop)
-            pair, at = np.unique(row * dimensions + _dimensions(kinds, dimensions)[term], return_inverse=True)
+            row, term, kinds = _terms(part.column(counted), stop)
+            total = np.bincount(row, minlength=len(part))
+            pair, n = np.unique(row * dimensions + _dimensions(kinds, dimensions)[term], return_counts=True)
             row, index = np.divmod(pair, dimensions)
-            value = np.bincount(at, weights=n, minlength=len(pair)) / total[row]
+            value = n / total[row]
             ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(index.astype(np.int32)), pa.array(value))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in safe), pa.StructArray.from_arrays(lists, names=["indices", "values"])], names=[*safe, "sparse"])
 
     kinds = ", ".join(f"{s} {df.schema[c].dataType.simpleString()}" for s, c in zip(safe, names))
-    rows = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(s) for s, c in zip(safe, names)), words(F.col(text)).alias("words"))
+    rows = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(s) for s, c in zip(safe, names)), *([] if there else [F.col(text).cast("string").alias("text")]))
     return rows.mapInArrow(run, f"{kinds}, sparse {SPARSE}").toDF(*names, name)
 
 

@@ -85,3 +85,10 @@ def test_small_functions(spark):
 def test_item_uri(spark):
     got = spark.createDataFrame([("http://zotero.org/Users/12/items/abcd1234",), ("x",), (None,)], "u string").select(T.item_uri(F.col("u")).alias("p")).collect()
     assert tuple(got[0].p) == ("users", "12", "ABCD1234") and got[1].p is None and got[2].p is None
+
+
+def test_white_space_goes_at_the_ends_alone(spark):
+    for text in ["a b", " \t\n\x0b\f\ra b \r\n", "a b \u2028", "a \x85", "\u2003a\u2003", "\u2028 ", " \x0b\n", "", "é \x1c"]:
+        assert one(spark, T.strip, text) == text.strip(" \t\n\x0b\f\r")
+        assert one(spark, T.blank, text) is (text.strip(" \t\n\x0b\f\r") == "")
+    assert one(spark, T.strip, None) is None and one(spark, T.blank, None) is True

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,27 @@ def test_sparse_vectors(spark):
     assert sorted(map(tuple, sparse.term_counts(long, "k", "text").collect())) == [(1, "tail", 1), (1, "word", 20_000)]
 
 
+def test_terms_of_odd_texts(spark, duck):
+    """As in SQL: capital sigmas and dotted capital I have one small letter wherever they stand, letters of later Unicode count."""
+    odd = ["ΟΔΟΣ ΟΔΟΣ a", "İB-Ib", "x\u0870\u0871y zz", "ﬁn ²3 über\u0301", "", "é" * 3 + "\ufffd the"]
+    docs = spark.createDataFrame(list(enumerate(odd)) + [(9, None)], "k int, text string")
+    sql = "SELECT regexp_split_to_array(lower(?), '[^\\p{L}\\p{N}]+')"
+    want = {(k, w) for k, t in enumerate(odd) for w in duck.execute(sql, [t]).fetchone()[0] if len(w) > 1 and w != "the"}
+    assert {(r.k, r.term) for r in sparse.term_counts(docs, "k", "text").collect()} == want
+    sizes = {r.k: len(r.sparse["indices"]) for r in sparse.sparse_vectors(docs, "k", "text").collect()}
+    assert sizes == {k: sum(k == i for i, _ in want) for k in [*range(len(odd)), 9]}
+    bad = spark.sql("SELECT 1 AS k, CAST(X'4142FF4344204142E2' AS STRING) AS text UNION ALL SELECT 2, NULL")
+    assert sorted(map(tuple, sparse.term_counts(bad, "k", "text").collect())) == [(1, "ab", 2), (1, "cd", 1)]
+
+
+def test_a_text_crosses_to_python_once_and_uncut(spark):
+    docs = spark.createDataFrame([(1, "b a b")], "k int, text string")
+    plan = sparse.with_sparse(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and re.search(r"MapInArrow run\(c0#\d+, c1#\d+\)", plan)
+    assert "regexp_replace" not in chunk.chunk_words(docs, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(sparse.with_sparse(docs.withColumn("n", F.lit(12)), "n").first().sparse["indices"]) == 1  # no string: read as one
+
+
 class Flaky:
     dimensions = 2
 
